@@ -348,12 +348,13 @@ def _units(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every row of ``docs`` as (``_row``, key, ``n_shingles``, ``component_id``).
+    """Every row of ``docs`` as (``_row``, key, ``n_shingles``, ``component_id``, ``label``).
 
     Linked are sets with ``100 * intersection >= 80 * union`` of the distinct five-word
     shingles (fewer words: all of them as one); null or wordless texts have none and link
     with nothing.  ``component_id`` is the least id reachable; rows with a null id take
-    part and show the least id of the others, null if there is none.  Repeated rows are
+    part and show the least id of the others, null if there is none;
+    ``label`` names a component by itself and is null for rows without shingles.  Repeated rows are
     linked like any equal texts; an empty table gives an empty result.
     """
     keyed = with_row(docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text")))
@@ -403,6 +404,19 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     placed = placed.select(ROW, "n", F.coalesce("label", "node").alias("label")).join(keyed.select(ROW, "_key"), ROW)
     placed = stored(placed, "placed")
     least = placed.groupBy("label").agg(F.min("_key").alias("least"))
-    joined = placed.join(least, "label").select(ROW, "_key", F.col("n").cast("long").alias("n_shingles"), F.col("least").alias("component_id"))
-    alone = keyed.select(ROW, "_key").join(profiles.where("n = 0").select(ROW), ROW).select(ROW, "_key", F.lit(0).cast("long").alias("n_shingles"), F.col("_key").alias("component_id"))
+    joined = placed.join(least, "label").select(ROW, "_key", F.col("n").cast("long").alias("n_shingles"), F.col("least").alias("component_id"), "label")
+    alone = keyed.select(ROW, "_key").join(profiles.where("n = 0").select(ROW), ROW)
+    alone = alone.select(ROW, "_key", F.lit(0).cast("long").alias("n_shingles"), F.col("_key").alias("component_id"), F.lit(None).cast("long").alias("label"))
     return joined.unionByName(alone).withColumnRenamed("_key", key)
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each component, that of the least id (of equal or null ids, the first in the table).
+
+    Rows without words stay, all of them.
+    """
+    found = stored(near_components(docs, key, text).where("label IS NOT NULL").select(ROW, "label", F.col(key).alias("_key")), "found")
+    first = F.min_by(ROW, F.struct(F.col("_key").isNull(), "_key", ROW)).alias(ROW)
+    kept = found.groupBy("label").agg(first)
+    extra = stored(found.join(kept, ROW, "left_anti").select(ROW), "extra")
+    return with_row(docs).join(extra, ROW, "left_anti").select(*docs.columns)

@@ -177,33 +177,32 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     return model.fit(np.concatenate(bags), np.concatenate([[0], np.cumsum([len(b) for b in bags])]), y)
 
 
-def quality_scores(docs: DataFrame, model: AttentionModel, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every row of ``docs`` with ``score`` (0 to 1) and ``passages``, its number of passages.
+def quality_scores(docs: DataFrame, model: AttentionModel, text: str = "text", score: str = "score", passages: str = "passages") -> DataFrame:
+    """Every row of ``docs`` with its ``score`` (0 to 1) and ``passages``, its number of passages.
 
-    Null or empty text is one empty passage and is scored as such.
+    Null or empty text is one empty passage and is scored as such.  Columns that clash
+    with the two new ones are left out; name the new ones otherwise to keep them.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    place = docs.columns.index(text)
+    kept = docs.drop(*[c for c in docs.columns if c.lower() in (score, passages)])
+    place = kept.columns.index(text)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = flat(batch.column(place))
-            score, size = np.zeros(len(batch)), np.zeros(len(batch), np.int64)
+            found, size = np.zeros(len(batch)), np.zeros(len(batch), np.int64)
             for a, b in slices(offsets):
                 base = offsets[a]
                 x, begin = passage_features(raw[base : offsets[b]], offsets[a : b + 1] - base)
-                score[a:b], size[a:b] = shared.value.score(x, begin), np.diff(begin)
-            yield pa.record_batch([*batch.columns, pa.array(score), pa.array(size)], names=[*batch.schema.names, "score", "passages"])
+                found[a:b], size[a:b] = shared.value.score(x, begin), np.diff(begin)
+            yield pa.record_batch([*batch.columns, pa.array(found), pa.array(size)], names=[*batch.schema.names, score, passages])
 
-    clash = [c for c in docs.columns if c.lower() in ("score", "passages")]
-    schema = docs.drop(*clash).schema if clash else docs.schema
-    kept = docs.select(*[F.col(f.name) for f in schema]) if clash else docs
-    place = kept.columns.index(text)
-    return kept.mapInArrow(scored, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), "score double, passages bigint"]))
+    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema]
+    return kept.mapInArrow(scored, ", ".join([*schema, f"`{score}` double", f"`{passages}` bigint"]))
 
 
 def quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``held_out``, ``score``, ``predicted`` for every row, learnt and scored here."""
     model = train(docs, labels, key, text)
-    scored = quality_scores(docs.select(F.col(key), F.col(text).cast("string").alias(text)), model, key, text)
+    scored = quality_scores(docs.select(F.col(key), F.col(text).cast("string").alias(text)), model, text)
     return scored.select(F.col(key), held_out(key).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "passages")

@@ -16,7 +16,7 @@ def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.near_components(table(spark, sf_dir, "documents")).drop("_row")
+    return ngram_join.near_components(table(spark, sf_dir, "documents")).drop("_row", "label")
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
