@@ -6,9 +6,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontamination, fingerprints, mixing, ngram_join, quality, suffixes
-from .common import table
+from . import chat, chunking, decontamination, fingerprints, mixing, ngram_join, quality, suffixes, tokens, toxicity
+from .common import stored, table
 
 
 def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,15 +20,35 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_components(table(spark, sf_dir, "documents")).drop("_row", "label")
 
 
+def op3_toxicity_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.severities(docs, model).withColumn("held_out", quality.held_out("doc_id"))
+
+
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rendered(table(spark, sf_dir, "conversations"))
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op6_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.chunk_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffixes.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.drop("text")
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = stored(tokens.encoded_files(table(spark, sf_dir, "documents"), tokens.vocabulary()), "tokens")
+    counts = tokens.token_counts(files.select("file", "block", "tokens"))
+    return counts.join(tokens.written_ids(files), ["file", "ordinal"]).select(F.col("id").alias("doc_id"), "n_tokens")
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -36,5 +57,19 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_near")
 
 
+OPERATORS = (
+    op1_document_fingerprints,
+    op2_ngram_jaccard_join,
+    op3_toxicity_grades,
+    op4_chat_formatting,
+    op5_source_mixing,
+    op6_chunk_dedup,
+    op7_suffix_dedup,
+    op8_token_counts,
+    op9_quality_classifier,
+    op10_benchmark_decontamination,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_document_fingerprints, op2_ngram_jaccard_join, op7_suffix_dedup, op5_source_mixing, op9_quality_classifier, op10_benchmark_decontamination)}
+    return {f.__name__: f for f in OPERATORS}
