@@ -1,6 +1,6 @@
 """Operator 3: toxicity grades by cumulative-link ordinal regression.
 
-``P(grade <= k) = sigmoid(threshold_k - w . x)``: one weight vector over hashed words is
+``P(grade <= k) = sigmoid(threshold_k - w . x)``: one weight vector over hashed words and word beginnings is
 shared by all ordered thresholds.  Documents get the expected grade, ``sum of k P(k)``.
 
 Labels say toxic or not; grades above 0 come from how dense a toxic document is in words
@@ -17,21 +17,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .quality import held_out
-from .text import flat, slices, text_words
+from .text import TABLES, flat, hash_spans, mix, slices, word_spans
 
 DIMENSIONS = 1 << 20
-SAMPLE = 6000  # labelled documents learnt from, at most
+SAMPLE = 12000  # labelled documents learnt from, at most
 GRADES = 3  # above 0
-SPARSITY = 2e-3  # L1 weight: words that tell nothing get no weight
+BEGINNINGS = (4, 5)  # bytes of a word that count as features besides the word, for inflected forms
+SPARSITY = 4e-3  # L1 weight by which words are chosen: those that tell nothing drop out
+RELAXED = 1e-4  # and by which the chosen ones are fitted again
 
 _U = np.uint64
 
 
 def word_features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct hashed words of each text with their counts, and the ``n + 1`` places where a text's begin."""
-    words, first = text_words(raw, offsets, "alnum")
+    """Distinct hashed words and word beginnings of each text with their counts, and the ``n + 1`` places where a text's begin."""
+    starts, ends, first = word_spans(raw, offsets, TABLES["alnum"])
     text_of = np.repeat(np.arange(len(offsets) - 1, dtype=_U), np.diff(first))
-    key = np.sort((text_of << _U(20)) | (words >> _U(44)))
+    kinds = [hash_spans(raw, starts, ends)]
+    kinds += [mix(hash_spans(raw, starts, np.minimum(starts + n, ends)) + _U(n)) for n in BEGINNINGS]
+    key = np.sort(np.concatenate([(text_of << _U(20)) | (h >> _U(44)) for h in kinds]))
     fresh = np.flatnonzero(np.diff(key, prepend=key[:1] ^ _U(1)) != 0)
     count = np.diff(np.append(fresh, len(key)))
     key = key[fresh]
@@ -55,8 +59,14 @@ class CumulativeLink:
         edges = np.concatenate([np.zeros((len(s), 1)), below, np.ones((len(s), 1))], axis=1)
         return np.maximum(np.diff(edges, axis=1), 1e-12)
 
-    def fit(self, index: np.ndarray, of: np.ndarray, grade: np.ndarray, rounds: int = 200, rate: float = 0.3) -> CumulativeLink:
-        """``index``: feature of each entry, ``of``: its document."""
+    def fit(self, index: np.ndarray, of: np.ndarray, grade: np.ndarray) -> CumulativeLink:
+        """``index``: feature of each entry, ``of``: its document.  Features are chosen under a strong
+        L1 weight, which also shrinks them, and then fitted again under a weak one."""
+        self._descend(index, of, grade, SPARSITY, 200)
+        chosen = self.weights[index] > 0
+        return self._descend(index[chosen], of[chosen], grade, RELAXED, 300)
+
+    def _descend(self, index: np.ndarray, of: np.ndarray, grade: np.ndarray, sparsity: float, rounds: int, rate: float = 0.3) -> CumulativeLink:
         n, k = len(grade), len(self.thresholds)
         used, column = np.unique(index, return_inverse=True)
         w, seen_w, seen_t = np.zeros(len(used)), np.full(len(used), 1e-6), np.full(k, 1e-6)
@@ -75,10 +85,11 @@ class CumulativeLink:
             seen_w += gw**2
             seen_t += gt[1:-1] ** 2
             step = rate / np.sqrt(seen_w)
-            w = w - step * gw
-            w = np.sign(w) * np.maximum(np.abs(w) - step * SPARSITY, 0)
+            # no word makes a text less severe: with signs, long texts would sum up to anything
+            w = np.maximum(w - step * (gw + sparsity), 0)
             moved = self.thresholds - rate / np.sqrt(seen_t) * gt[1:-1]
             self.thresholds = np.maximum.accumulate(moved + 1e-3 * np.arange(k))  # ordered
+        self.weights[:] = 0
         self.weights[used] = w
         return self
 
