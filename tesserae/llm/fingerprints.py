@@ -113,11 +113,15 @@ def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text"
     an empty table gives an empty result.
     """
     docs = with_row(docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text")))
-    sketched = docs.withColumn("_sketch", sketch(F.col("_text"))).withColumn("_n", F.length("_text").cast("long"))
-    needs = following(docs.select("_key", ROW), "_key").join(sketched.select(ROW, F.expr("_n div 4").alias("_cut")), ROW)
-    giving = sketched.select(F.col(ROW).alias("_next"), F.col("_text").alias("_given"), F.col("_sketch").alias("_next_sketch"))
-    given = needs.join(giving, "_next").select(ROW, "_next_sketch", "_cut", F.expr("substring(_given, 1, cast(_cut as int))").alias("_tail"))
-    edited = sketched.join(given, ROW).withColumn("_edited", F.concat(F.expr("substring(_text, 1, cast(_n - _cut as int))"), "_tail"))
+    cuts = docs.select(F.col(ROW).alias("_to"), F.expr("length(_text) div 4").alias("_cut"))
+    needs = following(docs.select("_key", ROW), "_key").join(cuts, F.col(ROW) == F.col("_to")).select("_to", "_next", "_cut")
+    # both joins take the same columns of docs by the same key, so the texts are shuffled once
+    given = docs.join(needs, F.col(ROW) == F.col("_next"))
+    tail = F.expr("substring(_text, 1, cast(_cut as int))").alias("_tail")
+    given = given.select("_to", F.col("_key").alias("_next_key"), tail, sketch(F.col("_text")).alias("_next_sketch"))
+    edited = docs.join(given, F.col(ROW) == F.col("_to")).withColumn("_n", F.length("_text").cast("long"))
+    edited = edited.withColumn("_edited", F.concat(F.expr("substring(_text, 1, cast(_n - _n div 4 as int))"), "_tail"))
+    edited = edited.withColumn("_sketch", sketch(F.col("_text")))
     edited = edited.withColumn("_edited_sketch", sketch(F.col("_edited")))
     a, b, c = F.col("_sketch"), F.col("_edited_sketch"), F.col("_next_sketch")
     return edited.select(
@@ -129,4 +133,5 @@ def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text"
         likeness(a, b).alias("near_edited"),
         likeness(a, c).alias("near_next"),
         containment(a, b).alias("kept_share"),
+        F.col("_next_key").alias("next_id"),
     )
