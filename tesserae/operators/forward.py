@@ -96,13 +96,16 @@ SCORES = "volume_id string, pid bigint, z int, y int, x int, d0 int, d1 int, d2
 
 def predict_patches(voxels: DataFrame, shape: Triple, patch: Triple, step: float, network: Network, channels: int = 1, axes: tuple[int, ...] = ()) -> DataFrame:
     """Class scores ``ls`` of every voxel in every patch.  A group is one patch: as many voxels as the patch has."""
-    held = voxels.sparkSession.sparkContext.broadcast(network)
+    # a model's weights go once to an executor; a plain function travels with the task
+    shared = voxels.sparkSession.sparkContext.broadcast(network) if isinstance(network, UNet) else None
+    plain = None if shared else network
 
     def run(group: pa.Table) -> pa.Table:
         z, y, x, d0, d1, d2, c = (group.column(n).to_numpy() for n in ("z", "y", "x", "d0", "d1", "d2", "c"))
         box = np.zeros((channels, *patch))
         box[c, d0, d1, d2] = group.column("v").to_numpy()
-        model = mirrored(held.value, axes) if axes else held.value
+        model = shared.value if shared else plain
+        model = mirrored(model, axes) if axes else model
         scores = model(box)
         one = c == 0
         flat = scores[:, d0[one], d1[one], d2[one]].T.astype(np.float64)

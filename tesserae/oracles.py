@@ -178,7 +178,7 @@ SQL["param_count"] = """WITH nets(net, classes, f) AS (VALUES ('small', 3, [16,
 st AS (SELECT net, classes, f, len(f) AS n, unnest(range(1, len(f) + 1)) AS s FROM nets),
 blocks AS (SELECT net, 27 * f[s] * (CASE WHEN s = 1 THEN 1 ELSE f[s - 1] END) + 3 * f[s] + 27 * f[s] * f[s] + 3 * f[s] AS p FROM st
   UNION ALL SELECT net, 8 * f[s] * f[s + 1] + f[s] + 27 * f[s] * 2 * f[s] + 3 * f[s] + 27 * f[s] * f[s] + 3 * f[s] FROM st WHERE s < n
-  UNION ALL SELECT net, classes * f[1] + classes FROM nets)
+  UNION ALL SELECT net, classes * f[s] + classes FROM st WHERE s < n)
 SELECT net, CAST(sum(p) AS BIGINT) AS parameters FROM blocks GROUP BY net"""
 _SHAPES = "(VALUES ([128, 128, 128], 105), ([64, 64, 64], 25), ([32, 32, 32], 4), ([96, 160, 160], 118)) t(patch, classes)"
 _ACT = f"act AS (SELECT patch, classes, CAST(2 * sum(f * (patch[1] // 2 ** i)::BIGINT * (patch[2] // 2 ** i)::BIGINT * (patch[3] // 2 ** i)::BIGINT * 8) AS BIGINT) AS bytes FROM {_SHAPES}, (VALUES (0, 32), (1, 64), (2, 128), (3, 256), (4, 320), (5, 320)) w(i, f) GROUP BY ALL)"

@@ -86,9 +86,9 @@ class Architecture:
                 out.append((f"decoder.transpconvs.{s}.bias", "bias", (o,)))
             for n in range(self.decoder_convs[s]):
                 block(f"decoder.stages.{s}.convs.{n}", o, 2 * o if n == 0 else o, self.kernels[-(s + 2)])
-            if self.deep_supervision or s == self.n_stages - 2:
-                out.append((f"decoder.seg_layers.{s}.weight", "head", (self.classes, o, 1, 1, 1)))
-                out.append((f"decoder.seg_layers.{s}.bias", "bias", (self.classes,)))
+            # every stage has a head; those before the last only speak under deep supervision
+            out.append((f"decoder.seg_layers.{s}.weight", "head", (self.classes, o, 1, 1, 1)))
+            out.append((f"decoder.seg_layers.{s}.bias", "bias", (self.classes,)))
             width = o
         return out
 
