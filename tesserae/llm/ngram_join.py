@@ -33,58 +33,92 @@ from .text import flat, mix, shingle_sets
 
 WIDTH = 5
 PERCENT = 80
-FREQUENT = 64  # a shingle in more texts than this stands last
+FREQUENT = 32  # a shingle in more texts than this stands last
 MOST_FREQUENT = 1 << 20  # shingles named frequent at most, those in most texts; the list is broadcast
 SHORT = 128  # sets up to this size are profiled whole, longer ones over the lower range
 UNIT = 128  # nodes of a unit, about
-LOOSE = 0.5  # first-fragment similarity that puts two nodes in one unit
+LOOSE = 0.3  # first-fragment similarity that puts two nodes in one unit
 CROWDED = 8  # texts of one task under a shingle from which the task forwards one of them only
 
 _U = np.uint64
-_FIRST = _U((1 << 64) // 5)  # the first fragment ends here
-_LOWER = _U(3 * (1 << 61))  # and the lower range here
-_CUTS = [_U((1 << 64) * k // 5) for k in range(2, 5)]
+_FIRST = _U((1 << 64) // 7)  # the first fragment ends here
+_LOWER = _U(5 << 60)  # and the lower range here
+_CUTS = [_U((1 << 64) * k // 7) for k in (1, 2, 3, 5)]  # pivots between the fragments counted in full
+_KEY = _U(16)  # low bits left out of a shingle's key; keys that meet by chance only add candidates
 
-PROFILE = f"{ROW} bigint, node bigint, n int, low0 binary, low1 binary"
+PROFILE = f"{ROW} bigint, node bigint, n int, small binary, low binary"
+
+
+def _profile(s: np.ndarray, whole: bool) -> tuple[int, bytes, bytes]:
+    """Size of a set, its first fragment in 32 bits a shingle, and the keys of its lower range or all of it."""
+    small = np.unique(s[: int(np.searchsorted(s, _FIRST))] >> _U(30)).astype("<u4")
+    low = s if whole or len(s) <= SHORT else s[: int(np.searchsorted(s, _LOWER))]
+    return len(s), small.tobytes(), (low >> _KEY).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _keys(low: bytes) -> np.ndarray:
+    """The keys of a profile, 48 bits each, ascending."""
+    out = np.zeros((len(low) // 6, 8), dtype=np.uint8)
+    out[:, :6] = np.frombuffer(low, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
 
 
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        nodes, sizes, low0, low1 = [], [], [], []
+        nodes, cells = [], []
         for s in shingle_sets(batch.column(1), WIDTH):
             nodes.append(int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True))
-            sizes.append(len(s))
-            a, b = np.searchsorted(s, [_FIRST, _LOWER])
-            low0.append(s[:a].tobytes())
-            low1.append(s[a : len(s) if len(s) <= SHORT else b].tobytes())
-        yield pa.record_batch([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(low0, pa.binary()), pa.array(low1, pa.binary())], names=[ROW, "node", "n", "low0", "low1"])
+            cells.append(_profile(s, False))
+        n, small, low = zip(*cells) if cells else ((), (), ())
+        yield pa.record_batch([batch.column(0), pa.array(nodes, pa.int64()), pa.array(n, pa.int32()), pa.array(small, pa.binary()), pa.array(low, pa.binary())], names=[ROW, "node", "n", "small", "low"])
+
+
+def _long_profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        n, small, low = zip(*(_profile(s, True) for s in shingle_sets(batch.column(2), WIDTH))) if len(batch) else ((), (), ())
+        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(n, pa.int32()), pa.array(small, pa.binary()), pa.array(low, pa.binary())], names=[ROW, "node", "n", "small", "low"])
+
+
+def _pack(ascending: np.ndarray) -> bytes:
+    """Ascending keys as compressed planes of the bytes of their steps."""
+    steps = np.diff(ascending, prepend=_U(0)).astype("<u8")
+    return pa.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :6].T).tobytes(), codec="zstd", asbytes=True)
 
 
-def _u64(blob: bytes) -> np.ndarray:
-    return np.frombuffer(blob, "<u8")
+def _unpack(blob: bytes, n: int) -> np.ndarray:
+    steps = np.zeros((n, 8), dtype=np.uint8)
+    steps[:, :6] = np.frombuffer(pa.decompress(blob, decompressed_size=6 * n, codec="zstd", asbytes=True), np.uint8).reshape(6, n).T
+    return np.cumsum(steps.view("<u8").ravel(), dtype=_U)
+
+
+def _first_of(token: np.ndarray) -> np.ndarray:
+    """Where each run of equal, sorted tokens begins."""
+    return np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, int)
+
+
+DEALT = "deal int, size int, tokens binary, counts binary"
 
 
 def _dealt(batches: Iterator[pa.RecordBatch], deals: int) -> Iterator[pa.RecordBatch]:
-    """Counts of lower-range shingles, combined in the task and dealt by hash."""
+    """Counts of the profiles' shingles, combined in the task and dealt by hash."""
     held: list[np.ndarray] = []
 
     def packed() -> pa.RecordBatch:
-        token, count = np.unique(np.concatenate(held), return_counts=True)
+        token = np.sort(np.concatenate(held))
+        first = _first_of(token)
+        count, token = np.diff(np.append(first, len(token))), token[first]
         deal = (mix(token) % _U(deals)).astype(np.int64)
         out = []
         for many in (False, True):
             mine = np.flatnonzero((count > 1) == many)
             mine = mine[np.argsort(deal[mine], kind="stable")]
             edge = np.searchsorted(deal[mine], np.arange(deals + 1))
-            out += [(k, token[mine[a:b]].tobytes(), count[mine[a:b]].astype("<u4").tobytes() if many else b"") for k, (a, b) in enumerate(zip(edge[:-1], edge[1:])) if b > a]
-        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.binary(), pa.binary()))], names=["deal", "tokens", "counts"])
+            out += [(k, b - a, _pack(token[mine[a:b]]), count[mine[a:b]].astype("<u4").tobytes() if many else b"") for k, (a, b) in enumerate(zip(edge[:-1], edge[1:])) if b > a]
+        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["deal", "size", "tokens", "counts"])
 
     for batch in batches:
-        for name in ("low0", "low1"):
-            raw, _ = flat(batch.column(batch.schema.get_field_index(name)))
-            token = np.frombuffer(raw.tobytes(), "<u8")
-            held.append(token[token < _LOWER])
-        if sum(map(len, held)) > 1 << 21:
+        held.append(_keys(flat(batch.column(0))[0].tobytes()))
+        if sum(map(len, held)) > 1 << 20:
             yield packed()
             held = []
     if sum(map(len, held)):
@@ -94,141 +128,157 @@ def _dealt(batches: Iterator[pa.RecordBatch], deals: int) -> Iterator[pa.RecordB
 def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tokens, counts = [], []
     for batch in batches:
-        for t, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            tokens.append(_u64(t))
-            counts.append(np.frombuffer(c, "<u4").astype(np.int64) if c else np.ones(len(tokens[-1]), np.int64))
+        for n, t, c in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
+            tokens.append(_unpack(t, n))
+            counts.append(np.frombuffer(c, "<u4") if c else np.ones(n, np.uint32))
     if tokens:
         token, count = np.concatenate(tokens), np.concatenate(counts)
         order = np.argsort(token)
         token = token[order]
-        first = np.flatnonzero(np.diff(token, prepend=token[:1] ^ _U(1)) != 0)
-        total = np.add.reduceat(count[order], first)
+        first = _first_of(token)
+        total = np.add.reduceat(count[order].astype(np.int64), first)
         often = total > FREQUENT
         yield pa.record_batch([pa.array(token[first][often].view(np.int64)), pa.array(total[often])], names=["token", "df"])
 
 
 def frequent_shingles(profiles: DataFrame) -> np.ndarray:
-    """The shingles that stand last in the global order, ascending; counted over all texts, bounded in number."""
+    """The keys of shingles that stand last in the global order, ascending; counted over all texts, bounded in number."""
     deals = parts(profiles.sparkSession)
-    dealt = profiles.select("low0", "low1").mapInArrow(lambda it: _dealt(it, deals), "deal int, tokens binary, counts binary")
+    dealt = profiles.select("low").mapInArrow(lambda it: _dealt(it, deals), DEALT)
     counted = dealt.repartition(deals, "deal").mapInArrow(_frequent, "token bigint, df bigint")
     rows = counted.orderBy(F.desc("df"), "token").limit(MOST_FREQUENT).select("token").toArrow()
     return np.sort(rows.column(0).to_numpy().view(_U))
 
 
-def _prefix(tokens: np.ndarray, n: int, frequent: np.ndarray) -> np.ndarray | None:
+def _prefix(keys: np.ndarray, n: int, frequent: np.ndarray) -> np.ndarray | None:
     """The first shingles of a set in the global order, one more than may differ; None if the profile is too short to tell."""
     need = n - -(-PERCENT * n // 100) + 1
-    last = np.isin(tokens, frequent, assume_unique=True) if len(frequent) else np.zeros(len(tokens), bool)
-    early = tokens < _LOWER
-    first = tokens[early & ~last]
+    place = np.searchsorted(frequent, keys)
+    last = frequent[np.minimum(place, len(frequent) - 1)] == keys if len(frequent) else np.zeros(len(keys), bool)
+    first = keys[~last & (keys < (_LOWER >> _KEY))]
     if len(first) >= need:
         return first[:need]
-    return np.concatenate([first, tokens[~early], tokens[early & last]])[:need] if len(tokens) == n else None
+    if len(keys) < n:
+        return None
+    return np.concatenate([first, keys[~last & (keys >= (_LOWER >> _KEY))], keys[last]])[:need]
 
 
-POSTED = "deal int, done boolean, tokens binary, nodes binary, sizes binary, hubs binary"
-ENTRIES = "token bigint, node bigint, n int, hub bigint"
+POSTED = "deal int, done boolean, size int, tokens binary, nodes binary, hubs binary, sizes binary, places binary"
+ENTRIES = "token bigint, node bigint, hub bigint"
 
 
 def _posted(batches: Iterator[pa.RecordBatch], deals: int, frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Prefix postings of a task, dealt by shingle; of a crowd the task forwards the least node and settles the rest itself."""
     held: list[tuple[np.ndarray, int, int]] = []
     names = [c.split()[0] for c in POSTED.split(", ")]
-    types = (pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+    types = (pa.int32(), pa.bool_(), pa.int32(), *[pa.binary()] * 5)
     turn = 0
 
     def packed() -> pa.RecordBatch:
         nonlocal turn
-        token = np.concatenate([h[0] for h in held])
-        each = np.array([len(h[0]) for h in held])
-        node, n = np.repeat(np.array([h[1] for h in held], np.int64), each), np.repeat(np.array([h[2] for h in held], np.uint32), each)
-        order = np.lexsort((node, token))
-        token, node, n = token[order], node[order], n[order]
-        keep = np.concatenate([[True], (token[1:] != token[:-1]) | (node[1:] != node[:-1])])  # copies post once
-        token, node, n = token[keep], node[keep], n[keep]
-        first = np.flatnonzero(np.diff(token, prepend=token[:1] ^ _U(1)) != 0)
+        each = [len(h[0]) for h in held]
+        spread = lambda k, kind: np.repeat(np.array([h[k] for h in held], kind), each)
+        at = np.concatenate([np.arange(n, dtype=np.uint32) for n in each])
+        token, node, n, at = _sorted_postings(np.concatenate([h[0] for h in held]), spread(1, np.int64), spread(2, np.uint32), at)
+        first = _first_of(token)
         size = np.diff(np.append(first, len(token)))
         crowd = np.repeat(size >= CROWDED, size)
         out = []
         if crowd.any():
             hub = np.repeat(node[first], size)
             turn += 1
-            out.append(((turn * 7919 + int(mix(token[:1])[0] % _U(1 << 20))) % deals, True, *(x[crowd].tobytes() for x in (token, node, n, hub))))
+            out.append(((turn * 7919 + int(mix(token[:1])[0] % _U(1 << 20))) % deals, True, int(crowd.sum()), _pack(token[crowd]), node[crowd].tobytes(), hub[crowd].tobytes(), b"", b""))
+            at[crowd] = _ANYWHERE  # one node stands for many
         send = ~crowd
         send[first] = True
-        token, node, n = token[send], node[send], n[send]
+        token, node, n, at = token[send], node[send], n[send], at[send]
         deal = (mix(token) % _U(deals)).astype(np.int64)
         order = np.argsort(deal, kind="stable")
         edge = np.searchsorted(deal[order], np.arange(deals + 1))
-        out += [(k, False, *(x[order[a:b]].tobytes() for x in (token, node, n)), b"") for k, (a, b) in enumerate(zip(edge[:-1], edge[1:])) if b > a]
+        out += [(k, False, b - a, _pack(token[order[a:b]]), node[order[a:b]].tobytes(), b"", _planes(n[order[a:b]]), _planes(at[order[a:b]])) for k, (a, b) in enumerate(zip(edge[:-1], edge[1:])) if b > a]
         return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
     for batch in batches:
-        for node, n, low0, low1 in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("node", "n", "low0", "low1"))):
-            if n and (first := _prefix(np.concatenate([_u64(low0), _u64(low1)]), n, frequent)) is not None:
+        for node, n, low in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("node", "n", "low"))):
+            if n and (first := _prefix(_keys(low), n, frequent)) is not None:
                 held.append((first, node, n))
-        if len(held) > 20_000:
+        if sum(len(h[0]) for h in held) > 1 << 19:
             yield packed()
             held = []
     if held:
         yield packed()
 
 
+_ANYWHERE = np.uint32(0xFFFFFFFF)
+
+
+def _planes(values: np.ndarray) -> bytes:
+    return pa.compress(np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def _from_planes(blob: bytes, n: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(pa.decompress(blob, decompressed_size=4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n).T).view("<u4").ravel()
+
+
+def _sorted_postings(token: np.ndarray, node: np.ndarray, *more: np.ndarray) -> list[np.ndarray]:
+    """Postings in order, each once: copies of a text post alike."""
+    order = np.lexsort((node, token))
+    token, node = token[order], node[order]
+    keep = np.concatenate([[True], (token[1:] != token[:-1]) | (node[1:] != node[:-1])])
+    return [token[keep], node[keep], *(m[order][keep] for m in more)]
+
+
+def _hopeless(n: np.ndarray, at: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For lists of two: whether what follows the shared shingle in both cannot bring a link.
+
+    Were it the pair's first shared shingle, no earlier one would count; a linked pair
+    passes this test at its first, so it stays in one list at least.
+    """
+    a, b = first, first + 1
+    after = np.minimum(n[a].astype(np.int64) - at[a], n[b].astype(np.int64) - at[b])
+    need = -(-PERCENT * (n[a].astype(np.int64) + n[b]) // (100 + PERCENT))
+    return (after < need) & (at[a] != _ANYWHERE) & (at[b] != _ANYWHERE)
+
+
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Lists of two nodes or more, as rows with the list's least node as hub."""
     names = [c.split()[0] for c in ENTRIES.split(", ")]
     out, held = [], []
     for batch in batches:
-        for row in batch.to_pylist():
-            mine = _u64(row["tokens"]), np.frombuffer(row["nodes"], "<i8"), np.frombuffer(row["sizes"], "<u4")
-            if row["done"]:
-                out.append((*mine, np.frombuffer(row["hubs"], "<i8")))
+        for done, size, tokens, nodes, hubs, sizes, places in zip(*(batch.column(k).to_pylist() for k in range(1, 8))):
+            mine = _unpack(tokens, size), np.frombuffer(nodes, "<i8")
+            if done:
+                out.append((*mine, np.frombuffer(hubs, "<i8")))
             else:
-                held.append(mine)
+                held.append((*mine, _from_planes(sizes, size), _from_planes(places, size)))
     if held:
-        token, node, n = (np.concatenate(x) for x in zip(*held))
-        order = np.lexsort((node, token))
-        token, node, n = token[order], node[order], n[order]
-        keep = np.concatenate([[True], (token[1:] != token[:-1]) | (node[1:] != node[:-1])])
-        token, node, n = token[keep], node[keep], n[keep]
-        first = np.flatnonzero(np.diff(token, prepend=token[:1] ^ _U(1)) != 0)
+        token, node, n, at = _sorted_postings(*(np.concatenate(x) for x in zip(*held)))
+        first = _first_of(token)
         size = np.diff(np.append(first, len(token)))
-        several = np.repeat(size > 1, size)
-        out.append((token[several], node[several], n[several], np.repeat(node[first], size)[several]))
-    for token, node, n, hub in out:
+        several = size > 1
+        two = np.flatnonzero(size == 2)
+        several[two[_hopeless(n, at, first[two])]] = False
+        several = np.repeat(several, size)
+        out.append((token[several], node[several], np.repeat(node[first], size)[several]))
+    for token, node, hub in out:
         for i in range(0, len(token), 50_000):
             s = slice(i, i + 50_000)
-            yield pa.record_batch([pa.array(token[s].view(np.int64)), pa.array(node[s]), pa.array(n[s].astype(np.int32)), pa.array(hub[s])], names=names)
+            yield pa.record_batch([pa.array(token[s].view(np.int64)), pa.array(node[s]), pa.array(hub[s])], names=names)
 
 
 def _lacking(batches: Iterator[pa.RecordBatch], frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = []
-        for row, n, low0, low1 in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (ROW, "n", "low0", "low1"))):
-            if n > SHORT and _prefix(np.concatenate([_u64(low0), _u64(low1)]), n, frequent) is None:
-                rows.append(row)
+        rows = [row for row, n, low in zip(*(batch.column(k).to_pylist() for k in range(3))) if n > SHORT and _prefix(_keys(low), n, frequent) is None]
         yield pa.record_batch([pa.array(rows, pa.int64())], names=[ROW])
 
 
-FULL = f"{ROW} bigint, node bigint, n int, low0 binary, low1 binary"
-
-
-def _full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whole sets in the shape of a profile."""
-    for batch in batches:
-        sets = list(shingle_sets(batch.column(2), WIDTH))
-        cut = [int(np.searchsorted(s, _FIRST)) for s in sets]
-        yield pa.record_batch([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int32()), pa.array([s[:c].tobytes() for s, c in zip(sets, cut)], pa.binary()), pa.array([s[c:].tobytes() for s, c in zip(sets, cut)], pa.binary())], names=[ROW, "node", "n", "low0", "low1"])
-
-
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose first fragments are loosely similar."""
     for batch in batches:
         a, b, x, y = (batch.column(batch.schema.get_field_index(c)) for c in ("a", "b", "x", "y"))
         keep = []
         for s, t in zip(x.to_pylist(), y.to_pylist()):
-            s, t = _u64(s), _u64(t)
+            s, t = np.frombuffer(s, "<u4"), np.frombuffer(t, "<u4")
             both = len(np.intersect1d(s, t, assume_unique=True))
             keep.append(both > 0 and both >= LOOSE * (len(s) + len(t) - both))
         keep = pa.array(keep, pa.bool_())
@@ -241,7 +291,7 @@ def overlaps(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
     if len(xs) == 1 and len(ys) == 1:
         out[0, 0] = len(np.intersect1d(xs[0], ys[0], assume_unique=True))
         return out
-    token = np.concatenate(ys) if ys else np.zeros(0, _U)
+    token = np.concatenate(ys)
     owner = np.repeat(np.arange(len(ys)), [len(y) for y in ys])
     order = np.argsort(token, kind="stable")
     token, owner = token[order], owner[order]
@@ -258,16 +308,22 @@ def _required(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return -(-PERCENT * (n[:, None] + m[None, :]) // (100 + PERCENT))
 
 
-def _members(unit: list[dict]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    return np.array([m["node"] for m in unit], np.int64), np.array([m["n"] for m in unit], np.int64), [_u64(m["part"]) for m in unit]
+def _members(unit: list[dict], kind: str) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    return np.array([m["node"] for m in unit], np.int64), np.array([m["n"] for m in unit], np.int64), [np.frombuffer(m["part"], kind) for m in unit]
+
+
+def _rows(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
+    """One row at a time: units can be large."""
+    columns = [batch.column(batch.schema.get_field_index(n)) for n in names]
+    return (tuple(c[i].as_py() for c in columns) for i in range(len(batch)))
 
 
 def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Unit pairs in which the first fragment leaves room for a link."""
     for batch in batches:
         us, vs, keep = [], [], []
-        for u, v, left, right in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("u", "v", "left", "right"))):
-            (a, n, x), (b, m, y) = _members(left), _members(right)
+        for u, v, left, right in _rows(batch, "u", "v", "left", "right"):
+            (a, n, x), (b, m, y) = _members(left, "<u4"), _members(right, "<u4")
             rest = np.minimum((n - [len(s) for s in x])[:, None], (m - [len(s) for s in y])[None, :])
             room = overlaps(x, y) + rest >= _required(n, m)
             room &= a[:, None] != b[None, :]
@@ -285,11 +341,9 @@ def _fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Whole sets cut at the pivots of the global order."""
     for batch in batches:
         out = []
-        for node, n, low0, low1 in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("node", "n", "low0", "low1"))):
-            rest = _u64(low1)
-            edges = [0, *np.searchsorted(rest, _CUTS).tolist(), len(rest)]
-            out.append((node, n, 0, low0))
-            out += [(node, n, k + 1, rest[a:b].tobytes()) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:]))]
+        for node, s in zip(batch.column(1).to_pylist(), shingle_sets(batch.column(2), WIDTH)):
+            edges = [0, *np.searchsorted(s, _CUTS).tolist(), len(s)]
+            out += [(node, len(s), k, s[a:b].tobytes()) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:]))]
         if out:
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["node", "n", "fragment", "part"])
 
@@ -298,9 +352,9 @@ def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Overlaps within one fragment, for every pair of a unit pair that has any."""
     for batch in batches:
         out = []
-        for u, v, f, left, right in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("u", "v", "fragment", "left", "right"))):
+        for u, v, f, left, right in _rows(batch, "u", "v", "fragment", "left", "right"):
             left, right = sorted(left, key=lambda m: m["node"]), sorted(right, key=lambda m: m["node"])
-            (a, n, x), (b, m, y) = _members(left), _members(right)
+            (a, n, x), (b, m, y) = _members(left, "<u8"), _members(right, "<u8")
             shared = overlaps(x, y).ravel()
             at = np.flatnonzero(shared)
             out.append((u, v, f, at.astype("<u4").tobytes(), shared[at].astype("<u4").tobytes(), a.tobytes(), b.tobytes(), n.tobytes(), m.tobytes()))
@@ -313,7 +367,7 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links of each unit pair from the sums of its fragments' overlaps; a spanning forest of them is enough for components."""
     for batch in batches:
         left_out, right_out = [], []
-        for cells in batch.column(batch.schema.get_field_index("cells")).to_pylist():
+        for (cells,) in _rows(batch, "cells"):
             a, b, n, m = (np.frombuffer(cells[0][k], "<i8") for k in ("left", "right", "ns", "ms"))
             total = np.zeros(len(a) * len(b), dtype=np.int64)
             for cell in cells:
@@ -338,13 +392,20 @@ def _root(parent: dict[int, int], x: int) -> int:
     return x
 
 
-def _units(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``node``, ``unit``: nodes of one loose group share units of about ``UNIT``; a node alone is its own unit."""
-    loose = components(edges)
-    sizes = loose.groupBy("label").agg(F.count("*").alias("size"))
-    place = F.pmod(F.xxhash64("v"), F.expr(f"(size + {UNIT - 1}) div {UNIT}"))
-    grouped = loose.join(sizes, "label").select(F.col("v").alias("node"), F.xxhash64("label", place).alias("unit"))
-    return nodes.join(grouped, "node", "left").select("node", F.coalesce("unit", "node").alias("unit"))
+def _units(first: DataFrame, edges: DataFrame, entries: DataFrame) -> DataFrame:
+    """``node``, ``n``, ``unit``: bundles of about ``UNIT`` nodes whose pairs are looked at together.
+
+    Nodes of one loose group go together; the others of long lists by the longest list
+    they stand in; what is left is a unit by itself.
+    """
+    loose = components(edges).select(F.col("v").alias("node"), F.col("label").alias("g"))
+    long = entries.groupBy("token").agg(F.count("*").alias("c")).where(f"c >= {UNIT // 8}")
+    lists = entries.join(long, "token").groupBy("node").agg(F.max(F.struct("c", "token"))["token"].alias("t"))
+    rows = first.select("node", "n").join(loose, "node", "left").join(lists, "node", "left")
+    rows = rows.select("node", "n", F.coalesce(F.when(F.col("g").isNotNull(), F.xxhash64(F.lit("group"), "g")), F.when(F.col("t").isNotNull(), F.xxhash64(F.lit("list"), "t"))).alias("label"))
+    sizes = rows.where("label IS NOT NULL").groupBy("label").agg(F.count("*").alias("size"))
+    place = F.pmod(F.xxhash64("node"), F.expr(f"(size + {UNIT - 1}) div {UNIT}"))
+    return rows.join(sizes, "label", "left").select("node", "n", F.when(F.col("size").isNotNull(), F.xxhash64("label", place)).otherwise(F.col("node")).alias("unit"))
 
 
 def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -362,37 +423,37 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     deals = parts(spark)
     profiles = stored(keyed.select(ROW, "_text").mapInArrow(_profiles, PROFILE), "profiles")
     frequent = spark.sparkContext.broadcast(frequent_shingles(profiles))
-    lacking = stored(profiles.select(ROW, "n", "low0", "low1").mapInArrow(lambda it: _lacking(it, frequent.value), f"{ROW} bigint"), "lacking")
+    lacking = stored(profiles.select(ROW, "n", "low").mapInArrow(lambda it: _lacking(it, frequent.value), f"{ROW} bigint"), "lacking")
     nodes_of = profiles.select(ROW, "node")
-    longer = keyed.join(lacking.join(nodes_of, ROW), ROW).select(ROW, "node", "_text").mapInArrow(_full, FULL)
+    longer = keyed.join(lacking.join(nodes_of, ROW), ROW).select(ROW, "node", "_text").mapInArrow(_long_profiles, PROFILE)
     posted = profiles.unionByName(longer).mapInArrow(lambda it: _posted(it, deals, frequent.value), POSTED)
     entries = stored(posted.repartition(deals, "deal").mapInArrow(_listed, ENTRIES), "entries")
 
     # units: bundles of nodes that the first fragment shows to be alike
     nodes = stored(entries.select("node").distinct(), "nodes")
-    first = profiles.select("node", "n", F.col("low0").alias("part")).join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    first = profiles.select("node", "n", F.col("small").alias("part")).join(nodes, "node", "left_semi").dropDuplicates(["node"])
     first = stored(first, "first")
     pairs = entries.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     both = pairs.join(first.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("part").alias("x")), "a")
     both = both.join(first.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("part").alias("y")), "b")
     alike = both.where("na <= 2 * nb AND nb <= 2 * na").mapInArrow(_alike, "a bigint, b bigint")
-    units = stored(_units(nodes, alike), "units")
+    units = stored(_units(first, alike, entries), "units")
 
     # unit pairs under one shingle, of sizes that may link
     listed = entries.join(units, "node").groupBy("token", "unit").agg(F.min("n").alias("low"), F.max("n").alias("high"), (F.min("node") < F.max("node")).alias("several"))
     left, right = (listed.toDF("token", f"{s}", f"{s}_low", f"{s}_high", f"{s}_several") for s in ("u", "v"))
     fits = f"{PERCENT} * u_low <= 100 * v_high AND {PERCENT} * v_low <= 100 * u_high"
     meeting = left.join(right, "token").where(f"(u < v OR (u = v AND u_several)) AND {fits}").select("u", "v").distinct()
-    bundles = units.join(first, "node").groupBy("unit").agg(F.collect_list(F.struct("node", "n", "part")).alias("members"))
+    bundles = units.join(first.drop("n"), "node").groupBy("unit").agg(F.collect_list(F.struct("node", "n", "part")).alias("members"))
     sides = meeting.join(bundles.toDF("u", "left"), "u").join(bundles.toDF("v", "right"), "v")
     open_pairs = stored(sides.mapInArrow(_possible, "u bigint, v bigint"), "open")
 
     # fragment by fragment, then summed
     asked = open_pairs.select(F.col("u").alias("unit")).union(open_pairs.select("v")).distinct()
-    asked = asked.join(units, "unit").join(nodes_of.groupBy("node").agg(F.min(ROW).alias(ROW)), "node")
+    asked = asked.join(units, "unit").select("node").join(nodes_of.groupBy("node").agg(F.min(ROW).alias(ROW)), "node")
     asked = stored(asked, "asked")
-    whole = keyed.join(asked, ROW).select(ROW, "node", "_text").mapInArrow(_full, FULL)
-    cells = whole.mapInArrow(_fragments, CELLS).join(units, "node")
+    whole = keyed.join(asked, ROW).select(ROW, "node", "_text").mapInArrow(_fragments, CELLS)
+    cells = whole.join(units.select("node", "unit"), "node")
     cells = stored(cells.groupBy("unit", "fragment").agg(F.collect_list(F.struct("node", "n", "part")).alias("members")), "cells")
     counted = open_pairs.join(cells.toDF("u", "fragment", "left"), "u").join(cells.toDF("v", "fragment", "right"), ["v", "fragment"])
     partial = counted.select("u", "v", "fragment", "left", "right").mapInArrow(_partial, PARTIAL)
