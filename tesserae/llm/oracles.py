@@ -75,7 +75,73 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-SQL = {"op5_source_mixing": OP5, "op10_benchmark_decontamination": OP10}
+_SPEAKER = "lower(trim(role))"
+OP4 = f"""
+WITH base AS (
+  SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL
+), t AS (
+  SELECT *, row_number() OVER w AS place,
+         string_agg(coalesce('r' || role, 'n') || chr(31) || coalesce('t' || text, 'n') || chr(30), '') OVER (w ROWS UNBOUNDED PRECEDING) AS prefix
+  FROM base WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST)
+), ends AS (
+  SELECT conv_id, max(place) AS n, arg_max(prefix, place) AS p FROM t GROUP BY conv_id
+), firsts AS (
+  SELECT p, n, min(conv_id) AS conv_id, count(*) AS n_equal FROM ends GROUP BY p, n
+), kept AS (
+  SELECT * FROM firsts ANTI JOIN (SELECT DISTINCT prefix AS p FROM t JOIN ends USING (conv_id) WHERE place < n) inside USING (p)
+)
+SELECT conv_id, (place - 1) // 4096 AS piece, n AS n_turns, n_equal,
+       string_agg('<|im_start|>' || CASE WHEN {_SPEAKER} IN ('system', 'user', 'assistant', 'tool') THEN {_SPEAKER} ELSE 'user' END
+                  || chr(10) || trim(coalesce(text, '')) || '<|im_end|>' || chr(10), '' ORDER BY place) AS rendered
+FROM t JOIN kept USING (conv_id) GROUP BY ALL
+"""
+
+OP2 = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all({_FOLD.format("text")}, '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + least(5, len(w)) - 1], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM w WHERE len(w) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL
+), link AS (
+  SELECT a, b FROM shared JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= 80 * (x.n + y.n - c)
+), reach(a, b) AS (
+  SELECT doc_id, doc_id FROM n UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a
+), least_of AS (
+  SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, doc_id) AS component_id FROM w LEFT JOIN n USING (doc_id) LEFT JOIN least_of USING (doc_id)
+"""
+
+# texts as hexadecimal digits, two a byte; a window is 400 of them
+OP7 = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), w AS (
+  SELECT doc_id, i, hash(substr(h, 2 * i + 1, 400)) AS k FROM (SELECT doc_id, h, unnest(range(len(h) // 2 - 199)) AS i FROM d WHERE len(h) >= 400)
+), again AS (
+  SELECT k FROM w GROUP BY k HAVING count(*) > 1
+), starts AS (
+  SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 200 THEN 0 ELSE 1 END AS fresh FROM w SEMI JOIN again USING (k)
+), runs AS (
+  SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM starts
+), spans AS (
+  SELECT doc_id, run, min(i) AS a, max(i) + 200 AS b FROM runs GROUP BY doc_id, run
+), gaps AS (
+  SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM spans
+), kept AS (
+  SELECT doc_id, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS k, max(b) AS last, sum(b - a) AS n_removed, count(*) AS n_spans
+  FROM gaps JOIN d USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(k, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+SQL = {"op2_ngram_jaccard_join": OP2, "op4_chat_formatting": OP4, "op5_source_mixing": OP5, "op7_suffix_dedup": OP7, "op10_benchmark_decontamination": OP10}
 
 
 def oracle_sql() -> dict[str, str]:
