@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, with_row
+from .common import ROW, stored, with_row
 from .text import VALUES, _powers, flat, mix
 
 LENGTH = 200
@@ -199,7 +199,7 @@ def repeat_spans(keyed: DataFrame, text: str, length: int = LENGTH) -> DataFrame
     place = keyed.columns.index(text)
     runs = keyed.select(ROW, text).mapInArrow(lambda it: _sampled(it, length), RUNS)
     names = runs.groupBy("name").agg(F.count("*").alias("c"), F.max("twice").alias("t")).where("c > 1 OR t").select("name")
-    shared = runs.join(names, "name")
+    shared = stored(runs.join(names, "name").drop("twice"), "runs")  # about a sixth of all runs, used three times below
     first = F.min_by(F.struct(ROW, "first", "n"), F.struct(ROW, "first")).alias("r")
     classes = shared.groupBy("name", "span").agg(F.count("*").alias("c"), first)
     whole = shared.join(classes.where("c > 1").select("name", "span"), ["name", "span"]).select(ROW, F.col("first").alias("start"), (F.col("first") + F.col("n") - 1 + length).alias("stop"))
