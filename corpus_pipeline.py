@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.llm import decontamination, mixing, ngram_join, quality, suffixes
-from tesserae.llm.common import ROW, stored, table, with_row
+from tesserae.llm.common import ROW, light, stored, table, with_row
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +36,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Documents of which benchmark windows make up a twentieth or more go."""
     found = decontamination.contamination(with_row(docs.select("text")), table(spark, sf_dir, "benchmark"), key=ROW)
     dirty = stored(found.where("contaminated").select(ROW), "dirty")
-    return with_row(docs).join(dirty, ROW, "left_anti").select(*docs.columns)
+    return with_row(docs).join(light(dirty), ROW, "left_anti").select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

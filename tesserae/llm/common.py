@@ -51,3 +51,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+BROADCAST_ROWS = 1 << 22  # of two longs: about 100 MB as a hash table
+
+
+def light(df: DataFrame) -> DataFrame:
+    """A stored table of keys, marked for broadcast where it has few enough rows, so that the other side,
+    which holds texts, is not shuffled for it; with more rows it is left as it is and the join shuffles."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, parts, stored, with_row
+from .common import ROW, light, parts, stored, with_row
 from .graphs import components
 from .text import flat, mix, shingle_sets
 
@@ -268,8 +268,8 @@ def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _lacking(batches: Iterator[pa.RecordBatch], frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [row for row, n, low in zip(*(batch.column(k).to_pylist() for k in range(3))) if n > SHORT and _prefix(_keys(low), n, frequent) is None]
-        yield pa.record_batch([pa.array(rows, pa.int64())], names=[ROW])
+        rows = [(row, node) for row, node, n, low in zip(*(batch.column(k).to_pylist() for k in range(4))) if n > SHORT and _prefix(_keys(low), n, frequent) is None]
+        yield pa.record_batch([pa.array([r[k] for r in rows], pa.int64()) for k in range(2)], names=[ROW, "node"])
 
 
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -423,9 +423,9 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     deals = parts(spark)
     profiles = stored(keyed.select(ROW, "_text").mapInArrow(_profiles, PROFILE), "profiles")
     frequent = spark.sparkContext.broadcast(frequent_shingles(profiles))
-    lacking = stored(profiles.select(ROW, "n", "low").mapInArrow(lambda it: _lacking(it, frequent.value), f"{ROW} bigint"), "lacking")
+    lacking = stored(profiles.select(ROW, "node", "n", "low").mapInArrow(lambda it: _lacking(it, frequent.value), f"{ROW} bigint, node bigint"), "lacking")
     nodes_of = profiles.select(ROW, "node")
-    longer = keyed.join(lacking.join(nodes_of, ROW), ROW).select(ROW, "node", "_text").mapInArrow(_long_profiles, PROFILE)
+    longer = keyed.join(light(lacking), ROW).select(ROW, "node", "_text").mapInArrow(_long_profiles, PROFILE)
     posted = profiles.unionByName(longer).mapInArrow(lambda it: _posted(it, deals, frequent.value), POSTED)
     entries = stored(posted.repartition(deals, "deal").mapInArrow(_listed, ENTRIES), "entries")
 
@@ -452,7 +452,7 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     asked = open_pairs.select(F.col("u").alias("unit")).union(open_pairs.select("v")).distinct()
     asked = asked.join(units, "unit").select("node").join(nodes_of.groupBy("node").agg(F.min(ROW).alias(ROW)), "node")
     asked = stored(asked, "asked")
-    whole = keyed.join(asked, ROW).select(ROW, "node", "_text").mapInArrow(_fragments, CELLS)
+    whole = keyed.join(light(asked), ROW).select(ROW, "node", "_text").mapInArrow(_fragments, CELLS)
     cells = whole.join(units.select("node", "unit"), "node")
     cells = stored(cells.groupBy("unit", "fragment").agg(F.collect_list(F.struct("node", "n", "part")).alias("members")), "cells")
     counted = open_pairs.join(cells.toDF("u", "fragment", "left"), "u").join(cells.toDF("v", "fragment", "right"), ["v", "fragment"])
@@ -480,4 +480,4 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     first = F.min_by(ROW, F.struct(F.col("_key").isNull(), "_key", ROW)).alias(ROW)
     kept = found.groupBy("label").agg(first)
     extra = stored(found.join(kept, ROW, "left_anti").select(ROW), "extra")
-    return with_row(docs).join(extra, ROW, "left_anti").select(*docs.columns)
+    return with_row(docs).join(light(extra), ROW, "left_anti").select(*docs.columns)

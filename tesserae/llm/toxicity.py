@@ -20,10 +20,11 @@ from .quality import held_out
 from .text import TABLES, flat, hash_spans, mix, slices, word_spans
 
 DIMENSIONS = 1 << 20
-SAMPLE = 12000  # labelled documents learnt from, at most
+SAMPLE = 8000  # labelled documents learnt from, at most
 GRADES = 3  # above 0
 BEGINNINGS = (4, 5)  # bytes of a word that count as features besides the word, for inflected forms
 SPARSITY = 4e-3  # L1 weight by which words are chosen: those that tell nothing drop out
+SEEN = 5  # documents of the sample a feature must stand in
 RELAXED = 1e-4  # and by which the chosen ones are fitted again
 
 _U = np.uint64
@@ -68,7 +69,11 @@ class CumulativeLink:
 
     def _descend(self, index: np.ndarray, of: np.ndarray, grade: np.ndarray, sparsity: float, rounds: int, rate: float = 0.3) -> CumulativeLink:
         n, k = len(grade), len(self.thresholds)
-        used, column = np.unique(index, return_inverse=True)
+        used = np.flatnonzero(np.bincount(index, minlength=DIMENSIONS) >= SEEN)  # a feature of a few documents is dropped by the L1 weight anyway
+        place = np.full(DIMENSIONS, -1, dtype=np.int32)
+        place[used] = np.arange(len(used), dtype=np.int32)
+        column = place[index]
+        of, column = of[column >= 0], column[column >= 0]
         w, seen_w, seen_t = np.zeros(len(used)), np.full(len(used), 1e-6), np.full(k, 1e-6)
         share = np.bincount(grade, minlength=k + 1) / n
         weight = np.where(grade > 0, 0.5 / max(1 - share[0], 1e-9), 0.5 / max(share[0], 1e-9)) / n
@@ -125,16 +130,19 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     known = known.groupBy(F.col(key).alias("_id")).agg(F.max(label).cast("int").alias("_label"))
     known = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)
     rows = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text")).join(F.broadcast(known), F.col("_key") == F.col("_id"))
-    found = rows.select("_id", "_text", "_label").mapInArrow(_featured, "id bigint, label int, words binary, counts binary").limit(2 * sample).collect()
-    found = sorted({r["id"]: r for r in found}.values(), key=lambda r: r["id"])
-    toxic, model = np.array([r["label"] for r in found], dtype=np.float64), CumulativeLink()
+    found = rows.select("_id", "_text", "_label").mapInArrow(_featured, "id bigint, label int, words binary, counts binary").limit(2 * sample).toArrow()
+    found = found.sort_by("id").combine_chunks()
+    ids = found.column("id").to_numpy()
+    found = found.filter(pa.array(np.diff(ids, prepend=ids[:1] - 1) != 0))  # one row an id
+    toxic, model = found.column("label").to_numpy().astype(np.float64), CumulativeLink()
     if len(set(toxic.tolist())) < 2:
         model.thresholds[:] = 40.0
         return model
-    words, counts = ([np.frombuffer(r[c], "<u4").astype(np.int64) for r in found] for c in ("words", "counts"))
-    of = np.repeat(np.arange(len(found)), [len(w) for w in words])
-    index = np.concatenate(words)
-    return model.fit(index, of, graded(index, np.concatenate(counts), of, toxic))
+    words, offsets = flat(found.column("words"))
+    of = np.repeat(np.arange(len(found), dtype=np.int32), np.diff(offsets) // 4)
+    index = np.frombuffer(words.tobytes(), "<u4").astype(np.int32)
+    count = np.frombuffer(flat(found.column("counts"))[0].tobytes(), "<u4")
+    return model.fit(index, of, graded(index, count, of, toxic))
 
 
 def severities(docs: DataFrame, model: CumulativeLink, key: str = "doc_id", text: str = "text") -> DataFrame:
