@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import ROW, light, parts, stored, with_row
 from .graphs import components
-from .text import flat, mix, shingle_sets
+from .text import flat, mix, pieces, shingle_sets
 
 WIDTH = 5
 PERCENT = 80
@@ -64,7 +64,7 @@ def _keys(low: bytes) -> np.ndarray:
 
 
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches, 1):
         nodes, cells = [], []
         for s in shingle_sets(batch.column(1), WIDTH):
             nodes.append(int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True))
@@ -74,7 +74,7 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _long_profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches, 2):
         n, small, low = zip(*(_profile(s, True) for s in shingle_sets(batch.column(2), WIDTH))) if len(batch) else ((), (), ())
         yield pa.record_batch([batch.column(0), batch.column(1), pa.array(n, pa.int32()), pa.array(small, pa.binary()), pa.array(low, pa.binary())], names=[ROW, "node", "n", "small", "low"])
 
@@ -339,7 +339,7 @@ PARTIAL = "u bigint, v bigint, fragment int, at binary, shared binary, left bina
 
 def _fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Whole sets cut at the pivots of the global order."""
-    for batch in batches:
+    for batch in pieces(batches, 2):
         out = []
         for node, s in zip(batch.column(1).to_pylist(), shingle_sets(batch.column(2), WIDTH)):
             edges = [0, *np.searchsorted(s, _CUTS).tolist(), len(s)]

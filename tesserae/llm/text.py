@@ -98,6 +98,13 @@ def slices(offsets: np.ndarray, most: int = _SLICE) -> Iterator[tuple[int, int]]
         first = min(last, n)
 
 
+def pieces(batches: Iterator[pa.RecordBatch], text: int, most: int = 4 * _SLICE) -> Iterator[pa.RecordBatch]:
+    """The batches cut into smaller ones of at most ``most`` bytes of the text column, or of one longer text."""
+    for batch in batches:
+        for a, b in slices(flat(batch.column(text))[1], most):
+            yield batch.slice(a, b - a)
+
+
 def word_spans(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of every word and the index of the first word of each text (``n + 1`` of them)."""
     inside = np.zeros(len(raw) + 2, dtype=bool)
