@@ -10,6 +10,9 @@ fragments at fixed hashes; overlaps are counted fragment by fragment and summed
 * The first fragment groups alike nodes into units of a bounded size; lists are then
   pairs of units, not of documents, and the first fragment's overlap already shows for
   most unit pairs that the rest cannot bring a link.
+* Each group's units are first counted against one unit of it alone.  What that links is
+  one component; from then on pairs inside a component are not looked at, so a group of
+  near copies costs as many unit pairs as it has units, not their square.
 * What is left is counted in full, each fragment apart; links join up to components.
 
 Nothing is capped: frequency only moves a shingle back in the order, and units only
@@ -392,20 +395,72 @@ def _root(parent: dict[int, int], x: int) -> int:
     return x
 
 
+def _bundled(rows: DataFrame) -> DataFrame:
+    """``rows`` (``node``, ``label``, more) with ``unit``: about ``UNIT`` nodes of one label; a node without label is a unit by itself."""
+    sizes = rows.where("label IS NOT NULL").groupBy("label").agg(F.count("*").alias("_size"))
+    place = F.pmod(F.xxhash64("node"), F.expr(f"(_size + {UNIT - 1}) div {UNIT}"))
+    unit = F.when(F.col("_size").isNotNull(), F.xxhash64("label", place)).otherwise(F.col("node"))
+    return rows.join(sizes, "label", "left").withColumn("unit", unit).drop("_size")
+
+
 def _units(first: DataFrame, edges: DataFrame, entries: DataFrame) -> DataFrame:
-    """``node``, ``n``, ``unit``: bundles of about ``UNIT`` nodes whose pairs are looked at together.
+    """``node``, ``n``, ``label``, ``alike``, ``unit``: bundles of nodes whose pairs are looked at together.
 
-    Nodes of one loose group go together; the others of long lists by the longest list
-    they stand in; what is left is a unit by itself.
+    Nodes of one loose group go together (``alike``); the others of long lists by the
+    longest list they stand in; what is left is a unit by itself.
     """
     loose = components(edges).select(F.col("v").alias("node"), F.col("label").alias("g"))
     long = entries.groupBy("token").agg(F.count("*").alias("c")).where(f"c >= {UNIT // 8}")
     lists = entries.join(long, "token").groupBy("node").agg(F.max(F.struct("c", "token"))["token"].alias("t"))
     rows = first.select("node", "n").join(loose, "node", "left").join(lists, "node", "left")
-    rows = rows.select("node", "n", F.coalesce(F.when(F.col("g").isNotNull(), F.xxhash64(F.lit("group"), "g")), F.when(F.col("t").isNotNull(), F.xxhash64(F.lit("list"), "t"))).alias("label"))
-    sizes = rows.where("label IS NOT NULL").groupBy("label").agg(F.count("*").alias("size"))
-    place = F.pmod(F.xxhash64("node"), F.expr(f"(size + {UNIT - 1}) div {UNIT}"))
-    return rows.join(sizes, "label", "left").select("node", "n", F.when(F.col("size").isNotNull(), F.xxhash64("label", place)).otherwise(F.col("node")).alias("unit"))
+    label = F.coalesce(F.when(F.col("g").isNotNull(), F.xxhash64(F.lit("group"), "g")), F.when(F.col("t").isNotNull(), F.xxhash64(F.lit("list"), "t")))
+    return _bundled(rows.select("node", "n", F.col("g").isNotNull().alias("alike"), label.alias("label")))
+
+
+def _spokes(units: DataFrame) -> DataFrame:
+    """Unit pairs that connect most of a loose group: every unit with itself and with its group's first unit."""
+    each = units.groupBy("unit").agg(F.first("label").alias("label"), F.first("alike").alias("alike"), F.count("*").alias("size"))
+    hubs = each.where("alike").groupBy("label").agg(F.min("unit").alias("hub"))
+    spokes = each.where("alike").join(hubs, "label").where("unit <> hub").select(F.col("hub").alias("u"), F.col("unit").alias("v"))
+    return spokes.unionByName(each.where("size > 1").select(F.col("unit").alias("u"), F.col("unit").alias("v")))
+
+
+def _meeting(entries: DataFrame, units: DataFrame) -> DataFrame:
+    """Unit pairs under one shingle whose sizes may link and that are not of one component already.
+
+    Components meet first, a row each and shingle, so a large one is one row there; only
+    those that meet another are taken apart into their units again.
+    """
+    listed = entries.join(units, "node").groupBy("token", "owner", "unit")
+    listed = listed.agg(F.min("n").alias("low"), F.max("n").alias("high"), (~F.first("kin") & (F.min("node") < F.max("node"))).alias("several"))
+    listed = stored(listed, "listed")
+    owners = listed.groupBy("token", "owner").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    fits = f"{PERCENT} * a_low <= 100 * b_high AND {PERCENT} * b_low <= 100 * a_high"
+    side = lambda df, s: df.toDF("token", s, f"{s}_low", f"{s}_high")
+    met = side(owners, "a").join(side(owners, "b"), "token").where(f"a < b AND {fits}").select("token", F.col("a").alias("left"), F.col("b").alias("right"))
+    apart = listed.select("token", "owner", F.col("unit"), "low", "high")
+    u = apart.toDF("token", "left", "u", "a_low", "a_high")
+    v = apart.toDF("token", "right", "v", "b_low", "b_high")
+    across = met.join(u, ["token", "left"]).join(v, ["token", "right"]).where(fits).select("u", "v")
+    return across.unionByName(listed.where("several").select(F.col("unit").alias("u"), F.col("unit").alias("v"))).distinct()
+
+
+def _links(pairs: DataFrame, units: DataFrame, first: DataFrame, keyed: DataFrame, nodes_of: DataFrame) -> DataFrame:
+    """Links between the nodes of each unit pair: fragment by fragment, then summed."""
+    pairs = stored(pairs, "pairs")
+    either = lambda df: df.select(F.col("u").alias("unit")).union(df.select("v")).distinct()
+    bundles = units.join(either(pairs), "unit").select("node", "unit").join(first, "node").groupBy("unit").agg(F.collect_list(F.struct("node", "n", "part")).alias("members"))
+    sides = pairs.join(bundles.toDF("u", "left"), "u").join(bundles.toDF("v", "right"), "v")
+    open_pairs = stored(sides.mapInArrow(_possible, "u bigint, v bigint"), "open")
+    asked = units.join(either(open_pairs), "unit").select("node").join(nodes_of.groupBy("node").agg(F.min(ROW).alias(ROW)), "node")
+    asked = stored(asked, "asked")
+    whole = keyed.join(light(asked), ROW).select(ROW, "node", "_text").mapInArrow(_fragments, CELLS)
+    cells = whole.join(units.select("node", "unit"), "node")
+    cells = stored(cells.groupBy("unit", "fragment").agg(F.collect_list(F.struct("node", "n", "part")).alias("members")), "cells")
+    counted = open_pairs.join(cells.toDF("u", "fragment", "left"), "u").join(cells.toDF("v", "fragment", "right"), ["v", "fragment"])
+    partial = counted.select("u", "v", "fragment", "left", "right").mapInArrow(_partial, PARTIAL)
+    summed = partial.groupBy("u", "v").agg(F.collect_list(F.struct("at", "shared", "left", "right", "ns", "ms")).alias("cells"))  # one cell a fragment
+    return stored(summed.mapInArrow(_summed, "a bigint, b bigint"), "links")
 
 
 def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -439,26 +494,14 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     alike = both.where("na <= 2 * nb AND nb <= 2 * na").mapInArrow(_alike, "a bigint, b bigint")
     units = stored(_units(first, alike, entries), "units")
 
-    # unit pairs under one shingle, of sizes that may link
-    listed = entries.join(units, "node").groupBy("token", "unit").agg(F.min("n").alias("low"), F.max("n").alias("high"), (F.min("node") < F.max("node")).alias("several"))
-    left, right = (listed.toDF("token", f"{s}", f"{s}_low", f"{s}_high", f"{s}_several") for s in ("u", "v"))
-    fits = f"{PERCENT} * u_low <= 100 * v_high AND {PERCENT} * v_low <= 100 * u_high"
-    meeting = left.join(right, "token").where(f"(u < v OR (u = v AND u_several)) AND {fits}").select("u", "v").distinct()
-    bundles = units.join(first.drop("n"), "node").groupBy("unit").agg(F.collect_list(F.struct("node", "n", "part")).alias("members"))
-    sides = meeting.join(bundles.toDF("u", "left"), "u").join(bundles.toDF("v", "right"), "v")
-    open_pairs = stored(sides.mapInArrow(_possible, "u bigint, v bigint"), "open")
-
-    # fragment by fragment, then summed
-    asked = open_pairs.select(F.col("u").alias("unit")).union(open_pairs.select("v")).distinct()
-    asked = asked.join(units, "unit").select("node").join(nodes_of.groupBy("node").agg(F.min(ROW).alias(ROW)), "node")
-    asked = stored(asked, "asked")
-    whole = keyed.join(light(asked), ROW).select(ROW, "node", "_text").mapInArrow(_fragments, CELLS)
-    cells = whole.join(units.select("node", "unit"), "node")
-    cells = stored(cells.groupBy("unit", "fragment").agg(F.collect_list(F.struct("node", "n", "part")).alias("members")), "cells")
-    counted = open_pairs.join(cells.toDF("u", "fragment", "left"), "u").join(cells.toDF("v", "fragment", "right"), ["v", "fragment"])
-    partial = counted.select("u", "v", "fragment", "left", "right").mapInArrow(_partial, PARTIAL)
-    summed = partial.groupBy("u", "v").agg(F.collect_list(F.struct("at", "shared", "left", "right", "ns", "ms")).alias("cells"))  # one cell a fragment
-    links = summed.mapInArrow(_summed, "a bigint, b bigint")
+    # what the hub of a group links needs no further pairs; the rest of its units meet by shingle
+    links = _links(_spokes(units), units, first, keyed, nodes_of)
+    kin = components(links).toDF("node", "c")
+    label = F.when(F.col("c").isNotNull(), F.xxhash64(F.lit("kin"), "c")).when(F.col("label").isNotNull(), F.xxhash64(F.lit("rest"), "label"))
+    again = units.join(kin, "node", "left").select("node", "n", F.col("c").isNotNull().alias("kin"), label.alias("label"))
+    again = _bundled(again).select("node", "n", "kin", F.when(F.col("kin"), F.col("label")).otherwise(F.col("unit")).alias("owner"), "unit")
+    again = stored(again, "units")
+    links = links.unionByName(_links(_meeting(entries, again), again, first, keyed, nodes_of))
 
     labels = components(links)
     placed = profiles.where("n > 0").select(ROW, "node", "n").join(labels.toDF("node", "label"), "node", "left")
