@@ -353,17 +353,22 @@ def _fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Overlaps within one fragment, for every pair of a unit pair that has any."""
+    kinds = (pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 6)
+    names = [c.split()[0] for c in PARTIAL.split(", ")]
+    out, size = [], 0
     for batch in batches:
-        out = []
         for u, v, f, left, right in _rows(batch, "u", "v", "fragment", "left", "right"):
             left, right = sorted(left, key=lambda m: m["node"]), sorted(right, key=lambda m: m["node"])
             (a, n, x), (b, m, y) = _members(left, "<u8"), _members(right, "<u8")
             shared = overlaps(x, y).ravel()
             at = np.flatnonzero(shared)
             out.append((u, v, f, at.astype("<u4").tobytes(), shared[at].astype("<u4").tobytes(), a.tobytes(), b.tobytes(), n.tobytes(), m.tobytes()))
-        if out:
-            kinds = (pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 6)
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=[c.split()[0] for c in PARTIAL.split(", ")])
+            size += 8 * len(at)
+            if size > 1 << 22:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
+                out, size = [], 0
+    if out:
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
