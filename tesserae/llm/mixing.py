@@ -3,6 +3,8 @@
 Golden-ratio points ``frac((i + 1/2) / phi)`` fall through the cumulative target
 shares and name the source of slot ``i``; the k-th slot of a source takes the k-th
 equal-word block of that source's shuffled stream, starting over after its end.
+A source whose target is fewer than ``FEW`` blocks is too small for slots to meet it:
+its last slot is brought up or down so that its words end at the target.
 All ranks and running sums are two-level (inside a bucket, then over buckets), so
 no window ever holds a whole source.
 """
@@ -19,6 +21,7 @@ SHARE = 1.5
 REPEATS = 2
 SLOTS = 1 << 20  # the words of one block follow from it
 LEAST_BLOCK = 16
+FEW = 128  # blocks of target; whole slots may miss by several
 BUCKETS = 4096  # of each source's shuffled stream
 CHUNK = 4096  # slots ranked together
 CELLS = 1024  # of the unit interval, for the lookup of a slot's source
@@ -100,9 +103,13 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     named = sized.join(targets, sized["source"].eqNullSafe(targets["source"])).select(ROW, "_key", "sid", "size", "source_size", "target")
     placed = streams(named)
     first, last = F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}")
-    pieces = placed.where("size > 0").select(ROW, "sid", "start", "size", F.explode(F.sequence(first, last)).alias("block"))
+    few = F.col("target") < FEW * block
+    rounds, rest = F.expr("cast(round(target) as bigint) div source_size"), F.round("target").cast("long") % F.col("source_size")
+    ended = rounds * F.col("size") + F.greatest(F.least(F.col("start") + F.col("size"), rest) - F.col("start"), F.lit(0))
+    spread = F.when(few, F.array(first)).otherwise(F.sequence(first, last))
+    pieces = placed.where("size > 0").select(ROW, "sid", "start", "size", F.when(few, ended).alias("ended"), F.explode(spread).alias("block"))
     overlap = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest("start", F.col("block") * block)
     times = plan.groupBy("sid", "block").agg(F.count("*").alias("times"))
-    taken = pieces.join(times, ["sid", "block"]).groupBy(ROW).agg(F.sum(overlap * F.col("times")).alias("taken"))
+    taken = pieces.join(times, ["sid", "block"], "left").groupBy(ROW).agg(F.sum(F.coalesce("ended", overlap * F.col("times"))).alias("taken"))
     full = named.join(taken, ROW, "left")
     return full.select(F.col("_key").alias(key), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))

@@ -237,6 +237,21 @@ def test_mixing(table_of):
     assert mixing.mix(table_of([], "doc_id long, text string, source string", "e")).count() == 0
 
 
+@pytest.mark.parametrize("slots", [16, 64, 1024])
+def test_mixing_of_tiny_sources_beside_a_huge_one(table_of, slots):
+    """Blocks are large against the tiny sources, one of which is just over a block at 64 slots."""
+    texts = [("a", 300, 500), ("b", 60, 50), ("c", 20, 181), ("d", 1, 7), ("e", 3, 1)]
+    rows = [(i, " ".join(["w"] * n), s) for i, (s, n) in enumerate((s, n) for s, k, n in texts for _ in range(k))]
+    taken, target = defaultdict(int), {}
+    for r in mixing.mix(table_of(rows, "doc_id long, text string, source string"), slots=slots).collect():
+        assert 0 <= r["taken"] <= 2 * r["size"]
+        taken[rows[r["doc_id"]][2]] += r["taken"]
+        target[rows[r["doc_id"]][2]] = r["target"]
+    for s in "bcde":
+        assert taken[s] == round(target[s])
+    assert abs(taken["a"] - target["a"]) <= 0.02 * target["a"]
+
+
 def test_chunking(table_of):
     rng = np.random.default_rng(2)
     raw = rng.integers(97, 123, 20_000).astype(np.uint8)
