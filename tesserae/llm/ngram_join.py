@@ -223,12 +223,12 @@ def _from_planes(blob: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(pa.decompress(blob, decompressed_size=4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n).T).view("<u4").ravel()
 
 
-def _sorted_postings(token: np.ndarray, node: np.ndarray, *more: np.ndarray) -> list[np.ndarray]:
-    """Postings in order, each once: copies of a text post alike."""
-    order = np.lexsort((node, token))
+def _sorted_postings(token: np.ndarray, node: np.ndarray, n: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """Postings in order, each once: copies of a text post alike, but for ``_ANYWHERE``, which wins."""
+    order = np.lexsort((~at, node, token))
     token, node = token[order], node[order]
     keep = np.concatenate([[True], (token[1:] != token[:-1]) | (node[1:] != node[:-1])])
-    return [token[keep], node[keep], *(m[order][keep] for m in more)]
+    return [token[keep], node[keep], n[order][keep], at[order][keep]]
 
 
 def _hopeless(n: np.ndarray, at: np.ndarray, first: np.ndarray) -> np.ndarray:

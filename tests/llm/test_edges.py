@@ -1,10 +1,12 @@
 """Brute force on small tables with nulls, empty and long texts, ties, repeats, clashing columns and no rows."""
 
 import hashlib
+import itertools
 import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -97,6 +99,20 @@ def test_ngram_join_of_many_near_copies(table_of):
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == sorted(brute_components(rows, ids))
 
 
+def test_a_crowd_keeps_its_mark_beside_a_copy_of_its_hub():
+    """The hub of a crowd, longer than the others, is posted by another task too; an outsider meets the crowd all the same."""
+
+    def posted(*nodes):
+        low = lambda node, n: np.array([5] + [1000 * node + k for k in range(1, n)], "<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+        batch = pa.record_batch([pa.array([a for a, _ in nodes]), pa.array([n for _, n in nodes]), pa.array([low(a, n) for a, n in nodes])], names=["node", "n", "low"])
+        return list(ngram_join._posted(iter([batch]), 1, np.zeros(0, np.uint64)))
+
+    tasks = [posted((1, 10), *((k, 5) for k in range(10, 17))), posted((1, 10)), posted((30, 5))]
+    for order in itertools.permutations(tasks):
+        listed = [r for b in ngram_join._listed(b for task in order for b in task) for r in b.to_pylist() if next(iter(r.values())) == 5]
+        assert {1, *range(10, 17), 30} == {list(r.values())[1] for r in listed}
+
+
 def test_overlaps():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 60, n).astype(np.uint64)) for n in (0, 5, 30, 40)]
