@@ -40,8 +40,14 @@ def with_row(df: DataFrame) -> DataFrame:
     """``df`` with a key of its own for every row, so that null or repeated ids stay apart.
 
     The key is the row's place in the scan; it is stable over recomputation for
-    tables and stored results, which is what the operators take.
+    tables and stored results, which is what the operators take.  How a scan is split
+    must not follow the cores there are at the moment, which executors change as they
+    come and go between two jobs: where it is unset, the session's least number of
+    file partitions is set, once.
     """
+    conf = df.sparkSession.conf
+    if not conf.get("spark.sql.files.minPartitionNum", None):
+        conf.set("spark.sql.files.minPartitionNum", str(parts(df.sparkSession)))
     return df.withColumn(ROW, F.monotonically_increasing_id())
 
 

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tesserae.llm import chat, chunking, decontamination, fingerprints, graphs, mixing, ngram_join, quality, suffixes, tokens, toxicity
+from tesserae.llm import chat, chunking, common, decontamination, fingerprints, graphs, mixing, ngram_join, quality, suffixes, tokens, toxicity
 
 DOC = "doc_id long, text string"
 CLASH = "doc_id long, text string, score double, label string, n_bytes int, size string, _spans string, kept_text string, n_words int"
@@ -146,6 +146,43 @@ def test_suffixes(table_of, texts):
         assert bodies[i] == kept.decode("utf-8", "ignore")
 
 
+@pytest.fixture
+def moving_cores(spark, monkeypatch):
+    """A cluster whose cores change with every stored result, and scans that are split by them."""
+    keys = ("spark.sql.files.minPartitionNum", "spark.sql.leafNodeDefaultParallelism", "spark.sql.files.openCostInBytes")
+    before = {k: spark.conf.get(k, None) for k in keys}
+    spark.conf.unset(keys[0])
+    spark.conf.set(keys[2], "1")
+    cores = itertools.cycle((1, 8))
+
+    def moved(df, name, f=common.stored):
+        out = f(df, name)
+        spark.conf.set(keys[1], str(next(cores)))
+        return out
+
+    for module in (ngram_join, suffixes):
+        monkeypatch.setattr(module, "stored", moved)
+    spark.conf.set(keys[1], "8")
+    yield moved
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_rows_keep_their_numbers_as_executors_come_and_go(spark, tmp_path, moving_cores):
+    rng = random.Random(3)
+    texts = [" ".join(str(rng.random()) for _ in range(3 + 2 * i)) for i in range(16)]
+    path = str(tmp_path / "t")
+    for i, t in enumerate(texts):  # files of different sizes
+        spark.createDataFrame([(i, t), (i + 100, t)], DOC).coalesce(1).write.mode("append").parquet(path)
+    df = spark.read.schema(DOC).parquet(path)
+    numbered = moving_cores(common.with_row(df), "a").collect(), moving_cores(common.with_row(df), "b").collect()
+    assert sorted(map(str, numbered[0])) == sorted(map(str, numbered[1]))
+    assert sorted((r["doc_id"], r["component_id"]) for r in ngram_join.near_components(df).collect()) == sorted((i + k, i) for i in range(16) for k in (0, 100))
+    assert sorted(r["doc_id"] for r in ngram_join.one_of_each(df).collect()) == list(range(16))
+    kept = {r["doc_id"]: r["kept_text"] for r in suffixes.without_repeats(df, bodies=True).collect()}
+    assert kept == {i + k: t if len(t) < suffixes.LENGTH else "" for i, t in enumerate(texts) for k in (0, 100)}
+
+
 def test_contamination(table_of, texts):
     passage = texts[14].split()[40:100]
     items = [(1, " ".join(passage[:30])), (2, "three!"), (3, None), (4, "..."), (10, " ".join(passage[5:18])), (10, " ".join(passage[5:18])), (None, "one two")]
