@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,11 +16,15 @@ ROW = "_row"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a folder of our own where that is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or a folder of our own where that is unset and Spark
+    runs in one process (tests).  A cluster must name one: its executors do not see each other's local folders."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         jsc = spark.sparkContext._jsc.sc()
         if jsc.getCheckpointDir().isEmpty():
+            master = spark.sparkContext.master
+            if not re.fullmatch(r"local(\[.*\])?", master):
+                raise ValueError(f"spark.checkpoint.dir names no shared folder, which {master} needs")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tesserae-"))
         folder = jsc.getCheckpointDir().get()
     return folder.rstrip("/")
@@ -30,10 +38,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by a checkpoint in the shared folder."""
-    scratch_dir(df.sparkSession)
-    return df.checkpoint()
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def _returned(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    try:
+        yield from rows
+    finally:
+        pa.default_memory_pool().release_unused()
+        if _trim:
+            _trim(0)
+
+
+def in_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``df.mapInArrow(f, schema)`` whose tasks give the memory they freed back to the machine when they end.
+
+    Python workers outlive their tasks, and allocators keep what was freed; several idle
+    workers would otherwise hold the largest size each of them ever had.
+    """
+    return df.mapInArrow(lambda batches: _returned(f(batches)), schema)
 
 
 def with_row(df: DataFrame) -> DataFrame:

@@ -27,10 +27,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW, light, parts, stored, with_row
+from .common import ROW, in_arrow, light, parts, stored, with_row
 from .graphs import components
 from .text import flat, mix, pieces, shingle_sets
 
@@ -41,6 +41,7 @@ MOST_FREQUENT = 1 << 20  # shingles named frequent at most, those in most texts;
 SHORT = 128  # sets up to this size are profiled whole, longer ones over the lower range
 UNIT = 128  # nodes of a unit, about
 LOOSE = 0.3  # first-fragment similarity that puts two nodes in one unit
+GROUP = 1 << 18  # keys of a deal, about
 CROWDED = 8  # texts of one task under a shingle from which the task forwards one of them only
 
 _U = np.uint64
@@ -121,34 +122,57 @@ def _dealt(batches: Iterator[pa.RecordBatch], deals: int) -> Iterator[pa.RecordB
 
     for batch in batches:
         held.append(_keys(flat(batch.column(0))[0].tobytes()))
-        if sum(map(len, held)) > 1 << 20:
+        if sum(map(len, held)) > 1 << 19:
             yield packed()
             held = []
     if sum(map(len, held)):
         yield packed()
 
 
-def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tokens, counts = [], []
+def _by_deal(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """The rows of each deal, which come one after another, without their first column."""
+    held: list[tuple] = []
+    at = None
     for batch in batches:
-        for n, t, c in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
-            tokens.append(_unpack(t, n))
-            counts.append(np.frombuffer(c, "<u4") if c else np.ones(n, np.uint32))
-    if tokens:
-        token, count = np.concatenate(tokens), np.concatenate(counts)
+        for row in _rows(batch, *batch.schema.names):
+            if held and row[0] != at:
+                yield held
+                held = []
+            at = row[0]
+            held.append(row[1:])
+    if held:
+        yield held
+
+
+def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows in _by_deal(batches):
+        token = np.concatenate([_unpack(t, n) for n, t, _ in rows])
+        count = np.concatenate([np.frombuffer(c, "<u4") if c else np.ones(n, np.uint32) for n, _, c in rows])
         order = np.argsort(token)
         token = token[order]
         first = _first_of(token)
         total = np.add.reduceat(count[order].astype(np.int64), first)
         often = total > FREQUENT
-        yield pa.record_batch([pa.array(token[first][often].view(np.int64)), pa.array(total[often])], names=["token", "df"])
+        if often.any():
+            yield pa.record_batch([pa.array(token[first][often].view(np.int64)), pa.array(total[often])], names=["token", "df"])
+
 
+def _deals(spark: SparkSession, keys: int) -> int:
+    """Into how many groups so many keys are dealt: groups are held by a task one at a time, partitions never."""
+    n = parts(spark)
+    return n * max(1, -(-keys // (n * GROUP)))
 
-def frequent_shingles(profiles: DataFrame) -> np.ndarray:
+
+def _gathered(dealt: DataFrame) -> DataFrame:
+    """Rows of one deal together, one deal after another in each partition."""
+    n = parts(dealt.sparkSession)
+    return dealt.repartitionById(n, F.col("deal") % n).sortWithinPartitions("deal")
+
+
+def frequent_shingles(profiles: DataFrame, deals: int) -> np.ndarray:
     """The keys of shingles that stand last in the global order, ascending; counted over all texts, bounded in number."""
-    deals = parts(profiles.sparkSession)
-    dealt = profiles.select("low").mapInArrow(lambda it: _dealt(it, deals), DEALT)
-    counted = dealt.repartition(deals, "deal").mapInArrow(_frequent, "token bigint, df bigint")
+    dealt = in_arrow(profiles.select("low"), lambda it: _dealt(it, deals), DEALT)
+    counted = in_arrow(_gathered(dealt), _frequent, "token bigint, df bigint")
     rows = counted.orderBy(F.desc("df"), "token").limit(MOST_FREQUENT).select("token").toArrow()
     return np.sort(rows.column(0).to_numpy().view(_U))
 
@@ -246,27 +270,29 @@ def _hopeless(n: np.ndarray, at: np.ndarray, first: np.ndarray) -> np.ndarray:
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Lists of two nodes or more, as rows with the list's least node as hub."""
     names = [c.split()[0] for c in ENTRIES.split(", ")]
-    out, held = [], []
-    for batch in batches:
-        for done, size, tokens, nodes, hubs, sizes, places in zip(*(batch.column(k).to_pylist() for k in range(1, 8))):
+
+    def cut(token: np.ndarray, node: np.ndarray, hub: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(token), 50_000):
+            s = slice(i, i + 50_000)
+            yield pa.record_batch([pa.array(token[s].view(np.int64)), pa.array(node[s]), pa.array(hub[s])], names=names)
+
+    for rows in _by_deal(batches):
+        held = []
+        for done, size, tokens, nodes, hubs, sizes, places in rows:
             mine = _unpack(tokens, size), np.frombuffer(nodes, "<i8")
             if done:
-                out.append((*mine, np.frombuffer(hubs, "<i8")))
+                yield from cut(*mine, np.frombuffer(hubs, "<i8"))
             else:
                 held.append((*mine, _from_planes(sizes, size), _from_planes(places, size)))
-    if held:
-        token, node, n, at = _sorted_postings(*(np.concatenate(x) for x in zip(*held)))
-        first = _first_of(token)
-        size = np.diff(np.append(first, len(token)))
-        several = size > 1
-        two = np.flatnonzero(size == 2)
-        several[two[_hopeless(n, at, first[two])]] = False
-        several = np.repeat(several, size)
-        out.append((token[several], node[several], np.repeat(node[first], size)[several]))
-    for token, node, hub in out:
-        for i in range(0, len(token), 50_000):
-            s = slice(i, i + 50_000)
-            yield pa.record_batch([pa.array(token[s].view(np.int64)), pa.array(node[s]), pa.array(hub[s])], names=names)
+        if held:
+            token, node, n, at = _sorted_postings(*(np.concatenate(x) for x in zip(*held)))
+            first = _first_of(token)
+            size = np.diff(np.append(first, len(token)))
+            several = size > 1
+            two = np.flatnonzero(size == 2)
+            several[two[_hopeless(n, at, first[two])]] = False
+            several = np.repeat(several, size)
+            yield from cut(token[several], node[several], np.repeat(node[first], size)[several])
 
 
 def _lacking(batches: Iterator[pa.RecordBatch], frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -456,16 +482,16 @@ def _links(pairs: DataFrame, units: DataFrame, first: DataFrame, keyed: DataFram
     either = lambda df: df.select(F.col("u").alias("unit")).union(df.select("v")).distinct()
     bundles = units.join(either(pairs), "unit").select("node", "unit").join(first, "node").groupBy("unit").agg(F.collect_list(F.struct("node", "n", "part")).alias("members"))
     sides = pairs.join(bundles.toDF("u", "left"), "u").join(bundles.toDF("v", "right"), "v")
-    open_pairs = stored(sides.mapInArrow(_possible, "u bigint, v bigint"), "open")
+    open_pairs = stored(in_arrow(sides, _possible, "u bigint, v bigint"), "open")
     asked = units.join(either(open_pairs), "unit").select("node").join(nodes_of.groupBy("node").agg(F.min(ROW).alias(ROW)), "node")
     asked = stored(asked, "asked")
-    whole = keyed.join(light(asked), ROW).select(ROW, "node", "_text").mapInArrow(_fragments, CELLS)
+    whole = in_arrow(keyed.join(light(asked), ROW).select(ROW, "node", "_text"), _fragments, CELLS)
     cells = whole.join(units.select("node", "unit"), "node")
     cells = stored(cells.groupBy("unit", "fragment").agg(F.collect_list(F.struct("node", "n", "part")).alias("members")), "cells")
     counted = open_pairs.join(cells.toDF("u", "fragment", "left"), "u").join(cells.toDF("v", "fragment", "right"), ["v", "fragment"])
-    partial = counted.select("u", "v", "fragment", "left", "right").mapInArrow(_partial, PARTIAL)
+    partial = in_arrow(counted.select("u", "v", "fragment", "left", "right"), _partial, PARTIAL)
     summed = partial.groupBy("u", "v").agg(F.collect_list(F.struct("at", "shared", "left", "right", "ns", "ms")).alias("cells"))  # one cell a fragment
-    return stored(summed.mapInArrow(_summed, "a bigint, b bigint"), "links")
+    return stored(in_arrow(summed, _summed, "a bigint, b bigint"), "links")
 
 
 def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -480,14 +506,15 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """
     keyed = with_row(docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text")))
     spark = docs.sparkSession
-    deals = parts(spark)
-    profiles = stored(keyed.select(ROW, "_text").mapInArrow(_profiles, PROFILE), "profiles")
-    frequent = spark.sparkContext.broadcast(frequent_shingles(profiles))
-    lacking = stored(profiles.select(ROW, "node", "n", "low").mapInArrow(lambda it: _lacking(it, frequent.value), f"{ROW} bigint, node bigint"), "lacking")
+    profiles = stored(in_arrow(keyed.select(ROW, "_text"), _profiles, PROFILE), "profiles")
+    size, asked = profiles.agg(F.coalesce(F.sum(F.length("low")) / 6, F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    frequent = spark.sparkContext.broadcast(frequent_shingles(profiles, _deals(spark, int(size))))
+    deals = _deals(spark, asked * (100 - PERCENT) // 100)
+    lacking = stored(in_arrow(profiles.select(ROW, "node", "n", "low"), lambda it: _lacking(it, frequent.value), f"{ROW} bigint, node bigint"), "lacking")
     nodes_of = profiles.select(ROW, "node")
-    longer = keyed.join(light(lacking), ROW).select(ROW, "node", "_text").mapInArrow(_long_profiles, PROFILE)
-    posted = profiles.unionByName(longer).mapInArrow(lambda it: _posted(it, deals, frequent.value), POSTED)
-    entries = stored(posted.repartition(deals, "deal").mapInArrow(_listed, ENTRIES), "entries")
+    longer = in_arrow(keyed.join(light(lacking), ROW).select(ROW, "node", "_text"), _long_profiles, PROFILE)
+    posted = in_arrow(profiles.unionByName(longer), lambda it: _posted(it, deals, frequent.value), POSTED)
+    entries = stored(in_arrow(_gathered(posted), _listed, ENTRIES), "entries")
 
     # units: bundles of nodes that the first fragment shows to be alike
     nodes = stored(entries.select("node").distinct(), "nodes")
@@ -496,7 +523,7 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     pairs = entries.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     both = pairs.join(first.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("part").alias("x")), "a")
     both = both.join(first.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("part").alias("y")), "b")
-    alike = both.where("na <= 2 * nb AND nb <= 2 * na").mapInArrow(_alike, "a bigint, b bigint")
+    alike = in_arrow(both.where("na <= 2 * nb AND nb <= 2 * na"), _alike, "a bigint, b bigint")
     units = stored(_units(first, alike, entries), "units")
 
     # what the hub of a group links needs no further pairs; the rest of its units meet by shingle
