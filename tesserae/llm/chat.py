@@ -6,29 +6,48 @@ longer one is a prefix of it and goes, by an anti-join.  Of equal conversations
 of least id stays.  What remains is rendered turn by turn.
 
 Turns are hashed with their place, and prefixes combine by exclusive or, so the rolling
-hash is a running aggregate: no conversation is ever gathered whole before rendering.
+hash is a running aggregate.  All turns are sorted together and scanned range by range, so
+a conversation of any length is spread over tasks and never gathered whole.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import in_order, stored
+
 PIECE = 4096  # turns rendered into one row; a longer conversation takes several
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 ROLES = ("system", "user", "assistant", "tool")
+MARK = r"<(\\*\|im_(?:start|end)\|>)"  # in a text, with any backslashes of its own; one more tells it from a real one
+
+
+def _carried(rows: DataFrame, total: Column, before: str) -> DataFrame:
+    """``rows`` with ``before``: ``total`` of the conversation's turns in earlier ranges, null where there are none.
+
+    Only conversations that reach into another range have such a row, two a range at most.
+    """
+    sums = rows.groupBy("_conv", "_part").agg(total.alias("_t"))
+    reach = Window.partitionBy("_conv").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    running = F.bit_xor("_t") if before != "_before" else F.sum("_t")
+    carried = sums.withColumn(before, running.over(reach)).where(F.col(before).isNotNull()).select("_conv", "_part", before)
+    return rows.join(F.broadcast(carried), ["_conv", "_part"], "left")
 
 
 def rolled(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """Turns with their place ``_at`` in the conversation and two 64-bit hashes of all turns up to there."""
-    order = Window.partitionBy("_conv").orderBy(F.col("_turn").asc_nulls_first(), F.col("_role").asc_nulls_first(), F.col("_text").asc_nulls_first())
     base = turns.where(F.col(conv).isNotNull()).select(F.col(conv).alias("_conv"), F.col(turn).alias("_turn"), F.col(role).cast("string").alias("_role"), F.col(text).cast("string").alias("_text"))
-    base = base.distinct().withColumn("_at", F.row_number().over(order).cast("long"))
-    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    base = in_order(base.distinct(), "_conv", F.col("_turn").asc_nulls_first(), F.col("_role").asc_nulls_first(), F.col("_text").asc_nulls_first())
+    inner = Window.partitionBy("_conv", "_part").orderBy("_inside")
+    base = _carried(base.withColumn("_at", F.row_number().over(inner).cast("long")), F.count("*"), "_before")
+    base = base.withColumn("_at", F.col("_at") + F.coalesce("_before", F.lit(0))).drop("_before")
     marks = [F.coalesce(F.col(c), F.lit("\x00null")) for c in ("_role", "_text")]
-    for name, salt in (("_h1", "a"), ("_h2", "b")):
-        base = base.withColumn(name, F.xxhash64(F.lit(salt), "_at", *marks))
-    return base.withColumn("_p1", F.bit_xor("_h1").over(so_far)).withColumn("_p2", F.bit_xor("_h2").over(so_far)).drop("_h1", "_h2")
+    so_far = inner.rowsBetween(Window.unboundedPreceding, 0)
+    for name, salt in (("_p1", "a"), ("_p2", "b")):
+        base = _carried(base.withColumn("_h", F.xxhash64(F.lit(salt), "_at", *marks)), F.bit_xor("_h"), "_earlier")
+        base = base.withColumn(name, F.bit_xor("_h").over(so_far).bitwiseXOR(F.coalesce("_earlier", F.lit(0)))).drop("_h", "_earlier")
+    return base.drop("_part", "_inside")
 
 
 def maximal(prefixes: DataFrame) -> DataFrame:
@@ -46,14 +65,16 @@ def rendered(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
 
     A piece holds up to ``PIECE`` turns; pieces in order make up the conversation.  Rows
     without a conversation id are left out; repeated turn rows count once; turns of one
-    number go by role and text, nulls first; null text is empty; unknown or null roles
-    speak as ``user``.  An empty table gives an empty result.
+    number go by role and text, nulls first; null text is empty, other texts stand as they
+    are but for marks of the format in them, which get a backslash (``<\\|im_end|>``); unknown
+    or null roles speak as ``user``.  Other columns are left out.  An empty table gives an
+    empty result.
     """
-    prefixes = rolled(turns, conv, turn, role, text)
+    prefixes = stored(rolled(turns, conv, turn, role, text), "prefixes")
     kept = prefixes.join(maximal(prefixes), "_conv")
     speaker = F.lower(F.trim("_role"))
     speaker = F.when(speaker.isin(*ROLES), speaker).otherwise(F.lit("user"))
-    line = F.concat(F.lit(OPEN), speaker, F.lit("\n"), F.trim(F.coalesce("_text", F.lit(""))), F.lit(CLOSE + "\n"))
+    line = F.concat(F.lit(OPEN), speaker, F.lit("\n"), F.regexp_replace(F.coalesce("_text", F.lit("")), MARK, r"<\\$1"), F.lit(CLOSE + "\n"))
     lines = kept.select("_conv", "_n", "_equal", F.expr(f"(_at - 1) div {PIECE}").alias("piece"), F.struct("_at", line.alias("line")).alias("l"))
     pieces = lines.groupBy("_conv", "piece", "_n", "_equal").agg(F.array_sort(F.collect_list("l")).alias("ls"))
     return pieces.select(F.col("_conv").alias(conv), "piece", F.col("_n").alias("n_turns"), F.col("_equal").alias("n_equal"), F.array_join(F.transform("ls", lambda x: x["line"]), "").alias("rendered"))

@@ -74,6 +74,20 @@ def with_row(df: DataFrame) -> DataFrame:
     return df.withColumn(ROW, F.monotonically_increasing_id())
 
 
+def in_order(df: DataFrame, *order) -> DataFrame:
+    """``df`` sorted as a whole by a range exchange and stored, with ``_part`` and ``_inside``: the number of
+    the range and the row's place in it, from 0.  A range is never more than a task's share, so what
+    runs along the order is scanned range by range and carried over from a row a range."""
+    at = F.monotonically_increasing_id()
+    kept = stored(df.orderBy(*order).withColumn("_at", at), "order")
+    return kept.select(*df.columns, F.shiftright("_at", 33).cast("int").alias("_part"), F.expr("_at & 8589934591").alias("_inside"))
+
+
+def masked(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named by their place, ``c0`` on, so that they clash with nothing; ``toDF(*df.columns)`` names them again."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

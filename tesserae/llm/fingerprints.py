@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ROW, with_row
+from .common import ROW, in_order, with_row
 
 WIDTH = 5
 FRACTION = 8  # one shingle hash in so many is kept
@@ -92,16 +92,14 @@ def following(docs: DataFrame, key: str) -> DataFrame:
     range finds the neighbour, and the seams between ranges are stitched from one
     row a range.
     """
-    place = F.monotonically_increasing_id()
-    ids = docs.select(key, ROW).orderBy(F.col(key).asc_nulls_first(), ROW).withColumn("_at", place)
-    ids = ids.select(ROW, "_at", F.shiftright("_at", 33).alias("_range"))
-    inside = ids.withColumn("_next", F.lead(ROW).over(Window.partitionBy("_range").orderBy("_at")))
+    ids = in_order(docs.select(key, ROW), F.col(key).asc_nulls_first(), ROW)
+    inside = ids.withColumn("_next", F.lead(ROW).over(Window.partitionBy("_part").orderBy("_inside")))
     # one row a range, as many as shuffle partitions at most
-    heads = inside.groupBy("_range").agg(F.min_by(ROW, "_at").alias("_head"))
-    order = Window.orderBy("_range")
+    heads = inside.groupBy("_part").agg(F.min_by(ROW, "_inside").alias("_head"))
+    order = Window.orderBy("_part")
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    seams = heads.select("_range", F.coalesce(F.lead("_head").over(order), F.first("_head").over(whole)).alias("_seam"))
-    return inside.join(seams, "_range").select(ROW, F.coalesce("_next", "_seam").alias("_next"))
+    seams = heads.select("_part", F.coalesce(F.lead("_head").over(order), F.first("_head").over(whole)).alias("_seam"))
+    return inside.join(F.broadcast(seams), "_part").select(ROW, F.coalesce("_next", "_seam").alias("_next"))
 
 
 def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -112,16 +110,16 @@ def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text"
     share an id follow each other in table order; a lone document is its own next;
     an empty table gives an empty result.
     """
-    docs = with_row(docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text")))
+    docs = with_row(docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text")))
     cuts = docs.select(F.col(ROW).alias("_to"), F.expr("length(_text) div 4").alias("_cut"))
     needs = following(docs.select("_key", ROW), "_key").join(cuts, F.col(ROW) == F.col("_to")).select("_to", "_next", "_cut")
-    # both joins take the same columns of docs by the same key, so the texts are shuffled once
+    # sketched before the shuffle: both joins take the same columns by the same key, so texts are sketched and shuffled once
+    docs = docs.withColumn("_sketch", sketch(F.col("_text")))
     given = docs.join(needs, F.col(ROW) == F.col("_next"))
     tail = F.expr("substring(_text, 1, cast(_cut as int))").alias("_tail")
-    given = given.select("_to", F.col("_key").alias("_next_key"), tail, sketch(F.col("_text")).alias("_next_sketch"))
+    given = given.select("_to", F.col("_key").alias("_next_key"), tail, F.col("_sketch").alias("_next_sketch"))
     edited = docs.join(given, F.col(ROW) == F.col("_to")).withColumn("_n", F.length("_text").cast("long"))
     edited = edited.withColumn("_edited", F.concat(F.expr("substring(_text, 1, cast(_n - _n div 4 as int))"), "_tail"))
-    edited = edited.withColumn("_sketch", sketch(F.col("_text")))
     edited = edited.withColumn("_edited_sketch", sketch(F.col("_edited")))
     a, b, c = F.col("_sketch"), F.col("_edited_sketch"), F.col("_next_sketch")
     return edited.select(

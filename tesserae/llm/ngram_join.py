@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW, in_arrow, light, parts, stored, with_row
+from .common import ROW, in_arrow, light, masked, parts, stored, with_row
 from .graphs import components
 from .text import flat, mix, pieces, shingle_sets
 
@@ -539,8 +539,12 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     placed = profiles.where("n > 0").select(ROW, "node", "n").join(labels.toDF("node", "label"), "node", "left")
     placed = placed.select(ROW, "n", F.coalesce("label", "node").alias("label")).join(keyed.select(ROW, "_key"), ROW)
     placed = stored(placed, "placed")
-    least = placed.groupBy("label").agg(F.min("_key").alias("least"))
-    joined = placed.join(least, "label").select(ROW, "_key", F.col("n").cast("long").alias("n_shingles"), F.col("least").alias("component_id"), "label")
+    least = stored(placed.groupBy("label").agg(F.min("_key").alias("least"), F.count("*").alias("_size")), "least")
+    # components above a quarter of a partition's share of the rows, at most four a partition, are broadcast, so that none is one task's
+    share = f"_size * {4 * parts(spark)} > {placed.count()}"
+    large, small = least.where(share).drop("_size"), least.where(f"NOT ({share})").drop("_size")
+    joined = placed.join(F.broadcast(large), "label").unionByName(placed.join(F.broadcast(large), "label", "left_anti").join(small, "label"))
+    joined = joined.select(ROW, "_key", F.col("n").cast("long").alias("n_shingles"), F.col("least").alias("component_id"), "label")
     alone = keyed.select(ROW, "_key").join(profiles.where("n = 0").select(ROW), ROW)
     alone = alone.select(ROW, "_key", F.lit(0).cast("long").alias("n_shingles"), F.col("_key").alias("component_id"), F.lit(None).cast("long").alias("label"))
     return joined.unionByName(alone).withColumnRenamed("_key", key)
@@ -549,10 +553,13 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each component, that of the least id (of equal or null ids, the first in the table).
 
-    Rows without words stay, all of them.
+    Rows without words stay, all of them.  All columns stay, whatever their names.
     """
-    found = stored(near_components(docs, key, text).where("label IS NOT NULL").select(ROW, "label", F.col(key).alias("_key")), "found")
+    plain = masked(docs)
+    name = dict(zip(docs.columns, plain.columns))
+    found = near_components(plain, name[key], name[text]).where("label IS NOT NULL")
+    found = stored(found.select(ROW, "label", F.col(name[key]).alias("_key")), "found")
     first = F.min_by(ROW, F.struct(F.col("_key").isNull(), "_key", ROW)).alias(ROW)
     kept = found.groupBy("label").agg(first)
     extra = stored(found.join(kept, ROW, "left_anti").select(ROW), "extra")
-    return with_row(docs).join(light(extra), ROW, "left_anti").select(*docs.columns)
+    return with_row(plain).join(light(extra), ROW, "left_anti").select(*plain.columns).toDF(*docs.columns)

@@ -69,13 +69,33 @@ WITH d AS (
   SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM found) GROUP BY doc_id
 ), items AS (
   SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id
+), words AS (
+  SELECT doc_id, unnest(w) AS t, unnest(range(len(w))) AS p FROM d
+), asked_words AS (
+  SELECT id, item, n, unnest(w) AS t, unnest(range(n)) AS off FROM (SELECT row_number() OVER () AS id, item, w, len(w) AS n FROM q)
+), df AS (
+  SELECT t, count(*) AS c FROM words SEMI JOIN asked_words USING (t) GROUP BY t
+), ranked AS (
+  SELECT id, item, n, t, off, row_number() OVER (PARTITION BY id ORDER BY c, off) AS k, count(*) OVER (PARTITION BY id) AS present FROM asked_words JOIN df USING (t)
+), chosen AS (
+  SELECT * FROM ranked WHERE k <= 4 AND present >= least(4, n)
+), needed AS (
+  SELECT id, count(*) AS m FROM chosen GROUP BY id
+), anchors AS (
+  SELECT id, doc_id, p, off FROM chosen JOIN words USING (t) WHERE k = 1
+), met AS (
+  SELECT a.id, c.item, a.doc_id, a.p, count(DISTINCT c.k) AS m
+  FROM anchors a JOIN chosen c ON a.id = c.id JOIN words w ON w.t = c.t AND w.doc_id = a.doc_id AND abs(w.p - (a.p + c.off - a.off)) <= 4 GROUP BY ALL
+), near AS (
+  SELECT doc_id, count(DISTINCT item) AS n_near FROM met JOIN needed USING (id, m) GROUP BY doc_id
 )
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(n_near, 0) AS n_near
+FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN near USING (doc_id)
 """
 
 _SPEAKER = "lower(trim(role))"
+_ESCAPED = r"regexp_replace(coalesce(text, ''), '<(\\*\|im_(?:start|end)\|>)', '<\\\1', 'g')"
 OP4 = f"""
 WITH base AS (
   SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL
@@ -92,7 +112,7 @@ WITH base AS (
 )
 SELECT conv_id, (place - 1) // 4096 AS piece, n AS n_turns, n_equal,
        string_agg('<|im_start|>' || CASE WHEN {_SPEAKER} IN ('system', 'user', 'assistant', 'tool') THEN {_SPEAKER} ELSE 'user' END
-                  || chr(10) || trim(coalesce(text, '')) || '<|im_end|>' || chr(10), '' ORDER BY place) AS rendered
+                  || chr(10) || {_ESCAPED} || '<|im_end|>' || chr(10), '' ORDER BY place) AS rendered
 FROM t JOIN kept USING (conv_id) GROUP BY ALL
 """
 

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_arrow
 from .text import TABLES, flat, hash_spans, slices, word_spans
 
 PASSAGE = 64  # words
@@ -61,7 +62,9 @@ def passage_features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
     group = np.bincount(passage * GROUPS + _GROUP[raw], minlength=total * GROUPS).reshape(total, GROUPS)
     folded = np.where((raw >= 65) & (raw <= 90), raw + 32, raw).astype(np.int64)
     code = (folded[:-1] * 31 + folded[1:] * 7919 >> 2) % PAIRS if len(raw) > 1 else np.zeros(0, np.int64)
-    pair = np.bincount(passage[: len(code)] * PAIRS + code, minlength=total * PAIRS).reshape(total, PAIRS)
+    inner = np.ones(len(code), dtype=bool)
+    inner[[e - 1 for e in np.unique(offsets) if 0 < e < len(raw)]] = False  # no pair crosses a text's edge
+    pair = np.bincount(passage[: len(code)][inner] * PAIRS + code[inner], minlength=total * PAIRS).reshape(total, PAIRS)
     per_byte = 1.0 / np.maximum(size, 1)[:, None]
 
     out = np.zeros((total, FEATURES), dtype=np.float32)
@@ -160,15 +163,17 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> AttentionModel:
     """Fit on at most ``sample`` labelled rows that are not held out, those of least hashed id.
 
-    Rows without a label or an id are left out; of repeated labels the lowest counts.
-    Without both labels present the model knows nothing and scores one half.
+    Rows without a label or an id are left out; of repeated labels the lowest counts, of
+    repeated documents the least text.  Ids may be of any type that sorts.  Without both labels present the model knows nothing and scores one half.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(key))
     known = known.groupBy(F.col(key).alias("_id")).agg(F.min(label).cast("int").alias("_label"))
     known = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)
     rows = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text")).join(F.broadcast(known), F.col("_key") == F.col("_id"))
-    found = rows.select("_id", "_text", "_label").mapInArrow(_featured, "id bigint, label int, passages binary").limit(2 * sample).collect()
-    found = sorted({r["id"]: r for r in found}.values(), key=lambda r: r["id"])
+    rows = rows.groupBy("_id").agg(F.min("_text").alias("_text"), F.min("_label").alias("_label"))  # at most ``sample``
+    kind = labels.schema[key].dataType.simpleString()
+    found = in_arrow(rows, _featured, f"id {kind}, label int, passages binary").collect()
+    found = sorted(found, key=lambda r: r["id"])
     model, y = AttentionModel(), np.array([r["label"] for r in found], dtype=np.float32)
     if len(set(y.tolist())) < 2:
         model.p["c"][:] = 0
@@ -198,11 +203,16 @@ def quality_scores(docs: DataFrame, model: AttentionModel, text: str = "text", s
             yield pa.record_batch([*batch.columns, pa.array(found), pa.array(size)], names=[*batch.schema.names, score, passages])
 
     schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema]
-    return kept.mapInArrow(scored, ", ".join([*schema, f"`{score}` double", f"`{passages}` bigint"]))
+    return in_arrow(kept, scored, ", ".join([*schema, f"`{score}` double", f"`{passages}` bigint"]))
 
 
 def quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id``, ``held_out``, ``score``, ``predicted`` for every row, learnt and scored here."""
+    """``doc_id``, ``held_out``, ``score``, ``predicted``, ``passages`` for every row, learnt and scored here.
+
+    Null and empty texts score as one empty passage, long ones whole, passage by passage;
+    equal texts score alike, so repeated rows do; other columns are left out; an empty
+    table gives an empty result.
+    """
     model = train(docs, labels, key, text)
     scored = quality_scores(docs.select(F.col(key), F.col(text).cast("string").alias(text)), model, text)
     return scored.select(F.col(key), held_out(key).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "passages")

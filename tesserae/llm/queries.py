@@ -6,10 +6,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import chat, chunking, decontamination, fingerprints, mixing, ngram_join, quality, suffixes, tokens, toxicity
-from .common import stored, table
+from .common import table
 
 
 def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,9 +43,7 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = stored(tokens.encoded_files(table(spark, sf_dir, "documents"), tokens.vocabulary()), "tokens")
-    counts = tokens.token_counts(files.select("file", "block", "tokens"))
-    return counts.join(tokens.written_ids(files), ["file", "ordinal"]).select(F.col("id").alias("doc_id"), "n_tokens")
+    return tokens.document_tokens(table(spark, sf_dir, "documents"), tokens.vocabulary())
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +51,7 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_near")
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 OPERATORS = (

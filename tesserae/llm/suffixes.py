@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, stored, with_row
+from .common import ROW, in_arrow, stored, with_row
 from .text import VALUES, _powers, flat, mix
 
 LENGTH = 200
@@ -197,9 +197,9 @@ def _compared(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
 def repeat_spans(keyed: DataFrame, text: str, length: int = LENGTH) -> DataFrame:
     """Spans (row, start, stop) of bytes inside ``length``-byte strings that start elsewhere too; spans may overlap."""
     place = keyed.columns.index(text)
-    runs = keyed.select(ROW, text).mapInArrow(lambda it: _sampled(it, length), RUNS)
+    runs = stored(in_arrow(keyed.select(ROW, text), lambda it: _sampled(it, length), RUNS), "runs")
     names = runs.groupBy("name").agg(F.count("*").alias("c"), F.max("twice").alias("t")).where("c > 1 OR t").select("name")
-    shared = stored(runs.join(names, "name").drop("twice"), "runs")  # about a sixth of all runs, used three times below
+    shared = stored(runs.join(names, "name").drop("twice"), "shared")  # about a sixth of all runs, used three times below
     first = F.min_by(F.struct(ROW, "first", "n"), F.struct(ROW, "first")).alias("r")
     classes = shared.groupBy("name", "span").agg(F.count("*").alias("c"), first)
     whole = shared.join(classes.where("c > 1").select("name", "span"), ["name", "span"]).select(ROW, F.col("first").alias("start"), (F.col("first") + F.col("n") - 1 + length).alias("stop"))
@@ -207,9 +207,9 @@ def repeat_spans(keyed: DataFrame, text: str, length: int = LENGTH) -> DataFrame
     asked = classes.join(undecided.select("name", F.expr(f"cast((k + {CROWD - 1}) div {CROWD} as int)").alias("deals")), "name")
     wanted = F.struct(F.col("r.first").alias("first"), F.col("r.n").alias("n"), "name", (F.col("c") > 1).alias("known"), "deals")
     per_row = asked.groupBy(F.col(f"r.{ROW}").alias(ROW)).agg(F.collect_list(wanted).alias("_asked"))  # no more than one text's runs
-    windows = keyed.join(per_row, ROW).select(*keyed.columns, "_asked").mapInArrow(lambda it: _windows(it, length, place), WINDOWS)
+    windows = in_arrow(keyed.join(per_row, ROW).select(*keyed.columns, "_asked"), lambda it: _windows(it, length, place), WINDOWS)
     dealt = windows.repartition("name", "deal").sortWithinPartitions("name", "deal")
-    return whole.unionByName(dealt.mapInArrow(lambda it: _compared(it, length), SPANS))
+    return whole.unionByName(in_arrow(dealt, lambda it: _compared(it, length), SPANS))
 
 
 def _kept(batches: Iterator[pa.RecordBatch], text: int, bodies: bool) -> Iterator[pa.RecordBatch]:
@@ -255,4 +255,4 @@ def without_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, b
     joined = keyed.join(spans, ROW, "left").select(*keyed.columns, "_spans")
     place = keyed.columns.index(text)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema), "n_bytes bigint, n_removed bigint, n_spans bigint", f"{new[-1]} string"])
-    return joined.mapInArrow(lambda it: _kept(it, place, bodies), schema).drop(ROW)
+    return in_arrow(joined, lambda it: _kept(it, place, bodies), schema).drop(ROW)

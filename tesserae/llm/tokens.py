@@ -1,7 +1,7 @@
 """Operator 8: token counts of flat, unindexed token files by separator scan.
 
 A file is one run of token ids in which an end-of-document id closes every document;
-nothing says where documents begin.  Blocks of equal size are searched for that id
+nothing says where documents begin.  Files are read by byte ranges; blocks of equal size are searched for that id
 vector-wise, each on its own; a block knows its inner documents at once and leaves a
 summary.  A prefix scan over the summaries (in chunks of blocks, then over chunks)
 gives each block the number of documents before it and the place of the last separator,
@@ -11,14 +11,19 @@ which stitches documents across any number of blocks.
 from __future__ import annotations
 
 import base64
+import re
+import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import in_arrow, parts, scratch_dir, stored
+
 BLOCK = 1 << 16  # tokens
 CHUNK = 1024  # blocks whose summaries are scanned together
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -26,7 +31,7 @@ END = 50256  # the first id the vocabulary leaves free
 #: Fixed value: the word pattern the vocabulary was made with.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-FILES = "file bigint, block bigint, tokens binary, ids array<bigint>"
+RANGE = 64  # blocks a task reads at a time
 
 
 def vocabulary(path: str = TOKENIZER) -> bytes:
@@ -34,80 +39,83 @@ def vocabulary(path: str = TOKENIZER) -> bytes:
     return Path(path).read_bytes()
 
 
-def encoded_files(docs: DataFrame, ranks: bytes, end: int = END, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
-    """The texts of each partition as one flat file of 16-bit ids, cut into rows of ``block`` tokens.
+def _opened(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI, and the path in it."""
+    found = re.fullmatch(r"(?:file:(?://)?)?(/[^/].*)", path)
+    return (fs.LocalFileSystem(), found[1]) if found else fs.FileSystem.from_uri(path)
+
 
-    ``ids`` is the writer's own list of documents it finished since its last row; a
-    reader of the file does not have it.  Null text is an empty document.
+def encoded_files(docs: DataFrame, ranks: bytes, folder: str, end: int = END, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Writes the texts of each partition as one flat file of 16-bit ids in ``folder``, which all executors share.
+
+    Returns rows (``file``, ``seq``, ``length``, ``ids``), to be stored at once: the bytes of a
+    stretch of the file and the writer's own list of the documents in it; a reader of the file
+    does not have that list.  A task that runs again writes another file; only those of the
+    stored rows count.  Null text is an empty document; repeated ids are documents of their
+    own; a text of any length is encoded whole; an empty table gives no file.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
-        from pyspark import TaskContext
 
         table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line)}
         encoding = tiktoken.Encoding("flat", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
-        file = TaskContext.get().partitionId()
-        held: list[np.ndarray] = []
-        done: list[int | None] = []
-        size = at = 0
-
-        def row(tokens: np.ndarray) -> pa.RecordBatch:
-            return pa.record_batch([pa.array([file], pa.int64()), pa.array([at], pa.int64()), pa.array([tokens.astype("<u2").tobytes()], pa.binary()), pa.array([done], pa.list_(pa.int64()))], names=["file", "block", "tokens", "ids"])
-
-        for batch in batches:
-            for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                tokens = encoding.encode_ordinary(body) if body else []
-                held.append(np.array([*tokens, end], dtype=np.uint16))
-                done.append(name)
-                size += len(held[-1])
-                if size >= block:
-                    stream = np.concatenate(held)
-                    full = len(stream) // block * block
-                    for i in range(0, full, block):
-                        yield row(stream[i : i + block])
-                        at, done = at + 1, []
-                    held, size = [stream[full:]], len(stream) - full
-        if size or done:
-            yield row(np.concatenate(held))
-
-    return docs.select(F.col(key).cast("bigint"), F.col(text).cast("string")).mapInArrow(encode, FILES)
-
-
-def read_blocks(spark: SparkSession, path: str, width: int = 2, block: int = BLOCK) -> DataFrame:
-    """``path``, ``block``, ``tokens`` of flat binary files of ``width``-byte ids; one task reads a file of two gigabytes at most."""
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, body in zip(batch.column(0).to_pylist(), batch.column(1)):
-                body = body.as_buffer()
-                for i in range(0, max(1, body.size), block * width):
-                    yield pa.record_batch([pa.array([name]), pa.array([i // (block * width)], pa.int64()), pa.array([body.slice(i, min(block * width, body.size - i)).to_pybytes()], pa.binary())], names=["file", "block", "tokens"])
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(split, "file string, block bigint, tokens binary")
-
-
-def token_counts(blocks: DataFrame, end: int = END, width: int = 2, block: int = BLOCK) -> DataFrame:
-    """One row a document of (``file``, ``block``, ``tokens``): ``file``, ``ordinal``, ``first_token``, ``n_tokens``, ``closed``.
-
-    Every block of a file but its last holds ``block`` ids.  Two separators side by side
-    enclose a document of no tokens; tokens after the last separator are a document that is
-    not ``closed``; an empty file has none.  Separators are not counted.
+        system, base = _opened(folder)
+        system.create_dir(base)
+        name, seq, out = f"{uuid.uuid4().hex}.ids", 0, None
+        try:
+            for batch in batches:
+                for a in range(0, len(batch), 1024):
+                    some = batch.slice(a, 1024)
+                    out = out or system.open_output_stream(f"{base}/{name}")
+                    size = 0
+                    for body in some.column(1).to_pylist():
+                        ids = np.array([*(encoding.encode_ordinary(body) if body else ()), end], dtype="<u2")
+                        out.write(ids.tobytes())
+                        size += ids.nbytes
+                    held = pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), some.column(0))
+                    yield pa.record_batch([pa.array([f"{folder}/{name}"]), pa.array([seq], pa.int64()), pa.array([size], pa.int64()), held], names=["file", "seq", "length", "ids"])
+                    seq += 1
+        finally:
+            if out:
+                out.close()
+
+    schema = f"file string, seq bigint, length bigint, ids array<{docs.schema[key].dataType.simpleString()}>"
+    return in_arrow(docs.select(F.col(key), F.col(text).cast("string")), encode, schema)
+
+
+def listed_files(spark: SparkSession, path: str) -> DataFrame:
+    """``file``, ``length`` in bytes of the files under a path or pattern; none is opened."""
+    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "length")
+
+
+def token_counts(files: DataFrame, end: int = END, width: int = 2, block: int = BLOCK) -> DataFrame:
+    """One row a document of flat files (``file``, ``length``) of ``width``-byte ids: ``file``, ``ordinal``,
+    ``first_token``, ``n_tokens``, ``closed``.
+
+    Files of any size are read by ranges of bytes, each by whatever task, through the file
+    system their path names.  Two separators side by side enclose a document of no tokens;
+    tokens after the last separator are a document that is not ``closed``; an empty file has
+    none, and bytes at its end that make up no id are left out.  Separators are not counted.
     """
-    kind = blocks.schema["file"].dataType.simpleString()
-    summary = f"file {kind}, block bigint, size bigint, ends array<int>"
+    summary = "file string, block bigint, size bigint, ends array<int>"
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, ends = [], []
-            for body in batch.column(2).to_pylist():
-                ids = np.frombuffer(body or b"", f"<u{width}")
-                sizes.append(len(ids))
-                ends.append(np.flatnonzero(ids == end).astype(np.int32))
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(ends, pa.list_(pa.int32()))], names=["file", "block", "size", "ends"])
-
-    found = blocks.select("file", "block", "tokens").mapInArrow(search, summary)
+            for name, at, size in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                system, path = _opened(name)
+                with system.open_input_file(path) as held:
+                    body = held.read_at(size, at)
+                ids = np.frombuffer(body, f"<u{width}", len(body) // width)
+                cut = [ids[i : i + block] for i in range(0, len(ids), block)]
+                ends = pa.array([np.flatnonzero(c == end).astype(np.int32) for c in cut], pa.list_(pa.int32()))
+                first = at // (block * width)
+                yield pa.record_batch([pa.array([name] * len(cut)), pa.array(np.arange(first, first + len(cut))), pa.array([len(c) for c in cut], pa.int64()), ends], names=["file", "block", "size", "ends"])
+
+    step = RANGE * block * width
+    ranges = files.where("length > 0").select("file", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(step).cast("long"))).alias("at"))
+    ranges = ranges.select("file", "at", F.least(F.lit(step), F.col("length") - F.col("at")).alias("size"))
+    found = stored(in_arrow(ranges.repartition(parts(files.sparkSession)), search, summary), "separators")
     start = F.col("block") * block
     found = found.withColumn("start", start).withColumn("chunk", F.expr(f"block div {CHUNK}"))
     found = found.withColumn("n", F.size("ends").cast("long")).withColumn("last", F.when(F.col("n") > 0, start + F.element_at("ends", -1) + 1))
@@ -130,11 +138,19 @@ def token_counts(blocks: DataFrame, end: int = END, width: int = 2, block: int =
 
 def written_ids(files: DataFrame) -> DataFrame:
     """``file``, ``ordinal``, ``id``: the writer's list of documents, numbered by the same two-level scan."""
-    sized = files.select("file", "block", F.expr(f"block div {CHUNK}").alias("chunk"), "ids", F.size("ids").cast("long").alias("n"))
+    sized = files.select("file", "seq", F.expr(f"seq div {CHUNK}").alias("chunk"), "ids", F.size("ids").cast("long").alias("n"))
     chunks = sized.groupBy("file", "chunk").agg(F.sum("n").alias("cn"))
     over = Window.partitionBy("file").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     chunks = chunks.select("file", "chunk", F.coalesce(F.sum("cn").over(over), F.lit(0)).alias("n0"))
-    inner = Window.partitionBy("file", "chunk").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy("file", "chunk").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     sized = sized.withColumn("n1", F.coalesce(F.sum("n").over(inner), F.lit(0))).join(chunks, ["file", "chunk"])
     sized = sized.select("file", (F.col("n0") + F.col("n1")).alias("base"), F.posexplode("ids").alias("k", "id"))
     return sized.select("file", (F.col("base") + F.col("k")).alias("ordinal"), "id")
+
+
+def document_tokens(docs: DataFrame, ranks: bytes, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key`` and ``n_tokens`` of every row: the texts are written as flat files, which are then counted without the writer's knowledge."""
+    spark = docs.sparkSession
+    written = stored(encoded_files(docs, ranks, f"{scratch_dir(spark)}/tokens-{uuid.uuid4().hex}", key=key, text=text), "written")
+    counts = token_counts(written.groupBy("file").agg(F.sum("length").alias("length")))
+    return counts.join(written_ids(written), ["file", "ordinal"]).select(F.col("id").alias(key), "n_tokens")

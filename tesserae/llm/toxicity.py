@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_arrow
 from .quality import held_out
 from .text import TABLES, flat, hash_spans, mix, slices, word_spans
 
@@ -123,17 +124,18 @@ def graded(index: np.ndarray, count: np.ndarray, of: np.ndarray, toxic: np.ndarr
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> CumulativeLink:
     """Fit on at most ``sample`` labelled rows, those of least hashed id; rows that are held out are not learnt from.
 
-    Rows without label or id are left out; of repeated labels the highest counts.  Without
+    Rows without label or id are left out; of repeated labels the highest counts, of
+    repeated documents the least text.  Without
     both labels present every document is graded 0.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(key))
     known = known.groupBy(F.col(key).alias("_id")).agg(F.max(label).cast("int").alias("_label"))
     known = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)
     rows = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text")).join(F.broadcast(known), F.col("_key") == F.col("_id"))
-    found = rows.select("_id", "_text", "_label").mapInArrow(_featured, "id bigint, label int, words binary, counts binary").limit(2 * sample).toArrow()
+    rows = rows.groupBy("_id").agg(F.min("_text").alias("_text"), F.max("_label").alias("_label"))  # at most ``sample``
+    kind = labels.schema[key].dataType.simpleString()
+    found = in_arrow(rows, _featured, f"id {kind}, label int, words binary, counts binary").toArrow()
     found = found.sort_by("id").combine_chunks()
-    ids = found.column("id").to_numpy()
-    found = found.filter(pa.array(np.diff(ids, prepend=ids[:1] - 1) != 0))  # one row an id
     toxic, model = found.column("label").to_numpy().astype(np.float64), CumulativeLink()
     if len(set(toxic.tolist())) < 2:
         model.thresholds[:] = 40.0
@@ -146,7 +148,11 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 
 def severities(docs: DataFrame, model: CumulativeLink, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id``, ``expected_severity``, ``severity`` (likeliest grade), ``p_toxic``, ``toxic`` for every row; null text is empty."""
+    """``doc_id``, ``expected_severity``, ``severity`` (likeliest grade), ``p_toxic``, ``toxic`` for every row.
+
+    Null text is empty; texts of any length are read whole; repeated rows are graded alike;
+    other columns are left out; an empty table gives an empty result.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,5 +168,5 @@ def severities(docs: DataFrame, model: CumulativeLink, key: str = "doc_id", text
             yield pa.record_batch([batch.column(0), pa.array(p @ np.arange(p.shape[1])), pa.array(p.argmax(1).astype(np.int32)), pa.array(1 - p[:, 0]), pa.array(p[:, 0] < 0.5)], names=["id", "expected_severity", "severity", "p_toxic", "toxic"])
 
     kind = docs.schema[key].dataType.simpleString()
-    found = docs.select(F.col(key), F.col(text).cast("string")).mapInArrow(scored, f"id {kind}, expected_severity double, severity int, p_toxic double, toxic boolean")
+    found = in_arrow(docs.select(F.col(key), F.col(text).cast("string")), scored, f"id {kind}, expected_severity double, severity int, p_toxic double, toxic boolean")
     return found.withColumnRenamed("id", key)

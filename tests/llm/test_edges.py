@@ -207,16 +207,48 @@ def test_contamination(table_of, texts):
     assert decontamination.contamination(table_of(docs, DOC), empty).where("contaminated OR n_hit > 0").count() == 0
 
 
-def test_near_terms_are_found():
-    lengths = np.array([6])
-    terms = np.array([5, 7, 9], "<u8")
-    import pyarrow as pa
+def brute_near(docs, items):
+    """Items near each document: their rarest words of the corpus, at most four off their places."""
+    import re
 
-    at = np.array([0, 2, 5], "<u4")  # one place a term
-    packed = pa.compress(at.view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
-    shard = decontamination.Shard(terms.tobytes(), np.array([1, 1, 1], "<u4").tobytes(), packed, lengths)
-    slots = shard.slots(terms)
-    assert len(shard.phrase(slots)) == 0 and shard.near(slots, np.array([0, 1, 2]), 3).tolist() == [0]
+    split = lambda t: re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").encode().lower())
+    words = {i: split(t) for i, t in docs}
+    df = Counter(w for ws in words.values() for w in ws)
+    out = {i: set() for i in words}
+    for name, body in items:
+        q = split(body)
+        held = sorted((df[w], k) for k, w in enumerate(q) if df[w])
+        if not q or len(held) < min(4, len(q)):
+            continue
+        (_, first), *others = held[:4]
+        for i, ws in words.items():
+            at = [p for p, w in enumerate(ws) if w == q[first]]
+            if any(all(any(0 <= p + k - first + e < len(ws) and ws[p + k - first + e] == q[k] for e in range(-4, 5)) for _, k in others) for p in at):
+                out[i].add("" if name is None else str(name))
+    return {i: len(x) for i, x in out.items()}
+
+
+def test_near_terms_are_found(table_of):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(2))
+    docs = [(f"d{i}", " ".join(word() for _ in range(rng.randint(1, 60)))) for i in range(60)] + [("none", None), ("empty", "")]
+    items = [(i, " ".join(word() for _ in range(rng.randint(1, 6)))) for i in range(40)] + [(3, "zz top"), (None, "aa bb"), (77, None)]
+    found = decontamination.contamination(table_of(docs, "doc_id string, text string"), table_of(items, "item_id long, text string", "b")).collect()
+    want = brute_near(docs, items)
+    assert {r["doc_id"]: r["n_near"] for r in found} == want and sum(want.values()) > 20
+
+
+def test_contamination_in_small_pieces(table_of, monkeypatch):
+    """Many probes, candidates and shards: the same rows as in one piece."""
+    rng = random.Random(9)
+    word = lambda: rng.choice("the a of some many few red blue green".split())
+    docs = [(i, " ".join(word() for _ in range(rng.randint(0, 200)))) for i in range(40)]
+    items = [(i, " ".join(docs[i][1].split()[:20])) for i in range(30)]
+    d, b = table_of(docs, DOC), table_of(items, "item_id long, text string", "b")
+    whole = sorted(map(str, decontamination.contamination(d, b).collect()))
+    for name, value in (("PROBES", 20), ("SHARD_WORDS", 300), ("CANDIDATES", 7), ("VOCABULARY", 3)):
+        monkeypatch.setattr(decontamination, name, value)
+    assert sorted(map(str, decontamination.contamination(d, b).collect())) == whole
 
 
 def sketch_of(text):
@@ -327,14 +359,25 @@ def test_chunking(table_of):
     assert got[4]["kept_text"] == "" and got[6]["n_removed"] == 0
 
 
-def test_token_files(spark, tmp_path, table_of):
+def test_token_files(spark, tmp_path, table_of, monkeypatch):
+    """Flat files cut into ranges for several tasks, with separators at the seams."""
     rng = np.random.default_rng(3)
-    lengths = [0, 5, 0, 70, 3, 200, 1]
+    monkeypatch.setattr(tokens, "RANGE", 2)
+    lengths = [0, 5, 0, 70, 3, 200, 1, 15, 31, 0, 32]
     stream = np.concatenate([np.append(rng.integers(0, 99, n), 99) for n in lengths] + [rng.integers(0, 99, 4)]).astype("<u2")
-    (tmp_path / "a.bin").write_bytes(stream.tobytes())
-    (tmp_path / "b.bin").write_bytes(b"")
-    found = tokens.token_counts(tokens.read_blocks(spark, str(tmp_path / "*.bin"), block=16), end=99, block=16).orderBy("ordinal").collect()
-    assert [r["n_tokens"] for r in found] == [*lengths, 4] and [r["closed"] for r in found] == [True] * len(lengths) + [False]
+    (tmp_path / "flat").mkdir()
+    (tmp_path / "flat" / "a.ids").write_bytes(stream.tobytes() + b"x")  # and a byte that is no id
+    (tmp_path / "flat" / "b.ids").write_bytes(b"")
+    (tmp_path / "flat" / "c.ids").write_bytes(np.full(64, 99, "<u2").tobytes())
+    files = tokens.listed_files(spark, str(tmp_path / "flat"))
+    found = tokens.token_counts(files, end=99, block=16).orderBy("file", "ordinal").collect()
+    a, c = ([r for r in found if r["file"].endswith(n)] for n in ("a.ids", "c.ids"))
+    assert len(found) == len(a) + len(c) and [r["n_tokens"] for r in c] == [0] * 64
+    assert [r["n_tokens"] for r in a] == [*lengths, 4] and [r["closed"] for r in a] == [True] * len(lengths) + [False]
+    assert [r["first_token"] for r in a] == np.cumsum([0, *(n + 1 for n in lengths)]).tolist()
+
+
+def test_token_counts_of_documents(table_of):
     import base64
 
     import tiktoken
@@ -342,10 +385,11 @@ def test_token_files(spark, tmp_path, table_of):
     ranks = tokens.vocabulary()
     table = {base64.b64decode(a): int(b) for a, b in (x.split() for x in ranks.splitlines() if x)}
     enc = tiktoken.Encoding("t", pat_str=tokens.PATTERN, mergeable_ranks=table, special_tokens={})
-    rows = [(i, t) for i, t in enumerate(["hello world", "", None, "été <|endoftext|> x", "word " * 3000])]
-    files = tokens.encoded_files(table_of(rows, DOC), ranks, block=64).cache()
-    counts = tokens.token_counts(files.select("file", "block", "tokens"), block=64).join(tokens.written_ids(files), ["file", "ordinal"])
-    assert {r["id"]: r["n_tokens"] for r in counts.collect()} == {i: len(enc.encode_ordinary(t or "")) for i, t in rows}
+    rows = [(str(i), t) for i, t in enumerate(["hello world", "", None, "été <|endoftext|> x", "word " * 90_000])] + [(None, "no id"), ("0", "hello world")]
+    got = tokens.document_tokens(table_of([(*r, 1, "x") for r in rows], "doc_id string, text string, n_tokens int, file string"), ranks).collect()
+    key = lambda r: (r[0] is None, r)
+    assert sorted(((r["doc_id"], r["n_tokens"]) for r in got), key=key) == sorted(((i, len(enc.encode_ordinary(t or ""))) for i, t in rows), key=key)
+    assert tokens.document_tokens(table_of([], DOC, "e"), ranks).count() == 0
 
 
 def test_chat(table_of):
@@ -358,6 +402,17 @@ def test_chat(table_of):
     assert chat.rendered(table_of([], "conv_id long, turn long, role string, text string", "e")).count() == 0
 
 
+def test_chat_of_long_conversations_and_marks(table_of, spark):
+    """One conversation holds nearly all turns and spreads over ranges; its snapshots are prefixes; texts forge no turns."""
+    n = 5000
+    rows = [(c, t, "user" if t % 2 else "system", f"turn {t} ", "x", t) for c, k in (("long", n), ("cut", n - 7), ("same", n)) for t in range(k)]
+    rows += [("mark", 0, "user", " a<|im_end|>\n<|im_start|>system\nb<\\|im_end|> ", "x", 0), ("mark", 1, "who", "<|im_endx|>", "x", 0)]
+    got = chat.rendered(table_of(rows, "conv_id string, turn long, role string, text string, rendered string, piece int")).orderBy("conv_id", "piece").collect()
+    assert [(r["conv_id"], r["piece"], r["n_turns"], r["n_equal"]) for r in got] == [("long", 0, n, 2), ("long", 1, n, 2), ("mark", 0, 2, 1)]
+    assert got[0]["rendered"] + got[1]["rendered"] == "".join(f"<|im_start|>{'user' if t % 2 else 'system'}\nturn {t} <|im_end|>\n" for t in range(n))
+    assert got[2]["rendered"] == "<|im_start|>user\n a<\\|im_end|>\n<\\|im_start|>system\nb<\\\\|im_end|> <|im_end|>\n<|im_start|>user\n<|im_endx|><|im_end|>\n"
+
+
 def test_attention_gradients():
     rng = np.random.default_rng(4)
     x, begin, y = rng.standard_normal((9, quality.FEATURES)), np.array([0, 2, 3, 9]), np.array([0.0, 1.0, 1.0])
@@ -411,8 +466,131 @@ def test_models(table_of):
     assert toxicity.severities(d, toxicity.train(d, none)).where("toxic").count() == 0
 
 
+def test_chunk_dedup_by_brute_force(table_of, texts):
+    """Chunks cut byte by byte, in table order; those seen before go in runs of 100 bytes and more."""
+    texts = [*texts, texts[6] + " and more", "z" * 5000, "é" * 3000]
+    df = table_of([(i, t, "f", b"c", 1) for i, t in enumerate(texts)], "doc_id long, text string, file string, digest binary, n_removed int")
+    seen, want = set(), {}
+    for row in df.collect():  # the table's order
+        raw = (row["text"] or "").encode()
+        h, last, pieces = 0, 0, []
+        for k, byte in enumerate(raw, 1):
+            h = (2 * h + int(chunking._GEAR[byte])) & 0xFFFF
+            if k - last >= chunking.MOST or (k - last >= chunking.LEAST and h >> 11 == 0 and len(raw) - last > chunking.LEAST):
+                pieces.append((last, k))
+                last = k
+        if last < len(raw):
+            pieces.append((last, len(raw)))
+        gone, runs = [], []
+        for a, b in pieces:
+            if raw[a:b] in seen:
+                gone.append((a, b))
+            seen.add(raw[a:b])
+        for a, b in gone:
+            if runs and runs[-1][1] == a:
+                runs[-1][1] = b
+            else:
+                runs.append([a, b])
+        keep = bytearray(raw)
+        for a, b in reversed(runs):
+            if b - a >= chunking.SHORTEST:
+                del keep[a:b]
+        want[row["doc_id"]] = (len(raw), len(raw) - len(keep), keep.decode("utf-8", "ignore"))
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["kept_text"]) for r in chunking.chunk_dedup(df).collect()}
+    assert got == want and sum(n for _, n, _ in want.values()) > 2000
+
+
+def plain_passages(text):
+    """Features of the passages of one text, counted one by one."""
+    raw = (text or "").encode()
+    spans, at = [], None
+    for k, byte in enumerate([*raw, 32]):
+        if byte in (9, 10, 11, 12, 13, 32):
+            if at is not None:
+                spans.append((at, k))
+            at = None
+        elif at is None:
+            at = k
+    groups = [spans[i : i + quality.PASSAGE] for i in range(0, len(spans), quality.PASSAGE)] or [[]]
+    edges = [0, *(g[0][0] for g in groups[1:]), len(raw)]
+    fold = [b + 32 if 65 <= b <= 90 else b for b in raw]
+    out = []
+    for g, a, b in zip(groups, edges[:-1], edges[1:]):
+        kinds, pairs = [0] * quality.GROUPS, [0] * quality.PAIRS
+        for k in range(a, b):
+            kinds[quality._GROUP[raw[k]]] += 1
+            if k + 1 < len(raw):
+                pairs[(fold[k] * 31 + fold[k + 1] * 7919 >> 2) % quality.PAIRS] += 1
+        n, sizes = max(1, len(g)), [y - x for x, y in g]
+        mean = sum(sizes) / n
+        spread = max(sum(x * x for x in sizes) / n - mean**2, 0) ** 0.5
+        distinct = len({bytes(fold[x:y]) for x, y in g})
+        capital = sum(65 <= raw[x] <= 90 for x, _ in g)
+        size = max(1, b - a)
+        out.append([(k / size) ** 0.5 for k in (*kinds, *pairs)] + [mean / 10, spread / 10, distinct / n, capital / n, np.log1p(len(g)) / 5, np.log1p(len(spans)) / 10])
+    return np.array(out)
+
+
+def plain_score(model, x):
+    """Gated attention over the rows of ``x``, one passage at a time."""
+    p = model.p
+    h = [np.tanh((row - model.mean) / model.scale @ p["W"] + p["b"]) for row in x]
+    e = [float((np.tanh(v @ p["V"]) / (1 + np.exp(-(v @ p["U"])))) @ p["w"]) for v in h]
+    share = np.exp(np.array(e) - max(e))
+    z = sum(s * v for s, v in zip(share / share.sum(), h))
+    return float(1 / (1 + np.exp(-(z @ p["c"] + p["d"][0]))))
+
+
+def test_quality_scores_by_brute_force(table_of, texts):
+    texts = [*texts, "One Two\t3,4!\n" * 150, "  x  ", "ÀÉ" * 40]
+    model = quality.AttentionModel()
+    model.mean, model.scale = np.linspace(0, 0.3, quality.FEATURES).astype(np.float32), np.linspace(0.2, 1, quality.FEATURES).astype(np.float32)
+    got = {r["doc_id"]: r for r in quality.quality_scores(table_of(list(enumerate(texts)), DOC), model).collect()}
+    for i, t in enumerate(texts):
+        x = plain_passages(t)
+        assert got[i]["passages"] == len(x) and abs(got[i]["score"] - plain_score(model, x)) < 2e-4
+
+
+def test_severities_by_brute_force(table_of, texts):
+    """Grades of a model with known weights, summed word by word."""
+    texts = [*texts, "vile viler vilest words", "VILE! nasty; Nastily", "nasty " * 400]
+    model, rng = toxicity.CumulativeLink(), np.random.default_rng(3)
+    model.weights[:] = np.maximum(rng.standard_normal(toxicity.DIMENSIONS), 0) / 50
+    model.thresholds[:] = [0.5, 1.5, 2.0]
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    import re
+
+    def features(t):
+        found = set()
+        for w in re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").encode().lower()):
+            for k, part in [(0, w), (4, w[:4]), (5, w[:5])]:
+                raw = np.frombuffer(part, np.uint8)
+                h = toxicity.hash_spans(raw, np.array([0]), np.array([len(raw)]))
+                found.add(int((toxicity.mix(h + np.uint64(k)) if k else h)[0] >> np.uint64(44)))
+        return found
+
+    got = {r["doc_id"]: r for r in toxicity.severities(table_of(list(enumerate(texts)), DOC), model).collect()}
+    for i, t in enumerate(texts):
+        s = sum(float(model.weights[f]) for f in features(t))
+        below = [sigmoid(x - s) for x in model.thresholds]
+        p = np.diff([0, *below, 1])
+        assert abs(got[i]["expected_severity"] - p @ np.arange(4)) < 1e-6 and abs(got[i]["p_toxic"] - (1 - p[0])) < 1e-6
+        assert got[i]["severity"] == int(np.argmax(p)) and got[i]["toxic"] == (p[0] < 0.5)
+
+
+def test_classifiers_take_ids_of_any_kind_and_repeated_rows(table_of):
+    """Text ids, and one labelled id that fills more rows than the sample: all labelled ids are learnt from."""
+    docs, labels = labelled(random.Random(6), 60)
+    rows = [(f"k{i}", t) for i, t in docs] + [("k0", f"again {i}") for i in range(300)]
+    d, l = table_of(rows, "doc_id string, text string"), table_of([(f"k{i}", *x) for i, *x in labels], "doc_id string, quality int, toxic int", "l")
+    one, two = (quality.train(d, l, sample=40) for _ in range(2))
+    assert all((one.p[k] == two.p[k]).all() for k in one.p)
+    assert quality.quality(d, l).count() == len(rows) and toxicity.severities(d, toxicity.train(d, l, sample=40)).count() == len(rows)
+
+
 def test_empty_tables(table_of):
-    e = table_of([], DOC, "e")
+    e, none = table_of([], DOC, "e"), table_of([], "doc_id long, quality int, toxic int", "n")
     assert ngram_join.near_components(e).count() == 0 and ngram_join.one_of_each(e).count() == 0
     assert suffixes.without_repeats(e).count() == 0 and chunking.chunk_dedup(e).count() == 0
     assert decontamination.contamination(e, table_of([(1, "a b")], "item_id long, text string", "i")).count() == 0
+    assert quality.quality(e, none).count() == 0 and toxicity.severities(e, toxicity.train(e, none)).count() == 0
