@@ -50,12 +50,21 @@ def _returned(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             _trim(0)
 
 
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 1 << 22
+
+
 def in_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``df.mapInArrow(f, schema)`` whose tasks give the memory they freed back to the machine when they end.
 
     Python workers outlive their tasks, and allocators keep what was freed; several idle
-    workers would otherwise hold the largest size each of them ever had.
+    workers would otherwise hold the largest size each of them ever had.  Batches hold texts
+    and sets, of which a task has several forms at once on both sides of the pipe: where the
+    session has Spark's own limit on their bytes, it gets ``BATCH_BYTES``, once.
     """
+    conf = df.sparkSession.conf
+    if conf.get(_BYTES, "") == "67108864b":
+        conf.set(_BYTES, f"{BATCH_BYTES}b")
     return df.mapInArrow(lambda batches: _returned(f(batches)), schema)
 
 
