@@ -14,7 +14,7 @@ from .operators import forward, normalize, tiling
 from .operators.weights import converted, fuzzy_matched
 from .plans.networks import from_plans, read_json
 from .sources import models
-from .sources.volumes import shape_of
+from .sources.volumes import AXES, extents
 
 
 @dataclass
@@ -85,23 +85,26 @@ class Engine:
         """By each channel's scheme; unknown schemes leave voxels as they are."""
         spark = voxels.sparkSession
         given = self.bundle.plans.get("foreground_intensity_properties_per_channel") or {}
-        rows = [(int(c), float(p["mean"]), float(p["std"]), float(p["percentile_00_5"]), float(p["percentile_99_5"])) for c, p in given.items()]
-        params = spark.createDataFrame(rows, "c int, mean double, std double, low double, high double")
-        return normalize.dispatch(voxels, self.schemes, params, unknown="NoNormalization")
-
-    def _scores(self, voxels: DataFrame, normalized: bool) -> tuple[DataFrame, tuple[int, int, int]]:
-        shape = shape_of(voxels)
+        names = ("mean", "std", "percentile_00_5", "percentile_99_5")
+        rows = [({c: {n: float(p[n]) for n in names} for c, p in given.items()},)]
+        kind = ", ".join(f"{n}: double" for n in names)
+        listed = spark.createDataFrame(rows, f"foreground_intensity_properties_per_channel map<string, struct<{kind}>>")
+        return normalize.dispatch(voxels, self.schemes, normalize.intensity_params(listed), unknown="NoNormalization")
+
+    def _scores(self, voxels: DataFrame, normalized: bool) -> tuple[DataFrame, DataFrame]:
+        sizes = extents(voxels)
         ready = voxels if normalized else self.normalize(voxels)
-        padded, box = tiling.pad(ready, shape, self.patch)
-        return forward.predict_patches(padded, box, self.patch, self.step, self.network, self.arch.in_channels, self.mirror), shape
+        padded = tiling.pad_each(ready, sizes, self.patch)
+        box = [F.col(f"n_{a}") for a in AXES]
+        return forward.predict_patches(padded, box, self.patch, self.step, self.network, self.arch.in_channels, self.mirror), sizes
 
     def predict(self, voxels: DataFrame, normalized: bool = False) -> DataFrame:
-        """``volume_id, k, z, y, x, l``: blended class scores of volumes of one shape."""
-        scores, shape = self._scores(voxels, normalized)
-        blended = tiling.crop(B.blend_arrays(scores, self.bundle.classes, self.patch), shape, self.patch)
+        """``volume_id, k, z, y, x, l``: blended class scores; every volume has a shape of its own."""
+        scores, sizes = self._scores(voxels, normalized)
+        blended = tiling.crop_each(B.blend_arrays(scores, self.bundle.classes, self.patch), sizes, self.patch)
         return blended.select("volume_id", "z", "y", "x", F.posexplode("ls").alias("k", "l"))
 
     def segment(self, voxels: DataFrame, normalized: bool = False) -> DataFrame:
         """``volume_id, z, y, x, label1, score1, label2, score2``: the two best classes of the winning patch."""
-        scores, shape = self._scores(voxels, normalized)
-        return tiling.crop(B.segment(scores, self.patch), shape, self.patch)
+        scores, sizes = self._scores(voxels, normalized)
+        return tiling.crop_each(B.segment(scores, self.patch), sizes, self.patch)

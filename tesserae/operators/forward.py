@@ -6,11 +6,11 @@ inside it.  Weights reach the tasks as one broadcast per model.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 from ..plans.networks import Architecture, same_padding
 from .tiling import Triple, axis_subsets, patches
@@ -94,7 +94,7 @@ def mirrored(network: Network, axes: tuple[int, ...]) -> Network:
 SCORES = "volume_id string, pid bigint, z int, y int, x int, d0 int, d1 int, d2 int, ls array<double>"
 
 
-def predict_patches(voxels: DataFrame, shape: Triple, patch: Triple, step: float, network: Network, channels: int = 1, axes: tuple[int, ...] = ()) -> DataFrame:
+def predict_patches(voxels: DataFrame, shape: Triple | list[Column], patch: Triple, step: float, network: Network, channels: int = 1, axes: tuple[int, ...] = ()) -> DataFrame:
     """Class scores ``ls`` of every voxel in every patch.  A group is one patch: as many voxels as the patch has."""
     # a model's weights go once to an executor; a plain function travels with the task
     shared = voxels.sparkSession.sparkContext.broadcast(network) if isinstance(network, UNet) else None
@@ -114,12 +114,3 @@ def predict_patches(voxels: DataFrame, shape: Triple, patch: Triple, step: float
         return pa.table([*cols, pa.ListArray.from_arrays(offsets, pa.array(flat.ravel()))], names=["volume_id", "pid", "z", "y", "x", "d0", "d1", "d2", "ls"])
 
     return patches(voxels, shape, patch, step).groupBy("volume_id", "pid").applyInArrow(run, SCORES)
-
-
-def block_batches(batches: Iterator[pa.RecordBatch], network: Network) -> Iterator[pa.RecordBatch]:
-    """For volumes stored as patch-sized blocks: the network over each row's box, batch by batch."""
-    for batch in batches:
-        out = []
-        for dims, data in zip(batch.column("dims").to_pylist(), batch.column("data")):
-            out.append(network(np.asarray(data.values).reshape(1, *dims).astype(np.float64)).astype(np.float32).ravel())
-        yield pa.record_batch([batch.column("volume_id"), batch.column("z0"), batch.column("y0"), batch.column("x0"), pa.array(out, pa.list_(pa.float32()))], names=["volume_id", "z0", "y0", "x0", "scores"])

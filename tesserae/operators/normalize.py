@@ -42,11 +42,13 @@ def dispatch(voxels: DataFrame, schemes: list[str], params: DataFrame, unknown:
     schemes = schemes or [DEFAULT]
     names = F.array(*[F.lit(s if s in SCHEMES else unknown) for s in schemes])
     scheme = F.when(F.col("c") < len(schemes), F.get(names, F.col("c"))).otherwise(names[0])
-    inside = F.when(F.col("v") != 0, F.col("v"))
-    stats = voxels.groupBy("volume_id", "c").agg(F.coalesce(F.avg(inside), F.lit(0.0)).alias("_m"), F.coalesce(F.stddev_pop(inside), F.lit(1.0)).alias("_s"))
     given = params.select("c", F.col("mean").alias("_mean"), F.col("std").alias("_std"), F.col("low").alias("_low"), F.col("high").alias("_high"))
-    rows = voxels.join(stats, ["volume_id", "c"]).join(F.broadcast(given), "c", "left")  # a row a channel
-    z = (F.col("v") - F.col("_m")) / F.greatest("_s", F.lit(EPS))
-    value = F.when(scheme == "ZScoreNormalization", z).when(scheme == "NoNormalization", F.col("v"))
+    rows = voxels.join(F.broadcast(given), "c", "left")  # a row a channel
+    value = F.when(scheme == "NoNormalization", F.col("v"))
+    if "ZScoreNormalization" in [*schemes, unknown]:
+        inside = F.when(F.col("v") != 0, F.col("v"))
+        stats = voxels.groupBy("volume_id", "c").agg(F.coalesce(F.avg(inside), F.lit(0.0)).alias("_m"), F.coalesce(F.stddev_pop(inside), F.lit(1.0)).alias("_s"))
+        rows = rows.join(stats, ["volume_id", "c"])
+        value = value.when(scheme == "ZScoreNormalization", (F.col("v") - F.col("_m")) / F.greatest("_s", F.lit(EPS)))
     value = value.otherwise(ct_norm(F.col("v"), F.col("_mean"), F.col("_std"), F.col("_low"), F.col("_high")))
     return rows.withColumn("v", value).select(*voxels.columns)

@@ -57,25 +57,46 @@ def tile_grid(extents: DataFrame, patch: Triple, step: float) -> DataFrame:
     return rows.select("volume_id", pid.alias("pid"), *[F.col(f"_s_{a}").alias(f"s{i}") for i, a in enumerate(AXES)])
 
 
-def patches(voxels: DataFrame, shape: Triple, patch: Triple, step: float) -> DataFrame:
+def patches(voxels: DataFrame, shape: Triple | list[Column], patch: Triple, step: float) -> DataFrame:
     """Each voxel once per patch that covers it: ``pid`` and ``d0, d1, d2``, its place in the patch, are added.
 
     The covering positions follow from the coordinate by arithmetic, so this is a narrow
-    expansion: no join, no shuffle, no list of patches.
+    expansion: no join, no shuffle, no list of patches.  ``shape`` may be columns, for
+    volumes of several shapes.
     """
-    rows, counts = voxels, [F.lit(len(positions(s, p, step))) for s, p in zip(shape, patch)]
-    for a, s, p in zip(AXES, shape, patch):
-        rows = rows.withColumn(f"_i_{a}", F.explode(covering(F.col(a), F.lit(s), p, step)))
+    sizes = [s if isinstance(s, Column) else F.lit(s) for s in shape]
+    rows, counts = voxels, [step_count(s, p, step) for s, p in zip(sizes, patch)]
+    for a, s, p in zip(AXES, sizes, patch):
+        rows = rows.withColumn(f"_i_{a}", F.explode(covering(F.col(a), s, p, step)))
     pid = (F.col("_i_z").cast("long") * counts[1] + F.col("_i_y")) * counts[2] + F.col("_i_x")
-    place = {f"d{i}": F.col(a) - step_at(F.col(f"_i_{a}"), counts[i], F.lit(s), p) for i, (a, s, p) in enumerate(zip(AXES, shape, patch))}
+    place = {f"d{i}": F.col(a) - step_at(F.col(f"_i_{a}"), counts[i], s, p) for i, (a, s, p) in enumerate(zip(AXES, sizes, patch))}
     return rows.withColumns({"pid": pid, **place}).drop(*[f"_i_{a}" for a in AXES])
 
 
-def patches_by_join(voxels: DataFrame, tiles: DataFrame, patch: Triple) -> DataFrame:
-    """The same as a range join with a list of patches that is small by construction."""
-    held = [(F.col(a) >= F.col(f"s{i}")) & (F.col(a) < F.col(f"s{i}") + p) for i, (a, p) in enumerate(zip(AXES, patch))]
-    rows = voxels.join(F.broadcast(tiles.withColumnRenamed("volume_id", "_v")), (F.col("volume_id") == F.col("_v")) & held[0] & held[1] & held[2])
-    return rows.withColumns({f"d{i}": F.col(a) - F.col(f"s{i}") for i, a in enumerate(AXES)}).drop("_v", "s0", "s1", "s2")
+def _before(a: str, p: int) -> Column:
+    """Zeros before axis ``a`` of a volume with its extents as columns."""
+    return F.expr(f"greatest({p} - n_{a}, 0) div 2").cast("int")
+
+
+def pad_each(voxels: DataFrame, extents: DataFrame, patch: Triple) -> DataFrame:
+    """:func:`pad` for volumes of several shapes; ``n_z, n_y, n_x`` become the padded box of each."""
+    held = voxels.join(extents, "volume_id")
+    box = {f"n_{a}": F.greatest(F.col(f"n_{a}"), F.lit(p)).cast("int") for a, p in zip(AXES, patch)}
+    moved = held.withColumns({a: (F.col(a) + _before(a, p)).cast("int") for a, p in zip(AXES, patch)}).withColumns(box)
+    heads = voxels.select("volume_id", "c").distinct().join(extents, "volume_id")  # a row a volume and channel
+    zeros = heads.where(" OR ".join(f"n_{a} < {p}" for a, p in zip(AXES, patch)))
+    for a, p in zip(AXES, patch):
+        zeros = zeros.withColumn(a, F.explode(F.sequence(F.lit(0), F.greatest(F.col(f"n_{a}"), F.lit(p)).cast("int") - 1)))
+    inside = [(F.col(a) >= _before(a, p)) & (F.col(a) < _before(a, p) + F.col(f"n_{a}")) for a, p in zip(AXES, patch)]
+    zeros = zeros.where(~(inside[0] & inside[1] & inside[2])).withColumn("v", F.lit(0.0)).withColumns(box)
+    columns = ["volume_id", "c", *AXES, "v", *box]
+    return moved.select(*columns).unionByName(zeros.select(*columns))
+
+
+def crop_each(cells: DataFrame, extents: DataFrame, patch: Triple) -> DataFrame:
+    """The inverse of :func:`pad_each`, for cells of any kind with ``volume_id, z, y, x``."""
+    moved = cells.join(extents, "volume_id").withColumns({a: (F.col(a) - _before(a, p)).cast("int") for a, p in zip(AXES, patch)})
+    return moved.where(" AND ".join(f"{a} >= 0 AND {a} < n_{a}" for a in AXES)).drop(*[f"n_{a}" for a in AXES])
 
 
 def gaussian_map(spark: SparkSession, tile: Triple, sigma_scale: float = 0.125, scale: float = 1.0) -> DataFrame:

@@ -8,9 +8,10 @@ def r(x: str, digits: int = 6) -> str:
 
 
 PLANE = "img AS (SELECT vec_id AS z, 0 AS y, i - 1 AS x, CAST(embedding[i] AS DOUBLE) AS v FROM embeddings, range(1, 65) t(i))"
-CUBE = """raw AS (SELECT CAST(l_quantity AS INT) - 1 AS z, l_linenumber - 1 AS y, CAST(round_even(l_discount * 100, 0) AS INT) AS x, avg(l_extendedprice) AS v FROM lineitem GROUP BY ALL),
+CUBE = """raw AS (SELECT CAST(l_quantity AS INT) - 1 AS z, l_linenumber - 1 AS y, CAST(round_even(l_discount * 100, 0) AS INT) AS x, avg(l_extendedprice) / 79193::DOUBLE AS v FROM lineitem GROUP BY ALL),
 cube AS (SELECT a.i AS z, b.i AS y, c.i AS x, coalesce(v, 0) AS v FROM range(50) a(i), range(7) b(i), range(11) c(i) LEFT JOIN raw ON raw.z = a.i AND raw.y = b.i AND raw.x = c.i)"""
-SMALL = CUBE + ",\nsmall AS (SELECT 0 AS c, z, y, x, v / 100000::DOUBLE AS v FROM cube WHERE z < 8 AND y < 4 AND x < 8)"
+BOX = "box AS (SELECT 0 AS c, p.i AS z, q.i AS y, t.i AS x, coalesce(v, 0) AS v FROM range(50) p(i), range(8) q(i), range(12) t(i) LEFT JOIN cube ON p.i = z AND q.i = y AND t.i = x)"
+LAYERS = CUBE + ",\nwhole AS (SELECT 0 AS c, z, y, x, v FROM cube),\n" + BOX
 
 
 def axis(name: str, image: str, tile: int, step: float = 0.5) -> str:
@@ -30,7 +31,7 @@ pv AS (SELECT az.i * ax.m + ax.i AS pid, z, y, x, z - az.s AS dz, x - ax.s AS dx
 {NET}"""
 # 16 x 8 x 16 patches over the cube padded to 50 x 8 x 16
 PADDED = "pad AS (SELECT p.i AS z, q.i AS y, t.i AS x, coalesce(v, 0) AS v FROM range(50) p(i), range(8) q(i), range(16) t(i) LEFT JOIN {0} ON p.i = z AND q.i = y + 0 AND t.i = x + 2)"
-CT = "ct AS (SELECT z, y, x, (least(greatest(v, 1000), 90000) - 50000) / 25000::DOUBLE AS v FROM cube)"
+CT = "ct AS (SELECT z, y, x, (least(greatest(v, 0.01::DOUBLE), 1.1::DOUBLE) - 0.6::DOUBLE) / 0.31::DOUBLE AS v FROM cube)"
 CUBE_NET = f"""WITH {CUBE}, {CT}, {PADDED.format("ct")}, {axis("az", "50", 16)},
 pv AS (SELECT i AS pid, z, y, x, v, 10 * exp(-((z - s - 8) ** 2 / 8::DOUBLE + (y - 4) ** 2 / 2::DOUBLE + (x - 8) ** 2 / 8::DOUBLE)) AS w FROM pad JOIN az ON z >= s AND z < s + 16),
 {NET}"""
@@ -39,7 +40,7 @@ BLEND = f"sum(w * l) / sum(w)"
 
 SQL: dict[str, str] = {}
 
-SQL["ct_normalize"] = f"WITH {CUBE} SELECT z, y, x, {r('(least(greatest(v, 20000), 80000) - 50000) / 25000::DOUBLE')} AS v FROM cube"
+SQL["ct_normalize"] = f"WITH {CUBE} SELECT z, y, x, {r('(least(greatest(v, 0.25::DOUBLE), 1::DOUBLE) - 0.6::DOUBLE) / 0.31::DOUBLE')} AS v FROM cube"
 
 
 def _zscore(mask: str) -> str:
@@ -54,7 +55,7 @@ SQL["zscore_empty_mask"] = _zscore("q < 0")
 SQL["normalize_dispatch"] = f"""WITH o AS (SELECT CAST(o_custkey % 4 AS INT) AS c, CAST(o_orderkey AS INT) AS z, o_totalprice / 1000::DOUBLE AS v FROM orders),
 s AS (SELECT c, coalesce(avg(v) FILTER (v <> 0), 0) AS m, coalesce(stddev_pop(v) FILTER (v <> 0), 1) AS sd FROM o GROUP BY c)
 SELECT c, z, {r("CASE c WHEN 0 THEN (least(greatest(v, 10), 300) - 100) / 50 WHEN 1 THEN (v - m) / greatest(sd, 1e-8) WHEN 2 THEN v ELSE (least(greatest(v, 20), 280) - 150) / 61.7::DOUBLE END")} AS v FROM o JOIN s USING (c)"""
-SQL["normalize_engine_unknown"] = f"SELECT CAST(0 AS INT) AS c, CAST(o_orderkey AS INT) AS z, {r('o_totalprice / 1000::DOUBLE')} AS v FROM orders WHERE o_custkey % 4 = 0"
+SQL["normalize_engine_unknown"] = f"SELECT CAST(0 AS INT) AS c, CAST(o_orderkey AS INT) AS z, {r('o_totalprice / 1000::DOUBLE')} AS v FROM orders"
 SQL["pad_symmetric"] = f"WITH {CUBE}, {PADDED.format('cube')} SELECT z, y, x, {r('v')} AS v FROM pad"
 SQL["crop_inverse"] = f"WITH {CUBE} SELECT z, y, x, {r('v')} AS v FROM cube"
 STEPS = """images AS (SELECT * FROM (VALUES (255, 128), (178, 128), (256, 128), (253, 128), (40, 32), (128, 64), (31, 32), (10, 32), (128, 128), (2000, 32)) t(image, tile)),
@@ -70,8 +71,7 @@ SELECT {r("ln(CASE WHEN w = 0 THEN m ELSE w END)", 5)} AS log_w, count(*) AS n F
 SQL["blend_gaussian"] = f"{PLANE_NET} SELECT z, y, x, k, {r(BLEND)} AS l FROM lg GROUP BY z, y, x, k"
 SQL["blend_uniform"] = f"{PLANE_NET} SELECT z, y, x, k, {r('avg(l)')} AS l FROM lg GROUP BY z, y, x, k"
 SQL["blend_3d_padded"] = f"{CUBE_NET} SELECT z, y, x - 2 AS x, k, {r(BLEND)} AS l FROM lg WHERE {CROPPED} GROUP BY z, y, x, k"
-SQL["blend_rolling_z"] = SQL["blend_strict"] = SQL["blend_3d_padded"]
-SQL["blend_streaming"] = f"{CUBE_NET} SELECT z, y, x - 2 AS x, k, {r(BLEND)} AS l FROM lg WHERE z < 32 AND {CROPPED} GROUP BY z, y, x, k"
+SQL["blend_rolling_z"] = SQL["blend_strict"] = SQL["blend_streaming"] = SQL["blend_3d_padded"]
 SQL["tta_axis_subsets"] = "SELECT * FROM (VALUES (0, ''), (1, '0'), (2, '1'), (3, '2'), (4, '01'), (5, '02'), (6, '12'), (7, '012')) t(pass, axes)"
 SQL["tta_mirror_mean"] = f"""WITH {CUBE},
 near AS (SELECT z, y, x, v, lag(v, 1, 0) OVER w AS before, lead(v, 1, 0) OVER w AS after FROM cube WINDOW w AS (PARTITION BY z, y ORDER BY x))
@@ -101,9 +101,10 @@ def conv(name: str, source: str, n_out: int, n_in: int, out: tuple[int, int, int
     """Gathers: every output place looks up its inputs."""
     p = [(k - 1) // 2 for k in size]
     places = ", ".join(f"range({n}) o{a}({a})" for a, n in zip("zyx", out))
-    match = " AND ".join(f"f.{a} = g.{a} * {stride} + k.d{a} - {q}" for a, q in zip("zyx", p))
-    add = " + (k.o - 1) / 10::DOUBLE" if bias else ""
-    return f"{name} AS (SELECT k.o AS c, g.z, g.y, g.x, sum(f.v * k.w){add} AS v FROM (SELECT * FROM {places}) g CROSS JOIN {kernel(n_out, n_in, size, salt)} k JOIN {source} f ON f.c = k.i AND {match} GROUP BY k.o, g.z, g.y, g.x)"
+    asked = ", ".join(f"{a} * {stride} + d{a} - {q} AS f{a}" for a, q in zip("zyx", p))
+    add = " + (g.o - 1) / 10::DOUBLE" if bias else ""
+    asked = f"(SELECT o, i, w, z, y, x, {asked} FROM (SELECT * FROM {places}), {kernel(n_out, n_in, size, salt)})"
+    return f"{name} AS (SELECT g.o AS c, g.z, g.y, g.x, sum(f.v * g.w){add} AS v FROM {asked} g JOIN {source} f ON f.c = g.i AND f.z = g.fz AND f.y = g.fy AND f.x = g.fx GROUP BY g.o, g.z, g.y, g.x)"
 
 
 def norm(name: str, source: str, act: bool = True) -> str:
@@ -122,7 +123,7 @@ def pool(name: str, source: str) -> str:
 
 
 def joined(name: str, a: str, b: str) -> str:
-    return f"{name} AS (SELECT c, z, y, x, CASE WHEN p.v + q.v > 0 THEN p.v + q.v ELSE 0.01::DOUBLE * (p.v + q.v) END AS v FROM {a} p JOIN {b} q USING (c, z, y, x))"
+    return f"{name} AS (SELECT c, z, y, x, CASE WHEN v > 0 THEN v ELSE 0.01::DOUBLE * v END AS v FROM (SELECT c, z, y, x, sum(v) AS v FROM (SELECT * FROM {a} UNION ALL SELECT * FROM {b}) GROUP BY c, z, y, x))"
 
 
 def head(name: str, source: str, channels: int) -> str:
@@ -130,26 +131,27 @@ def head(name: str, source: str, channels: int) -> str:
 
 
 def select(steps: list[str], last: str, value: str = "v", key: str = "c", digits: int = 6) -> str:
-    return f"WITH {SMALL}, {', '.join(steps)} SELECT {key}, z, y, x, {r(value, digits)} AS {value} FROM {last}"
+    steps = [step.replace(" AS (", " AS MATERIALIZED (", 1) for step in steps]  # each is read several times
+    return f"WITH {LAYERS}, {', '.join(steps)} SELECT {key}, z, y, x, {r(value, digits)} AS {value} FROM {last}"
 
 
-FULL, HALF = (8, 4, 8), (4, 2, 4)
-SQL["conv3d_same"] = select([conv("a", "small", 2, 1, FULL, bias=True)], "a")
-SQL["conv3d_strided"] = select([conv("a", "small", 2, 1, HALF, stride=2, bias=True)], "a")
+WHOLE, FULL, HALF = (50, 7, 11), (50, 8, 12), (25, 4, 6)
+SQL["conv3d_same"] = select([conv("a", "whole", 2, 1, WHOLE, bias=True)], "a")
+SQL["conv3d_strided"] = select([conv("a", "box", 2, 1, HALF, stride=2, bias=True)], "a")
 SQL["instance_norm"] = f"WITH {CUBE}, s AS (SELECT avg(v) AS m, var_pop(v) AS q FROM cube) SELECT 0 AS c, z, y, x, {r('(v - m) / sqrt(q + 1e-5::DOUBLE) * 1.5::DOUBLE - 0.25::DOUBLE')} AS v FROM cube, s"
 SQL["leaky_relu"] = f"WITH {PLANE} SELECT z, {r('sum(CASE WHEN v > 0 THEN v ELSE 0.01::DOUBLE * v END)', 5)} AS v, count(*) FILTER (v < 0) AS below FROM img GROUP BY z"
-SQL["conv_norm_act"] = select([conv("a", "small", 2, 1, FULL, bias=True), norm("b", "a")], "b")
-SQL["stacked_conv"] = select([conv("a", "small", 2, 1, HALF, stride=2), norm("b", "a"), conv("d", "b", 2, 2, HALF, salt=3), norm("e", "d")], "e")
+SQL["conv_norm_act"] = select([conv("a", "whole", 2, 1, WHOLE, bias=True), norm("b", "a")], "b")
+SQL["stacked_conv"] = select([conv("a", "box", 2, 1, HALF, stride=2), norm("b", "a"), conv("d", "b", 2, 2, HALF, salt=3), norm("e", "d")], "e")
 SQL["avg_pool"] = f"WITH {CUBE} SELECT 0 AS c, z // 2 AS z, y // 2 AS y, x // 2 AS x, {r('avg(v)')} AS v FROM cube WHERE y < 6 AND x < 10 GROUP BY ALL"
-SQL["residual_block"] = select([conv("a", "small", 2, 1, HALF, stride=2), norm("b", "a"), conv("d", "b", 2, 2, HALF, salt=3), norm("e", "d", False), pool("p", "small"), conv("s", "p", 2, 1, HALF, (1, 1, 1), salt=4), norm("t", "s", False), joined("u", "e", "t")], "u")
-SQL["conv_transpose"] = select([up("a", "small", 2, 1, bias=True)], "a")
-SQL["skip_concat"] = select([conv("a", "small", 2, 1, FULL, (1, 1, 1)), "b AS (SELECT * FROM a UNION ALL SELECT 2, z, y, x, v FROM small)"], "b")
-SQL["seg_head"] = select([conv("a", "small", 2, 1, FULL, (1, 1, 1)), head("h", "a", 2)], "h", "l", "k")
+SQL["residual_block"] = select([conv("a", "box", 2, 1, HALF, stride=2), norm("b", "a"), conv("d", "b", 2, 2, HALF, salt=3), norm("e", "d", False), pool("p", "box"), conv("s", "p", 2, 1, HALF, (1, 1, 1), salt=4), norm("t", "s", False), joined("u", "e", "t")], "u")
+SQL["conv_transpose"] = select([up("a", "whole", 2, 1, bias=True)], "a")
+SQL["skip_concat"] = select([conv("a", "whole", 2, 1, WHOLE, (1, 1, 1)), "b AS (SELECT * FROM a UNION ALL SELECT 2, z, y, x, v FROM whole)"], "b")
+SQL["seg_head"] = select([conv("a", "whole", 2, 1, WHOLE, (1, 1, 1)), head("h", "a", 2)], "h", "l", "k")
 SQL["deep_supervision_order"] = "SELECT * FROM (VALUES (0, 2, 8), (1, 1, 16), (2, 0, 32)) t(place, stage, width)"
 _DECODER = [up("up1", "low", 2, 3, 6), "cat AS (SELECT * FROM up1 UNION ALL SELECT c + 2, z, y, x, v FROM skip)", conv("o1", "cat", 2, 4, FULL, salt=7), norm("o2", "o1"), head("h", "o2", 2)]
-SQL["tiny_unet"] = select([conv("a", "small", 2, 1, FULL), norm("skip", "a"), conv("b", "skip", 3, 2, HALF, stride=2, salt=3), norm("low", "b"), *_DECODER], "h", "l", "k", 5)
+SQL["tiny_unet"] = select([conv("a", "box", 2, 1, FULL), norm("skip", "a"), conv("b", "skip", 3, 2, HALF, stride=2, salt=3), norm("low", "b"), *_DECODER], "h", "l", "k", 5)
 SQL["tiny_resenc_unet"] = select(
-    [conv("a", "small", 2, 1, FULL), norm("stem", "a"),
+    [conv("a", "box", 2, 1, FULL), norm("stem", "a"),
      conv("r1", "stem", 2, 2, FULL, salt=1), norm("r2", "r1"), conv("r3", "r2", 2, 2, FULL, salt=2), norm("r4", "r3", False), joined("skip", "r4", "stem"),
      conv("q1", "skip", 3, 2, HALF, stride=2, salt=3), norm("q2", "q1"), conv("q3", "q2", 3, 3, HALF, salt=4), norm("q4", "q3", False),
      pool("q5", "skip"), conv("q6", "q5", 3, 2, HALF, (1, 1, 1), salt=5), norm("q7", "q6", False), joined("low", "q4", "q7"), *_DECODER], "h", "l", "k", 5)
@@ -190,5 +192,73 @@ SQL["predict_arrow"] = SQL["blend_gaussian"]
 SQL["safetensors_roundtrip"] = f"SELECT key, array_to_string(s, 'x') AS shape, list_product(s)::INT AS n, list_product(s) * (list_product(s) - 1) / 2::DOUBLE AS total FROM {_TENSORS}"
 
 
+
+
+# the engine: the cube z-scored, padded, cut into patches, a network of two stages per patch, blended.
+# A parameter is ((7 j + 3 length(key)) % 11 - 5) / 16 at place j of the stored tensor.
+
+
+def par(j: str, key: str) -> str:
+    return f"((7 * ({j}) + {3 * len(key)}) % 11 - 5) / 16::DOUBLE"
+
+
+def patch_conv(name: str, source: str, key: str, n_out: int, n_in: int, out: tuple[int, int, int], stride: int = 1) -> str:
+    """Convolution, norm and activation of every patch."""
+    places = ", ".join(f"range({n}) o{a}({a})" for a, n in zip("zyx", out))
+    asked = ", ".join(f"{a} * {stride} + d{a} - 1 AS f{a}" for a in "zyx")
+    j = f"(((o * {n_in} + i) * 3 + dz) * 3 + dy) * 3 + dx"
+    k = f"(SELECT o, i, dz, dy, dx, {par(j, key + '.conv.weight')} AS w FROM range({n_out}) a(o), range({n_in}) b(i), range(3) p(dz), range(3) q(dy), range(3) t(dx))"
+    asked = f"(SELECT o, i, w, z, y, x, {asked} FROM (SELECT * FROM {places}), {k})"
+    sums = f"SELECT f.pid, g.o AS c, g.z, g.y, g.x, sum(f.v * g.w) + {par('g.o', key + '.conv.bias')} AS v FROM {asked} g JOIN {source} f ON f.c = g.i AND f.z = g.fz AND f.y = g.fy AND f.x = g.fx GROUP BY f.pid, g.o, g.z, g.y, g.x"
+    h = f"(v - avg(v) OVER w) / sqrt(var_pop(v) OVER w + 1e-5::DOUBLE) * {par('c', key + '.norm.weight')} + {par('c', key + '.norm.bias')}"
+    return f"{name} AS MATERIALIZED (SELECT pid, c, z, y, x, CASE WHEN h > 0 THEN h ELSE 0.01::DOUBLE * h END AS v FROM (SELECT *, {h} AS h FROM ({sums}) WINDOW w AS (PARTITION BY pid, c)))"
+
+
+_UP, _HEAD = "decoder.transpconvs.0", "decoder.seg_layers.0"
+_UP_J, _HEAD_J = "(((f.c * 2 + o) * 2 + dz) * 2 + dy) * 2 + dx", "o * 2 + c"
+ENGINE = f"""WITH {CUBE}, zs AS (SELECT coalesce(avg(v) FILTER (v <> 0), 0) AS m, greatest(coalesce(stddev_pop(v) FILTER (v <> 0), 1), 1e-8) AS sd FROM cube),
+nz AS (SELECT z, y, x, (v - m) / sd AS v FROM cube, zs), {PADDED.format("nz")}, {axis("az", "50", 16)},
+p0 AS MATERIALIZED (SELECT i AS pid, 0 AS c, z - s AS z, y, x, v FROM pad JOIN az ON z >= s AND z < s + 16),
+{patch_conv("skip", "p0", "encoder.stages.0.convs.0", 2, 1, (16, 8, 16))},
+{patch_conv("low", "skip", "encoder.stages.1.convs.0", 3, 2, (8, 4, 8), 2)},
+raised AS MATERIALIZED (SELECT f.pid, o AS c, 2 * f.z + dz AS z, 2 * f.y + dy AS y, 2 * f.x + dx AS x, sum(f.v * {par(_UP_J, _UP + ".weight")}) + any_value({par("o", _UP + ".bias")}) AS v
+  FROM low f, range(2) a(o), range(2) p(dz), range(2) q(dy), range(2) t(dx) GROUP BY ALL),
+cat AS MATERIALIZED (SELECT * FROM raised UNION ALL SELECT pid, c + 2, z, y, x, v FROM skip),
+{patch_conv("dec", "cat", "decoder.stages.0.convs.0", 2, 4, (16, 8, 16))},
+lg AS MATERIALIZED (SELECT pid, k, z + s AS z, y, x, 10 * exp(-((z - 8) ** 2 / 8::DOUBLE + (y - 4) ** 2 / 2::DOUBLE + (x - 8) ** 2 / 8::DOUBLE)) AS w, l
+  FROM (SELECT pid, o AS k, z, y, x, sum(v * {par(_HEAD_J, _HEAD + ".weight")}) + any_value({par("o", _HEAD + ".bias")}) AS l FROM dec, range(3) t(o) GROUP BY ALL) JOIN az ON pid = i)"""
+SQL["engine_predict"] = f"{ENGINE} SELECT z, y, x - 2 AS x, k, {r(BLEND, 5)} AS l FROM lg WHERE {CROPPED} GROUP BY z, y, x, k"
+SQL["engine_segment"] = f"{ENGINE}, {SEGMENT} SELECT z, y, x - 2 AS x, label1, {r('score1', 5)} AS score1, label2, {r('score2', 5)} AS score2 FROM seg WHERE {CROPPED}"
+SQL["engine_shapes"] = f"""WITH {CUBE}, several AS (SELECT 'whole' AS volume_id, * FROM cube UNION ALL SELECT 'long', * FROM cube WHERE y < 2 UNION ALL SELECT 'flat', * FROM cube WHERE z < 5 UNION ALL SELECT 'plane', * FROM cube WHERE z < 1 AND x < 4)
+SELECT volume_id, k, count(*) AS n, max(z) AS z1, max(y) AS y1, max(x) AS x1 FROM several, range(3) t(k) GROUP BY ALL"""
+SQL["engine_normalize"] = f"WITH {CUBE}, zs AS (SELECT avg(v) FILTER (v <> 0) AS m, stddev_pop(v) FILTER (v <> 0) AS sd FROM cube) SELECT z, y, x, {r('(v - m) / greatest(sd, 1e-8)')} AS v FROM cube, zs"
+
+
+def block(key: str, o: int, i: int, kernel: str = "3x3x3") -> list[tuple[str, str, str]]:
+    return [(f"{key}.conv.weight", "conv", f"{o}x{i}x{kernel}"), (f"{key}.conv.bias", "bias", str(o)), (f"{key}.norm.weight", "norm", str(o)), (f"{key}.norm.bias", "norm", str(o))]
+
+
+def listing(found: list[tuple[str, str, str]]) -> str:
+    return f"SELECT * FROM (VALUES {', '.join(map(str, found))}) t(key, kind, shape)"
+
+
+SQL["network_layers_old"] = listing([*block("encoder.stages.0.convs.0", 2, 1), *block("encoder.stages.1.convs.0", 3, 2), ("decoder.transpconvs.0.weight", "up", "3x2x2x2x2"), ("decoder.transpconvs.0.bias", "bias", "2"),
+    *block("decoder.stages.0.convs.0", 2, 4), ("decoder.seg_layers.0.weight", "head", "3x2x1x1x1"), ("decoder.seg_layers.0.bias", "bias", "3")])
+_BLOCKS = "encoder.stages.{}.blocks.{}.{}".format
+SQL["network_layers_new"] = listing([
+    *block("encoder.stem.convs.0", 6, 1, "1x3x3"),
+    *block(_BLOCKS(0, 0, "conv1"), 4, 6, "1x3x3"), *block(_BLOCKS(0, 0, "conv2"), 4, 4, "1x3x3"), *block(_BLOCKS(0, 0, "skip"), 4, 6, "1x1x1"),
+    *block(_BLOCKS(1, 0, "conv1"), 8, 4), *block(_BLOCKS(1, 0, "conv2"), 8, 8), *block(_BLOCKS(1, 0, "skip"), 8, 4, "1x1x1"),
+    *block(_BLOCKS(1, 1, "conv1"), 8, 8), *block(_BLOCKS(1, 1, "conv2"), 8, 8),
+    *block(_BLOCKS(2, 0, "conv1"), 8, 8), *block(_BLOCKS(2, 0, "conv2"), 8, 8),
+    ("decoder.transpconvs.0.weight", "up", "8x8x2x2x2"), ("decoder.transpconvs.0.bias", "bias", "8"), *block("decoder.stages.0.convs.0", 8, 16), ("decoder.seg_layers.0.weight", "head", "3x8x1x1x1"), ("decoder.seg_layers.0.bias", "bias", "3"),
+    ("decoder.transpconvs.1.weight", "up", "8x4x1x2x2"), ("decoder.transpconvs.1.bias", "bias", "4"), *block("decoder.stages.1.convs.0", 4, 8, "1x3x3"), ("decoder.seg_layers.1.weight", "head", "3x4x1x1x1"), ("decoder.seg_layers.1.bias", "bias", "3"),
+])
+SQL["intensity_params"] = "SELECT * FROM (VALUES (0, 0.5::DOUBLE, 0.25::DOUBLE, 0.125::DOUBLE, 0.875::DOUBLE), (2, 3.0, 0.5, -1.0, 9.0)) t(c, mean, std, low, high)"
+SQL["model_folder_scan"] = "SELECT * FROM (VALUES (7, 'Dataset007_demo/Trainer__plans__3d'), (12, 'Dataset12_other/A__plans__3d'), (99, 'Dataset099_bare/T__plans__3d'), (0, 'Dataset12_other/A__plans__3d'), (1, 'none'), (2, 'none')) t(task, path)"
+SQL["checkpoint_resolver"] = "SELECT * FROM (VALUES ('Dataset007_demo/Trainer__plans__3d', 0, 'loaded', 16), ('Dataset007_demo/Trainer__plans__3d', 1, 'missing', 0), ('Dataset12_other/A__plans__3d', 1, 'pickle', 0), ('Dataset099_bare/T__plans__3d', 0, 'pickle', 0)) t(path, fold, state, n)"
+SQL["convert_folder"] = f"SELECT 2 AS first, 0 AS second, 2 AS forced, 2 * count(*) AS tensors, sum(n * (n - 1) + n)::DOUBLE AS total FROM (SELECT list_product(s) AS n FROM {_TENSORS})"
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)

@@ -8,18 +8,21 @@ order agree.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .engine import Engine, ModelBundle
 from .functions import expressions as X
 from .operators import blend as B
 from .operators import forward, layers, normalize, tiling, weights
 from .plans import networks
 from .sources import models, tensors, volumes
-from .sources.scratch import folder
+from .sources.scratch import folder, stored
 from .streaming import rolling
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,16 +59,17 @@ def plane(spark: SparkSession, sf_dir: str) -> DataFrame:
     return volumes.embeddings_plane(spark, sf_dir)
 
 
-def cube(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return volumes.lineitem_cube(spark, sf_dir)
+UNIT = 79193.0  # a prime: no mean of prices in this unit lies halfway between two rounded values
+SHAPE = (50, 7, 11)
+BOX = (50, 8, 12)  # the cube with even sides
 
 
-def small(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An 8 x 4 x 8 corner of the cube in units of 100,000."""
-    return cube(spark, sf_dir).where("z < 8 AND y < 4 AND x < 8").withColumn("v", F.col("v") / 100000)
+def cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return volumes.lineitem_cube(spark, sf_dir).withColumn("v", F.col("v") / UNIT)
 
 
-SMALL = (8, 4, 8)
+def box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiling.pad(cube(spark, sf_dir), SHAPE, BOX)[0]
 
 
 def rows(spark: SparkSession, values: list, schema: str) -> DataFrame:
@@ -99,7 +103,7 @@ def plane_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cube_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    padded, box = tiling.pad(normalize.ct(cube(spark, sf_dir), 50000.0, 25000.0, 1000.0, 90000.0), (50, 7, 11), CUBE_PATCH)
+    padded, box = tiling.pad(normalize.ct(cube(spark, sf_dir), 0.6, 0.31, 0.01, 1.1), SHAPE, CUBE_PATCH)
     return patch_network(tiling.patches(padded, box, CUBE_PATCH, 0.5))
 
 
@@ -112,7 +116,7 @@ def long(blended: DataFrame) -> DataFrame:
 
 @query
 def ct_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return normalize.ct(cube(spark, sf_dir), 50000.0, 25000.0, 20000.0, 80000.0).select("z", "y", "x", r("v").alias("v"))
+    return normalize.ct(cube(spark, sf_dir), 0.6, 0.31, 0.25, 1.0).select("z", "y", "x", r("v").alias("v"))
 
 
 def discounts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,7 +164,7 @@ def normalize_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def normalize_engine_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return normalize.dispatch(channels(spark, sf_dir).where("c = 0"), ["SomeOtherNormalization"], _params(spark), unknown="NoNormalization").select("c", "z", r("v").alias("v"))
+    return normalize.dispatch(channels(spark, sf_dir).withColumn("c", F.lit(0)), ["SomeOtherNormalization"], _params(spark), unknown="NoNormalization").select("c", "z", r("v").alias("v"))
 
 
 # padding, patches, weights
@@ -168,13 +172,13 @@ def normalize_engine_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def pad_symmetric(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tiling.pad(cube(spark, sf_dir), (50, 7, 11), CUBE_PATCH)[0].select("z", "y", "x", r("v").alias("v"))
+    return tiling.pad(cube(spark, sf_dir), SHAPE, CUBE_PATCH)[0].select("z", "y", "x", r("v").alias("v"))
 
 
 @query
 def crop_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    padded, _ = tiling.pad(cube(spark, sf_dir), (50, 7, 11), CUBE_PATCH)
-    return tiling.crop(padded, (50, 7, 11), CUBE_PATCH).select("z", "y", "x", r("v").alias("v"))
+    padded, _ = tiling.pad(cube(spark, sf_dir), SHAPE, CUBE_PATCH)
+    return tiling.crop(padded, SHAPE, CUBE_PATCH).select("z", "y", "x", r("v").alias("v"))
 
 
 IMAGES = [(255, 128), (178, 128), (256, 128), (253, 128), (40, 32), (128, 64), (31, 32), (10, 32), (128, 128), (2000, 32)]
@@ -191,7 +195,7 @@ def tile_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def tile_grid_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    extents = volumes.extents(tiling.pad(cube(spark, sf_dir), (50, 7, 11), CUBE_PATCH)[0])
+    extents = volumes.extents(tiling.pad(cube(spark, sf_dir), SHAPE, CUBE_PATCH)[0])
     return tiling.tile_grid(extents, CUBE_PATCH, 0.5).select("pid", "s0", "s1", "s2")
 
 
@@ -234,7 +238,7 @@ def blend_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _blended_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tiling.crop(B.blend_arrays(cube_scores(spark, sf_dir), 3, CUBE_PATCH), (50, 7, 11), CUBE_PATCH)
+    return tiling.crop(B.blend_arrays(cube_scores(spark, sf_dir), 3, CUBE_PATCH), SHAPE, CUBE_PATCH)
 
 
 @query
@@ -249,20 +253,20 @@ def _long_scores(scores: DataFrame) -> DataFrame:
 @query
 def blend_rolling_z(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rolling.rolling_batch(_long_scores(cube_scores(spark, sf_dir)), CUBE_PATCH)
-    return tiling.crop(found, (50, 7, 11), CUBE_PATCH).select("z", "y", "x", "k", r("l").alias("l"))
+    return tiling.crop(found, SHAPE, CUBE_PATCH).select("z", "y", "x", "k", r("l").alias("l"))
 
 
 @query
 def blend_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = B.strict_blend(_long_scores(cube_scores(spark, sf_dir)), CUBE_PATCH)
-    return tiling.crop(found, (50, 7, 11), CUBE_PATCH).select("z", "y", "x", "k", r("l").alias("l"))
+    return tiling.crop(found, SHAPE, CUBE_PATCH).select("z", "y", "x", "k", r("l").alias("l"))
 
 
 @query
 def blend_streaming(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rolling blend as a stream over a file of patch scores, closed by a row beyond the last plane."""
     base = folder(spark, "stream")
-    scores = _long_scores(cube_scores(spark, sf_dir).where("z < 32"))
+    scores = _long_scores(cube_scores(spark, sf_dir))
     scores.repartitionByRange(4, "z").write.parquet(f"{base}/in")
     rolling.closing_row(scores, 50, CUBE_PATCH).write.mode("append").parquet(f"{base}/in")
     stream = spark.readStream.schema(scores.schema).parquet(f"{base}/in")
@@ -270,7 +274,7 @@ def blend_streaming(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = found.writeStream.format("parquet").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start(f"{base}/out")
     run.awaitTermination()
     out = spark.read.schema(found.schema).parquet(f"{base}/out")
-    return tiling.crop(out, (50, 7, 11), CUBE_PATCH).select("z", "y", "x", "k", r("l").alias("l"))
+    return tiling.crop(out, SHAPE, CUBE_PATCH).select("z", "y", "x", "k", r("l").alias("l"))
 
 
 # mirrored passes
@@ -288,8 +292,8 @@ def _lopsided(spark: SparkSession) -> DataFrame:
 @query
 def tta_mirror_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = _lopsided(spark)
-    net = lambda f, by: layers.conv3d(f, w, (50, 7, 11), (1, 1, 3), by=by)
-    found = layers.mirrored_mean(cube(spark, sf_dir), net, tiling.axis_subsets((0, 2)), (50, 7, 11))
+    net = lambda f, by: layers.conv3d(f, w, SHAPE, (1, 1, 3), by=by)
+    found = layers.mirrored_mean(cube(spark, sf_dir), net, tiling.axis_subsets((0, 2)), SHAPE)
     return found.select("z", "y", "x", r(F.col("v") / 7919).alias("v"))
 
 
@@ -351,12 +355,12 @@ def cells_of(features: DataFrame) -> DataFrame:
 
 @query
 def conv3d_same(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cells_of(layers.conv3d(small(spark, sf_dir), kernel(spark, 2, 1, (3, 3, 3)), SMALL, (3, 3, 3), bias=biases(spark, 2)))
+    return cells_of(layers.conv3d(cube(spark, sf_dir), kernel(spark, 2, 1, (3, 3, 3)), SHAPE, (3, 3, 3), bias=biases(spark, 2)))
 
 
 @query
 def conv3d_strided(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cells_of(layers.conv3d(small(spark, sf_dir), kernel(spark, 2, 1, (3, 3, 3)), SMALL, (3, 3, 3), (2, 2, 2), biases(spark, 2)))
+    return cells_of(layers.conv3d(box(spark, sf_dir), kernel(spark, 2, 1, (3, 3, 3)), BOX, (3, 3, 3), (2, 2, 2), biases(spark, 2)))
 
 
 @query
@@ -372,34 +376,34 @@ def leaky_relu(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def conv_norm_act(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cells_of(layers.conv_norm_act(small(spark, sf_dir), kernel(spark, 2, 1, (3, 3, 3)), SMALL, (3, 3, 3), bias=biases(spark, 2)))
+    return cells_of(layers.conv_norm_act(cube(spark, sf_dir), kernel(spark, 2, 1, (3, 3, 3)), SHAPE, (3, 3, 3), bias=biases(spark, 2)))
 
 
 @query
 def stacked_conv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cells_of(layers.stacked(small(spark, sf_dir), [kernel(spark, 2, 1, (3, 3, 3)), kernel(spark, 2, 2, (3, 3, 3), 3)], SMALL, (3, 3, 3), (2, 2, 2))[0])
+    return cells_of(layers.stacked(box(spark, sf_dir), [kernel(spark, 2, 1, (3, 3, 3)), kernel(spark, 2, 2, (3, 3, 3), 3)], BOX, (3, 3, 3), (2, 2, 2))[0])
 
 
 @query
 def avg_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cells_of(layers.avg_pool(cube(spark, sf_dir), (2, 2, 2), (50, 7, 11)))
+    return cells_of(layers.avg_pool(cube(spark, sf_dir), (2, 2, 2), SHAPE))
 
 
 @query
 def residual_block(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = layers.residual(small(spark, sf_dir), kernel(spark, 2, 1, (3, 3, 3)), kernel(spark, 2, 2, (3, 3, 3), 3), SMALL, (3, 3, 3), (2, 2, 2), kernel(spark, 2, 1, (1, 1, 1), 4))
+    found = layers.residual(box(spark, sf_dir), kernel(spark, 2, 1, (3, 3, 3)), kernel(spark, 2, 2, (3, 3, 3), 3), BOX, (3, 3, 3), (2, 2, 2), kernel(spark, 2, 1, (1, 1, 1), 4))
     return cells_of(found)
 
 
 @query
 def conv_transpose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cells_of(layers.conv_transpose(small(spark, sf_dir), kernel(spark, 2, 1, (2, 2, 2)), (2, 2, 2), biases(spark, 2)))
+    return cells_of(layers.conv_transpose(cube(spark, sf_dir), kernel(spark, 2, 1, (2, 2, 2)), (2, 2, 2), biases(spark, 2)))
 
 
 @query
 def skip_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    up = layers.conv3d(small(spark, sf_dir), kernel(spark, 2, 1, (1, 1, 1)), SMALL, (1, 1, 1))
-    return cells_of(layers.concat(up, small(spark, sf_dir), 2))
+    up = layers.conv3d(cube(spark, sf_dir), kernel(spark, 2, 1, (1, 1, 1)), SHAPE, (1, 1, 1))
+    return cells_of(layers.concat(up, cube(spark, sf_dir), 2))
 
 
 def _head(spark: SparkSession, features: DataFrame, channels: int) -> DataFrame:
@@ -409,7 +413,7 @@ def _head(spark: SparkSession, features: DataFrame, channels: int) -> DataFrame:
 
 @query
 def seg_head(spark: SparkSession, sf_dir: str) -> DataFrame:
-    two = layers.conv3d(small(spark, sf_dir), kernel(spark, 2, 1, (1, 1, 1)), SMALL, (1, 1, 1))
+    two = layers.conv3d(cube(spark, sf_dir), kernel(spark, 2, 1, (1, 1, 1)), SHAPE, (1, 1, 1))
     return _head(spark, two, 2).select("k", "z", "y", "x", r("l").alias("l"))
 
 
@@ -423,28 +427,28 @@ def deep_supervision_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _unet(spark: SparkSession, features: DataFrame, residual: bool) -> DataFrame:
     k = (3, 3, 3)
-    half = tuple(n // 2 for n in SMALL)
+    half = tuple(n // 2 for n in BOX)
     if residual:
-        x = layers.conv_norm_act(features, kernel(spark, 2, 1, k), SMALL, k)
-        skip = layers.residual(x, kernel(spark, 2, 2, k, 1), kernel(spark, 2, 2, k, 2), SMALL, k)
-        low = layers.residual(skip, kernel(spark, 3, 2, k, 3), kernel(spark, 3, 3, k, 4), SMALL, k, (2, 2, 2), kernel(spark, 3, 2, (1, 1, 1), 5))
+        x = stored(layers.conv_norm_act(features, kernel(spark, 2, 1, k), BOX, k), "stem")
+        skip = stored(layers.residual(x, kernel(spark, 2, 2, k, 1), kernel(spark, 2, 2, k, 2), BOX, k), "skip")
+        low = layers.residual(skip, kernel(spark, 3, 2, k, 3), kernel(spark, 3, 3, k, 4), BOX, k, (2, 2, 2), kernel(spark, 3, 2, (1, 1, 1), 5))
     else:
-        skip = layers.conv_norm_act(features, kernel(spark, 2, 1, k), SMALL, k)
-        low = layers.conv_norm_act(skip, kernel(spark, 3, 2, k, 3), SMALL, k, (2, 2, 2))
-    assert layers.conv_shape(SMALL, k, (2, 2, 2)) == half
-    up = layers.conv_transpose(low, kernel(spark, 2, 3, (2, 2, 2), 6), (2, 2, 2))
-    out = layers.conv_norm_act(layers.concat(up, skip, 2), kernel(spark, 2, 4, k, 7), SMALL, k)
+        skip = stored(layers.conv_norm_act(features, kernel(spark, 2, 1, k), BOX, k), "skip")
+        low = layers.conv_norm_act(skip, kernel(spark, 3, 2, k, 3), BOX, k, (2, 2, 2))
+    assert layers.conv_shape(BOX, k, (2, 2, 2)) == half
+    up = layers.conv_transpose(stored(low, "low"), kernel(spark, 2, 3, (2, 2, 2), 6), (2, 2, 2))
+    out = layers.conv_norm_act(layers.concat(up, skip, 2), kernel(spark, 2, 4, k, 7), BOX, k)
     return _head(spark, out, 2).select("k", "z", "y", "x", r("l", 5).alias("l"))
 
 
 @query
 def tiny_unet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _unet(spark, small(spark, sf_dir), False)
+    return _unet(spark, box(spark, sf_dir), False)
 
 
 @query
 def tiny_resenc_unet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _unet(spark, small(spark, sf_dir), True)
+    return _unet(spark, box(spark, sf_dir), True)
 
 
 # descriptions and stored tensors
@@ -588,6 +592,140 @@ def safetensors_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("key", F.array_join(F.col("shape").cast("array<string>"), "x").alias("shape"), F.size("data").alias("n"), F.aggregate("data", F.lit(0.0), lambda a, x: a + x).alias("total"))
 
 
+# models in folders, and the engine over them
+
+PLANS = {
+    "configurations": {
+        "3d_fullres": {
+            "patch_size": list(CUBE_PATCH), "normalization_schemes": ["ZScoreNormalization"], "pool_op_kernel_sizes": [[1, 1, 1], [2, 2, 2]], "conv_kernel_sizes": [[3, 3, 3]] * 2,
+            "n_conv_per_stage_encoder": [1, 1], "n_conv_per_stage_decoder": [1], "UNet_base_num_features": 2, "unet_max_num_features": 3,
+        }
+    },
+    "foreground_intensity_properties_per_channel": {"0": {"mean": 0.5, "std": 0.25, "percentile_00_5": 0.125, "percentile_99_5": 0.875}, "2": {"mean": 3.0, "std": 0.5, "percentile_00_5": -1.0, "percentile_99_5": 9.0}},
+}
+NEW_PLANS = {
+    "configurations": {"3d_fullres": {"patch_size": [16, 16, 16]}},
+    "network_arch_class_name": "some.package.ResidualEncoderUNet",
+    "network_arch_init_kwargs": {
+        "n_stages": 3, "features_per_stage": [4, 8, 8], "kernel_sizes": [[1, 3, 3], 3, 3], "strides": [1, [1, 2, 2], 2], "n_blocks_per_stage": [1, 2, 1], "n_conv_per_stage_decoder": [1, 1],
+        "conv_bias": True, "stem_channels": 6, "norm_op_kwargs": {"eps": 1e-3}, "nonlin_kwargs": {"inplace": True},
+    },
+}
+DATASET = {"labels": {"background": 0, "one": 1, "two": 2}, "channel_names": {"0": "price"}}
+
+
+def _tensor_rows(spark: SparkSession, arch: networks.Architecture) -> DataFrame:
+    """Every parameter of a network by a formula of its place and its key's length, exact in 32 bits."""
+    n = F.aggregate("shape", F.lit(1), lambda a, x: a * x)
+    value = lambda j: (((7 * j + 3 * F.length("key")) % 11 - 5) / 16).cast("float")
+    return arch.layer_table(spark).select("key", "shape", F.transform(F.sequence(F.lit(0), n - 1), value).alias("data"))
+
+
+def _model_store(spark: SparkSession) -> str:
+    """A store of three models: one converted, one whose first fold is not, one without a description."""
+    root = folder(spark, "models")
+    texts = [(f"{root}/{d}/{t}/{n}.json", json.dumps(x)) for d, t in (("Dataset007_demo", "Trainer__plans__3d"), ("Dataset12_other", "A__plans__3d")) for n, x in (("plans", PLANS), ("dataset", DATASET))]
+    texts += [(f"{root}/Dataset007_demo/Zero__plans__3d/readme.txt", "later in the order"), (f"{root}/Dataset099_bare/T__plans__3d/fold_0/checkpoint_final.pth", "a pickle"), (f"{root}/Dataset12_other/A__plans__3d/fold_1/checkpoint_best.pth", "a pickle")]
+    tensors.write_text(rows(spark, texts, "path string, text string"))
+    models.store(_tensor_rows(spark, networks.from_plans(PLANS, 1, 3)), f"{root}/Dataset007_demo/Trainer__plans__3d")
+    return root
+
+
+def _engine(spark: SparkSession) -> Engine:
+    return Engine(ModelBundle.from_task(spark, 7, root=_model_store(spark)))
+
+
+@query
+def engine_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _engine(spark).predict(cube(spark, sf_dir)).select("z", "y", "x", "k", r("l", 5).alias("l"))
+
+
+@query
+def engine_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _engine(spark).segment(cube(spark, sf_dir))
+    return found.select("z", "y", "x", "label1", r("score1", 5).alias("score1"), "label2", r("score2", 5).alias("score2"))
+
+
+@query
+def engine_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Volumes of several shapes at once: the cube, a part of it along each axis, and one plane; each normalised, tiled and cropped by itself."""
+    whole = cube(spark, sf_dir)
+    parts = {"whole": "true", "long": "y < 2", "flat": "z < 5", "plane": "z < 1 AND x < 4"}
+    several = reduce(DataFrame.unionByName, [whole.where(w).withColumn("volume_id", F.lit(n)) for n, w in parts.items()])
+    found = _engine(spark).predict(several)
+    return found.groupBy("volume_id", "k").agg(F.count("*").alias("n"), F.max("z").alias("z1"), F.max("y").alias("y1"), F.max("x").alias("x1"))
+
+
+@query
+def engine_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _engine(spark).normalize(cube(spark, sf_dir)).select("z", "y", "x", r("v").alias("v"))
+
+
+def _layer_sizes(spark: SparkSession, arch: networks.Architecture) -> DataFrame:
+    return arch.layer_table(spark).select("key", "kind", F.array_join(F.col("shape").cast("array<string>"), "x").alias("shape"))
+
+
+@query
+def network_layers_old(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _layer_sizes(spark, networks.from_plans(PLANS, 1, 3))
+
+
+@query
+def network_layers_new(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _layer_sizes(spark, networks.from_plans(NEW_PLANS, 1, 3))
+
+
+@query
+def intensity_params(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = "foreground_intensity_properties_per_channel map<string, struct<mean: double, std: double, percentile_00_5: double, percentile_99_5: double>>"
+    return normalize.intensity_params(rows(spark, [(PLANS["foreground_intensity_properties_per_channel"],)], kind))
+
+
+def _below(root: str, path: Column) -> Column:
+    """A path below the store, without the file system's part."""
+    return F.regexp_replace(path, "^.*/models-[0-9a-f]*/", "")
+
+
+@query
+def model_folder_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What task numbers and paths resolve to: the first data set, its first trainer folder, the folder with a description."""
+    root = _model_store(spark)
+    found = [(n, models.model_folder(spark, n, root)) for n in (7, 12, 99)] + [(0, models.trainer_folder(spark, f"{root}/Dataset12_other"))]
+    for n, path in ((1, root), (2, f"{root}/Dataset099_bare")):
+        try:
+            found.append((n, models.trainer_folder(spark, path)))
+        except FileNotFoundError:
+            found.append((n, "/models-0/none"))
+    return rows(spark, found, "task int, path string").select("task", _below(root, F.col("path")).alias("path"))
+
+
+@query
+def checkpoint_resolver(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many tensors each fold's checkpoint has; pickles and missing ones say so."""
+    root, found = _model_store(spark), []
+    for name, fold, checkpoint in (("Dataset007_demo/Trainer__plans__3d", 0, "checkpoint_final.pth"), ("Dataset007_demo/Trainer__plans__3d", 1, "checkpoint_final.pth"), ("Dataset12_other/A__plans__3d", 1, "checkpoint_best.pth"), ("Dataset099_bare/T__plans__3d", 0, "checkpoint_final.pth")):
+        try:
+            state, n = "loaded", models.load_weights(spark, f"{root}/{name}", fold, checkpoint).count()
+        except ValueError:
+            state, n = "pickle", 0
+        except FileNotFoundError:
+            state, n = "missing", 0
+        found.append((name, fold, state, n))
+    return rows(spark, found, "path string, fold int, state string, n int")
+
+
+@query
+def convert_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files written on a first run, on a second one, and by force; then the tensors of all files."""
+    root, given = folder(spark, "convert"), stored_tensors(spark)
+    for fold in (0, 1):
+        given.withColumn("data", F.transform("data", lambda v: v + fold)).write.parquet(f"{root}/Dataset007_demo/T__plans__3d/fold_{fold}/checkpoint_final.parquet")
+    counts = [models.convert_folder(spark, root, force) for force in (False, False, True)]
+    found = tensors.read_safetensors(spark, f"{root}/Dataset007_demo/T__plans__3d/fold_*/*.safetensors")
+    total = F.sum(F.aggregate("data", F.lit(0.0), lambda a, x: a + x))
+    return found.agg(F.count("*").alias("tensors"), total.alias("total")).select(*[F.lit(c).alias(n) for c, n in zip(counts, ("first", "second", "forced"))], "tensors", "total")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

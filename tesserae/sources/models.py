@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import os
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,20 +75,31 @@ def store(tensors: DataFrame, folder: str, fold: int = 0, name: str = "checkpoin
     return write_safetensors(tensors.withColumn("path", F.lit(f"{folder}/fold_{fold}/{name}")))
 
 
+def convert_folder(spark: SparkSession, root: str, force: bool = False) -> int:
+    """Tensor tables (``key, shape, data`` as Parquet) in the fold folders below ``root`` to tensor files
+    beside them; those that exist stay unless ``force``.  All files are one job; returns how many were written."""
+    paths = [p for p in (*listed(spark, f"{root}/fold_*/*.parquet"), *listed(spark, f"{root}/Dataset*/*__*__*/fold_*/*.parquet"))]
+    todo = {p: p.rsplit(".", 1)[0] + ".safetensors" for p in paths}
+    todo = {p: t for p, t in todo.items() if force or not listed(spark, t)}
+    tables = [spark.read.parquet(p).select("key", "shape", "data").withColumn("path", F.lit(t)) for p, t in todo.items()]
+    return write_safetensors(reduce(DataFrame.unionByName, tables)) if tables else 0
+
+
 def main(args: list[str] | None = None) -> int:
-    """``python -m tesserae.sources.models PATH [-o OUT]``: tensor tables (Parquet) or folders of them to tensor files."""
+    """``python -m tesserae.sources.models PATH [-o OUT] [--all]``: tensor tables (Parquet) or folders of them to tensor files."""
     parser = argparse.ArgumentParser(description=main.__doc__)
     parser.add_argument("path")
     parser.add_argument("-o", "--output")
-    parser.add_argument("--all", action="store_true", help="every Dataset*/*__*__*/fold_*/*.parquet below the path")
+    parser.add_argument("--all", action="store_true", help="every fold_*/*.parquet below the path")
+    parser.add_argument("--force", action="store_true", help="also those that exist")
     found = parser.parse_args(args)
     spark = SparkSession.builder.getOrCreate()
-    paths = listed(spark, f"{found.path}/Dataset*/*__*__*/fold_*/*.parquet") if found.all else [found.path]
-    done = 0
-    for path in paths:
-        target = found.output if found.output and not found.all else path.rsplit(".", 1)[0] + ".safetensors"
-        if not listed(spark, target):
-            done += write_safetensors(spark.read.parquet(path).withColumn("path", F.lit(target)))
+    if found.all:
+        done = convert_folder(spark, found.path, found.force)
+    else:
+        target = found.output or found.path.rsplit(".", 1)[0] + ".safetensors"
+        wanted = found.force or not listed(spark, target)
+        done = write_safetensors(spark.read.parquet(found.path).withColumn("path", F.lit(target))) if wanted else 0
     print(f"{done} files written")
     return 0
 

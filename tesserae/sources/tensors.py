@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from .files import write
+
 LAYOUT = "torch_ncdhw"
 _TYPES = {"F64": "<f8", "F32": "<f4", "F16": "<f2", "I64": "<i8", "I32": "<i4", "I16": "<i2", "I8": "i1", "U8": "u1", "BOOL": "?"}
 
@@ -64,28 +66,30 @@ def read_safetensors(spark: SparkSession, path: str, check_layout: bool = True)
     return files.mapInArrow(run, "path string, key string, shape array<int>, data array<float>")
 
 
-def encoded(tensors: DataFrame, layout: str = LAYOUT) -> DataFrame:
-    """``path, content``: the rows of each ``path`` as one file."""
+def write_safetensors(tensors: DataFrame, layout: str = LAYOUT) -> int:
+    """Writes the rows of each ``path`` as one file, in the task that gathers them; returns how many files.
+
+    A model's tensors are one Arrow group; their values go from its buffers to the file.
+    """
 
     def run(group: pa.Table) -> pa.Table:
-        rows = sorted(group.to_pylist(), key=lambda r: r["key"])
-        content = encode([(r["key"], r["shape"], r["data"]) for r in rows], layout)
-        return pa.table([pa.array([rows[0]["path"]]), pa.array([content], pa.binary())], names=["path", "content"])
+        group = group.sort_by("key").combine_chunks()
+        data = group.column("data").combine_chunks()
+        values, ends = data.values.to_numpy(), data.offsets.to_numpy()
+        rows = zip(group.column("key").to_pylist(), group.column("shape").to_pylist(), ends[:-1], ends[1:])
+        path = group.column("path")[0].as_py()
+        return pa.table({"path": [path], "size": [write(path, encode([(k, shape, values[a:b]) for k, shape, a, b in rows], layout))]})
 
-    return tensors.select("path", "key", "shape", "data").groupBy("path").applyInArrow(run, "path string, content binary")
+    found = tensors.select("path", "key", "shape", "data").groupBy("path").applyInArrow(run, "path string, size bigint")
+    return len(found.select("path").collect())  # a name a file
 
 
-def write_safetensors(tensors: DataFrame, layout: str = LAYOUT) -> int:
-    """Writes each path's file, one at a time, through Hadoop's file system; returns how many."""
-    spark = tensors.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    n = 0
-    for row in encoded(tensors, layout).toLocalIterator():
-        target = jvm.org.apache.hadoop.fs.Path(row["path"])
-        out = target.getFileSystem(conf).create(target, True)
-        try:
-            out.write(row["content"])
-        finally:
-            out.close()
-        n += 1
-    return n
+def write_text(texts: DataFrame) -> int:
+    """Writes ``text`` as the file ``path``, a row a file; returns how many."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = [write(path, text.encode()) for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            yield pa.record_batch([pa.array(sizes, pa.int64())], names=["size"])
+
+    return texts.select("path", "text").mapInArrow(run, "size bigint").count()

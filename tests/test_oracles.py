@@ -10,7 +10,6 @@ from tesserae import oracles, queries
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"blend_streaming", "tiny_resenc_unet"}
 
 
 @pytest.fixture(scope="module")
@@ -28,7 +27,7 @@ def rows_of(frame):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="tables are not here")
-@pytest.mark.parametrize("name", sorted(set(oracles.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(oracles.oracle_sql())))
 def test_oracle(spark, duck, name):
     assert rows_of(queries.queries()[name](spark, DATA).toPandas()) == rows_of(duck.execute(oracles.oracle_sql()[name]).df())
 
