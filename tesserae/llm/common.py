@@ -63,7 +63,7 @@ def in_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     session has Spark's own limit on their bytes, it gets ``BATCH_BYTES``, once.
     """
     conf = df.sparkSession.conf
-    if conf.get(_BYTES, "") == "67108864b":
+    if conf.get(_BYTES) == "67108864b":
         conf.set(_BYTES, f"{BATCH_BYTES}b")
     return df.mapInArrow(lambda batches: _returned(f(batches)), schema)
 
