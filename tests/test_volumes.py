@@ -158,7 +158,7 @@ def test_unet_equals_relational_layers(spark):
     """A two-stage network on a whole patch and as joins."""
     from tesserae import queries as q
 
-    features, k = np.random.default_rng(4).standard_normal(q.SMALL), (3, 3, 3)
+    features, k = np.random.default_rng(4).standard_normal(q.BOX), (3, 3, 3)
     want = q._unet(spark, volume(spark, features), False)
     arch = networks.Architecture(1, 3, [2, 3], [[3, 3, 3]] * 2, [[1, 1, 1], [2, 2, 2]], [1, 1], [1], bias=False)
 
@@ -243,6 +243,11 @@ def test_engine(spark, tmp_path):
     again = dense(engine.predict(engine.normalize(image), normalized=True), "l", (3, 10, 8, 5), "k")
     assert not np.isnan(first).any() and np.allclose(first, again)
     assert engine.segment(image).count() == 400 and engine.unmapped.count() == 0
+    # a second volume of another shape changes nothing in the first, and is predicted as it would be alone
+    other = volume(spark, rng.standard_normal((3, 9, 12)), "w")
+    both, alone = engine.predict(image.unionByName(other)), dense(engine.predict(other), "l", (3, 3, 9, 12), "k")
+    assert np.allclose(dense(both.where("volume_id = 'v'"), "l", (3, 10, 8, 5), "k"), first)
+    assert both.count() == 3 * (400 + 324) and np.allclose(dense(both.where("volume_id = 'w'"), "l", (3, 3, 9, 12), "k"), alone)
 
 
 def test_blocks(spark):
