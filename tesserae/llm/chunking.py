@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, in_arrow, stored, with_row
+from .common import ROW, in_arrow, looked_up, stored, with_row
 from .text import flat, mix
 
 LEAST = 24  # bytes of a chunk, but for a text's last
@@ -125,7 +125,8 @@ def chunk_dedup(docs: DataFrame, text: str = "text") -> DataFrame:
     place = keyed.columns.index(text)
     chunks = stored(in_arrow(keyed.select(ROW, text), _chunked, CHUNKS), "chunks")
     first = chunks.groupBy("digest", "check").agg(F.count("*").alias("c"), F.min(F.struct(ROW, "start")).alias("f")).where("c > 1")
-    again = chunks.join(first, ["digest", "check"]).where(F.struct(ROW, "start") != F.col("f"))
+    first = stored(first, "repeated")
+    again = looked_up(chunks, first, ["digest", "check"], "c").where(F.struct(ROW, "start") != F.col("f"))
     spans = again.groupBy(ROW).agg(F.collect_list(F.struct("start", "size")).alias("_spans"))  # no more than one text's chunks
     joined = keyed.join(spans, ROW, "left").select(*keyed.columns, "_spans")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema), "n_bytes bigint, n_removed bigint, n_chunks_removed bigint, kept_text string"])

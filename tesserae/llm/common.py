@@ -105,6 +105,20 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def looked_up(rows: DataFrame, found: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """``rows`` joined by ``keys`` with ``found``, a stored table of one row a key with the ``count`` of its rows.
+
+    Keys that hold more than a quarter of a partition's share of ``rows``, of which there
+    are four a partition at most whatever the data, are broadcast, so that no key gathers
+    its rows in one task; the others are shuffled.  ``rows`` are read twice, so they should
+    be stored too.  Keys that are null meet nothing.
+    """
+    share = f"{count} * {4 * parts(rows.sparkSession)} > {rows.count()}"
+    large = F.broadcast(found.where(share))
+    cold = rows.join(large.select(*keys), keys, "left_anti").join(found.where(f"NOT ({share})"), keys)
+    return rows.join(large, keys).unionByName(cold)
+
+
 BROADCAST_ROWS = 1 << 22  # of two longs: about 100 MB as a hash table
 
 

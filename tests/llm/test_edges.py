@@ -594,3 +594,14 @@ def test_empty_tables(table_of):
     assert suffixes.without_repeats(e).count() == 0 and chunking.chunk_dedup(e).count() == 0
     assert decontamination.contamination(e, table_of([(1, "a b")], "item_id long, text string", "i")).count() == 0
     assert quality.quality(e, none).count() == 0 and toxicity.severities(e, toxicity.train(e, none)).count() == 0
+
+
+def test_large_keys_are_looked_up_apart(table_of, spark):
+    rows = [(1, i) for i in range(900)] + [(2 + i // 2, i) for i in range(100)] + [(None, 7)]
+    keyed = Counter(k for k, _ in rows if k is not None)
+    left = table_of(rows, "k long, x long")
+    right = table_of([(k, n, f"of {k}") for k, n in keyed.items() if k != 5] + [(99, 1, "of none")], "k long, n long, y string", "right")
+    found = common.looked_up(left, right, ["k"], "n")
+    assert Counter((r.k, r.x, r.y) for r in found.collect()) == Counter((k, x, f"of {k}") for k, x in rows if k not in (None, 5))
+    empty = common.looked_up(left.where("false"), right.where("false"), ["k"], "n")
+    assert empty.columns == found.columns and empty.count() == 0
