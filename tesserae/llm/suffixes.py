@@ -2,22 +2,20 @@
 
 The classic difference-cover scheme sorts the suffixes at positions 1 and 2 modulo 3,
 names them, recurses on the names, merges the remaining suffixes and compares the
-prefixes of neighbours.  Its sample is two thirds of all positions, which at corpus
-size is many times the input in shuffled rows (README).  The steps here are the same
-over a sparser cover that the content chooses:
-
-1. *Sample.*  In each ``LENGTH``-byte window the ``GRAM``-byte string of least hash is
-   the sampled position.  Equal windows sample at the same offset, the property a
-   difference cover is for; neighbouring windows share samples, so a text has one
-   sample per 69 bytes or so.
-2. *Sort and name.*  Samples are named by their hash; a name that occurs once ends the
-   comparison for all windows around it.
-3. *Recurse on the names.*  The run of windows that share a sample is named by all the
-   bytes it spans; runs whose name occurs again are repeats as a whole.
-4. *Merge the remaining suffixes.*  Runs left undecided under a shared name compare
-   their single windows, one class against the other, and
-5. equal neighbours of ``LENGTH`` bytes are the repeats; their spans are put together
-   per document.
+prefixes of neighbours.  One exchange of its sample, two thirds of all positions, is some
+14 times the input (README), so that scheme is replaced: nothing is sorted by suffix,
+nothing recurses and nothing is merged.  What is kept is a sample that equal strings
+share, chosen by the content, and names by which they meet:
+
+1. In each ``LENGTH``-byte window the ``GRAM``-byte string of least hash is the sampled
+   position.  Equal windows sample at the same offset, the property a difference cover
+   is for; neighbouring windows share samples, so a text has one per 69 bytes or so.
+2. Samples are named by their hash; a name that occurs once ends the comparison for all
+   windows around it.
+3. The run of windows that share a sample is hashed over all the bytes it spans; runs
+   whose hash occurs again under their name are repeats as a whole.
+4. Runs left undecided under a shared name compare the hashes of their single windows.
+5. Windows that occur again are the repeats; their spans are put together per document.
 
 Every byte string of ``LENGTH`` bytes is thereby compared with every other one; none is
 sampled away: windows are only left out when a part of them is known to be unique.
@@ -33,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, in_arrow, stored, with_row
+from .common import ROW, in_arrow, looked_up, stored, with_row
 from .text import VALUES, _powers, flat, mix
 
 LENGTH = 200
@@ -198,13 +196,15 @@ def repeat_spans(keyed: DataFrame, text: str, length: int = LENGTH) -> DataFrame
     """Spans (row, start, stop) of bytes inside ``length``-byte strings that start elsewhere too; spans may overlap."""
     place = keyed.columns.index(text)
     runs = stored(in_arrow(keyed.select(ROW, text), lambda it: _sampled(it, length), RUNS), "runs")
-    names = runs.groupBy("name").agg(F.count("*").alias("c"), F.max("twice").alias("t")).where("c > 1 OR t").select("name")
-    shared = stored(runs.join(names, "name").drop("twice"), "shared")  # about a sixth of all runs, used three times below
+    names = runs.groupBy("name").agg(F.count("*").alias("c"), F.max("twice").alias("t")).where("c > 1 OR t").select("name", "c")
+    shared = looked_up(runs, stored(names, "names"), ["name"], "c").drop("twice", "c")
+    shared = stored(shared, "shared")  # about a sixth of all runs, used three times below
     first = F.min_by(F.struct(ROW, "first", "n"), F.struct(ROW, "first")).alias("r")
-    classes = shared.groupBy("name", "span").agg(F.count("*").alias("c"), first)
-    whole = shared.join(classes.where("c > 1").select("name", "span"), ["name", "span"]).select(ROW, F.col("first").alias("start"), (F.col("first") + F.col("n") - 1 + length).alias("stop"))
+    classes = stored(shared.groupBy("name", "span").agg(F.count("*").alias("c"), first), "classes")
+    whole = looked_up(shared, classes.where("c > 1").select("name", "span", "c"), ["name", "span"], "c").select(ROW, F.col("first").alias("start"), (F.col("first") + F.col("n") - 1 + length).alias("stop"))
     undecided = classes.groupBy("name").agg(F.count("*").alias("k"), F.min("c").alias("least")).where("least = 1")
-    asked = classes.join(undecided.select("name", F.expr(f"cast((k + {CROWD - 1}) div {CROWD} as int)").alias("deals")), "name")
+    undecided = stored(undecided.select("name", "k", F.expr(f"cast((k + {CROWD - 1}) div {CROWD} as int)").alias("deals")), "undecided")
+    asked = looked_up(classes, undecided, ["name"], "k")
     wanted = F.struct(F.col("r.first").alias("first"), F.col("r.n").alias("n"), "name", (F.col("c") > 1).alias("known"), "deals")
     per_row = asked.groupBy(F.col(f"r.{ROW}").alias(ROW)).agg(F.collect_list(wanted).alias("_asked"))  # no more than one text's runs
     windows = in_arrow(keyed.join(per_row, ROW).select(*keyed.columns, "_asked"), lambda it: _windows(it, length, place), WINDOWS)
