@@ -24,13 +24,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW, in_arrow, light, masked, parts, stored, with_row
+from .common import ROW, in_arrow, light, looked_up, masked, parts, stored, with_row
 from .graphs import components
 from .text import flat, mix, pieces, shingle_sets
 
@@ -397,10 +398,17 @@ def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of each unit pair from the sums of its fragments' overlaps; a spanning forest of them is enough for components."""
+LINKS = "a bigint, b bigint, n bigint"
+
+
+def _summed(batches: Iterator[pa.RecordBatch], degrees: bool) -> Iterator[pa.RecordBatch]:
+    """Links of each unit pair from the sums of its fragments' overlaps; a spanning forest of them is enough for components.
+
+    With ``degrees`` a row without ``b`` says besides how many nodes of the other unit ``a`` is linked with.
+    """
     for batch in batches:
         left_out, right_out = [], []
+        nodes, counts = [], []
         for (cells,) in _rows(batch, "cells"):
             a, b, n, m = (np.frombuffer(cells[0][k], "<i8") for k in ("left", "right", "ns", "ms"))
             total = np.zeros(len(a) * len(b), dtype=np.int64)
@@ -416,7 +424,15 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     parent[max(rx, ry)] = min(rx, ry)
                     left_out.append(x)
                     right_out.append(y)
-        yield pa.record_batch([pa.array(left_out, pa.int64()), pa.array(right_out, pa.int64())], names=["a", "b"])
+            if degrees:
+                sides = [(a, linked.sum(axis=1))] + [(b, linked.sum(axis=0))] * (not np.array_equal(a, b))  # a unit with itself has one side
+                for side, count in sides:
+                    nodes.append(side[count > 0])
+                    counts.append(count[count > 0])
+        yield pa.record_batch([pa.array(left_out, pa.int64()), pa.array(right_out, pa.int64()), pa.nulls(len(left_out), pa.int64())], names=["a", "b", "n"])
+        if nodes:
+            node = np.concatenate(nodes)
+            yield pa.record_batch([pa.array(node), pa.nulls(len(node), pa.int64()), pa.array(np.concatenate(counts).astype(np.int64))], names=["a", "b", "n"])
 
 
 def _root(parent: dict[int, int], x: int) -> int:
@@ -428,10 +444,11 @@ def _root(parent: dict[int, int], x: int) -> int:
 
 def _bundled(rows: DataFrame) -> DataFrame:
     """``rows`` (``node``, ``label``, more) with ``unit``: about ``UNIT`` nodes of one label; a node without label is a unit by itself."""
-    sizes = rows.where("label IS NOT NULL").groupBy("label").agg(F.count("*").alias("_size"))
+    rows = stored(rows, "rows")
+    sizes = stored(rows.where("label IS NOT NULL").groupBy("label").agg(F.count("*").alias("_size")), "sizes")
     place = F.pmod(F.xxhash64("node"), F.expr(f"(_size + {UNIT - 1}) div {UNIT}"))
-    unit = F.when(F.col("_size").isNotNull(), F.xxhash64("label", place)).otherwise(F.col("node"))
-    return rows.join(sizes, "label", "left").withColumn("unit", unit).drop("_size")
+    together = looked_up(rows, sizes, ["label"], "_size").withColumn("unit", F.xxhash64("label", place)).drop("_size")
+    return together.unionByName(rows.where("label IS NULL").withColumn("unit", F.col("node")))
 
 
 def _units(first: DataFrame, edges: DataFrame, entries: DataFrame) -> DataFrame:
@@ -441,8 +458,8 @@ def _units(first: DataFrame, edges: DataFrame, entries: DataFrame) -> DataFrame:
     longest list they stand in; what is left is a unit by itself.
     """
     loose = components(edges).select(F.col("v").alias("node"), F.col("label").alias("g"))
-    long = entries.groupBy("token").agg(F.count("*").alias("c")).where(f"c >= {UNIT // 8}")
-    lists = entries.join(long, "token").groupBy("node").agg(F.max(F.struct("c", "token"))["token"].alias("t"))
+    long = stored(entries.groupBy("token").agg(F.count("*").alias("c")).where(f"c >= {UNIT // 8}"), "long")
+    lists = looked_up(entries, long, ["token"], "c").groupBy("node").agg(F.max(F.struct("c", "token"))["token"].alias("t"))
     rows = first.select("node", "n").join(loose, "node", "left").join(lists, "node", "left")
     label = F.coalesce(F.when(F.col("g").isNotNull(), F.xxhash64(F.lit("group"), "g")), F.when(F.col("t").isNotNull(), F.xxhash64(F.lit("list"), "t")))
     return _bundled(rows.select("node", "n", F.col("g").isNotNull().alias("alike"), label.alias("label")))
@@ -450,9 +467,9 @@ def _units(first: DataFrame, edges: DataFrame, entries: DataFrame) -> DataFrame:
 
 def _spokes(units: DataFrame) -> DataFrame:
     """Unit pairs that connect most of a loose group: every unit with itself and with its group's first unit."""
-    each = units.groupBy("unit").agg(F.first("label").alias("label"), F.first("alike").alias("alike"), F.count("*").alias("size"))
-    hubs = each.where("alike").groupBy("label").agg(F.min("unit").alias("hub"))
-    spokes = each.where("alike").join(hubs, "label").where("unit <> hub").select(F.col("hub").alias("u"), F.col("unit").alias("v"))
+    each = stored(units.groupBy("unit").agg(F.first("label").alias("label"), F.first("alike").alias("alike"), F.count("*").alias("size")), "each")
+    hubs = stored(each.where("alike").groupBy("label").agg(F.min("unit").alias("hub"), F.count("*").alias("_size")), "hubs")
+    spokes = looked_up(each.where("alike"), hubs, ["label"], "_size").where("unit <> hub").select(F.col("hub").alias("u"), F.col("unit").alias("v"))
     return spokes.unionByName(each.where("size > 1").select(F.col("unit").alias("u"), F.col("unit").alias("v")))
 
 
@@ -476,22 +493,72 @@ def _meeting(entries: DataFrame, units: DataFrame) -> DataFrame:
     return across.unionByName(listed.where("several").select(F.col("unit").alias("u"), F.col("unit").alias("v"))).distinct()
 
 
-def _links(pairs: DataFrame, units: DataFrame, first: DataFrame, keyed: DataFrame, nodes_of: DataFrame) -> DataFrame:
+class _Found(NamedTuple):
+    """What the prefix filter leaves to compare, all of it stored."""
+
+    keyed: DataFrame  # _row, _key, _text
+    profiles: DataFrame  # PROFILE
+    entries: DataFrame  # ENTRIES
+    chosen: DataFrame  # a node of the entries and the first row that has it
+    first: DataFrame  # node, n, part: sizes and first fragments
+    units: DataFrame  # node, n, alike, label, unit
+
+
+def _found(docs: DataFrame, key: str, text: str) -> _Found:
+    keyed = with_row(docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text")))
+    spark = docs.sparkSession
+    profiles = stored(in_arrow(keyed.select(ROW, "_text"), _profiles, PROFILE), "profiles")
+    size, asked = profiles.agg(F.coalesce(F.sum(F.length("low")) / 6, F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    frequent = spark.sparkContext.broadcast(frequent_shingles(profiles, _deals(spark, int(size))))
+    deals = _deals(spark, asked * (100 - PERCENT) // 100)
+    lacking = stored(in_arrow(profiles.select(ROW, "node", "n", "low"), lambda it: _lacking(it, frequent.value), f"{ROW} bigint, node bigint"), "lacking")
+    longer = in_arrow(keyed.join(light(lacking), ROW).select(ROW, "node", "_text"), _long_profiles, PROFILE)
+    posted = in_arrow(profiles.unionByName(longer), lambda it: _posted(it, deals, frequent.value), POSTED)
+    entries = stored(in_arrow(_gathered(posted), _listed, ENTRIES), "entries")
+
+    # units: bundles of nodes that the first fragment shows to be alike; a node's copies are joined by row, not by node
+    rows_of = profiles.groupBy("node").agg(F.min(ROW).alias(ROW))
+    chosen = stored(entries.select("node").distinct().join(rows_of, "node"), "chosen")
+    first = stored(profiles.select(ROW, "n", F.col("small").alias("part")).join(light(chosen), ROW).drop(ROW), "first")
+    pairs = entries.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    both = pairs.join(first.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("part").alias("x")), "a")
+    both = both.join(first.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("part").alias("y")), "b")
+    alike = in_arrow(both.where("na <= 2 * nb AND nb <= 2 * na"), _alike, "a bigint, b bigint")
+    units = stored(_units(first, alike, entries), "units")
+    return _Found(keyed, profiles, entries, chosen, first, units)
+
+
+def _links(pairs: DataFrame, units: DataFrame, found: _Found, degrees: bool = False) -> DataFrame:
     """Links between the nodes of each unit pair: fragment by fragment, then summed."""
     pairs = stored(pairs, "pairs")
     either = lambda df: df.select(F.col("u").alias("unit")).union(df.select("v")).distinct()
-    bundles = units.join(either(pairs), "unit").select("node", "unit").join(first, "node").groupBy("unit").agg(F.collect_list(F.struct("node", "n", "part")).alias("members"))
+    bundles = units.join(either(pairs), "unit").select("node", "unit").join(found.first, "node").groupBy("unit").agg(F.collect_list(F.struct("node", "n", "part")).alias("members"))
     sides = pairs.join(bundles.toDF("u", "left"), "u").join(bundles.toDF("v", "right"), "v")
     open_pairs = stored(in_arrow(sides, _possible, "u bigint, v bigint"), "open")
-    asked = units.join(either(open_pairs), "unit").select("node").join(nodes_of.groupBy("node").agg(F.min(ROW).alias(ROW)), "node")
-    asked = stored(asked, "asked")
-    whole = in_arrow(keyed.join(light(asked), ROW).select(ROW, "node", "_text"), _fragments, CELLS)
+    asked = stored(units.join(either(open_pairs), "unit").select("node").join(found.chosen, "node"), "asked")
+    whole = in_arrow(found.keyed.join(light(asked), ROW).select(ROW, "node", "_text"), _fragments, CELLS)
     cells = whole.join(units.select("node", "unit"), "node")
     cells = stored(cells.groupBy("unit", "fragment").agg(F.collect_list(F.struct("node", "n", "part")).alias("members")), "cells")
     counted = open_pairs.join(cells.toDF("u", "fragment", "left"), "u").join(cells.toDF("v", "fragment", "right"), ["v", "fragment"])
     partial = in_arrow(counted.select("u", "v", "fragment", "left", "right"), _partial, PARTIAL)
     summed = partial.groupBy("u", "v").agg(F.collect_list(F.struct("at", "shared", "left", "right", "ns", "ms")).alias("cells"))  # one cell a fragment
-    return stored(in_arrow(summed, _summed, "a bigint, b bigint"), "links")
+    return stored(in_arrow(summed, lambda it: _summed(it, degrees), LINKS), "links")
+
+
+def _classed(found: _Found, links: DataFrame, key: str) -> DataFrame:
+    """Every row with its set's size, component and ``node``, the least id of a component as its name."""
+    rows = found.profiles.where("n > 0").select(ROW, "node", "n")
+    sets = rows.groupBy("node").agg(F.count("*").alias("_copies")).join(components(links).toDF("node", "label"), "node", "left")
+    sets = stored(sets.select("node", F.coalesce("label", "node").alias("label"), "_copies"), "sets")
+    placed = looked_up(rows, sets, ["node"], "_copies").select(ROW, "node", "n", "label").join(found.keyed.select(ROW, "_key"), ROW)
+    placed = stored(placed, "placed")
+    least = stored(placed.groupBy("label").agg(F.min("_key").alias("component_id"), F.count("*").alias("_size")), "least")
+    joined = looked_up(placed, least, ["label"], "_size")
+    joined = joined.select(ROW, "_key", F.col("n").cast("long").alias("n_shingles"), "component_id", "label", "node")
+    alone = found.keyed.select(ROW, "_key").join(found.profiles.where("n = 0").select(ROW), ROW)
+    none = F.lit(None).cast("long")
+    alone = alone.select(ROW, "_key", F.lit(0).cast("long").alias("n_shingles"), F.col("_key").alias("component_id"), none.alias("label"), none.alias("node"))
+    return joined.unionByName(alone).withColumnRenamed("_key", key)
 
 
 def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -504,50 +571,36 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     ``label`` names a component by itself and is null for rows without shingles.  Repeated rows are
     linked like any equal texts; an empty table gives an empty result.
     """
-    keyed = with_row(docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text")))
-    spark = docs.sparkSession
-    profiles = stored(in_arrow(keyed.select(ROW, "_text"), _profiles, PROFILE), "profiles")
-    size, asked = profiles.agg(F.coalesce(F.sum(F.length("low")) / 6, F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    frequent = spark.sparkContext.broadcast(frequent_shingles(profiles, _deals(spark, int(size))))
-    deals = _deals(spark, asked * (100 - PERCENT) // 100)
-    lacking = stored(in_arrow(profiles.select(ROW, "node", "n", "low"), lambda it: _lacking(it, frequent.value), f"{ROW} bigint, node bigint"), "lacking")
-    nodes_of = profiles.select(ROW, "node")
-    longer = in_arrow(keyed.join(light(lacking), ROW).select(ROW, "node", "_text"), _long_profiles, PROFILE)
-    posted = in_arrow(profiles.unionByName(longer), lambda it: _posted(it, deals, frequent.value), POSTED)
-    entries = stored(in_arrow(_gathered(posted), _listed, ENTRIES), "entries")
-
-    # units: bundles of nodes that the first fragment shows to be alike
-    nodes = stored(entries.select("node").distinct(), "nodes")
-    first = profiles.select("node", "n", F.col("small").alias("part")).join(nodes, "node", "left_semi").dropDuplicates(["node"])
-    first = stored(first, "first")
-    pairs = entries.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    both = pairs.join(first.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("part").alias("x")), "a")
-    both = both.join(first.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("part").alias("y")), "b")
-    alike = in_arrow(both.where("na <= 2 * nb AND nb <= 2 * na"), _alike, "a bigint, b bigint")
-    units = stored(_units(first, alike, entries), "units")
-
+    found = _found(docs, key, text)
     # what the hub of a group links needs no further pairs; the rest of its units meet by shingle
-    links = _links(_spokes(units), units, first, keyed, nodes_of)
+    links = _links(_spokes(found.units), found.units, found)
     kin = components(links).toDF("node", "c")
     label = F.when(F.col("c").isNotNull(), F.xxhash64(F.lit("kin"), "c")).when(F.col("label").isNotNull(), F.xxhash64(F.lit("rest"), "label"))
-    again = units.join(kin, "node", "left").select("node", "n", F.col("c").isNotNull().alias("kin"), label.alias("label"))
+    again = found.units.join(kin, "node", "left").select("node", "n", F.col("c").isNotNull().alias("kin"), label.alias("label"))
     again = _bundled(again).select("node", "n", "kin", F.when(F.col("kin"), F.col("label")).otherwise(F.col("unit")).alias("owner"), "unit")
     again = stored(again, "units")
-    links = links.unionByName(_links(_meeting(entries, again), again, first, keyed, nodes_of))
+    links = links.unionByName(_links(_meeting(found.entries, again), again, found))
+    return _classed(found, links, key).drop("node")
 
-    labels = components(links)
-    placed = profiles.where("n > 0").select(ROW, "node", "n").join(labels.toDF("node", "label"), "node", "left")
-    placed = placed.select(ROW, "n", F.coalesce("label", "node").alias("label")).join(keyed.select(ROW, "_key"), ROW)
-    placed = stored(placed, "placed")
-    least = stored(placed.groupBy("label").agg(F.min("_key").alias("least"), F.count("*").alias("_size")), "least")
-    # components above a quarter of a partition's share of the rows, at most four a partition, are broadcast, so that none is one task's
-    share = f"_size * {4 * parts(spark)} > {placed.count()}"
-    large, small = least.where(share).drop("_size"), least.where(f"NOT ({share})").drop("_size")
-    joined = placed.join(F.broadcast(large), "label").unionByName(placed.join(F.broadcast(large), "label", "left_anti").join(small, "label"))
-    joined = joined.select(ROW, "_key", F.col("n").cast("long").alias("n_shingles"), F.col("least").alias("component_id"), "label")
-    alone = keyed.select(ROW, "_key").join(profiles.where("n = 0").select(ROW), ROW)
-    alone = alone.select(ROW, "_key", F.lit(0).cast("long").alias("n_shingles"), F.col("_key").alias("component_id"), F.lit(None).cast("long").alias("label"))
-    return joined.unionByName(alone).withColumnRenamed("_key", key)
+
+def near_links(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``near_components`` with every link counted: ``n_links``, the other sets a row's set is linked
+    with, and ``n_equal``, the other rows of the same set.
+
+    Rows without shingles have none of either.  No pair is left out for being of one
+    component, so a group of n near copies costs the square of its n/128 units, where
+    ``near_components`` costs their number; pairs are counted in the tasks and never
+    become rows.  Nulls, repeated rows and empty tables are as there.
+    """
+    found = _found(docs, key, text)
+    units = stored(found.units.select("node", "n", F.lit(False).alias("kin"), F.col("unit").alias("owner"), "unit"), "units")
+    counted = _links(_meeting(found.entries, units), units, found, degrees=True)
+    rows = stored(_classed(found, counted.where("b IS NOT NULL"), key), "classed")
+    linked = counted.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n_links"))
+    sets = rows.where("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("_copies")).join(linked, "node", "left")
+    sets = stored(sets.select("node", "_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.col("_copies") - 1).alias("n_equal")), "sets")
+    alone = rows.where("node IS NULL").withColumns({"n_links": F.lit(0).cast("long"), "n_equal": F.lit(0).cast("long")})
+    return looked_up(rows, sets, ["node"], "_copies").drop("_copies").unionByName(alone).drop("node")
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

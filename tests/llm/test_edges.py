@@ -41,11 +41,12 @@ def texts():
     return out
 
 
-def brute_components(texts, ids):
-    def shingles(t):
-        w = (t or "").encode().lower().split()
-        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+def shingles(t):
+    w = (t or "").encode().lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
 
+def brute_components(texts, ids):
     sets = [shingles(t) for t in texts]
     parent = list(range(len(sets)))
 
@@ -81,6 +82,36 @@ def test_ngram_join(table_of, texts):
     assert kept.count() == len(classes) + sum(r["label"] is None for r in got)
 
 
+def brute_links(sets):
+    """For each set: how many different sets it is linked with, and how many others equal it."""
+    different = set(map(frozenset, sets)) - {frozenset()}
+    linked = {a: sum(a != b and 100 * len(a & b) >= 80 * len(a | b) for b in different) for a in different}
+    return [(linked.get(frozenset(s), 0), sum(s == t for t in sets) - 1 if s else 0) for s in sets]
+
+
+def test_every_link_is_counted(table_of, texts):
+    """Links inside a group count too: chains, copies, near copies in several units, and rows without words."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    base = [word() for _ in range(120)]
+    rows = list(texts)
+    for _ in range(300):
+        w = list(base)
+        for _ in range(rng.choice([0, 1, 2, 3, 4])):
+            w[rng.randrange(120)] = word()
+        rows.append(" ".join(w))
+    for k in range(12):  # a chain whose ends are not linked
+        rows.append(" ".join(base[k * 3 :] + [f"tail{i}" for i in range(k * 3)]))
+    ids = list(range(len(rows)))
+    got = ngram_join.near_links(table_of(list(zip(ids, rows)), DOC)).collect()
+    counts = brute_links([shingles(t) for t in rows])
+    want = [(i, n, c, *k) for (i, n, c), k in zip(brute_components(rows, ids), counts)]
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"], r["n_equal"]) for r in got) == sorted(want)
+    assert max(k for k, _ in counts) > 128
+    empty = ngram_join.near_links(table_of([], DOC))
+    assert empty.columns[-2:] == ["n_links", "n_equal"] and empty.count() == 0
+
+
 def test_ngram_join_of_many_near_copies(table_of):
     """A group larger than units and crowds, with frequent shingles and outsiders that share a passage."""
     rng = random.Random(9)
@@ -121,8 +152,10 @@ def test_overlaps():
 
 def test_components(table_of):
     edges = [(1, 2), (2, 3), (3, 4), (4, 5), (9, 8), (8, 7), (7, 7), (20, 21), (21, 20)] + [(100 + i, 101 + i) for i in range(40)]
+    edges += [(500, 501 + i) for i in range(300)] + [(499, 800)]  # a node of most edges
     got = {r["v"]: r["label"] for r in graphs.components(table_of(edges, "a long, b long")).collect()}
     assert all(got[v] == 1 for v in range(1, 6)) and got[9] == got[7] == 7 and got[21] == 20 and all(got[v] == 100 for v in range(100, 141))
+    assert all(got[v] == 499 for v in range(499, 801))
 
 
 def test_suffixes(table_of, texts):
