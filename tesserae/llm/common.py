@@ -110,10 +110,12 @@ def looked_up(rows: DataFrame, found: DataFrame, keys: list[str], count: str) ->
 
     Keys that hold more than a quarter of a partition's share of ``rows``, of which there
     are four a partition at most whatever the data, are broadcast, so that no key gathers
-    its rows in one task; the others are shuffled.  ``rows`` are read twice, so they should
-    be stored too.  Keys that are null meet nothing.
+    its rows in one task; the others are shuffled.  Without such keys one join does.  ``rows``
+    are read twice or more, so they should be stored too.  Keys that are null meet nothing.
     """
     share = f"{count} * {4 * parts(rows.sparkSession)} > {rows.count()}"
+    if not found.where(share).limit(1).count():
+        return rows.join(found, keys)
     large = F.broadcast(found.where(share))
     cold = rows.join(large.select(*keys), keys, "left_anti").join(found.where(f"NOT ({share})"), keys)
     return rows.join(large, keys).unionByName(cold)
