@@ -161,7 +161,44 @@ SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed,
 FROM d LEFT JOIN kept USING (doc_id)
 """
 
-SQL = {"op2_ngram_jaccard_join": OP2, "op4_chat_formatting": OP4, "op5_source_mixing": OP5, "op7_suffix_dedup": OP7, "op10_benchmark_decontamination": OP10}
+# crc32 bit by bit; a stretch is a maximal run of equal words p apart, and a run unless a run of a divisor of p holds it
+OP11 = r"""
+WITH hashed AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         xor(4294967295, list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+             lambda crc, byte: list_reduce(range(8), lambda c, bit: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, xor(crc, byte)), 4294967295)) AS h
+  FROM documents
+), cut AS (
+  SELECT *, len(w) AS n, (h // 10) % greatest(len(w), 1) AS a FROM hashed
+), aimed AS (
+  SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM cut
+), words AS (
+  SELECT doc_id, n, i, w[1 + CASE WHEN h % 10 = 0 AND i >= a THEN a + (i - a) % p ELSE i END] AS t FROM (SELECT *, unnest(range(n)) AS i FROM aimed)
+), pairs AS (
+  SELECT x.doc_id, x.i, y.i - x.i AS p FROM words x JOIN words y ON x.doc_id = y.doc_id AND x.t = y.t AND y.i > x.i AND y.i - x.i <= x.n // 3 WHERE x.n >= 24
+), islands AS (
+  SELECT doc_id, p, i, i - row_number() OVER (PARTITION BY doc_id, p ORDER BY i) AS island FROM pairs
+), stretches AS (
+  SELECT doc_id, p, min(i) AS s, count(*) + p AS l FROM islands GROUP BY doc_id, p, island HAVING count(*) + p >= greatest(24, 3 * p)
+), runs AS (
+  SELECT * FROM stretches x WHERE NOT EXISTS (
+    SELECT 1 FROM stretches y WHERE y.doc_id = x.doc_id AND y.p < x.p AND x.p % y.p = 0 AND y.s <= x.s AND y.s + y.l >= x.s + x.l)
+), per AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || l || ',' || p || chr(10), '' ORDER BY s, p) AS lines FROM runs GROUP BY doc_id
+), best AS (
+  SELECT * FROM runs x WHERE NOT EXISTS (
+    SELECT 1 FROM runs y WHERE y.doc_id = x.doc_id
+      AND (y.l * x.p > x.l * y.p OR (y.l * x.p = x.l * y.p AND (y.s < x.s OR (y.s = x.s AND y.p < x.p)))))
+), kept AS (
+  SELECT doc_id, string_agg(t, ' ' ORDER BY i) AS k FROM words x
+  WHERE NOT EXISTS (SELECT 1 FROM runs r WHERE r.doc_id = x.doc_id AND x.i >= r.s + r.p AND x.i < r.s + r.l) GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, CAST(s AS BIGINT) AS start, CAST(l AS BIGINT) AS length, CAST(p AS BIGINT) AS period,
+       CAST(1000 * l // p AS BIGINT) AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(k, '')) AS collapsed_sha256
+FROM documents d LEFT JOIN per USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+SQL = {"op2_ngram_jaccard_join": OP2, "op4_chat_formatting": OP4, "op5_source_mixing": OP5, "op7_suffix_dedup": OP7, "op10_benchmark_decontamination": OP10, "op11_periodic_runs": OP11}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -6,8 +6,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, chunking, decontamination, fingerprints, mixing, ngram_join, quality, suffixes, tokens, toxicity
+from . import chat, chunking, decontamination, fingerprints, mixing, ngram_join, periods, quality, suffixes, tokens, toxicity
 from .common import table
 
 
@@ -54,6 +55,38 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def looped(docs: DataFrame) -> DataFrame:
+    """``documents`` in which a tenth of the texts, by their id's hash, repeat themselves from some word on.
+
+    With ``h`` the hash, ``g = floor(h / 10)`` and ``n`` words, word ``i >= a`` becomes word ``a + (i - a) % p``,
+    ``a = g % n`` and ``p = 1 + floor((n - a) / (3 + g % 8))``.  A null id has no hash and changes nothing.
+    """
+    hashed = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string")).alias("_h"))
+    words = F.when(F.col("_h") % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    cut = hashed.withColumn("_words", words).withColumn("_g", F.expr("_h div 10")).withColumn("_n", F.size("_words"))
+    cut = cut.withColumn("_a", F.when(F.col("_n") > 0, F.col("_g") % F.col("_n")))
+    cut = cut.withColumn("_p", F.expr("1 + (_n - _a) div (3 + _g % 8)"))
+    again = F.transform(F.expr("sequence(0L, _n - 1L)"), lambda i: F.get("_words", F.when(i < F.col("_a"), i).otherwise(F.col("_a") + (i - F.col("_a")) % F.col("_p")).cast("int")))
+    return cut.select("doc_id", F.when(F.col("_n") > 0, F.array_join(again, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periods.periodic_runs(looped(table(spark, sf_dir, "documents")))
+    first = "a.length * b.period > b.length * a.period"  # the exact quotients of lengths and periods
+    then = "a.length * b.period < b.length * a.period"
+    best = F.get(F.expr(f"array_sort(runs, (a, b) -> CASE WHEN {first} THEN -1 WHEN {then} THEN 1 ELSE 0 END)"), F.lit(0))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    found = found.withColumn("_best", best)
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[F.col(f"_best.{c}").alias(c) for c in ("start", "length", "period")],
+        F.expr("1000 * _best.length div _best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 OPERATORS = (
     op1_document_fingerprints,
     op2_ngram_jaccard_join,
@@ -65,6 +98,7 @@ OPERATORS = (
     op8_token_counts,
     op9_quality_classifier,
     op10_benchmark_decontamination,
+    op11_periodic_runs,
 )
 
 
