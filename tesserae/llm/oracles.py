@@ -198,7 +198,27 @@ SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, CAST(s AS BIGINT) AS start, CAST
 FROM documents d LEFT JOIN per USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
-SQL = {"op2_ngram_jaccard_join": OP2, "op4_chat_formatting": OP4, "op5_source_mixing": OP5, "op7_suffix_dedup": OP7, "op10_benchmark_decontamination": OP10, "op11_periodic_runs": OP11}
+OP12 = """
+WITH rows AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.id AS anchor_id, a.label = b.label AS same, b.id AS id, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM rows a JOIN rows b ON a.id <> b.id WHERE a.id % 100 = 0
+), positives AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank,
+       id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY rank <= 5
+"""
+
+SQL = {"op2_ngram_jaccard_join": OP2, "op4_chat_formatting": OP4, "op5_source_mixing": OP5, "op7_suffix_dedup": OP7, "op10_benchmark_decontamination": OP10, "op11_periodic_runs": OP11, "op12_hard_negatives": OP12}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, chunking, decontamination, fingerprints, mixing, ngram_join, periods, quality, suffixes, tokens, toxicity
+from . import chat, chunking, decontamination, fingerprints, mixing, ngram_join, periods, quality, suffixes, tokens, toxicity, vafile
 from .common import table
 
 
@@ -87,6 +87,14 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    finite = F.expr("forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity'))")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vector = F.when(finite, F.transform("embedding", lambda x: F.floor(F.lit(256) * x.cast("double"))))
+    return vafile.hard_negatives(rows.select(F.col("vec_id").alias("id"), label.alias("label"), (F.col("vec_id") % 100 == 0).alias("anchor"), vector.alias("vector")))
+
+
 OPERATORS = (
     op1_document_fingerprints,
     op2_ngram_jaccard_join,
@@ -99,6 +107,7 @@ OPERATORS = (
     op9_quality_classifier,
     op10_benchmark_decontamination,
     op11_periodic_runs,
+    op12_hard_negatives,
 )
 
 
