@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, chunking, decontamination, fingerprints, mixing, ngram_join, periods, quality, suffixes, tokens, toxicity, vafile
+from . import chat, chunking, decontamination, fingerprints, mixing, ngram_join, periods, pii, quality, suffixes, tokens, toxicity, vafile
 from .common import table
 
 
@@ -95,6 +95,15 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vafile.hard_negatives(rows.select(F.col("vec_id").alias("id"), label.alias("label"), (F.col("vec_id") % 100 == 0).alias("anchor"), vector.alias("vector")))
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = pii.personal_data(docs, pii.train(docs))
+    plain = F.filter("spans", lambda s: s["plain"])
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    counts = [F.size(F.filter(plain, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(listed(plain), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 OPERATORS = (
     op1_document_fingerprints,
     op2_ngram_jaccard_join,
@@ -108,6 +117,7 @@ OPERATORS = (
     op10_benchmark_decontamination,
     op11_periodic_runs,
     op12_hard_negatives,
+    op13_personal_data,
 )
 
 
