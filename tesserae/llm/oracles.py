@@ -24,31 +24,45 @@ WITH sized AS (
   SELECT level FROM open WHERE level <= room ORDER BY room, sid LIMIT 1
 ), targets AS (
   SELECT sid, source, source_size, least(cap, coalesce((SELECT level FROM water) * weight, cap)) AS target FROM weighed
+), graded AS (
+  SELECT *, len(list_filter(range(1, 17), lambda k: words * 16.0::DOUBLE ** k <= most)) AS level
+  FROM (SELECT *, max(words) OVER () AS most FROM (SELECT *, CAST(round(target) AS BIGINT) AS words FROM targets) WHERE words > 0)
+), summed AS (
+  SELECT *, CAST(sum(words) OVER (PARTITION BY level ORDER BY sid ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto,
+         CAST(sum(words) OVER (PARTITION BY level) AS BIGINT) AS total, min(words) OVER (PARTITION BY level) AS least
+  FROM graded
 ), spans AS (
-  SELECT *, sum(target) OVER (ORDER BY sid) / sum(target) OVER () AS high,
-         (sum(target) OVER (ORDER BY sid) - target) / sum(target) OVER () AS low
-  FROM targets WHERE target > 0
+  SELECT *, CAST(upto - words AS DOUBLE) / total AS low, CAST(upto AS DOUBLE) / total AS high, greatest(1, least // 1024) AS b FROM summed
 ), frame AS (
-  SELECT greatest(16, CAST(ceil(sum(target) / 1048576) AS BIGINT)) AS b, sum(target) AS total FROM targets
+  SELECT level, max(greatest((total + b - 1) // b, (4 * total + least - 1) // least)) AS n FROM spans GROUP BY level
 ), points AS (
-  SELECT i AS slot, (i + 0.5::DOUBLE) * 0.6180339887498949::DOUBLE - floor((i + 0.5::DOUBLE) * 0.6180339887498949::DOUBLE) AS pt
-  FROM (SELECT unnest(range(CAST(ceil(total / b) AS BIGINT))) AS i FROM frame)
+  SELECT level, n, i AS slot, (i + 0.5::DOUBLE) * 0.6180339887498949::DOUBLE - floor((i + 0.5::DOUBLE) * 0.6180339887498949::DOUBLE) AS pt
+  FROM (SELECT level, n, unnest(range(n)) AS i FROM frame)
 ), ranked AS (
-  SELECT sid, source_size, row_number() OVER (PARTITION BY sid ORDER BY slot) - 1 AS r FROM points JOIN spans ON pt >= low AND pt < high
-), times AS (
-  SELECT sid, r % ((source_size + b - 1) // b) AS block, count(*) AS times
-  FROM ranked, frame WHERE r < 2 * ((source_size + b - 1) // b) GROUP BY ALL
+  SELECT sid, source_size, b, words, n, slot, row_number() OVER (PARTITION BY sid ORDER BY slot) - 1 AS r, count(*) OVER (PARTITION BY sid) AS slots
+  FROM points JOIN spans USING (level) WHERE pt >= low AND pt < high
+), ended AS (
+  SELECT *, (source_size + b - 1) // b AS blocks, words % source_size AS rest,
+         words // source_size * ((source_size + b - 1) // b) + (words % source_size + b - 1) // b AS ranks
+  FROM ranked
+), shares AS (
+  SELECT *, unnest(range(r, CASE WHEN r = slots - 1 THEN ranks ELSE r + 1 END)) AS k FROM ended WHERE r < ranks
+), dealt AS (
+  SELECT sid, k % blocks AS block, (slot + 0.5::DOUBLE) / n AS spot, k % blocks * b AS first,
+         CASE WHEN k = ranks - 1 AND rest > 0 THEN rest ELSE least((k % blocks + 1) * b, source_size) END AS past
+  FROM shares
 ), placed AS (
   SELECT s.doc_id, s.size, t.sid, t.source_size, t.target,
          coalesce(sum(s.size) OVER (PARTITION BY t.sid ORDER BY s.h, s.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
 ), pieces AS (
-  SELECT doc_id, sid, start, size, b, unnest(range(CAST(start // b AS BIGINT), CAST((start + size - 1) // b + 1 AS BIGINT))) AS block FROM placed, frame WHERE size > 0
+  SELECT doc_id, sid, start, size, unnest(range(CAST(start // b AS BIGINT), CAST((start + size - 1) // b + 1 AS BIGINT))) AS block
+  FROM placed JOIN (SELECT sid, b FROM spans) USING (sid) WHERE size > 0
 ), taken AS (
-  SELECT doc_id, sum((least(start + size, (p.block + 1) * b) - greatest(start, p.block * b)) * times) AS taken
-  FROM pieces p JOIN times t ON p.sid = t.sid AND p.block = t.block GROUP BY doc_id
+  SELECT doc_id, sum(least(start + size, past) - greatest(start, first)) AS taken, min(spot) AS first_at
+  FROM pieces JOIN dealt USING (sid, block) WHERE least(start + size, past) > greatest(start, first) GROUP BY doc_id
 )
-SELECT p.doc_id, p.size, p.source_size, p.target, CAST(coalesce(t.taken, 0) AS BIGINT) AS taken
+SELECT p.doc_id, p.size, p.source_size, p.target, CAST(coalesce(t.taken, 0) AS BIGINT) AS taken, first_at
 FROM placed p LEFT JOIN taken t USING (doc_id)
 """
 
