@@ -31,6 +31,11 @@ END = 50256  # the first id the vocabulary leaves free
 #: Fixed value: the word pattern the vocabulary was made with.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: Fixed value: the characters of ``\\s`` in that pattern.
+BLANK = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+LONG = 1 << 12  # blanks in a row that are cut out before the pattern, which enters them one level deeper a character
+_RUN = re.compile(f"[{BLANK}]{{{LONG},}}+")
+
 RANGE = 64  # blocks a task reads at a time
 
 
@@ -45,6 +50,18 @@ def _opened(path: str) -> tuple[fs.FileSystem, str]:
     return (fs.LocalFileSystem(), found[1]) if found else fs.FileSystem.from_uri(path)
 
 
+def encoded(encoding, body: str) -> list[int]:
+    """The ids of a text.  The pattern takes a run of blanks whole at the end of a text and all but its last
+    blank before a word; long runs are encoded as that one piece, so the ids are the same."""
+    ids, done = [], 0
+    for m in _RUN.finditer(body):
+        end = m.end() if m.end() == len(body) else m.end() - 1
+        ids += encoding.encode_ordinary(body[done : m.start()])
+        ids += encoding._encode_single_piece(body[m.start() : end])
+        done = end
+    return ids + encoding.encode_ordinary(body[done:])
+
+
 def encoded_files(docs: DataFrame, ranks: bytes, folder: str, end: int = END, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Writes the texts of each partition as one flat file of 16-bit ids in ``folder``, which all executors share.
 
@@ -70,7 +87,7 @@ def encoded_files(docs: DataFrame, ranks: bytes, folder: str, end: int = END, ke
                     out = out or system.open_output_stream(f"{base}/{name}")
                     size = 0
                     for body in some.column(1).to_pylist():
-                        ids = np.array([*(encoding.encode_ordinary(body) if body else ()), end], dtype="<u2")
+                        ids = np.array([*(encoded(encoding, body) if body else ()), end], dtype="<u2")
                         out.write(ids.tobytes())
                         size += ids.nbytes
                     held = pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), some.column(0))
