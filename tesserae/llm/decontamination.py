@@ -196,7 +196,9 @@ def _probes(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Recor
                 df[place] = c
             width = min(window, len(words))
             total = np.concatenate([[0], np.cumsum(df > 0)])
-            for s in np.flatnonzero(total[width:] - total[:-width] == width).tolist():
+            begins = np.flatnonzero(total[width:] - total[:-width] == width)
+            windows = np.lib.stride_tricks.sliding_window_view(words, width)[begins]
+            for s in begins[np.unique(windows, axis=0, return_index=True)[1]].tolist():  # a window that an item repeats is one probe
                 rarest = s + int(np.argmin(df[s : s + width]))
                 out.append((words[rarest].view(np.int64), name, False, words[s : s + width].tobytes(), np.arange(width, dtype="<i4").tobytes()))
             present = np.flatnonzero(df > 0)
@@ -207,36 +209,49 @@ def _probes(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Recor
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.string(), pa.bool_(), pa.binary(), pa.binary()))], names=[c.split()[0] for c in PROBE.split(", ")])
 
 
+def _merged(shard: Shard, begins: np.ndarray, width: int) -> np.ndarray:
+    """Rows (document, first word, end) of the words that phrases of ``width`` words from ``begins`` on cover."""
+    docs = shard.document(begins)
+    fresh = (np.diff(docs, prepend=-1) != 0) | (np.diff(begins, prepend=0) > width)
+    head = np.flatnonzero(fresh)
+    last = np.concatenate([head[1:], [len(begins)]])[: len(head)] - 1
+    first = shard.first[docs[head]]
+    return np.stack([docs[head], begins[head] - first, begins[last] + width - first], axis=1)
+
+
 def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What the probes of one row hit in its shard, by document."""
     for batch in batches:
         for i in range(len(batch)):
             number, lengths, terms, counts, positions, probes = (batch.column(k)[i].as_py() for k in range(6))
             shard = Shard(terms, counts, positions, np.array(lengths, dtype=np.int64))
-            held: dict[int, list] = {}
-            kinds: dict[tuple[bool, int], list[dict]] = {}
-            for p in probes:
-                kinds.setdefault((p["near"], len(p["words"]) // 8), []).append(p)
-            for (near, width), mine in kinds.items():
-                slots = shard.slots(np.frombuffer(b"".join(p["words"] for p in mine), "<u8").reshape(-1, width))
+            spans, names, close = ([np.zeros((0, 3), np.int64)], {}, {})
+            kinds: dict[tuple[bool, int], dict[tuple[bytes, bytes], list[str]]] = {}
+            for p in probes:  # the items of a window share its search
+                kinds.setdefault((p["near"], len(p["words"]) // 8), {}).setdefault((p["words"], p["places"]), []).append(p["name"])
+            for (near, width), asked in kinds.items():
+                items = list(asked.values())
+                slots = shard.slots(np.frombuffer(b"".join(w for w, _ in asked), "<u8").reshape(-1, width))
                 whole = np.flatnonzero((slots >= 0).all(1))
                 if not len(whole):
                     continue
                 if near:
-                    places = np.frombuffer(b"".join(p["places"] for p in mine), "<i4").reshape(-1, width).astype(np.int64)
+                    places = np.frombuffer(b"".join(p for _, p in asked), "<i4").reshape(-1, width).astype(np.int64)
                     of, at = shard.near(slots[whole], places[whole], SLOP)
                 else:
                     of, at = shard.phrases(slots[whole])
-                for k, d, p in zip(whole[of].tolist(), shard.document(at).tolist(), at.tolist()):
-                    spans, names, close = held.setdefault(d, ([], set(), set()))
-                    if near:
-                        close.add(mine[k]["name"])
-                    else:
-                        spans.append((p - int(shard.first[d]), p - int(shard.first[d]) + width))
-                        names.add(mine[k]["name"])
-            if held:
-                rows = [(number, d, np.array(spans, "<i4").tobytes(), sorted(names), sorted(close)) for d, (spans, names, close) in held.items()]
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.string())))], names=[c.split()[0] for c in HITS.split(", ")])
+                    spans.append(_merged(shard, np.unique(at), width))
+                docs = len(shard.lengths)
+                for pair in np.unique(whole[of] * docs + shard.document(at)).tolist():
+                    (close if near else names).setdefault(pair % docs, set()).update(items[pair // docs])
+            spans = np.concatenate(spans)
+            spans = spans[np.argsort(spans[:, 0], kind="stable")]
+            docs = sorted(names.keys() | close.keys())
+            if docs:
+                edges = np.searchsorted(spans[:, 0], [docs, [d + 1 for d in docs]])
+                bodies = [spans[x:y, 1:].astype("<i4").tobytes() for x, y in edges.T.tolist()]
+                columns = [[number] * len(docs), docs, bodies, *([sorted(held.get(d, ())) for d in docs] for held in (names, close))]
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.string())))], names=[c.split()[0] for c in HITS.split(", ")])
 
 
 def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -117,7 +117,7 @@ class Tagger:
             self._lstm_back(name, chars, keep[k], dstates[:, :, k * width : (k + 1) * width], g)
         return float((logs.sum() - path) / count), g
 
-    def fit(self, chars: np.ndarray, mask: np.ndarray, labels: np.ndarray, epochs: int, batch: int = 64, rate: float = 8e-3, seed: int = 2) -> Tagger:
+    def fit(self, chars: np.ndarray, mask: np.ndarray, labels: np.ndarray, epochs: int, batch: int = 64, rate: float = 1.5e-2, seed: int = 2) -> Tagger:
         """Adam on shuffled batches of ``[sequence, time]`` arrays, with a falling rate and clipped gradients."""
         rng, step = np.random.default_rng(seed), 0
         moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}

@@ -142,7 +142,7 @@ def test_held_out_accuracy():
         lambda: f"+1 ({number(3)}) {number(3)}-{number(4)}",
     )
     text = lambda piece: " ".join([*(word() for _ in range(rng.randint(3, 14))), piece, *(word() for _ in range(rng.randint(3, 14)))])
-    model = pii.fitted([text(rng.choice(made)()) for _ in range(400)], count=2500, epochs=6)
+    model = pii.fitted([text(rng.choice(made)()) for _ in range(400)])
     found = asked = 0
     for _ in range(200):
         kind = rng.randrange(4)
@@ -154,7 +154,7 @@ def test_held_out_accuracy():
         asked += 1
     clean = [text(pii._innocent(rng)) for _ in range(300)]
     wrong = sum(bool(pii.with_added(*pii.plain_spans(t), s)) for t, s in zip(clean, pii.tagged_spans(model, clean)) if not pii.plain_spans(t)[0])
-    assert found / asked > 0.5 and wrong <= 3
+    assert found / asked > 0.8 and wrong <= 3
     long = " ".join(["1 " * 400, "a.1@b.cd"] * 20)  # one stretch of many windows
     together = pii.tagged_spans(model, ["", long, "no digits", text("x")])
     assert together[1] == pii.tagged_spans(model, [long])[0] and together[0] == together[2] == []
