@@ -7,15 +7,19 @@ of least id stays.  What remains is rendered turn by turn.
 
 Turns are hashed with their place, and prefixes combine by exclusive or, so the rolling
 hash is a running aggregate.  All turns are sorted together and scanned range by range, so
-a conversation of any length is spread over tasks and never gathered whole.
+a conversation of any length is spread over tasks: counts and hashes are carried from range to
+range, and whether a turn is its conversation's last shows in the next row.  The one join by
+conversation, of what is kept with its turns, broadcasts conversations of many turns.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import in_order, stored
+from .common import in_order, looked_up, stored
 
 PIECE = 4096  # turns rendered into one row; a longer conversation takes several
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
@@ -23,40 +27,42 @@ ROLES = ("system", "user", "assistant", "tool")
 MARK = r"<(\\*\|im_(?:start|end)\|>)"  # in a text, with any backslashes of its own; one more tells it from a real one
 
 
-def _carried(rows: DataFrame, total: Column, before: str) -> DataFrame:
-    """``rows`` with ``before``: ``total`` of the conversation's turns in earlier ranges, null where there are none.
+def _carried(rows: DataFrame, **totals: tuple[Column, Callable[[str], Column]]) -> DataFrame:
+    """``rows`` with a column for each total (an aggregate and its running form) of the conversation's turns in earlier ranges, null where there are none.
 
-    Only conversations that reach into another range have such a row, two a range at most.
+    Only conversations that reach into another range have such a row, one a range at most.
     """
-    sums = rows.groupBy("_conv", "_part").agg(total.alias("_t"))
+    sums = rows.groupBy("_conv", "_part").agg(*[total.alias(f"_{name}") for name, (total, _) in totals.items()])
     reach = Window.partitionBy("_conv").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    running = F.bit_xor("_t") if before != "_before" else F.sum("_t")
-    carried = sums.withColumn(before, running.over(reach)).where(F.col(before).isNotNull()).select("_conv", "_part", before)
-    return rows.join(F.broadcast(carried), ["_conv", "_part"], "left")
+    carried = sums.select("_conv", "_part", *[running(f"_{name}").over(reach).alias(name) for name, (_, running) in totals.items()])
+    return rows.join(F.broadcast(carried.where(F.col(next(iter(totals))).isNotNull())), ["_conv", "_part"], "left")
 
 
 def rolled(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """Turns with their place ``_at`` in the conversation and two 64-bit hashes of all turns up to there."""
+    """Turns with their place ``_at`` in the conversation, two 64-bit hashes of all turns up to there, and whether they are the ``_last``."""
     base = turns.where(F.col(conv).isNotNull()).select(F.col(conv).alias("_conv"), F.col(turn).alias("_turn"), F.col(role).cast("string").alias("_role"), F.col(text).cast("string").alias("_text"))
     base = in_order(base.distinct(), "_conv", F.col("_turn").asc_nulls_first(), F.col("_role").asc_nulls_first(), F.col("_text").asc_nulls_first())
+    heads = base.where("_inside = 0").select("_part", "_conv")  # a row a range; ranges may be empty
+    heads = heads.select(F.lag("_part").over(Window.orderBy("_part")).alias("_part"), F.col("_conv").alias("_head"))
     inner = Window.partitionBy("_conv", "_part").orderBy("_inside")
-    base = _carried(base.withColumn("_at", F.row_number().over(inner).cast("long")), F.count("*"), "_before")
-    base = base.withColumn("_at", F.col("_at") + F.coalesce("_before", F.lit(0))).drop("_before")
-    marks = [F.coalesce(F.col(c), F.lit("\x00null")) for c in ("_role", "_text")]
+    base = base.withColumn("_after", F.lead("_conv").over(Window.partitionBy("_part").orderBy("_inside"))).join(F.broadcast(heads), "_part", "left")
+    base = base.withColumn("_last", ~F.coalesce("_after", "_head").eqNullSafe(F.col("_conv"))).drop("_after", "_head")
+    base = _carried(base.withColumn("_at", F.row_number().over(inner).cast("long")), before=(F.count("*"), F.sum))
+    base = base.withColumn("_at", F.col("_at") + F.coalesce("before", F.lit(0))).drop("before")
+    marks = [c for name in ("_role", "_text") for c in (F.col(name), F.col(name).isNull())]  # the hash itself passes over nulls
+    for name, salt in (("_h1", "a"), ("_h2", "b")):
+        base = base.withColumn(name, F.xxhash64(F.lit(salt), "_at", *marks))
+    base = _carried(base, e1=(F.bit_xor("_h1"), F.bit_xor), e2=(F.bit_xor("_h2"), F.bit_xor))
     so_far = inner.rowsBetween(Window.unboundedPreceding, 0)
-    for name, salt in (("_p1", "a"), ("_p2", "b")):
-        base = _carried(base.withColumn("_h", F.xxhash64(F.lit(salt), "_at", *marks)), F.bit_xor("_h"), "_earlier")
-        base = base.withColumn(name, F.bit_xor("_h").over(so_far).bitwiseXOR(F.coalesce("_earlier", F.lit(0)))).drop("_h", "_earlier")
-    return base.drop("_part", "_inside")
+    hashes = [F.bit_xor(f"_h{k}").over(so_far).bitwiseXOR(F.coalesce(f"e{k}", F.lit(0))).alias(f"_p{k}") for k in (1, 2)]
+    return base.select("_conv", "_role", "_text", "_at", "_last", *hashes)
 
 
 def maximal(prefixes: DataFrame) -> DataFrame:
     """``_conv`` and ``_n`` of the conversations that are no proper prefix of another one and the least of their equals."""
-    ends = prefixes.groupBy("_conv").agg(F.max_by(F.struct("_p1", "_p2"), "_at").alias("p"), F.max("_at").alias("_n"))
-    ends = ends.select("_conv", "_n", "p._p1", "p._p2")
+    ends = prefixes.where("_last").select("_conv", F.col("_at").alias("_n"), "_p1", "_p2")
     first = ends.groupBy("_n", "_p1", "_p2").agg(F.min("_conv").alias("_conv"), F.count("*").alias("_equal"))
-    inner = prefixes.join(ends.select("_conv", "_n"), "_conv").where("_at < _n")
-    inner = inner.groupBy(F.col("_at").alias("_n"), "_p1", "_p2").agg(F.count("*").alias("c"))  # a shared opening counts once
+    inner = prefixes.where("NOT _last").groupBy(F.col("_at").alias("_n"), "_p1", "_p2").agg(F.count("*").alias("c"))  # a shared opening counts once
     return first.join(inner, ["_n", "_p1", "_p2"], "left_anti").select("_conv", "_n", "_equal")
 
 
@@ -71,7 +77,7 @@ def rendered(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     empty result.
     """
     prefixes = stored(rolled(turns, conv, turn, role, text), "prefixes")
-    kept = prefixes.join(maximal(prefixes), "_conv")
+    kept = looked_up(prefixes, stored(maximal(prefixes), "maximal"), ["_conv"], "_n")
     speaker = F.lower(F.trim("_role"))
     speaker = F.when(speaker.isin(*ROLES), speaker).otherwise(F.lit("user"))
     line = F.concat(F.lit(OPEN), speaker, F.lit("\n"), F.regexp_replace(F.coalesce("_text", F.lit("")), MARK, r"<\\$1"), F.lit(CLOSE + "\n"))

@@ -10,7 +10,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from tesserae.llm import decontamination, mixing, oracles, tokens
+from tesserae.llm import chat, common, decontamination, mixing, oracles, tokens
 from tesserae.llm.queries import op5_source_mixing
 
 DOC = "doc_id long, text string, source string"
@@ -104,3 +104,29 @@ def test_repetitive_item_and_document(table_of, words):
     assert time.time() - began < 60
     assert [got[i]["n_hit"] for i in (1, 2, 3)] == [n, n, 0] and [got[i]["n_items"] for i in (1, 2, 3)] == [3, 3, 0]
     assert got[2]["n_words"] == n + 2 and got[1]["items_sha256"] == decontamination.digest(["7", "8", "9"])
+
+
+def test_one_conversation_of_most_turns_is_spread(spark, table_of):
+    """No exchange of the plan gathers it by its id, and its ranges are many."""
+    rows = [("long", t, "user", f"turn {t}") for t in range(20_000)] + [(f"c{i}", t, "user", f"turn {t}") for i in range(50) for t in range(3)]
+    df = table_of(rows, "conv_id string, turn long, role string, text string")
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        prefixes = common.stored(chat.rolled(df), "prefixes")
+        kept = chat.rendered(df)
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        got = kept.collect()
+        parts = [r["n"] for r in prefixes.groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect()]
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
+    assert sorted((r["conv_id"], r["piece"], r["n_turns"]) for r in got) == [("long", k, 20_000) for k in range(5)]
+    assert "BroadcastHashJoin" in plan and len(parts) == 4 and max(parts) < 10_000
+    assert prefixes.where("_last").count() == 51
+
+
+def test_a_text_that_looks_like_a_null_is_none(table_of):
+    rows = [(1, 0, "user", None), (2, 0, "user", "\x00null"), (3, 0, None, "x"), (4, 0, "\x00null", "x")]
+    assert chat.rendered(table_of(rows, "conv_id long, turn long, role string, text string")).count() == 4
