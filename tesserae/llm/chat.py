@@ -8,7 +8,7 @@ of least id stays.  What remains is rendered turn by turn.
 Turns are hashed with their place, and prefixes combine by exclusive or, so the rolling
 hash is a running aggregate.  All turns are sorted together and scanned range by range, so
 a conversation of any length is spread over tasks: counts and hashes are carried from range to
-range, and whether a turn is its conversation's last shows in the next row.  The one join by
+range, and whether a range's last turn is its conversation's shows in the next range's first row.  The one join by
 conversation, of what is kept with its turns, broadcasts conversations of many turns.
 """
 
@@ -45,8 +45,8 @@ def rolled(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: st
     heads = base.where("_inside = 0").select("_part", "_conv")  # a row a range; ranges may be empty
     heads = heads.select(F.lag("_part").over(Window.orderBy("_part")).alias("_part"), F.col("_conv").alias("_head"))
     inner = Window.partitionBy("_conv", "_part").orderBy("_inside")
-    base = base.withColumn("_after", F.lead("_conv").over(Window.partitionBy("_part").orderBy("_inside"))).join(F.broadcast(heads), "_part", "left")
-    base = base.withColumn("_last", ~F.coalesce("_after", "_head").eqNullSafe(F.col("_conv"))).drop("_after", "_head")
+    base = base.withColumn("_more", F.lead("_inside").over(inner)).join(F.broadcast(heads), "_part", "left")
+    base = base.withColumn("_last", F.col("_more").isNull() & ~F.col("_head").eqNullSafe(F.col("_conv"))).drop("_more", "_head")
     base = _carried(base.withColumn("_at", F.row_number().over(inner).cast("long")), before=(F.count("*"), F.sum))
     base = base.withColumn("_at", F.col("_at") + F.coalesce("before", F.lit(0))).drop("before")
     marks = [c for name in ("_role", "_text") for c in (F.col(name), F.col(name).isNull())]  # the hash itself passes over nulls
