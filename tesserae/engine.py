@@ -9,12 +9,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import blend as B
-from .operators import forward, normalize, tiling
+from .operators import blocks, forward, normalize, tiling
 from .operators.weights import converted, fuzzy_matched
-from .plans.networks import from_plans, read_json
+from .plans.networks import batch_size, from_plans, read_json
 from .sources import models
-from .sources.volumes import AXES, extents
+from .sources.volumes import extents
 
 
 @dataclass
@@ -62,9 +61,13 @@ class ShapeContext:
 
 
 class Engine:
-    """Predicts over voxel tables: normalise, pad, expand to patches, run the network per patch, blend, crop."""
+    """Predicts over voxel tables: normalise, pack into blocks, run the network on the patches of each block, blend.
 
-    def __init__(self, bundle: ModelBundle, configuration: str = "3d_fullres", step: float = 0.5, mirror: tuple[int, ...] = ()) -> None:
+    ``batch`` patches go through the network at once; where it is not given, as many as fit into
+    ``memory`` bytes, 8 at most.  ``side`` is that of the blocks, a patch's where it is not given.
+    """
+
+    def __init__(self, bundle: ModelBundle, configuration: str = "3d_fullres", step: float = 0.5, mirror: tuple[int, ...] = (), batch: int | None = None, memory: float = 2.0**30, side: tuple[int, int, int] | None = None) -> None:
         self.bundle, self.step, self.mirror = bundle, step, mirror
         config = bundle.plans["configurations"][configuration]
         self.patch = tuple(config["patch_size"])
@@ -74,6 +77,10 @@ class Engine:
         mapped, self.unmapped = fuzzy_matched(converted(bundle.weights), known)
         # the parameters of one model: bounded by the network, not by the data
         self.network = forward.UNet(self.arch, {r["key"]: np.array(r["data"], np.float64).reshape(r["shape"]) for r in mapped.toLocalIterator()})
+        spark = bundle.weights.sparkSession
+        fits = batch_size(F.array(*[F.lit(p) for p in self.patch]), F.lit(bundle.classes), F.lit(float(memory)))
+        self.batch = batch or spark.range(1).select(fits).first()[0]
+        self.plan = blocks.Patching(self.patch, step, side or self.patch, self.batch)
         self.prepare = lru_cache(maxsize=None)(self._prepare)
 
     def _prepare(self, shape: tuple[int, int, int]) -> ShapeContext:
@@ -91,20 +98,19 @@ class Engine:
         listed = spark.createDataFrame(rows, f"foreground_intensity_properties_per_channel map<string, struct<{kind}>>")
         return normalize.dispatch(voxels, self.schemes, normalize.intensity_params(listed), unknown="NoNormalization")
 
-    def _scores(self, voxels: DataFrame, normalized: bool) -> tuple[DataFrame, DataFrame]:
-        sizes = extents(voxels)
+    def _blocks(self, voxels: DataFrame, normalized: bool) -> DataFrame:
         ready = voxels if normalized else self.normalize(voxels)
-        padded = tiling.pad_each(ready, sizes, self.patch)
-        box = [F.col(f"n_{a}") for a in AXES]
-        return forward.predict_patches(padded, box, self.patch, self.step, self.network, self.arch.in_channels, self.mirror), sizes
+        return blocks.pack(ready, extents(voxels), self.plan.side, self.arch.in_channels)
+
+    @property
+    def _passes(self) -> forward.Network:
+        return forward.mirrored(self.network, self.mirror) if self.mirror else self.network
 
     def predict(self, voxels: DataFrame, normalized: bool = False) -> DataFrame:
         """``volume_id, k, z, y, x, l``: blended class scores; every volume has a shape of its own."""
-        scores, sizes = self._scores(voxels, normalized)
-        blended = tiling.crop_each(B.blend_arrays(scores, self.bundle.classes, self.patch), sizes, self.patch)
-        return blended.select("volume_id", "z", "y", "x", F.posexplode("ls").alias("k", "l"))
+        blended = blocks.predicted(self._blocks(voxels, normalized), self.plan, self._passes, self.bundle.classes)
+        return blocks.unpack(blended, self.plan.side).select("volume_id", "z", "y", "x", F.posexplode("ls").alias("k", "l"))
 
     def segment(self, voxels: DataFrame, normalized: bool = False) -> DataFrame:
         """``volume_id, z, y, x, label1, score1, label2, score2``: the two best classes of the winning patch."""
-        scores, sizes = self._scores(voxels, normalized)
-        return tiling.crop_each(B.segment(scores, self.patch), sizes, self.patch)
+        return blocks.unpack_segments(blocks.segmented(self._blocks(voxels, normalized), self.plan, self._passes), self.plan.side)

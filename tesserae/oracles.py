@@ -189,6 +189,17 @@ SQL["activation_bytes"] = f"WITH {_ACT} SELECT array_to_string(patch, 'x') AS si
 SQL["batch_size_choice"] = f"""WITH {_ACT}, m AS (SELECT unnest([8 * 2.0 ** 30, 12.7 * 2.0 ** 30, 72 * 2.0 ** 30])::DOUBLE AS memory)
 SELECT array_to_string(patch, 'x') AS side, classes, memory, CAST(greatest(least(trunc(memory * 0.85::DOUBLE / (3 * bytes + list_product(patch) * classes * 4)), 8), 1) AS INT) AS batch FROM act, m"""
 SQL["predict_arrow"] = SQL["blend_gaussian"]
+SQL["block_blend_uniform"], SQL["block_blend_3d"], SQL["block_segment"] = SQL["blend_uniform"], SQL["blend_3d_padded"], SQL["segment_top2"]
+SQL["block_conv3d"], SQL["block_conv3d_strided"], SQL["block_tiny_unet"] = SQL["conv3d_same"], SQL["conv3d_strided"], SQL["tiny_unet"]
+SQL["block_patch_extract"] = f"{PLANE_NET} SELECT pid, count(*) AS n, min(z) AS z0, max(z) AS z1, min(x) AS x0, {r('sum(v)', 5)} AS v FROM pv GROUP BY pid"
+SQL["block_large_volume"] = f"""WITH raw AS (SELECT CAST(l_orderkey % 128 AS INT) AS z, CAST(l_partkey % 128 AS INT) AS y, CAST(l_suppkey % 128 AS INT) AS x, sum(l_extendedprice) / 79193::DOUBLE AS v FROM lineitem GROUP BY ALL),
+img AS (SELECT p.i AS z, q.i AS y, t.i AS x, coalesce(v, 0) AS v FROM range(128) p(i), range(128) q(i), range(128) t(i) LEFT JOIN raw ON raw.z = p.i AND raw.y = q.i AND raw.x = t.i),
+tile AS (SELECT i, i * 32 AS s FROM range(3) t(i)),
+pv AS (SELECT a.i * 9 + b.i * 3 + c.i AS pid, z, y, x, v, 10 * exp(-((z - a.s - 32) ** 2 + (y - b.s - 32) ** 2 + (x - c.s - 32) ** 2) / 128::DOUBLE) AS w
+  FROM img JOIN tile a ON z >= a.s AND z < a.s + 64 JOIN tile b ON y >= b.s AND y < b.s + 64 JOIN tile c ON x >= c.s AND x < c.s + 64),
+st AS (SELECT pid, avg(v) AS mu, var_pop(v) AS q FROM pv GROUP BY pid),
+act AS (SELECT z, y, x, sum(w * CASE WHEN v > mu THEN (v - mu) / sqrt(q + 1e-5::DOUBLE) ELSE 0.01::DOUBLE * (v - mu) / sqrt(q + 1e-5::DOUBLE) END) / sum(w) AS a FROM pv JOIN st USING (pid) GROUP BY ALL)
+SELECT z, y, {r('avg(a * 0.8::DOUBLE + 0.1::DOUBLE)', 5)} AS l0, {r('avg(a * -0.5::DOUBLE + 0.2::DOUBLE)', 5)} AS l1, {r('avg(a * 0.3::DOUBLE - 0.1::DOUBLE)', 5)} AS l2 FROM act GROUP BY z, y"""
 SQL["safetensors_roundtrip"] = f"SELECT key, array_to_string(s, 'x') AS shape, list_product(s)::INT AS n, list_product(s) * (list_product(s) - 1) / 2::DOUBLE AS total FROM {_TENSORS}"
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .engine import Engine, ModelBundle
 from .functions import expressions as X
 from .operators import blend as B
-from .operators import forward, layers, normalize, tiling, weights
+from .operators import blocks, forward, layers, normalize, tiling, weights
 from .plans import networks
 from .sources import models, tensors, volumes
 from .sources.scratch import folder, stored
@@ -577,11 +577,112 @@ class PatchNorm:
         return np.stack([a * w + b for _, w, b in HEADS])
 
 
+SIDE = (64, 1, 32)  # of the plane's blocks
+CUBE_SIDE = (16, 7, 6)
+
+
+def plane_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = volumes.table(spark, sf_dir, "embeddings")
+    count = int((vectors.agg(F.max("vec_id")).first()[0] or 0) + 1)
+    return blocks.pack_arrays(vectors, count, 64, "vec_id", "embedding", SIDE)
+
+
+def cube_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    voxels = normalize.ct(cube(spark, sf_dir), 0.6, 0.31, 0.01, 1.1)
+    return blocks.pack(voxels, volumes.extents(voxels), CUBE_SIDE)
+
+
 @query
 def predict_arrow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    image = plane(spark, sf_dir)
-    scores = forward.predict_patches(image, volumes.shape_of(image), PATCH, 0.5, PatchNorm())
-    return long(B.blend_arrays(scores, 3, PATCH))
+    found = blocks.predicted(plane_blocks(spark, sf_dir), blocks.Patching(PATCH, 0.5, SIDE, batch=4), PatchNorm(), 3)
+    return long(blocks.unpack(found, SIDE))
+
+
+@query
+def block_blend_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = blocks.predicted(plane_blocks(spark, sf_dir), blocks.Patching(PATCH, 0.5, SIDE, uniform=True), PatchNorm(), 3)
+    return long(blocks.unpack(found, SIDE))
+
+
+@query
+def block_blend_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = blocks.predicted(cube_blocks(spark, sf_dir), blocks.Patching(CUBE_PATCH, 0.5, CUBE_SIDE, batch=3), PatchNorm(), 3)
+    return long(blocks.unpack(found, CUBE_SIDE))
+
+
+@query
+def block_patch_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every patch cut from blocks, opened again to count its voxels and sum them."""
+    found = blocks.extracted(plane_blocks(spark, sf_dir), blocks.Patching(PATCH, 0.5, SIDE))
+    values = forward.doubles(found, "data", "vs")
+    return values.select("pid", F.size("vs").cast("long").alias("n"), F.col("s0").alias("z0"), (F.col("s0") + PATCH[0] - 1).alias("z1"), F.col("s2").alias("x0"), r(F.aggregate("vs", F.lit(0.0), lambda a, x: a + x), 5).alias("v"))
+
+
+@query
+def block_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = blocks.unpack_segments(blocks.segmented(plane_blocks(spark, sf_dir), blocks.Patching(PATCH, 0.5, SIDE, batch=4), PatchNorm()), SIDE)
+    return found.select("z", "x", "label1", r("score1").alias("score1"), "label2", r("score2").alias("score2"))
+
+
+BIG = (128, 128, 128)
+BIG_PATCH = (64, 64, 64)
+
+
+@query
+def block_large_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices spread over 128 x 128 x 128 places, 27 patches of 64 a side: class scores by plane and row."""
+    rows = volumes.table(spark, sf_dir, "lineitem")
+    place = [(F.col(c) % n).cast("int").alias(a) for c, n, a in zip(("l_orderkey", "l_partkey", "l_suppkey"), BIG, volumes.AXES)]
+    voxels = rows.groupBy(*place).agg((F.sum("l_extendedprice") / UNIT).alias("v")).select(F.lit("big").alias("volume_id"), F.lit(0).alias("c"), *volumes.AXES, "v")
+    size = spark.range(1).select(F.lit("big").alias("volume_id"), *[F.lit(n).alias(f"n_{a}") for a, n in zip(volumes.AXES, BIG)])
+    packed = blocks.pack(voxels, size, (32, 32, 32))
+    found = blocks.predicted(packed, blocks.Patching(BIG_PATCH, 0.5, (32, 32, 32), batch=2), PatchNorm(), 3)
+    cells = blocks.unpack(found, (32, 32, 32)).groupBy("z", "y").agg(*[F.avg(F.get("ls", F.lit(k))).alias(f"l{k}") for k in range(3)])
+    return cells.select("z", "y", *[r(f"l{k}", 5).alias(f"l{k}") for k in range(3)])
+
+
+def kernel_array(n_out: int, n_in: int, kernel: tuple[int, int, int], salt: int = 0) -> np.ndarray:
+    """The weights of :func:`cells` as ``O kd kh kw C``."""
+    out = np.zeros((n_out, *kernel, n_in))
+    for o, i, a, b, c, w in cells(n_out, n_in, kernel, salt):
+        out[o, a, b, c, i] = w
+    return out
+
+
+BIAS = np.array([-0.1, 0.0, 0.1])
+
+
+def _cells_of_blocks(found: DataFrame, side: tuple[int, int, int]) -> DataFrame:
+    return blocks.unpack(found, side).select("z", "y", "x", F.posexplode("ls").alias("c", "v")).select("c", "z", "y", "x", r("v").alias("v"))
+
+
+@query
+def block_conv3d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = cube(spark, sf_dir)
+    packed = blocks.pack(whole, volumes.extents(whole), CUBE_SIDE)
+    return _cells_of_blocks(blocks.conv3d(packed, kernel_array(2, 1, (3, 3, 3)), CUBE_SIDE, bias=BIAS[:2]), CUBE_SIDE)
+
+
+@query
+def block_conv3d_strided(spark: SparkSession, sf_dir: str) -> DataFrame:
+    padded = box(spark, sf_dir)
+    packed = blocks.pack(padded, volumes.extents(padded), CUBE_SIDE)
+    return _cells_of_blocks(blocks.conv3d(packed, kernel_array(2, 1, (3, 3, 3)), CUBE_SIDE, (2, 2, 2), BIAS[:2]), CUBE_SIDE)
+
+
+@query
+def block_tiny_unet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The small network of ``tiny_unet`` layer by layer on blocks; a block of the lower stage is half as long."""
+    side, half, k = (16, 4, 6), (8, 2, 3), (3, 3, 3)
+    padded = box(spark, sf_dir)
+    x = blocks.pack(padded, volumes.extents(padded), side)
+    skip = stored(blocks.norm_act(blocks.conv3d(x, kernel_array(2, 1, k), side), side), "skip")
+    low = blocks.norm_act(blocks.conv3d(skip, kernel_array(3, 2, k, 3), side, (2, 2, 2), sides=half), half)
+    up = blocks.conv_up(low, kernel_array(2, 3, (2, 2, 2), 6), half)
+    out = blocks.norm_act(blocks.conv3d(blocks.concat(up, skip), kernel_array(2, 4, k, 7), side), side)
+    w = np.array([[((3 * o + 2 * i) % 7 - 3) / 10 for i in range(2)] for o in range(3)])
+    scores = blocks.unpack(blocks.head(out, w, BIAS, side), side)
+    return scores.select("z", "y", "x", F.posexplode("ls").alias("k", "l")).select("k", "z", "y", "x", r("l", 5).alias("l"))
 
 
 @query
