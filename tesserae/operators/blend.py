@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import top_two
+from ..functions.expressions import covering, gaussian, step_at, step_count, top_two
+from ..functions.sums import binned_sum, total
 from ..sources.volumes import AXES
 from .tiling import Triple, weight
 
@@ -19,18 +20,39 @@ def blend(logits: DataFrame, patch: Triple, uniform: bool = False) -> DataFrame:
     return sums.select(*PLACE, "k", F.try_divide("_n", "_d").alias("l"))
 
 
-def blend_arrays(scores: DataFrame, classes: int, patch: Triple, uniform: bool = False) -> DataFrame:
-    """:func:`blend` for rows that hold all classes in an array ``ls``: one shuffled row a voxel and task instead of one a class."""
-    sums = [F.sum(F.col("_w") * F.get("ls", F.lit(k))) for k in range(classes)]
-    rows = scores.withColumn("_w", weight(patch, uniform)).groupBy(*PLACE).agg(F.sum("_w").alias("_d"), *[s.alias(f"_n{k}") for k, s in enumerate(sums)])
-    return rows.select(*PLACE, F.array(*[F.try_divide(f"_n{k}", "_d") for k in range(classes)]).alias("ls"))
+def covering_weight(shape: Triple | list[Column], patch: Triple, step: float, uniform: bool = False, scale: float = 10.0) -> Column:
+    """The sum of weights over the patches that cover a voxel: a product of three sums along the axes, each over the few positions by its coordinate."""
+
+    def along(a: str, n: int | Column, p: int) -> Column:
+        size = n if isinstance(n, Column) else F.lit(n)
+        count = step_count(size, p, step)
+        bell = lambda i: F.lit(1.0) if uniform else gaussian([F.col(a) - step_at(i, count, size, p)], [p], scale=1.0)
+        return F.aggregate(covering(F.col(a), size, p, step), F.lit(0.0), lambda so_far, i: so_far + bell(i))
+
+    terms = [along(*x) for x in zip(AXES, shape, patch)]
+    return F.lit(1.0 if uniform else scale) * terms[0] * terms[1] * terms[2]
+
+
+def blend_arrays(scores: DataFrame, classes: int, patch: Triple, uniform: bool = False, shape: Triple | list[Column] | None = None, step: float = 0.5) -> DataFrame:
+    """:func:`blend` for rows that hold all classes in an array ``ls``: one shuffled row a voxel and task instead of one a class.
+
+    With the ``shape`` that was cut into patches, the weights are not summed: their sum follows from the voxel's place.
+    """
+    weighted = scores.withColumn("_w", weight(patch, uniform))
+    sums = [F.sum(F.col("_w") * F.get("ls", F.lit(k))).alias(f"_n{k}") for k in range(classes)]
+    if shape is None:
+        rows, d = weighted.groupBy(*PLACE).agg(F.sum("_w").alias("_d"), *sums), F.col("_d")
+    else:
+        rows, d = weighted.groupBy(*PLACE).agg(*sums), covering_weight(shape, patch, step, uniform)
+        rows, d = rows.withColumn("_d", d), F.col("_d")  # once a voxel, not once a class
+    return rows.select(*PLACE, F.array(*[F.try_divide(f"_n{k}", d) for k in range(classes)]).alias("ls"))
 
 
 def strict_blend(logits: DataFrame, patch: Triple) -> DataFrame:
-    """:func:`blend` with sums taken in patch order, so that reruns agree to the last bit."""
-    rows = logits.withColumn("_w", weight(patch)).groupBy(*PLACE, "k").agg(F.array_sort(F.collect_list(F.struct("pid", "_w", "l"))).alias("ps"))  # the patches over one voxel
-    total = lambda f: F.aggregate("ps", F.lit(0.0), f)
-    return rows.select(*PLACE, "k", F.try_divide(total(lambda a, p: a + p["_w"] * p["l"]), total(lambda a, p: a + p["_w"])).alias("l"))
+    """:func:`blend` with sums that are the same to the last bit in any order, so they combine before the shuffle too."""
+    w = weight(patch)
+    rows = logits.withColumn("_w", w).groupBy(*PLACE, "k").agg(*binned_sum(F.col("_w") * F.col("l"), "_n"), *binned_sum(F.col("_w"), "_d"))
+    return rows.select(*PLACE, "k", F.try_divide(total("_n"), total("_d")).alias("l"))
 
 
 def argmax(logits: DataFrame) -> DataFrame:

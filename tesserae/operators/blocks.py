@@ -273,9 +273,24 @@ def extracted(blocks: DataFrame, plan: Patching) -> DataFrame:
     return exchanged(blocks, plan.side, plan.regions).groupBy("volume_id", "h0", "h1", "h2").applyInArrow(cut, schema)
 
 
+SCORED = f"volume_id string, {SIZE}, pid bigint, s0 int, s1 int, s2 int, channels int, data binary"
+
+
+def scored(blocks: DataFrame, plan: Patching, network: forward.Network) -> DataFrame:
+    """The network's scores of every patch as bytes, with the place of its first voxel in the volume (below 0 in the padding)."""
+    shared = forward.shared(blocks, network)
+
+    def run(table: pa.Table) -> pa.Table:
+        row, _, _, box = plan.home(table)
+        out = [(row["volume_id"], *_size(row), pid, *(s.start + lo for s, (lo, _) in zip(at, box)), len(found), np.ascontiguousarray(found).tobytes()) for pid, at, found in plan.runs(table, shared.value)]
+        return pa.Table.from_batches([_batch(out, SCORED)])
+
+    return exchanged(blocks, plan.side, plan.regions).groupBy("volume_id", "h0", "h1", "h2").applyInArrow(run, SCORED)
+
+
 def predicted(blocks: DataFrame, plan: Patching, network: forward.Network, classes: int) -> DataFrame:
     """Blended class scores of every block, as its channels: the weighted mean over the patches that cover a voxel."""
-    shared = blocks.sparkSession.sparkContext.broadcast(network)  # a model's weights, once an executor
+    shared = forward.shared(blocks, network)
 
     def run(table: pa.Table) -> pa.Table:
         row, axes, home, box = plan.home(table)
@@ -337,7 +352,7 @@ def segmented(blocks: DataFrame, plan: Patching, network: forward.Network) -> Da
     Scores are weighed and ranked where the patch is; five planes leave the task whatever the
     number of classes, and no array of classes is exchanged.
     """
-    shared = blocks.sparkSession.sparkContext.broadcast(network)
+    shared = forward.shared(blocks, network)
 
     def run(table: pa.Table) -> pa.Table:
         row, axes, home, box = plan.home(table)

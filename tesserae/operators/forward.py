@@ -132,6 +132,19 @@ def batched(network: Network) -> Network:
     return network if getattr(network, "batched", False) else lambda xs: np.stack([network(x) for x in xs])
 
 
+class Carried:
+    """A network that travels with the task."""
+
+    def __init__(self, value: Network) -> None:
+        self.value = value
+
+
+def shared(rows: DataFrame, network: Network):
+    """The network as a ``value`` in the tasks: a model's weights go once to an executor, plain functions travel with the task."""
+    inner = network.network if isinstance(network, Mirrored) else network
+    return rows.sparkSession.sparkContext.broadcast(network) if isinstance(inner, UNet) else Carried(network)
+
+
 def doubles(rows: DataFrame, binary: str, name: str) -> DataFrame:
     """``rows`` with the numbers of a column of bytes as an array."""
 
@@ -151,15 +164,13 @@ SCORES = "volume_id string, pid bigint, z int, y int, x int, d0 int, d1 int, d2
 
 def predict_patches(voxels: DataFrame, shape: Triple | list[Column], patch: Triple, step: float, network: Network, channels: int = 1, axes: tuple[int, ...] = ()) -> DataFrame:
     """Class scores ``ls`` of every voxel in every patch.  A group is one patch: as many voxels as the patch has."""
-    # a model's weights go once to an executor; a plain function travels with the task
-    shared = voxels.sparkSession.sparkContext.broadcast(network) if isinstance(network, UNet) else None
-    plain = None if shared else network
+    given = shared(voxels, network)
 
     def run(group: pa.Table) -> pa.Table:
         z, y, x, d0, d1, d2, c = (group.column(n).to_numpy() for n in ("z", "y", "x", "d0", "d1", "d2", "c"))
         box = np.zeros((channels, *patch))
         box[c, d0, d1, d2] = group.column("v").to_numpy()
-        model = shared.value if shared else plain
+        model = given.value
         model = mirrored(model, axes) if axes else model
         scores = model(box)
         one = c == 0

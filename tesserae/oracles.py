@@ -72,6 +72,12 @@ SQL["blend_gaussian"] = f"{PLANE_NET} SELECT z, y, x, k, {r(BLEND)} AS l FROM lg
 SQL["blend_uniform"] = f"{PLANE_NET} SELECT z, y, x, k, {r('avg(l)')} AS l FROM lg GROUP BY z, y, x, k"
 SQL["blend_3d_padded"] = f"{CUBE_NET} SELECT z, y, x - 2 AS x, k, {r(BLEND)} AS l FROM lg WHERE {CROPPED} GROUP BY z, y, x, k"
 SQL["blend_rolling_z"] = SQL["blend_strict"] = SQL["blend_streaming"] = SQL["blend_3d_padded"]
+SQL["blend_rolling_state"] = f"""WITH raw AS (SELECT l_returnflag AS vol, CAST(l_quantity AS INT) - 1 AS z, l_linenumber - 1 AS y, CAST(round_even(l_discount * 100, 0) AS INT) AS x, avg(l_extendedprice) / 79193::DOUBLE AS v FROM lineitem GROUP BY ALL),
+pad AS (SELECT f.vol, p.i AS z, q.i AS y, t.i AS x, coalesce(v, 0) AS v FROM (SELECT DISTINCT vol FROM raw) f, range(50) p(i), range(8) q(i), range(16) t(i) LEFT JOIN raw ON raw.vol = f.vol AND raw.z = p.i AND raw.y = q.i AND raw.x = t.i - 2),
+{axis("az", "50", 16)},
+pv AS (SELECT vol || '/' || i AS pid, vol, z, y, x, v, 10 * exp(-((z - s - 8) ** 2 / 8::DOUBLE + (y - 4) ** 2 / 2::DOUBLE + (x - 8) ** 2 / 8::DOUBLE)) AS w FROM pad JOIN az ON z >= s AND z < s + 16),
+{NET}
+SELECT vol AS volume_id, z, y, x - 2 AS x, k, {r(BLEND)} AS l FROM lg WHERE {CROPPED} GROUP BY vol, z, y, x, k"""
 SQL["tta_axis_subsets"] = "SELECT * FROM (VALUES (0, ''), (1, '0'), (2, '1'), (3, '2'), (4, '01'), (5, '02'), (6, '12'), (7, '012')) t(pass, axes)"
 SQL["tta_mirror_mean"] = f"""WITH {CUBE},
 near AS (SELECT z, y, x, v, lag(v, 1, 0) OVER w AS before, lead(v, 1, 0) OVER w AS after FROM cube WINDOW w AS (PARTITION BY z, y ORDER BY x))
@@ -227,8 +233,16 @@ def patch_conv(name: str, source: str, key: str, n_out: int, n_in: int, out: tup
 
 _UP, _HEAD = "decoder.transpconvs.0", "decoder.seg_layers.0"
 _UP_J, _HEAD_J = "(((f.c * 2 + o) * 2 + dz) * 2 + dy) * 2 + dx", "o * 2 + c"
-ENGINE = f"""WITH {CUBE}, zs AS (SELECT coalesce(avg(v) FILTER (v <> 0), 0) AS m, greatest(coalesce(stddev_pop(v) FILTER (v <> 0), 1), 1e-8) AS sd FROM cube),
-nz AS (SELECT z, y, x, (v - m) / sd AS v FROM cube, zs), {PADDED.format("nz")}, {axis("az", "50", 16)},
+
+
+def engine(where: str, shape: tuple[int, int, int]) -> tuple[str, str]:
+    """The statement up to the weighted scores ``lg`` of the cube's part ``where``, and the condition that crops its padding."""
+    before = [max(p - n, 0) // 2 for n, p in zip(shape, (16, 8, 16))]
+    box = [max(p, n) for n, p in zip(shape, (16, 8, 16))]
+    ranges = ", ".join(f"range({n}) {t}(i)" for n, t in zip(box, ("p", "q", "t")))
+    on = " AND ".join(f"{t}.i = {a} + {b}" for t, a, b in zip(("p", "q", "t"), "zyx", before))
+    body = f"""WITH {CUBE}, part AS (SELECT * FROM cube WHERE {where}), zs AS (SELECT coalesce(avg(v) FILTER (v <> 0), 0) AS m, greatest(coalesce(stddev_pop(v) FILTER (v <> 0), 1), 1e-8) AS sd FROM part),
+nz AS (SELECT z, y, x, (v - m) / sd AS v FROM part, zs), pad AS (SELECT p.i AS z, q.i AS y, t.i AS x, coalesce(v, 0) AS v FROM {ranges} LEFT JOIN nz ON {on}), {axis("az", str(box[0]), 16)},
 p0 AS MATERIALIZED (SELECT i AS pid, 0 AS c, z - s AS z, y, x, v FROM pad JOIN az ON z >= s AND z < s + 16),
 {patch_conv("skip", "p0", "encoder.stages.0.convs.0", 2, 1, (16, 8, 16))},
 {patch_conv("low", "skip", "encoder.stages.1.convs.0", 3, 2, (8, 4, 8), 2)},
@@ -238,10 +252,19 @@ cat AS MATERIALIZED (SELECT * FROM raised UNION ALL SELECT pid, c + 2, z, y, x,
 {patch_conv("dec", "cat", "decoder.stages.0.convs.0", 2, 4, (16, 8, 16))},
 lg AS MATERIALIZED (SELECT pid, k, z + s AS z, y, x, 10 * exp(-((z - 8) ** 2 / 8::DOUBLE + (y - 4) ** 2 / 2::DOUBLE + (x - 8) ** 2 / 8::DOUBLE)) AS w, l
   FROM (SELECT pid, o AS k, z, y, x, sum(v * {par(_HEAD_J, _HEAD + ".weight")}) + any_value({par("o", _HEAD + ".bias")}) AS l FROM dec, range(3) t(o) GROUP BY ALL) JOIN az ON pid = i)"""
-SQL["engine_predict"] = f"{ENGINE} SELECT z, y, x - 2 AS x, k, {r(BLEND, 5)} AS l FROM lg WHERE {CROPPED} GROUP BY z, y, x, k"
-SQL["engine_segment"] = f"{ENGINE}, {SEGMENT} SELECT z, y, x - 2 AS x, label1, {r('score1', 5)} AS score1, label2, {r('score2', 5)} AS score2 FROM seg WHERE {CROPPED}"
-SQL["engine_shapes"] = f"""WITH {CUBE}, several AS (SELECT 'whole' AS volume_id, * FROM cube UNION ALL SELECT 'long', * FROM cube WHERE y < 2 UNION ALL SELECT 'flat', * FROM cube WHERE z < 5 UNION ALL SELECT 'plane', * FROM cube WHERE z < 1 AND x < 4)
-SELECT volume_id, k, count(*) AS n, max(z) AS z1, max(y) AS y1, max(x) AS x1 FROM several, range(3) t(k) GROUP BY ALL"""
+    return body, " AND ".join(f"{a} >= {b} AND {a} < {b + n}" for a, b, n in zip("zyx", before, shape))
+
+
+def engine_scores(where: str, shape: tuple[int, int, int]) -> str:
+    body, cropped = engine(where, shape)
+    moved = ", ".join(f"{a} - {max(p - n, 0) // 2} AS {a}" for a, n, p in zip("zyx", shape, (16, 8, 16)))
+    return f"{body} SELECT {moved}, k, {r(BLEND, 5)} AS l FROM lg WHERE {cropped} GROUP BY z, y, x, k"
+
+
+SQL["engine_predict"] = engine_scores("true", (50, 7, 11))
+SQL["engine_segment"] = f"{engine('true', (50, 7, 11))[0]}, {SEGMENT} SELECT z, y, x - 2 AS x, label1, {r('score1', 5)} AS score1, label2, {r('score2', 5)} AS score2 FROM seg WHERE {CROPPED}"
+_PARTS = {"whole": ("true", (50, 7, 11)), "long": ("y < 2", (50, 2, 11)), "flat": ("z < 5", (5, 7, 11)), "plane": ("z < 1 AND x < 4", (1, 7, 4))}
+SQL["engine_shapes"] = " UNION ALL ".join(f"SELECT '{n}' AS volume_id, * FROM ({engine_scores(*p)})" for n, p in _PARTS.items())
 SQL["engine_normalize"] = f"WITH {CUBE}, zs AS (SELECT avg(v) FILTER (v <> 0) AS m, stddev_pop(v) FILTER (v <> 0) AS sd FROM cube) SELECT z, y, x, {r('(v - m) / greatest(sd, 1e-8)')} AS v FROM cube, zs"
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from .engine import Engine, ModelBundle
 from .functions import expressions as X
+from .functions.sums import exact_quantiles
 from .operators import blend as B
 from .operators import blocks, forward, layers, normalize, tiling, weights
 from .plans import networks
@@ -30,6 +31,7 @@ QUERIES: dict[str, Query] = {}
 
 PATCH = (32, 1, 32)  # of the plane
 CUBE_PATCH = (16, 8, 16)  # larger than the cube along y and x
+CUBE_BOX = (50, 8, 16)  # the cube padded to it
 HEADS = ((0, 0.8, 0.1), (1, -0.5, 0.2), (2, 0.3, -0.1))  # class, weight, bias
 KEYS = (
     "encoder.stages.0.0.convs.1.conv.weight",
@@ -229,16 +231,16 @@ def gaussian_underflow_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def blend_gaussian(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return long(B.blend_arrays(plane_scores(spark, sf_dir), 3, PATCH))
+    return long(B.blend_arrays(plane_scores(spark, sf_dir), 3, PATCH, shape=volumes.shape_of(plane(spark, sf_dir))))
 
 
 @query
 def blend_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return long(B.blend_arrays(plane_scores(spark, sf_dir), 3, PATCH, uniform=True))
+    return long(B.blend_arrays(plane_scores(spark, sf_dir), 3, PATCH, uniform=True, shape=volumes.shape_of(plane(spark, sf_dir))))
 
 
 def _blended_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tiling.crop(B.blend_arrays(cube_scores(spark, sf_dir), 3, CUBE_PATCH), SHAPE, CUBE_PATCH)
+    return tiling.crop(B.blend_arrays(cube_scores(spark, sf_dir), 3, CUBE_PATCH, shape=CUBE_BOX), SHAPE, CUBE_PATCH)
 
 
 @query
@@ -277,6 +279,30 @@ def blend_streaming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.crop(out, SHAPE, CUBE_PATCH).select("z", "y", "x", "k", r("l").alias("l"))
 
 
+def flag_cubes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three volumes, one a return flag: mean prices by quantity, line number and discount, absent ones 0."""
+    rows = volumes.table(spark, sf_dir, "lineitem")
+    place = (F.col("l_quantity").cast("int") - 1).alias("z"), (F.col("l_linenumber") - 1).alias("y"), F.rint(F.col("l_discount") * 100).cast("int").alias("x")
+    return rows.groupBy(F.col("l_returnflag").alias("volume_id"), *place).agg((F.avg("l_extendedprice") / UNIT).alias("v")).withColumn("c", F.lit(0))
+
+
+@query
+def blend_rolling_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three volumes whose patches come interleaved, a step of planes at a time, through a stream that holds a ring of planes each."""
+    base, voxels = folder(spark, "rolling"), flag_cubes(spark, sf_dir)
+    size = voxels.select("volume_id").distinct().select("volume_id", *[F.lit(n).alias(f"n_{a}") for a, n in zip(volumes.AXES, SHAPE)])
+    plan = blocks.Patching(CUBE_PATCH, 0.5, CUBE_SIDE)
+    scores = stored(blocks.scored(blocks.pack(voxels, size, CUBE_SIDE), plan, PatchNorm()), "scores")
+    for low, high in ((-16, 10), (10, 20), (20, 50)):  # files in the order of their planes
+        scores.where(f"s0 >= {low} AND s0 < {high}").coalesce(1).write.mode("append").parquet(f"{base}/in")
+    stream = spark.readStream.schema(scores.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    found = rolling.rolling_state(stream, plan)
+    run = found.writeStream.format("parquet").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start(f"{base}/out")
+    run.awaitTermination()
+    planes = blocks.unpack(spark.read.schema(found.schema).parquet(f"{base}/out"), (1, rolling.FLAT, rolling.FLAT))
+    return planes.select("volume_id", "z", "y", "x", F.posexplode("ls").alias("k", "l")).select("volume_id", "z", "y", "x", "k", r("l").alias("l"))
+
+
 # mirrored passes
 
 
@@ -321,9 +347,10 @@ def segment_single_class(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def segment_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = B.segment(plane_scores(spark, sf_dir), PATCH).withColumn("m", F.col("score1") - F.col("score2"))
-    stats = [F.count_distinct("label1").alias("labels"), r(F.avg("m"), 5).alias("mean"), r(F.median("m"), 5).alias("median"), r(F.percentile("m", 0.1), 5).alias("p10")]
-    return found.groupBy("x").agg(*stats)
+    found = stored(B.segment(plane_scores(spark, sf_dir), PATCH).select("x", "label1", (F.col("score1") - F.col("score2")).alias("m")), "margins")
+    plain = found.groupBy("x").agg(F.count_distinct("label1").alias("labels"), r(F.avg("m"), 5).alias("mean"))
+    ranked = exact_quantiles(found, ["x"], "m", [0.5, 0.1], ["median", "p10"])
+    return plain.join(ranked, "x").select("x", "labels", "mean", r("median", 5).alias("median"), r("p10", 5).alias("p10"))
 
 
 @query
@@ -754,7 +781,7 @@ def engine_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = {"whole": "true", "long": "y < 2", "flat": "z < 5", "plane": "z < 1 AND x < 4"}
     several = reduce(DataFrame.unionByName, [whole.where(w).withColumn("volume_id", F.lit(n)) for n, w in parts.items()])
     found = _engine(spark).predict(several)
-    return found.groupBy("volume_id", "k").agg(F.count("*").alias("n"), F.max("z").alias("z1"), F.max("y").alias("y1"), F.max("x").alias("x1"))
+    return found.select("volume_id", "z", "y", "x", "k", r("l", 5).alias("l"))
 
 
 @query
