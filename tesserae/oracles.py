@@ -58,16 +58,17 @@ SELECT c, z, {r("CASE c WHEN 0 THEN (least(greatest(v, 10), 300) - 100) / 50 WHE
 SQL["normalize_engine_unknown"] = f"SELECT CAST(0 AS INT) AS c, CAST(o_orderkey AS INT) AS z, {r('o_totalprice / 1000::DOUBLE')} AS v FROM orders"
 SQL["pad_symmetric"] = f"WITH {CUBE}, {PADDED.format('cube')} SELECT z, y, x, {r('v')} AS v FROM pad"
 SQL["crop_inverse"] = f"WITH {CUBE} SELECT z, y, x, {r('v')} AS v FROM cube"
-STEPS = """images AS (SELECT * FROM (VALUES (255, 128), (178, 128), (256, 128), (253, 128), (40, 32), (128, 64), (31, 32), (10, 32), (128, 128), (2000, 32)) t(image, tile)),
+STEPS = """images AS (SELECT CAST(o_custkey % 97 AS INT) AS axis, CAST(count(*) AS INT) AS image, CAST(8 * (1 + o_custkey % 97 % 4) AS INT) AS tile FROM orders GROUP BY ALL),
 counted AS (SELECT *, greatest(CAST(ceil((image - tile)::DOUBLE / (tile // 2)) AS INT) + 1, 0) AS m FROM images),
-steps AS (SELECT image, tile, i, CASE WHEN m > 1 THEN CAST(round_even((image - tile)::DOUBLE / (m - 1) * i, 0) AS INT) ELSE 0 END AS s FROM (SELECT *, unnest(range(m)) AS i FROM counted))"""
-SQL["tile_steps"] = f"WITH {STEPS} SELECT image, tile, i, s FROM steps"
+steps AS (SELECT axis, image, tile, i, CASE WHEN m > 1 THEN CAST(round_even((image - tile)::DOUBLE / (m - 1) * i, 0) AS INT) ELSE 0 END AS s FROM (SELECT *, unnest(range(m)) AS i FROM counted))"""
+SQL["tile_steps"] = f"WITH {STEPS} SELECT axis, image, tile, i, s FROM steps"
 SQL["tile_grid_3d"] = f"WITH {axis('az', '50', 16)} SELECT i AS pid, s AS s0, 0 AS s1, 0 AS s2 FROM az"
-SQL["tile_step_gap"] = f"WITH {STEPS}, g AS (SELECT image, tile, s - lag(s) OVER (PARTITION BY image, tile ORDER BY i) AS gap FROM steps) SELECT image, tile, coalesce(max(gap), 0) AS gap, count(*) AS n FROM g GROUP BY ALL"
+SQL["tile_step_gap"] = f"WITH {STEPS}, g AS (SELECT axis, tile, s - lag(s) OVER (PARTITION BY axis, tile ORDER BY i) AS gap FROM steps) SELECT axis, tile, coalesce(max(gap), 0) AS gap, count(*) AS n FROM g GROUP BY ALL"
 SQL["patch_extract"] = f"{PLANE_NET} SELECT pid, count(*) AS n, min(z) AS z0, max(z) AS z1, min(x) AS x0, CAST(sum(dz) AS BIGINT) AS d0, CAST(sum(dx) AS BIGINT) AS d2, {r('sum(v)', 5)} AS v FROM pv GROUP BY pid"
-SQL["gaussian_map"] = f"SELECT a AS d0, b AS d1, c AS d2, {r('10 * exp(-((a - 4) ** 2 / 2::DOUBLE + (b - 2) ** 2 / 0.5::DOUBLE + (c - 4) ** 2 / 2::DOUBLE))', 9)} AS w FROM range(8) p(a), range(4) q(b), range(8) t(c)"
-SQL["gaussian_underflow_floor"] = f"""WITH g AS (SELECT exp(-((i - 50) ** 2) / (2 * (101 / 400::DOUBLE) ** 2)) AS w FROM range(101) t(i)), least_one AS (SELECT min(w) AS m FROM g WHERE w <> 0)
-SELECT {r("ln(CASE WHEN w = 0 THEN m ELSE w END)", 5)} AS log_w, count(*) AS n FROM g, least_one GROUP BY ALL"""
+SQL["gaussian_map"] = f"""WITH {CUBE}, {PADDED.format("cube")}, {axis("az", "50", 16)}
+SELECT z - s AS d0, y AS d1, x AS d2, {r("10 * exp(-((z - s - 8) ** 2 / 8::DOUBLE + (y - 4) ** 2 / 2::DOUBLE + (x - 8) ** 2 / 8::DOUBLE))", 9)} AS w, count(*) AS n FROM pad JOIN az ON z >= s AND z < s + 16 GROUP BY ALL"""
+SQL["gaussian_underflow_floor"] = f"""WITH g AS (SELECT i, exp(-((i - 25) ** 2) / (2 * (50 / 400::DOUBLE) ** 2)) AS w FROM range(50) t(i)), least_one AS (SELECT min(w) AS m FROM g WHERE w <> 0)
+SELECT {r("ln(CASE WHEN w = 0 THEN m ELSE w END)", 5)} AS log_w, count(*) AS n FROM lineitem JOIN g ON i = CAST(l_quantity AS INT) - 1, least_one GROUP BY ALL"""
 SQL["blend_gaussian"] = f"{PLANE_NET} SELECT z, y, x, k, {r(BLEND)} AS l FROM lg GROUP BY z, y, x, k"
 SQL["blend_uniform"] = f"{PLANE_NET} SELECT z, y, x, k, {r('avg(l)')} AS l FROM lg GROUP BY z, y, x, k"
 SQL["blend_3d_padded"] = f"{CUBE_NET} SELECT z, y, x - 2 AS x, k, {r(BLEND)} AS l FROM lg WHERE {CROPPED} GROUP BY z, y, x, k"
@@ -78,7 +79,7 @@ pad AS (SELECT f.vol, p.i AS z, q.i AS y, t.i AS x, coalesce(v, 0) AS v FROM (SE
 pv AS (SELECT vol || '/' || i AS pid, vol, z, y, x, v, 10 * exp(-((z - s - 8) ** 2 / 8::DOUBLE + (y - 4) ** 2 / 2::DOUBLE + (x - 8) ** 2 / 8::DOUBLE)) AS w FROM pad JOIN az ON z >= s AND z < s + 16),
 {NET}
 SELECT vol AS volume_id, z, y, x - 2 AS x, k, {r(BLEND)} AS l FROM lg WHERE {CROPPED} GROUP BY vol, z, y, x, k"""
-SQL["tta_axis_subsets"] = "SELECT * FROM (VALUES (0, ''), (1, '0'), (2, '1'), (3, '2'), (4, '01'), (5, '02'), (6, '12'), (7, '012')) t(pass, axes)"
+SQL["tta_axis_subsets"] = f"WITH {CUBE}, {axis('az', '(SELECT max(z) + 1 FROM cube)', 16)} SELECT i AS pid, pass, axes FROM az, (VALUES (0, ''), (1, '0'), (2, '1'), (3, '2'), (4, '01'), (5, '02'), (6, '12'), (7, '012')) t(pass, axes)"
 SQL["tta_mirror_mean"] = f"""WITH {CUBE},
 near AS (SELECT z, y, x, v, lag(v, 1, 0) OVER w AS before, lead(v, 1, 0) OVER w AS after FROM cube WINDOW w AS (PARTITION BY z, y ORDER BY x))
 SELECT z, y, x, {r("((before - 2 * after) + (after - 2 * before)) / 2 / 7919::DOUBLE")} AS v FROM near"""
@@ -153,7 +154,9 @@ SQL["residual_block"] = select([conv("a", "box", 2, 1, HALF, stride=2), norm("b"
 SQL["conv_transpose"] = select([up("a", "whole", 2, 1, bias=True)], "a")
 SQL["skip_concat"] = select([conv("a", "whole", 2, 1, WHOLE, (1, 1, 1)), "b AS (SELECT * FROM a UNION ALL SELECT 2, z, y, x, v FROM whole)"], "b")
 SQL["seg_head"] = select([conv("a", "whole", 2, 1, WHOLE, (1, 1, 1)), head("h", "a", 2)], "h", "l", "k")
-SQL["deep_supervision_order"] = "SELECT * FROM (VALUES (0, 2, 8), (1, 1, 16), (2, 0, 32)) t(place, stage, width)"
+NETS = """nets AS (SELECT p_partkey AS model, p_size % 4 + 2 AS n, 8 * (p_size % 3 + 1) AS base, 16 * (p_size % 5 + 2) AS most, p_size AS classes FROM part),
+st AS (SELECT *, CAST(least(base * 2 ** s, most) AS BIGINT) AS f FROM (SELECT *, unnest(range(n)) AS s FROM nets))"""
+SQL["deep_supervision_order"] = f"WITH {NETS} SELECT model, CAST(s AS INT) AS place, CAST(n - 2 - s AS INT) AS stage, CAST(f AS INT) AS width FROM st WHERE s < n - 1"
 _DECODER = [up("up1", "low", 2, 3, 6), "cat AS (SELECT * FROM up1 UNION ALL SELECT c + 2, z, y, x, v FROM skip)", conv("o1", "cat", 2, 4, FULL, salt=7), norm("o2", "o1"), head("h", "o2", 2)]
 SQL["tiny_unet"] = select([conv("a", "box", 2, 1, FULL), norm("skip", "a"), conv("b", "skip", 3, 2, HALF, stride=2, salt=3), norm("low", "b"), *_DECODER], "h", "l", "k", 5)
 SQL["tiny_resenc_unet"] = select(
@@ -162,38 +165,46 @@ SQL["tiny_resenc_unet"] = select(
      conv("q1", "skip", 3, 2, HALF, stride=2, salt=3), norm("q2", "q1"), conv("q3", "q2", 3, 3, HALF, salt=4), norm("q4", "q3", False),
      pool("q5", "skip"), conv("q6", "q5", 3, 2, HALF, (1, 1, 1), salt=5), norm("q7", "q6", False), joined("low", "q4", "q7"), *_DECODER], "h", "l", "k", 5)
 
-SQL["stage_features"] = "SELECT n, base, most, stage, CAST(least(base * 2 ** stage, most) AS INT) AS width FROM (SELECT *, unnest(range(n)) AS stage FROM (VALUES (6, 32, 320), (4, 16, 320), (7, 32, 512), (3, 8, 320)) t(n, base, most))"
-SQL["plan_defaults"] = "SELECT * FROM (VALUES (0, 'PlainConvUNet', false, 32, 320, true, 0.01::DOUBLE, 0), (1, 'ResidualEncoderUNet', true, 16, 320, false, 0.01, 0), (2, 'PlainConvUNet', false, 32, 512, true, 0.2, 1), (3, 'PlainConvUNet', false, 32, 320, true, 0.01, 0)) t(id, class_name, residual, base, most, conv_bias, slope, n_options)"
-_TENSORS = "(VALUES ('enc.conv.weight', [2, 1, 3, 3, 3]), ('dec.transpconvs.0.weight', [4, 2, 2, 2, 2]), ('enc.norm.weight', [6]), ('dec.ConvTranspose.weight', [2, 3, 1, 2, 2]), ('enc.wide.weight', [3, 4, 1, 2, 3])) t(key, s)"
-SQL["weight_layout_transpose"] = f"""WITH t AS (SELECT key, s, list_product(s)::INT AS n, contains(key, 'transpconv') OR contains(key, 'ConvTranspose') AS up FROM {_TENSORS}),
-e AS (SELECT *, unnest(range(n)) AS w FROM t),
-p AS (SELECT *, w // (s[2] * s[3] * s[4] * s[5]) AS a, w // (s[3] * s[4] * s[5]) % s[2] AS b, w % (s[3] * s[4] * s[5]) AS place FROM e WHERE len(s) = 5)
+SQL["stage_features"] = f"WITH {NETS} SELECT model, s AS stage, CAST(f AS INT) AS width FROM st"
+# two convolutions of 27 places a stage and half, each with a bias and a norm of two vectors
+LAYERS_OF = f"""WITH {NETS}, pairs AS (SELECT a.*, b.f AS low FROM st a LEFT JOIN st b ON a.model = b.model AND b.s = a.s + 1),
+enc AS (SELECT a.model, a.f AS o, coalesce(b.f, 1) AS i FROM st a LEFT JOIN st b ON a.model = b.model AND b.s = a.s - 1),
+listed AS (
+  SELECT model, 'conv' AS kind, 27 * o * i AS p FROM enc UNION ALL SELECT model, 'conv', 27 * o * o FROM enc
+  UNION ALL SELECT model, unnest(['bias', 'norm', 'norm', 'bias', 'norm', 'norm']), o FROM enc
+  UNION ALL SELECT model, 'up', 8 * low * f FROM pairs WHERE low IS NOT NULL UNION ALL SELECT model, 'bias', f FROM pairs WHERE low IS NOT NULL
+  UNION ALL SELECT model, 'conv', 54 * f * f FROM pairs WHERE low IS NOT NULL UNION ALL SELECT model, 'conv', 27 * f * f FROM pairs WHERE low IS NOT NULL
+  UNION ALL SELECT model, unnest(['bias', 'norm', 'norm', 'bias', 'norm', 'norm']), f FROM pairs WHERE low IS NOT NULL
+  UNION ALL SELECT model, 'head', classes * f FROM pairs WHERE low IS NOT NULL UNION ALL SELECT model, 'bias', classes FROM pairs WHERE low IS NOT NULL)"""
+SQL["network_layers"] = f"{LAYERS_OF} SELECT model, kind, count(*) AS tensors, CAST(sum(p) AS BIGINT) AS parameters FROM listed GROUP BY ALL"
+SQL["param_count"] = f"{LAYERS_OF} SELECT model, CAST(sum(p) AS BIGINT) AS parameters FROM listed GROUP BY ALL"
+SQL["plan_defaults"] = """SELECT p_partkey AS id, CASE WHEN k = 1 THEN 'ResidualEncoderUNet' ELSE 'PlainConvUNet' END AS class_name, k = 1 AS residual, CASE WHEN k = 1 THEN p_size ELSE 32 END AS base,
+  CASE WHEN k = 2 THEN p_size ELSE 320 END AS most, k <> 1 AS conv_bias, CASE WHEN k = 2 THEN 0.25::DOUBLE ELSE 0.01 END AS slope, CAST(k = 2 AS INT) AS n_options FROM (SELECT *, p_size % 4 AS k FROM part)"""
+_TENSORS = """(SELECT ['enc.conv', 'dec.transpconvs.0', 'enc.norm', 'dec.ConvTranspose', 'enc.wide'][k + 1] || '.v' || vec_id || '.' || CASE k WHEN 4 THEN 'bias' ELSE 'weight' END AS key,
+  [[2, 2, 2, 2, 4], [4, 2, 2, 2, 2], [64], [2, 4, 2, 2, 2], [2, 1, 4, 4, 2]][k + 1] AS s, embedding AS e, label FROM (SELECT *, vec_id % 5 AS k FROM embeddings))"""
+SQL["weight_layout_transpose"] = f"""WITH t AS (SELECT key, s, e, contains(key, 'transpconv') OR contains(key, 'ConvTranspose') AS up FROM {_TENSORS}),
+e AS (SELECT *, unnest(range(64)) AS j FROM t),
+p AS (SELECT *, j // (s[2] * s[3] * s[4] * s[5]) AS a, j // (s[3] * s[4] * s[5]) % s[2] AS b, j % (s[3] * s[4] * s[5]) AS place FROM e WHERE len(s) = 5)
 SELECT key, array_to_string(CASE WHEN up THEN [s[2], s[3], s[4], s[5], s[1]] ELSE [s[1], s[3], s[4], s[5], s[2]] END, 'x') AS shape,
-  CASE WHEN up THEN (b * s[3] * s[4] * s[5] + place) * s[1] + a ELSE (a * s[3] * s[4] * s[5] + place) * s[2] + b END AS j, CAST(w AS DOUBLE) AS w FROM p
-UNION ALL SELECT key, array_to_string(s, 'x'), w, CAST(w AS DOUBLE) FROM e WHERE len(s) <> 5"""
-_KEYS = """(VALUES ('encoder.stages.0.0.convs.1.conv.weight'), ('decoder.stages.0.convs.0.conv.weight'), ('x.all_modules.0.weight'), ('decoder.encoder.stages.0.w'), ('encoder.stages.3.0.foo.weight'),
-('encoder.stages.12.0.blocks.0.conv1.conv.weight'), ('encoder.stages.2.0.convs'), ('decoder.transpconvs.0.weight'), ('net.stages.1.0.convs.0.all_modules.1.bias'), ('stages.0.0.blocks.1.norm.weight')) t(key)"""
+  CASE WHEN up THEN (b * s[3] * s[4] * s[5] + place) * s[1] + a ELSE (a * s[3] * s[4] * s[5] + place) * s[2] + b END AS j, CAST(e[j + 1] AS DOUBLE) AS w FROM p
+UNION ALL SELECT key, array_to_string(s, 'x'), j, CAST(e[j + 1] AS DOUBLE) FROM e WHERE len(s) <> 5"""
+_KEYS = """(SELECT p_partkey, replace(['encoder.stages.%.0.convs.1.conv.weight', 'decoder.stages.%.convs.0.conv.weight', 'x%.all_modules.0.weight', 'decoder.encoder.stages.%.w', 'encoder.stages.%.0.foo.weight',
+'encoder.stages.%.0.blocks.0.conv1.conv.weight', 'encoder.stages.%.0.convs', 'decoder.transpconvs.%.weight', 'net.stages.%.0.convs.0.all_modules.1.bias', 'stages.%.0.blocks.1.norm.weight'][p_partkey % 10 + 1], '%', p_size::VARCHAR) AS key, p_size FROM part)"""
 _KEPT = "key NOT LIKE '%.all\\_modules.%' ESCAPE '\\' AND key NOT LIKE 'decoder.encoder.%'"
-SQL["weight_key_filter"] = f"SELECT key FROM {_KEYS} WHERE {_KEPT}"
-SQL["weight_key_remap"] = f"SELECT CASE WHEN key = 'decoder.transpconvs.0.weight' THEN 'decoder.up.0.weight' ELSE regexp_replace(key, '(^|\\.)stages\\.([0-9]+)\\.0\\.(convs|blocks)(\\.|$)', '\\1stages.\\2.\\3\\4') END AS key FROM {_KEYS} WHERE {_KEPT}"
+SQL["weight_key_filter"] = f"SELECT p_partkey, key FROM {_KEYS} WHERE {_KEPT}"
+SQL["weight_key_remap"] = f"SELECT p_partkey, CASE WHEN key = 'decoder.transpconvs.7.weight' THEN 'decoder.up.7.weight' ELSE regexp_replace(key, '(^|\\.)stages\\.([0-9]+)\\.0\\.(convs|blocks)(\\.|$)', '\\1stages.\\2.\\3\\4') END AS key FROM {_KEYS} WHERE {_KEPT}"
 _FUZZY = "replace(replace(replace(key, '.all_modules.0.', '.conv.'), '.all_modules.1.', '.norm.'), '.all_modules.2.', '.nonlin.')"
-SQL["weight_key_fuzzy"] = f"SELECT key, {_FUZZY} AS fuzzy, regexp_replace(key, '(^|\\.)stages\\.([0-9]+)\\.0(\\.|$)', '\\1stages.\\2\\3') AS dropped FROM {_KEYS}"
-_KNOWN = "('x.conv.weight', 'decoder.stages.0.convs.0.conv.weight', 'decoder.transpconvs.0.weight')"
-SQL["weight_unmapped"] = f"SELECT CASE WHEN key IN {_KNOWN} THEN key WHEN {_FUZZY} IN {_KNOWN} THEN {_FUZZY} ELSE key END AS key, {_FUZZY} IN {_KNOWN} AS mapped FROM {_KEYS}"
-SQL["pending_conversions"] = "SELECT * FROM (VALUES ('m/fold_0/checkpoint_final.pth', 'm/fold_0/checkpoint_final.safetensors'), ('m/fold_2/checkpoint_best.pth', 'm/fold_2/checkpoint_best.safetensors')) t(path, target)"
+SQL["weight_key_fuzzy"] = f"SELECT p_partkey, key, {_FUZZY} AS fuzzy, regexp_replace(key, '(^|\\.)stages\\.([0-9]+)\\.0(\\.|$)', '\\1stages.\\2\\3') AS dropped FROM {_KEYS}"
+SQL["weight_unmapped"] = f"""WITH k AS (SELECT p_partkey, key, {_FUZZY} AS fuzzy, p_size FROM {_KEYS}), known AS (SELECT DISTINCT fuzzy AS name FROM k WHERE p_size <= 20)
+SELECT p_partkey, CASE WHEN key IN (FROM known) THEN key WHEN fuzzy IN (FROM known) THEN fuzzy ELSE key END AS key, key IN (FROM known) OR fuzzy IN (FROM known) AS mapped FROM k"""
+SQL["pending_conversions"] = """WITH p AS (SELECT *, 'm/fold_' || p_partkey || '/checkpoint_' || CASE WHEN p_size % 2 = 0 THEN 'final' ELSE 'best' END AS base FROM part)
+SELECT base || '.pth' AS path, base || '.safetensors' AS target FROM p WHERE p_size % 5 <> 0 AND p_size % 3 <> 0"""
 SQL["first_sorted_match"] = "SELECT min(p_brand || '/' || p_name) AS path FROM part WHERE regexp_matches(p_brand, '^Brand#[1-3]')"
-SQL["param_count"] = """WITH nets(net, classes, f) AS (VALUES ('small', 3, [16, 32, 64, 128]), ('large', 105, [32, 64, 128, 256, 320, 320])),
-st AS (SELECT net, classes, f, len(f) AS n, unnest(range(1, len(f) + 1)) AS s FROM nets),
-blocks AS (SELECT net, 27 * f[s] * (CASE WHEN s = 1 THEN 1 ELSE f[s - 1] END) + 3 * f[s] + 27 * f[s] * f[s] + 3 * f[s] AS p FROM st
-  UNION ALL SELECT net, 8 * f[s] * f[s + 1] + f[s] + 27 * f[s] * 2 * f[s] + 3 * f[s] + 27 * f[s] * f[s] + 3 * f[s] FROM st WHERE s < n
-  UNION ALL SELECT net, classes * f[s] + classes FROM st WHERE s < n)
-SELECT net, CAST(sum(p) AS BIGINT) AS parameters FROM blocks GROUP BY net"""
-_SHAPES = "(VALUES ([128, 128, 128], 105), ([64, 64, 64], 25), ([32, 32, 32], 4), ([96, 160, 160], 118)) t(patch, classes)"
-_ACT = f"act AS (SELECT patch, classes, CAST(2 * sum(f * (patch[1] // 2 ** i)::BIGINT * (patch[2] // 2 ** i)::BIGINT * (patch[3] // 2 ** i)::BIGINT * 8) AS BIGINT) AS bytes FROM {_SHAPES}, (VALUES (0, 32), (1, 64), (2, 128), (3, 256), (4, 320), (5, 320)) w(i, f) GROUP BY ALL)"
-_ACT = _ACT.replace("patch[1] // 2 ** i", "floor(patch[1] / 2 ** i)").replace("patch[2] // 2 ** i", "floor(patch[2] / 2 ** i)").replace("patch[3] // 2 ** i", "floor(patch[3] / 2 ** i)")
-SQL["activation_bytes"] = f"WITH {_ACT} SELECT array_to_string(patch, 'x') AS side, bytes FROM act"
+_SHAPES = "(SELECT p_partkey, [32 * (p_size % 4 + 1), 16 * (p_size % 5 + 4), 16 * (p_size % 7 + 4)] AS patch, p_size AS classes FROM part)"
+_ACT = f"act AS (SELECT p_partkey, patch, classes, CAST(2 * sum(f * floor(patch[1] / 2 ** i)::BIGINT * floor(patch[2] / 2 ** i)::BIGINT * floor(patch[3] / 2 ** i)::BIGINT * 8) AS BIGINT) AS bytes FROM {_SHAPES}, (VALUES (0, 32), (1, 64), (2, 128), (3, 256), (4, 320), (5, 320)) w(i, f) GROUP BY ALL)"
+SQL["activation_bytes"] = f"WITH {_ACT} SELECT p_partkey, bytes FROM act"
 SQL["batch_size_choice"] = f"""WITH {_ACT}, m AS (SELECT unnest([8 * 2.0 ** 30, 12.7 * 2.0 ** 30, 72 * 2.0 ** 30])::DOUBLE AS memory)
-SELECT array_to_string(patch, 'x') AS side, classes, memory, CAST(greatest(least(trunc(memory * 0.85::DOUBLE / (3 * bytes + list_product(patch) * classes * 4)), 8), 1) AS INT) AS batch FROM act, m"""
+SELECT p_partkey, memory, CAST(greatest(least(trunc(memory * 0.85::DOUBLE / (3 * bytes + list_product(patch) * classes * 4)), 8), 1) AS INT) AS batch FROM act, m"""
 SQL["predict_arrow"] = SQL["blend_gaussian"]
 SQL["block_blend_uniform"], SQL["block_blend_3d"], SQL["block_segment"] = SQL["blend_uniform"], SQL["blend_3d_padded"], SQL["segment_top2"]
 SQL["block_conv3d"], SQL["block_conv3d_strided"], SQL["block_tiny_unet"] = SQL["conv3d_same"], SQL["conv3d_strided"], SQL["tiny_unet"]
@@ -206,7 +217,8 @@ pv AS (SELECT a.i * 9 + b.i * 3 + c.i AS pid, z, y, x, v, 10 * exp(-((z - a.s -
 st AS (SELECT pid, avg(v) AS mu, var_pop(v) AS q FROM pv GROUP BY pid),
 act AS (SELECT z, y, x, sum(w * CASE WHEN v > mu THEN (v - mu) / sqrt(q + 1e-5::DOUBLE) ELSE 0.01::DOUBLE * (v - mu) / sqrt(q + 1e-5::DOUBLE) END) / sum(w) AS a FROM pv JOIN st USING (pid) GROUP BY ALL)
 SELECT z, y, {r('avg(a * 0.8::DOUBLE + 0.1::DOUBLE)', 5)} AS l0, {r('avg(a * -0.5::DOUBLE + 0.2::DOUBLE)', 5)} AS l1, {r('avg(a * 0.3::DOUBLE - 0.1::DOUBLE)', 5)} AS l2 FROM act GROUP BY z, y"""
-SQL["safetensors_roundtrip"] = f"SELECT key, array_to_string(s, 'x') AS shape, list_product(s)::INT AS n, list_product(s) * (list_product(s) - 1) / 2::DOUBLE AS total FROM {_TENSORS}"
+SQL["safetensors_roundtrip"] = f"SELECT coalesce(label::VARCHAR, 'none') AS label, key, array_to_string(s, 'x') AS shape, 64 AS n, {r('list_sum(list_transform(e, lambda x: x::DOUBLE))', 5)} AS total FROM {_TENSORS}"
+
 
 
 
@@ -268,30 +280,15 @@ SQL["engine_shapes"] = " UNION ALL ".join(f"SELECT '{n}' AS volume_id, * FROM ({
 SQL["engine_normalize"] = f"WITH {CUBE}, zs AS (SELECT avg(v) FILTER (v <> 0) AS m, stddev_pop(v) FILTER (v <> 0) AS sd FROM cube) SELECT z, y, x, {r('(v - m) / greatest(sd, 1e-8)')} AS v FROM cube, zs"
 
 
-def block(key: str, o: int, i: int, kernel: str = "3x3x3") -> list[tuple[str, str, str]]:
-    return [(f"{key}.conv.weight", "conv", f"{o}x{i}x{kernel}"), (f"{key}.conv.bias", "bias", str(o)), (f"{key}.norm.weight", "norm", str(o)), (f"{key}.norm.bias", "norm", str(o))]
-
-
-def listing(found: list[tuple[str, str, str]]) -> str:
-    return f"SELECT * FROM (VALUES {', '.join(map(str, found))}) t(key, kind, shape)"
-
-
-SQL["network_layers_old"] = listing([*block("encoder.stages.0.convs.0", 2, 1), *block("encoder.stages.1.convs.0", 3, 2), ("decoder.transpconvs.0.weight", "up", "3x2x2x2x2"), ("decoder.transpconvs.0.bias", "bias", "2"),
-    *block("decoder.stages.0.convs.0", 2, 4), ("decoder.seg_layers.0.weight", "head", "3x2x1x1x1"), ("decoder.seg_layers.0.bias", "bias", "3")])
-_BLOCKS = "encoder.stages.{}.blocks.{}.{}".format
-SQL["network_layers_new"] = listing([
-    *block("encoder.stem.convs.0", 6, 1, "1x3x3"),
-    *block(_BLOCKS(0, 0, "conv1"), 4, 6, "1x3x3"), *block(_BLOCKS(0, 0, "conv2"), 4, 4, "1x3x3"), *block(_BLOCKS(0, 0, "skip"), 4, 6, "1x1x1"),
-    *block(_BLOCKS(1, 0, "conv1"), 8, 4), *block(_BLOCKS(1, 0, "conv2"), 8, 8), *block(_BLOCKS(1, 0, "skip"), 8, 4, "1x1x1"),
-    *block(_BLOCKS(1, 1, "conv1"), 8, 8), *block(_BLOCKS(1, 1, "conv2"), 8, 8),
-    *block(_BLOCKS(2, 0, "conv1"), 8, 8), *block(_BLOCKS(2, 0, "conv2"), 8, 8),
-    ("decoder.transpconvs.0.weight", "up", "8x8x2x2x2"), ("decoder.transpconvs.0.bias", "bias", "8"), *block("decoder.stages.0.convs.0", 8, 16), ("decoder.seg_layers.0.weight", "head", "3x8x1x1x1"), ("decoder.seg_layers.0.bias", "bias", "3"),
-    ("decoder.transpconvs.1.weight", "up", "8x4x1x2x2"), ("decoder.transpconvs.1.bias", "bias", "4"), *block("decoder.stages.1.convs.0", 4, 8, "1x3x3"), ("decoder.seg_layers.1.weight", "head", "3x4x1x1x1"), ("decoder.seg_layers.1.bias", "bias", "3"),
-])
-SQL["intensity_params"] = "SELECT * FROM (VALUES (0, 0.5::DOUBLE, 0.25::DOUBLE, 0.125::DOUBLE, 0.875::DOUBLE), (2, 3.0, 0.5, -1.0, 9.0)) t(c, mean, std, low, high)"
-SQL["model_folder_scan"] = "SELECT * FROM (VALUES (7, 'Dataset007_demo/Trainer__plans__3d'), (12, 'Dataset12_other/A__plans__3d'), (99, 'Dataset099_bare/T__plans__3d'), (0, 'Dataset12_other/A__plans__3d'), (1, 'none'), (2, 'none')) t(task, path)"
-SQL["checkpoint_resolver"] = "SELECT * FROM (VALUES ('Dataset007_demo/Trainer__plans__3d', 0, 'loaded', 16), ('Dataset007_demo/Trainer__plans__3d', 1, 'missing', 0), ('Dataset12_other/A__plans__3d', 1, 'pickle', 0), ('Dataset099_bare/T__plans__3d', 0, 'pickle', 0)) t(path, fold, state, n)"
-SQL["convert_folder"] = f"SELECT 2 AS first, 0 AS second, 2 AS forced, 2 * count(*) AS tensors, sum(n * (n - 1) + n)::DOUBLE AS total FROM (SELECT list_product(s) AS n FROM {_TENSORS})"
+SQL["intensity_params"] = f"""WITH o AS (SELECT CAST(o_custkey % 4 AS INT) AS c, o_totalprice / 1000::DOUBLE AS v FROM orders)
+SELECT c, {r("avg(v)")} AS mean, {r("stddev_pop(v)")} AS std, {r("min(v)")} AS low, {r("max(v)")} AS high FROM o GROUP BY c"""
+SQL["model_folder_scan"] = """WITH n AS (SELECT n_nationkey AS k, 'Dataset' || printf('%03d', n_nationkey) || '_' || replace(n_name, ' ', '_') || '/' AS base, replace(r_name, ' ', '_') || '__plans__3d' AS trainer FROM nation JOIN region ON n_regionkey = r_regionkey)
+SELECT k AS task, base || CASE WHEN k % 3 = 0 AND 'AAA__plans__3d' < trainer THEN 'AAA__plans__3d' ELSE trainer END AS path, CASE WHEN k % 4 <> 3 THEN base || trainer END AS described FROM n"""
+SQL["checkpoint_resolver"] = """WITH l AS (SELECT label AS fold, count(*) AS n FROM embeddings WHERE label IS NOT NULL GROUP BY label)
+SELECT fold, CASE WHEN fold % 2 = 0 THEN 'loaded' ELSE 'pickle' END AS state, CASE WHEN fold % 2 = 0 THEN n ELSE 0 END AS n, CASE WHEN fold % 2 = 0 THEN 64 * n ELSE 0 END AS size FROM l
+UNION ALL SELECT max(fold) + 1, 'missing', 0, 0 FROM l"""
+SQL["convert_folder"] = f"""WITH t AS (SELECT label, list_sum(list_transform(e, lambda x: x::DOUBLE)) AS total FROM {_TENSORS} WHERE label IS NOT NULL)
+SELECT CAST(count(DISTINCT label) AS INT) AS first, 0 AS second, CAST(count(DISTINCT label) AS INT) AS forced, count(*) AS tensors, {r("sum(total)", 4)} AS total FROM t"""
 
 
 def oracle_sql() -> dict[str, str]:

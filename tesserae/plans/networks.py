@@ -137,6 +137,35 @@ def defaulted(rows: DataFrame) -> DataFrame:
     )
 
 
+def layer_rows(models: DataFrame, in_channels: int = 1) -> DataFrame:
+    """``model, key, kind, shape`` of every parameter of many plain networks at once.
+
+    ``models`` has ``model, n`` (stages), ``base, most, classes``: kernels of 3 a side, strides of 2 between stages, two
+    convolutions a stage.  A narrow expansion of each row; the names and shapes are those of :class:`Architecture`.
+    """
+    rows = models.withColumn("_w", stage_features_column(F.col("n"), F.col("base"), F.col("most")))
+    three, at = [F.lit(3)] * 3, lambda i: F.get("_w", i)
+    part = lambda key, kind, *shape: F.struct(key.alias("key"), F.lit(kind).alias("kind"), F.array(*shape).alias("shape"))
+    named = lambda a, i, b: F.concat(F.lit(a), i.cast("string"), F.lit(b))
+
+    def block(key: Column, o: Column, i: Column) -> list[Column]:
+        ends = (("conv.weight", "conv", (o, i, *three)), ("conv.bias", "bias", (o,)), ("norm.weight", "norm", (o,)), ("norm.bias", "norm", (o,)))
+        return [part(F.concat(key, F.lit(f".{end}")), kind, *shape) for end, kind, shape in ends]
+
+    s, out = F.col("_s"), []
+    encoder = rows.withColumn("_s", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    wide = F.when(s == 0, F.lit(in_channels)).otherwise(at(s - 1))
+    out.append((encoder, [x for c in range(2) for x in block(named("encoder.stages.", s, f".convs.{c}"), at(s), at(s) if c else wide)]))
+    decoder = rows.where("n > 1").withColumn("_s", F.explode(F.sequence(F.lit(0), F.greatest(F.col("n") - 2, F.lit(0)))))
+    low, skip = at(F.col("n") - 1 - s), at(F.col("n") - 2 - s)
+    parts = [part(named("decoder.transpconvs.", s, ".weight"), "up", low, skip, *[F.lit(2)] * 3), part(named("decoder.transpconvs.", s, ".bias"), "bias", skip)]
+    parts += [x for c in range(2) for x in block(named("decoder.stages.", s, f".convs.{c}"), skip, skip if c else 2 * skip)]
+    parts += [part(named("decoder.seg_layers.", s, ".weight"), "head", F.col("classes"), skip, *[F.lit(1)] * 3), part(named("decoder.seg_layers.", s, ".bias"), "bias", F.col("classes"))]
+    out.append((decoder, parts))
+    listed = [df.select("model", F.explode(F.array(*parts)).alias("p")).select("model", "p.key", "p.kind", "p.shape") for df, parts in out]
+    return listed[0].unionByName(listed[1])
+
+
 def activation_bytes(patch: Column, widths: Column, bytes_each: int = 4) -> Column:
     """Bytes of the features of both halves of a network over one patch; each stage halves the patch's axes."""
     place = lambda p, i: F.floor(p / F.pow(F.lit(2), i)).cast("long")

@@ -33,18 +33,6 @@ PATCH = (32, 1, 32)  # of the plane
 CUBE_PATCH = (16, 8, 16)  # larger than the cube along y and x
 CUBE_BOX = (50, 8, 16)  # the cube padded to it
 HEADS = ((0, 0.8, 0.1), (1, -0.5, 0.2), (2, 0.3, -0.1))  # class, weight, bias
-KEYS = (
-    "encoder.stages.0.0.convs.1.conv.weight",
-    "decoder.stages.0.convs.0.conv.weight",
-    "x.all_modules.0.weight",
-    "decoder.encoder.stages.0.w",
-    "encoder.stages.3.0.foo.weight",
-    "encoder.stages.12.0.blocks.0.conv1.conv.weight",
-    "encoder.stages.2.0.convs",
-    "decoder.transpconvs.0.weight",
-    "net.stages.1.0.convs.0.all_modules.1.bias",
-    "stages.0.0.blocks.1.norm.weight",
-)
 
 
 def query(f: Query) -> Query:
@@ -183,16 +171,17 @@ def crop_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.crop(padded, SHAPE, CUBE_PATCH).select("z", "y", "x", r("v").alias("v"))
 
 
-IMAGES = [(255, 128), (178, 128), (256, 128), (253, 128), (40, 32), (128, 64), (31, 32), (10, 32), (128, 128), (2000, 32)]
+def images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths of axes and of tiles: orders of customers by number, 97 axes of like length."""
+    n = (F.col("o_custkey") % 97).cast("int")
+    return volumes.table(spark, sf_dir, "orders").groupBy(n.alias("axis")).agg(F.count("*").cast("int").alias("image")).withColumn("tile", (8 * (1 + F.col("axis") % 4)).cast("int"))
 
 
 @query
 def tile_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = [rows(spark, [i for i in IMAGES if i[1] == t], "image int, tile int").select("image", "tile", F.posexplode(X.steps(F.col("image"), t, 0.5)).alias("i", "s")) for t in sorted({t for _, t in IMAGES})]
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+    sized = images(spark, sf_dir)
+    found = [sized.where(F.col("tile") == t).select("axis", "image", "tile", F.posexplode(X.steps(F.col("image"), t, 0.5)).alias("i", "s")) for t in (8, 16, 24, 32)]
+    return reduce(DataFrame.unionByName, found)
 
 
 @query
@@ -204,8 +193,8 @@ def tile_grid_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def tile_step_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = tile_steps(spark, sf_dir)
-    gap = steps.withColumn("gap", F.col("s") - F.lag("s").over(Window.partitionBy("image", "tile").orderBy("i")))
-    return gap.groupBy("image", "tile").agg(F.coalesce(F.max("gap"), F.lit(0)).alias("gap"), F.count("*").alias("n"))
+    gap = steps.withColumn("gap", F.col("s") - F.lag("s").over(Window.partitionBy("axis", "tile").orderBy("i")))
+    return gap.groupBy("axis", "tile").agg(F.coalesce(F.max("gap"), F.lit(0)).alias("gap"), F.count("*").alias("n"))
 
 
 @query
@@ -217,12 +206,16 @@ def patch_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def gaussian_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tiling.gaussian_map(spark, (8, 4, 8), scale=10.0).select("d0", "d1", "d2", r("w", 9).alias("w"))
+    """The weight of every place of a patch, and how many voxels of the cube's patches lie there."""
+    found = tiling.patches(tiling.pad(cube(spark, sf_dir), SHAPE, CUBE_PATCH)[0], CUBE_BOX, CUBE_PATCH, 0.5)
+    return found.join(tiling.gaussian_map(spark, CUBE_PATCH, scale=10.0), ["d0", "d1", "d2"]).groupBy("d0", "d1", "d2", r("w", 9).alias("w")).agg(F.count("*").alias("n"))
 
 
 @query
 def gaussian_underflow_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = tiling.gaussian_map(spark, (101, 1, 1), sigma_scale=1 / 400)
+    """Quantities as places of a patch so narrow that most weights underflow to the least one that does not."""
+    weights_ = tiling.gaussian_map(spark, (50, 1, 1), sigma_scale=1 / 400)
+    found = volumes.table(spark, sf_dir, "lineitem").select((F.col("l_quantity").cast("int") - 1).alias("d0")).join(weights_, "d0")
     return found.groupBy(r(F.log("w"), 5).alias("log_w")).agg(F.count("*").alias("n"))
 
 
@@ -308,7 +301,10 @@ def blend_rolling_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def tta_axis_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows(spark, [(n, "".join(map(str, a))) for n, a in enumerate(tiling.axis_subsets((0, 1, 2)))], "pass int, axes string")
+    """Every patch of the cube once a mirrored pass."""
+    passes = rows(spark, [(n, "".join(map(str, a))) for n, a in enumerate(tiling.axis_subsets((0, 1, 2)))], "pass int, axes string")
+    found = tiling.tile_grid(volumes.extents(tiling.pad(cube(spark, sf_dir), SHAPE, CUBE_PATCH)[0]), CUBE_PATCH, 0.5)
+    return found.crossJoin(F.broadcast(passes)).select("pid", "pass", "axes")  # eight passes
 
 
 def _lopsided(spark: SparkSession) -> DataFrame:
@@ -444,12 +440,18 @@ def seg_head(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _head(spark, two, 2).select("k", "z", "y", "x", r("l").alias("l"))
 
 
+def nets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A network a part, described by its size."""
+    size = F.col("p_size")
+    return volumes.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("model"), (size % 4 + 2).alias("n"), (8 * (size % 3 + 1)).alias("base"), (16 * (size % 5 + 2)).alias("most"), size.alias("classes"))
+
+
 @query
 def deep_supervision_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    arch = networks.Architecture(1, 3, [8, 16, 32, 64], [[3, 3, 3]] * 4, [[1, 1, 1]] + [[2, 2, 2]] * 3, [2] * 4, [2] * 3, deep_supervision=True)
-    heads = arch.layer_table(spark).where("kind = 'head'").select(F.regexp_extract("key", r"\.(\d+)\.weight$", 1).cast("int").alias("stage"), F.col("shape")[1].alias("width"))
+    """The heads of every network, the finest first."""
+    heads = networks.layer_rows(nets(spark, sf_dir)).where("kind = 'head'").select("model", F.regexp_extract("key", r"\.(\d+)\.weight$", 1).cast("int").alias("stage"), F.col("shape")[1].alias("width"))
     order = F.reverse(F.array_sort(F.collect_list(F.struct("stage", "width"))))
-    return heads.agg(order.alias("hs")).select(F.posexplode("hs").alias("place", "h")).select("place", "h.stage", "h.width")
+    return heads.groupBy("model").agg(order.alias("hs")).select("model", F.posexplode("hs").alias("place", "h")).select("model", "place", "h.stage", "h.width")
 
 
 def _unet(spark: SparkSession, features: DataFrame, residual: bool) -> DataFrame:
@@ -483,74 +485,95 @@ def tiny_resenc_unet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stage_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    given = rows(spark, [(6, 32, 320), (4, 16, 320), (7, 32, 512), (3, 8, 320)], "n int, base int, most int")
-    return given.select("n", "base", "most", F.posexplode(networks.stage_features_column(F.col("n"), F.col("base"), F.col("most"))).alias("stage", "width"))
+    return nets(spark, sf_dir).select("model", F.posexplode(networks.stage_features_column(F.col("n"), F.col("base"), F.col("most"))).alias("stage", "width"))
 
 
-DESCRIPTIONS = [
-    (0, "{}"),
-    (1, '{"class_name": "ResidualEncoderUNet", "base": 16, "conv_bias": false}'),
-    (2, '{"nonlin_kwargs": {"inplace": true, "negative_slope": 0.2}, "most": 512}'),
-    (3, '{"nonlin_kwargs": {"inplace": true}}'),
-]
+@query
+def network_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many tensors of each kind every network has, and their parameters."""
+    sized = networks.layer_rows(nets(spark, sf_dir)).withColumn("size", F.aggregate("shape", F.lit(1).cast("long"), lambda a, x: a * x))
+    return sized.groupBy("model", "kind").agg(F.count("*").alias("tensors"), F.sum("size").alias("parameters"))
+
+
+@query
+def param_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized = networks.layer_rows(nets(spark, sf_dir)).withColumn("size", F.aggregate("shape", F.lit(1).cast("long"), lambda a, x: a * x))
+    return sized.groupBy("model").agg(F.sum("size").alias("parameters"))
 
 
 @query
 def plan_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return networks.defaulted(rows(spark, DESCRIPTIONS, "id int, json string")).drop("json")
+    """Descriptions in JSON, one a part, with more or fewer keys."""
+    size = F.col("p_size")
+    kinds = ("{}", '{"class_name": "ResidualEncoderUNet", "base": %d, "conv_bias": false}', '{"nonlin_kwargs": {"inplace": true, "negative_slope": 0.25}, "most": %d}', '{"nonlin_kwargs": {"inplace": true}}')
+    text = F.element_at(F.array(*[F.format_string(k, size) if "%" in k else F.lit(k) for k in kinds]), (size % 4 + 1).cast("int"))
+    return networks.defaulted(volumes.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), text.alias("json"))).drop("json")
 
 
-TENSORS = [("enc.conv.weight", [2, 1, 3, 3, 3]), ("dec.transpconvs.0.weight", [4, 2, 2, 2, 2]), ("enc.norm.weight", [6]), ("dec.ConvTranspose.weight", [2, 3, 1, 2, 2]), ("enc.wide.weight", [3, 4, 1, 2, 3])]
+#: By turns, the name and shape of a vector of 64 as a tensor.
+FORMS = (("enc.conv", "weight", [2, 2, 2, 2, 4]), ("dec.transpconvs.0", "weight", [4, 2, 2, 2, 2]), ("enc.norm", "weight", [64]), ("dec.ConvTranspose", "weight", [2, 4, 2, 2, 2]), ("enc.wide", "bias", [2, 1, 4, 4, 2]))
 
 
-def stored_tensors(spark: SparkSession) -> DataFrame:
-    sized = rows(spark, TENSORS, "key string, shape array<int>")
-    n = F.aggregate("shape", F.lit(1), lambda a, x: a * x)
-    return sized.withColumn("data", F.transform(F.sequence(F.lit(0), n - 1), lambda j: j.cast("float")))
+def stored_tensors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors of ``embeddings`` as stored tensors."""
+    v = volumes.table(spark, sf_dir, "embeddings")
+    turn = (F.col("vec_id") % len(FORMS) + 1).cast("int")
+    key = F.concat(F.element_at(F.array(*[F.lit(a) for a, _, _ in FORMS]), turn), F.lit(".v"), F.col("vec_id").cast("string"), F.lit("."), F.element_at(F.array(*[F.lit(b) for _, b, _ in FORMS]), turn))
+    shape = F.element_at(F.array(*[F.array(*[F.lit(n) for n in c]) for _, _, c in FORMS]), turn)
+    return v.select(key.alias("key"), shape.alias("shape"), F.col("embedding").alias("data"), "label")
 
 
 @query
 def weight_layout_transpose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = weights.transposed(stored_tensors(spark))
+    found = weights.transposed(stored_tensors(spark, sf_dir))
     return found.select("key", F.array_join(F.col("shape").cast("array<string>"), "x").alias("shape"), F.posexplode("data").alias("j", "w")).withColumn("w", F.col("w").cast("double"))
 
 
-def _keys(spark: SparkSession) -> DataFrame:
-    return rows(spark, [(k,) for k in KEYS], "key string")
+#: By turns, the key of a part; its size stands for the marks.
+TEMPLATES = (
+    "encoder.stages.%d.0.convs.1.conv.weight", "decoder.stages.%d.convs.0.conv.weight", "x%d.all_modules.0.weight", "decoder.encoder.stages.%d.w", "encoder.stages.%d.0.foo.weight",
+    "encoder.stages.%d.0.blocks.0.conv1.conv.weight", "encoder.stages.%d.0.convs", "decoder.transpconvs.%d.weight", "net.stages.%d.0.convs.0.all_modules.1.bias", "stages.%d.0.blocks.1.norm.weight",
+)
+
+
+def _keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.element_at(F.array(*[F.format_string(t, F.col("p_size")) for t in TEMPLATES]), (F.col("p_partkey") % len(TEMPLATES) + 1).cast("int"))
+    return volumes.table(spark, sf_dir, "part").select("p_partkey", key.alias("key"))
 
 
 @query
 def weight_key_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _keys(spark).where(X.kept_key(F.col("key")))
+    return _keys(spark, sf_dir).where(X.kept_key(F.col("key")))
 
 
 @query
 def weight_key_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    given = rows(spark, [("decoder.transpconvs.0.weight", "decoder.up.0.weight")], "key string, mapped string")
-    return weights.renamed(_keys(spark), given).select("key")
+    given = rows(spark, [("decoder.transpconvs.7.weight", "decoder.up.7.weight")], "key string, mapped string")
+    return weights.renamed(_keys(spark, sf_dir), given).select("p_partkey", "key")
 
 
 @query
 def weight_key_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _keys(spark).select("key", X.fuzzy_key(F.col("key")).alias("fuzzy"), X.dropped_subindex(F.col("key")).alias("dropped"))
-
-
-KNOWN = ("x.conv.weight", "decoder.stages.0.convs.0.conv.weight", "decoder.transpconvs.0.weight")
+    return _keys(spark, sf_dir).select("p_partkey", "key", X.fuzzy_key(F.col("key")).alias("fuzzy"), X.dropped_subindex(F.col("key")).alias("dropped"))
 
 
 @query
 def weight_unmapped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mapped, unmapped = weights.fuzzy_matched(_keys(spark), rows(spark, [(k,) for k in KNOWN], "key string"))
-    return mapped.select("key", F.lit(True).alias("mapped")).unionByName(unmapped.select("key", F.lit(False).alias("mapped")))
-
-
-CHECKPOINTS = ["m/fold_0/checkpoint_final.pth", "m/fold_1/checkpoint_final.pth", "m/fold_1/checkpoint_final.safetensors", "m/fold_2/checkpoint_best.pth", "m/fold_3/checkpoint_final.safetensors"]
+    """Known are the rewritten keys of the parts of small size."""
+    keys = _keys(spark, sf_dir)
+    known = keys.join(volumes.table(spark, sf_dir, "part").where("p_size <= 20").select("p_partkey"), "p_partkey").select(X.fuzzy_key(F.col("key")).alias("key"))
+    mapped, unmapped = weights.fuzzy_matched(keys, known)
+    return mapped.select("p_partkey", "key", F.lit(True).alias("mapped")).unionByName(unmapped.select("p_partkey", "key", F.lit(False).alias("mapped")))
 
 
 @query
 def pending_conversions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paths = rows(spark, [(p,) for p in CHECKPOINTS], "path string")
-    return weights.pending(paths, paths)
+    """Checkpoints of parts without a converted file; some parts have both."""
+    path = F.concat(F.lit("m/fold_"), F.col("p_partkey").cast("string"), F.lit("/checkpoint_"), F.when(F.col("p_size") % 2 == 0, F.lit("final")).otherwise(F.lit("best")))
+    parts = volumes.table(spark, sf_dir, "part")
+    sources = parts.where("p_size % 5 <> 0").select(F.concat(path, F.lit(".pth")).alias("path"))
+    done = parts.where("p_size % 3 = 0").select(F.concat(path, F.lit(".safetensors")).alias("path"))
+    return weights.pending(sources.unionByName(done), done)
 
 
 @query
@@ -558,30 +581,17 @@ def first_sorted_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.first_sorted(volumes.table(spark, sf_dir, "part").where(F.col("p_brand").rlike("^Brand#[1-3]")).select(F.concat_ws("/", "p_brand", "p_name").alias("path")))
 
 
-@query
-def param_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nets = {
-        "small": networks.Architecture(1, 3, [16, 32, 64, 128], [[3, 3, 3]] * 4, [[1, 1, 1]] + [[2, 2, 2]] * 3, [2] * 4, [2] * 3),
-        "large": networks.Architecture(1, 105, [32, 64, 128, 256, 320, 320], [[3, 3, 3]] * 6, [[1, 1, 1]] + [[2, 2, 2]] * 5, [2] * 6, [2] * 5),
-    }
-    out = None
-    for name, arch in nets.items():
-        sized = arch.layer_table(spark).select(F.lit(name).alias("net"), "kind", F.aggregate("shape", F.lit(1).cast("long"), lambda a, x: a * x).alias("n"))
-        out = sized if out is None else out.unionByName(sized)
-    return out.groupBy("net").agg(F.sum("n").alias("parameters"))
-
-
-SHAPES = [([128, 128, 128], 105), ([64, 64, 64], 25), ([32, 32, 32], 4), ([96, 160, 160], 118)]
-
-
-def _shapes(spark: SparkSession) -> DataFrame:
-    return rows(spark, SHAPES, "patch array<int>, classes int").withColumn("side", F.array_join(F.col("patch").cast("array<string>"), "x"))
+def _shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A patch a part: its sides and classes follow from the part's size."""
+    size = F.col("p_size")
+    patch = F.array(32 * (size % 4 + 1), 16 * (size % 5 + 4), 16 * (size % 7 + 4))
+    return volumes.table(spark, sf_dir, "part").select("p_partkey", patch.alias("patch"), size.alias("classes"))
 
 
 @query
 def activation_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     widths = F.array(*[F.lit(f) for f in networks.stage_features(6)])
-    return _shapes(spark).select("side", networks.activation_bytes(F.col("patch"), widths).alias("bytes"))
+    return _shapes(spark, sf_dir).select("p_partkey", networks.activation_bytes(F.col("patch"), widths).alias("bytes"))
 
 
 MEMORY = (8 * 2.0**30, 12.7 * 2.0**30, 72 * 2.0**30)
@@ -589,8 +599,8 @@ MEMORY = (8 * 2.0**30, 12.7 * 2.0**30, 72 * 2.0**30)
 
 @query
 def batch_size_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sized = _shapes(spark).withColumn("memory", F.explode(F.array(*[F.lit(m) for m in MEMORY])))
-    return sized.select("side", "classes", "memory", networks.batch_size(F.col("patch"), F.col("classes"), F.col("memory")).alias("batch"))
+    sized = _shapes(spark, sf_dir).withColumn("memory", F.explode(F.array(*[F.lit(m) for m in MEMORY])))
+    return sized.select("p_partkey", "memory", networks.batch_size(F.col("patch"), F.col("classes"), F.col("memory")).alias("batch"))
 
 
 # whole patches in Arrow, files
@@ -714,10 +724,13 @@ def block_tiny_unet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def safetensors_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{folder(spark, 'tensors')}/model.safetensors"
-    tensors.write_safetensors(stored_tensors(spark).withColumn("path", F.lit(path)))
-    found = tensors.read_safetensors(spark, path)
-    return found.select("key", F.array_join(F.col("shape").cast("array<string>"), "x").alias("shape"), F.size("data").alias("n"), F.aggregate("data", F.lit(0.0), lambda a, x: a + x).alias("total"))
+    """One file a label, written and read again."""
+    base = folder(spark, "tensors")
+    path = F.concat(F.lit(f"{base}/"), F.coalesce(F.col("label").cast("string"), F.lit("none")), F.lit(".safetensors"))
+    tensors.write_safetensors(stored_tensors(spark, sf_dir).withColumn("path", path))
+    found = tensors.read_safetensors(spark, f"{base}/*.safetensors")
+    total = F.aggregate("data", F.lit(0.0), lambda a, x: a + x)
+    return found.select(F.regexp_extract("path", r"(\w+)\.safetensors$", 1).alias("label"), "key", F.array_join(F.col("shape").cast("array<string>"), "x").alias("shape"), F.size("data").alias("n"), r(total, 5).alias("total"))
 
 
 # models in folders, and the engine over them
@@ -731,14 +744,6 @@ PLANS = {
     },
     "foreground_intensity_properties_per_channel": {"0": {"mean": 0.5, "std": 0.25, "percentile_00_5": 0.125, "percentile_99_5": 0.875}, "2": {"mean": 3.0, "std": 0.5, "percentile_00_5": -1.0, "percentile_99_5": 9.0}},
 }
-NEW_PLANS = {
-    "configurations": {"3d_fullres": {"patch_size": [16, 16, 16]}},
-    "network_arch_class_name": "some.package.ResidualEncoderUNet",
-    "network_arch_init_kwargs": {
-        "n_stages": 3, "features_per_stage": [4, 8, 8], "kernel_sizes": [[1, 3, 3], 3, 3], "strides": [1, [1, 2, 2], 2], "n_blocks_per_stage": [1, 2, 1], "n_conv_per_stage_decoder": [1, 1],
-        "conv_bias": True, "stem_channels": 6, "norm_op_kwargs": {"eps": 1e-3}, "nonlin_kwargs": {"inplace": True},
-    },
-}
 DATASET = {"labels": {"background": 0, "one": 1, "two": 2}, "channel_names": {"0": "price"}}
 
 
@@ -789,69 +794,87 @@ def engine_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _engine(spark).normalize(cube(spark, sf_dir)).select("z", "y", "x", r("v").alias("v"))
 
 
-def _layer_sizes(spark: SparkSession, arch: networks.Architecture) -> DataFrame:
-    return arch.layer_table(spark).select("key", "kind", F.array_join(F.col("shape").cast("array<string>"), "x").alias("shape"))
-
-
-@query
-def network_layers_old(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _layer_sizes(spark, networks.from_plans(PLANS, 1, 3))
-
-
-@query
-def network_layers_new(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _layer_sizes(spark, networks.from_plans(NEW_PLANS, 1, 3))
-
-
 @query
 def intensity_params(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = "foreground_intensity_properties_per_channel map<string, struct<mean: double, std: double, percentile_00_5: double, percentile_99_5: double>>"
-    return normalize.intensity_params(rows(spark, [(PLANS["foreground_intensity_properties_per_channel"],)], kind))
+    """Parameters a channel as a description lists them, from the prices of orders."""
+    per = channels(spark, sf_dir).groupBy("c").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.min("v").alias("percentile_00_5"), F.max("v").alias("percentile_99_5"))
+    entry = F.struct(F.col("c").cast("string"), F.struct("mean", "std", "percentile_00_5", "percentile_99_5"))
+    listed = per.agg(F.map_from_entries(F.collect_list(entry)).alias("foreground_intensity_properties_per_channel"))  # four channels
+    found = normalize.intensity_params(listed)
+    return found.select("c", *[r(n).alias(n) for n in ("mean", "std", "low", "high")])
 
 
-def _below(root: str, path: Column) -> Column:
+def _below(path: Column) -> Column:
     """A path below the store, without the file system's part."""
-    return F.regexp_replace(path, "^.*/models-[0-9a-f]*/", "")
+    return F.regexp_replace(path, "^.*/(models|convert)-[0-9a-f]*/", "")
+
+
+def nation_store(spark: SparkSession, sf_dir: str) -> str:
+    """A store with a data set a nation, whose trainer folder is named by the region; some nations have two, some no description."""
+    root = folder(spark, "models")
+    n = volumes.table(spark, sf_dir, "nation").join(volumes.table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("n_regionkey"), "r_name"), "n_regionkey")
+    base = F.concat(F.lit(f"{root}/"), F.format_string("Dataset%03d_%s", "n_nationkey", F.replace("n_name", F.lit(" "), F.lit("_"))))
+    trainer = F.concat(base, F.lit("/"), F.replace("r_name", F.lit(" "), F.lit("_")), F.lit("__plans__3d"))
+    first = n.where("n_nationkey % 4 <> 3").select(F.concat(trainer, F.lit("/plans.json")).alias("path"), F.lit("{}").alias("text"))
+    bare = n.where("n_nationkey % 4 = 3").select(F.concat(trainer, F.lit("/fold_0/checkpoint_final.pth")).alias("path"), F.lit("a pickle").alias("text"))
+    second = n.where("n_nationkey % 3 = 0").select(F.concat(base, F.lit("/AAA__plans__3d/readme.txt")).alias("path"), F.lit("earlier in the order").alias("text"))
+    tensors.write_text(first.unionByName(bare).unionByName(second))
+    return root
 
 
 @query
 def model_folder_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What task numbers and paths resolve to: the first data set, its first trainer folder, the folder with a description."""
-    root = _model_store(spark)
-    found = [(n, models.model_folder(spark, n, root)) for n in (7, 12, 99)] + [(0, models.trainer_folder(spark, f"{root}/Dataset12_other"))]
-    for n, path in ((1, root), (2, f"{root}/Dataset099_bare")):
+    """What each nation's number resolves to: its first trainer folder, and the first one with a description."""
+    root, found = nation_store(spark, sf_dir), []
+    for (number,) in volumes.table(spark, sf_dir, "nation").select("n_nationkey").collect():  # a data set each, 25
+        path = models.model_folder(spark, number, root)
         try:
-            found.append((n, models.trainer_folder(spark, path)))
+            described = models.trainer_folder(spark, path.rsplit("/", 1)[0])
         except FileNotFoundError:
-            found.append((n, "/models-0/none"))
-    return rows(spark, found, "task int, path string").select("task", _below(root, F.col("path")).alias("path"))
+            described = None
+        found.append((number, path, described))
+    return rows(spark, found, "task int, path string, described string").select("task", _below(F.col("path")).alias("path"), _below(F.col("described")).alias("described"))
 
 
-@query
-def checkpoint_resolver(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many tensors each fold's checkpoint has; pickles and missing ones say so."""
-    root, found = _model_store(spark), []
-    for name, fold, checkpoint in (("Dataset007_demo/Trainer__plans__3d", 0, "checkpoint_final.pth"), ("Dataset007_demo/Trainer__plans__3d", 1, "checkpoint_final.pth"), ("Dataset12_other/A__plans__3d", 1, "checkpoint_best.pth"), ("Dataset099_bare/T__plans__3d", 0, "checkpoint_final.pth")):
-        try:
-            state, n = "loaded", models.load_weights(spark, f"{root}/{name}", fold, checkpoint).count()
-        except ValueError:
-            state, n = "pickle", 0
-        except FileNotFoundError:
-            state, n = "missing", 0
-        found.append((name, fold, state, n))
-    return rows(spark, found, "path string, fold int, state string, n int")
+def _folds(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    """A trainer folder whose folds hold the tensors of a label each, as tables."""
+    root = folder(spark, "convert")
+    path = f"{root}/Dataset007_demo/T__plans__3d"
+    given = stored_tensors(spark, sf_dir).where("label IS NOT NULL")
+    for (label,) in given.select("label").distinct().collect():  # ten labels
+        given.where(F.col("label") == label).drop("label").write.parquet(f"{path}/fold_{label}/checkpoint_final.parquet")
+    return root, path
 
 
 @query
 def convert_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files written on a first run, on a second one, and by force; then the tensors of all files."""
-    root, given = folder(spark, "convert"), stored_tensors(spark)
-    for fold in (0, 1):
-        given.withColumn("data", F.transform("data", lambda v: v + fold)).write.parquet(f"{root}/Dataset007_demo/T__plans__3d/fold_{fold}/checkpoint_final.parquet")
+    """Files written on a first run, on a second one, and by force; then the tensors and values of all files."""
+    root, path = _folds(spark, sf_dir)
     counts = [models.convert_folder(spark, root, force) for force in (False, False, True)]
-    found = tensors.read_safetensors(spark, f"{root}/Dataset007_demo/T__plans__3d/fold_*/*.safetensors")
+    found = tensors.read_safetensors(spark, f"{path}/fold_*/*.safetensors")
     total = F.sum(F.aggregate("data", F.lit(0.0), lambda a, x: a + x))
-    return found.agg(F.count("*").alias("tensors"), total.alias("total")).select(*[F.lit(c).alias(n) for c, n in zip(counts, ("first", "second", "forced"))], "tensors", "total")
+    return found.agg(F.count("*").alias("tensors"), r(total, 4).alias("total")).select(*[F.lit(c).alias(n) for c, n in zip(counts, ("first", "second", "forced"))], "tensors", "total")
+
+
+@query
+def checkpoint_resolver(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tensors of each fold's checkpoint, one fold a label; an odd fold has only a pickle, which is not opened, and says so."""
+    root, path = _folds(spark, sf_dir)
+    labels = sorted(int(p.rsplit("_", 1)[1]) for p in models.listed(spark, f"{path}/fold_*"))
+    for fold in labels:
+        if fold % 2 == 0:
+            models.store(spark.read.parquet(f"{path}/fold_{fold}/checkpoint_final.parquet"), path, fold)
+    tensors.write_text(rows(spark, [(f"{path}/fold_{f}/checkpoint_final.pth", "a pickle") for f in labels], "path string, text string"))
+    found = None
+    for fold in [*labels, 1 + max(labels)]:
+        try:
+            n = models.load_weights(spark, path, fold).agg(F.count("*").alias("n"), F.sum(F.size("data")).alias("size"))
+            row = n.select(F.lit(fold).alias("fold"), F.lit("loaded").alias("state"), "n", "size")
+        except (ValueError, FileNotFoundError) as e:
+            state = "pickle" if isinstance(e, ValueError) else "missing"
+            row = rows(spark, [(fold, state, 0, 0)], "fold int, state string, n bigint, size bigint")
+        found = row if found is None else found.unionByName(row)
+    return found
 
 
 def queries() -> dict[str, Query]:
