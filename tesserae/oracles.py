@@ -280,6 +280,7 @@ SQL["engine_shapes"] = " UNION ALL ".join(f"SELECT '{n}' AS volume_id, * FROM ({
 SQL["engine_normalize"] = f"WITH {CUBE}, zs AS (SELECT avg(v) FILTER (v <> 0) AS m, stddev_pop(v) FILTER (v <> 0) AS sd FROM cube) SELECT z, y, x, {r('(v - m) / greatest(sd, 1e-8)')} AS v FROM cube, zs"
 
 
+SQL["tensor_source_by_key"] = "SELECT 'enc.norm.v' || vec_id || '.weight' AS key, '64' AS shape, j, CAST(embedding[j + 1] AS DOUBLE) AS w FROM embeddings, range(64) t(j) WHERE vec_id % 5 = 2"
 SQL["intensity_params"] = f"""WITH o AS (SELECT CAST(o_custkey % 4 AS INT) AS c, o_totalprice / 1000::DOUBLE AS v FROM orders)
 SELECT c, {r("avg(v)")} AS mean, {r("stddev_pop(v)")} AS std, {r("min(v)")} AS low, {r("max(v)")} AS high FROM o GROUP BY c"""
 SQL["model_folder_scan"] = """WITH n AS (SELECT n_nationkey AS k, 'Dataset' || printf('%03d', n_nationkey) || '_' || replace(n_name, ' ', '_') || '/' AS base, replace(r_name, ' ', '_') || '__plans__3d' AS trainer FROM nation JOIN region ON n_regionkey = r_regionkey)

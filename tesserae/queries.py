@@ -22,7 +22,7 @@ from .functions.sums import exact_quantiles
 from .operators import blend as B
 from .operators import blocks, forward, layers, normalize, tiling, weights
 from .plans import networks
-from .sources import models, tensors, volumes
+from .sources import models, tensor_source, tensors, volumes
 from .sources.scratch import folder, stored
 from .streaming import rolling
 
@@ -733,6 +733,16 @@ def safetensors_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.regexp_extract("path", r"(\w+)\.safetensors$", 1).alias("label"), "key", F.array_join(F.col("shape").cast("array<string>"), "x").alias("shape"), F.size("data").alias("n"), r(total, 5).alias("total"))
 
 
+@query
+def tensor_source_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tensors written by the data source and read again by the beginning of their keys, which the files' headers tell."""
+    tensor_source.register(spark)
+    path = folder(spark, "tensors")
+    stored_tensors(spark, sf_dir).select(F.lit("").alias("path"), "key", "shape", "data").write.format("tensors").mode("append").save(path)
+    found = spark.read.format("tensors").load(path).where(F.startswith("key", F.lit("enc.norm.")))
+    return found.select("key", F.array_join(F.col("shape").cast("array<string>"), "x").alias("shape"), F.posexplode("data").alias("j", "w")).withColumn("w", F.col("w").cast("double"))
+
+
 # models in folders, and the engine over them
 
 PLANS = {
