@@ -10,6 +10,10 @@ bit however rows are dealt.  The sum of weights over a voxel is a product of thr
 axes, which follow from the volume's size; they are not shuffled.
 
 No group is larger than the box of a home (``side`` and a patch an axis), or than the pieces of a block.
+
+Which patches share a task decides what is exchanged: their overlaps are summed before they leave it.  A home of ``2**k``
+blocks along each axis holds the blocks of one stretch of a Z-order curve, so ``spread`` deals patches by such
+a curve, in stretches as long as memory allows.
 """
 
 from __future__ import annotations
@@ -221,16 +225,17 @@ def _cut(box: list[tuple[int, int]], size: Triple, side: Triple) -> Iterator[tup
 
 
 class Patching:
-    """Patches over blocks: their size and step, the blocks' side, and how many go through the network at once."""
+    """Patches over blocks: their size and step, the blocks' side, how many go through the network at once, and how many blocks along each axis a home has."""
 
-    def __init__(self, patch: Triple, step: float, side: Triple, batch: int = 1, uniform: bool = False, scale: float = 10.0) -> None:
+    def __init__(self, patch: Triple, step: float, side: Triple, batch: int = 1, uniform: bool = False, scale: float = 10.0, spread: Triple = (1, 1, 1)) -> None:
         self.patch, self.step, self.side, self.batch, self.uniform, self.scale = tuple(patch), step, tuple(side), batch, uniform, scale
+        self.home_side = tuple(a * b for a, b in zip(self.side, spread))
 
     def axes(self, size: Triple) -> list[Axis]:
-        return _axes(size, self.patch, self.step, self.side)
+        return _axes(size, self.patch, self.step, self.home_side)
 
     def regions(self, k: int, n: int) -> list[tuple[int, int, int]]:
-        return axis(n, self.patch[k], self.step, self.side[k]).regions
+        return axis(n, self.patch[k], self.step, self.home_side[k]).regions
 
     def weight(self, axes: list[Axis]) -> np.ndarray:
         bells = [a.bell(self.uniform) for a in axes]

@@ -673,7 +673,7 @@ def block_large_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     voxels = rows.groupBy(*place).agg((F.sum("l_extendedprice") / UNIT).alias("v")).select(F.lit("big").alias("volume_id"), F.lit(0).alias("c"), *volumes.AXES, "v")
     size = spark.range(1).select(F.lit("big").alias("volume_id"), *[F.lit(n).alias(f"n_{a}") for a, n in zip(volumes.AXES, BIG)])
     packed = blocks.pack(voxels, size, (32, 32, 32))
-    found = blocks.predicted(packed, blocks.Patching(BIG_PATCH, 0.5, (32, 32, 32), batch=2), PatchNorm(), 3)
+    found = blocks.predicted(packed, blocks.Patching(BIG_PATCH, 0.5, (32, 32, 32), batch=2, spread=(2, 2, 2)), PatchNorm(), 3)
     cells = blocks.unpack(found, (32, 32, 32)).groupBy("z", "y").agg(*[F.avg(F.get("ls", F.lit(k))).alias(f"l{k}") for k in range(3)])
     return cells.select("z", "y", *[r(f"l{k}", 5).alias(f"l{k}") for k in range(3)])
 

@@ -118,6 +118,37 @@ def test_the_same_to_the_last_bit_however_rows_are_dealt(spark, voxels):
     assert results[0] == results[1] == results[2]
 
 
+def test_wider_homes_exchange_fewer_bytes(held):
+    """Of one volume, the pieces that leave homes of one block, of two along each axis, and of all; the results are one."""
+    size, body = (13, 9, 10), held["large"]
+    sent, sums = [], []
+    for spread in ((1, 1, 1), (2, 2, 2), (8, 8, 8)):
+        plan = blocks.Patching(PATCH, 0.5, SIDE, spread=spread)
+        axes, bytes_, total_ = plan.axes(size), 0, np.zeros(size)
+        for home in np.ndindex(*(max(a.homes) + 1 for a in axes)):
+            if all(h in a.homes for a, h in zip(axes, home)):
+                box = [a.box[h] for a, h in zip(axes, home)]
+                lo = [max(x, 0) for x, _ in box]
+                cut = body[tuple(slice(x, min(y, n)) for x, (_, y), n in zip(lo, box, size))]
+                piece = blocks._batch([("v", *size, 0, 0, 0, *home, *lo, *cut.shape, 1, np.ascontiguousarray(cut).tobytes())], blocks.PIECE)
+                for _, at, scores in plan.runs(piece, Three()):
+                    total_[tuple(slice(a.start + x, a.stop + x) for a, (x, _) in zip(at, box))] += scores[0]
+                row = {"volume_id": "v", **dict(zip(("n_z", "n_y", "n_x"), size))}
+                bytes_ += sum(8 * int(np.prod([x.stop - x.start for x in at])) for _, at in plan.pieces(row, home, box))
+        sent.append(bytes_)
+        sums.append(total_)
+    assert sent[0] > 2 * sent[1] >= 2 * sent[2] == 16 * body.size
+    assert np.allclose(sums[0], sums[1]) and np.allclose(sums[0], sums[2])
+
+
+@pytest.mark.parametrize("spread", [(2, 2, 2), (1, 4, 2)])
+def test_prediction_by_wider_homes(voxels, held, spread):
+    got = blocks.unpack(blocks.predicted(packed(voxels), blocks.Patching(PATCH, 0.5, SIDE, 4, spread=spread), Many(), 3), SIDE).collect()
+    want = {n: blended(a, Three())[0] for n, a in held.items()}
+    assert len(got) == sum(a.size for a in held.values())
+    assert all(np.allclose(r["ls"], want[r["volume_id"]][:, r["z"], r["y"], r["x"]], atol=1e-9) for r in got)
+
+
 def test_segmentation_on_blocks_exchanges_planes_only(voxels, held):
     plan = blocks.Patching(PATCH, 0.5, SIDE, 2)
     segments = blocks.segmented(packed(voxels), plan, Many())
