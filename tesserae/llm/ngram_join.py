@@ -171,10 +171,20 @@ def _gathered(dealt: DataFrame) -> DataFrame:
 
 
 def frequent_shingles(profiles: DataFrame, deals: int) -> np.ndarray:
-    """The keys of shingles that stand last in the global order, ascending; counted over all texts, bounded in number."""
+    """The keys of shingles that stand last in the global order, ascending; counted over all texts, at most ``MOST_FREQUENT``.
+
+    Where more are frequent, those above a level of frequency are taken, the lowest that
+    leaves few enough: levels are 64 a doubling, so counts by level are some thousand rows.
+    """
     dealt = in_arrow(profiles.select("low"), lambda it: _dealt(it, deals), DEALT)
-    counted = in_arrow(_gathered(dealt), _frequent, "token bigint, df bigint")
-    rows = counted.orderBy(F.desc("df"), "token").limit(MOST_FREQUENT).select("token").toArrow()
+    counted = stored(in_arrow(_gathered(dealt), _frequent, "token bigint, df bigint"), "frequent")
+    level, cut, total = F.floor(F.log2("df") * 64), 0, 0
+    for row in counted.groupBy(level.alias("level")).agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect():
+        total += row["n"]
+        if total > MOST_FREQUENT:
+            cut = row["level"] + 1
+            break
+    rows = counted.where(level >= cut).select("token").toArrow()
     return np.sort(rows.column(0).to_numpy().view(_U))
 
 
@@ -528,18 +538,37 @@ def _found(docs: DataFrame, key: str, text: str) -> _Found:
     return _Found(keyed, profiles, entries, chosen, first, units)
 
 
+def _salted(pairs: DataFrame, u: DataFrame, v: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Stored ``pairs`` (``u``, ``v``) and what stands for their sides, to be joined by unit and salt (``u, su`` and ``v, sv``).
+
+    A unit of more pairs than a quarter of a partition's share is dealt over salts, by the unit it is paired with, and
+    its own rows are repeated once a salt; there are four such units a partition at most, and as many salts more.
+    """
+    share = max(1, pairs.count() // (4 * parts(pairs.sparkSession)))
+    out, sides = pairs, []
+    for side, other, rows in (("u", "v", u), ("v", "u", v)):
+        many = pairs.groupBy(side).agg(F.ceil(F.count("*") / share).cast("int").alias("_salts")).where("_salts > 1")
+        many = F.broadcast(many)  # two numbers a unit
+        out = out.join(many, side, "left").withColumn(f"s{side}", F.pmod(F.xxhash64(other), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")
+        salt = F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))
+        sides.append(rows.join(many, side, "left").withColumn(f"s{side}", salt).drop("_salts"))
+    return out, *sides
+
+
 def _links(pairs: DataFrame, units: DataFrame, found: _Found, degrees: bool = False) -> DataFrame:
     """Links between the nodes of each unit pair: fragment by fragment, then summed."""
     pairs = stored(pairs, "pairs")
     either = lambda df: df.select(F.col("u").alias("unit")).union(df.select("v")).distinct()
     bundles = units.join(either(pairs), "unit").select("node", "unit").join(found.first, "node").groupBy("unit").agg(F.collect_list(F.struct("node", "n", "part")).alias("members"))
-    sides = pairs.join(bundles.toDF("u", "left"), "u").join(bundles.toDF("v", "right"), "v")
+    dealt, left, right = _salted(pairs, bundles.toDF("u", "left"), bundles.toDF("v", "right"))
+    sides = dealt.join(left, ["u", "su"]).join(right, ["v", "sv"]).select("u", "v", "left", "right")
     open_pairs = stored(in_arrow(sides, _possible, "u bigint, v bigint"), "open")
     asked = stored(units.join(either(open_pairs), "unit").select("node").join(found.chosen, "node"), "asked")
     whole = in_arrow(found.keyed.join(light(asked), ROW).select(ROW, "node", "_text"), _fragments, CELLS)
     cells = whole.join(units.select("node", "unit"), "node")
     cells = stored(cells.groupBy("unit", "fragment").agg(F.collect_list(F.struct("node", "n", "part")).alias("members")), "cells")
-    counted = open_pairs.join(cells.toDF("u", "fragment", "left"), "u").join(cells.toDF("v", "fragment", "right"), ["v", "fragment"])
+    dealt, left, right = _salted(open_pairs, cells.toDF("u", "fragment", "left"), cells.toDF("v", "fragment", "right"))
+    counted = dealt.join(left, ["u", "su"]).join(right, ["v", "sv", "fragment"])
     partial = in_arrow(counted.select("u", "v", "fragment", "left", "right"), _partial, PARTIAL)
     summed = partial.groupBy("u", "v").agg(F.collect_list(F.struct("at", "shared", "left", "right", "ns", "ms")).alias("cells"))  # one cell a fragment
     return stored(in_arrow(summed, lambda it: _summed(it, degrees), LINKS), "links")
