@@ -30,8 +30,12 @@ class ModelBundle:
         return cls(read_json(spark, f"{folder}/plans.json"), read_json(spark, f"{folder}/dataset.json"), models.load_weights(spark, folder, fold))
 
     @classmethod
-    def from_task(cls, spark: SparkSession, task_id: int, fold: int = 0, root: str | None = None) -> ModelBundle:
-        return cls.from_folder(spark, models.model_folder(spark, task_id, root), fold)
+    def from_task(cls, spark: SparkSession, task_id: int, fold: int = 0, root: str | None = None, auto_convert: bool = True) -> ModelBundle:
+        """The first model of a task; with ``auto_convert`` its tensor tables that have no tensor file yet are converted first."""
+        folder = models.model_folder(spark, task_id, root)
+        if auto_convert:
+            models.convert_folder(spark, folder)
+        return cls.from_folder(spark, folder, fold)
 
     @property
     def classes(self) -> int:

@@ -294,7 +294,7 @@ def scored(blocks: DataFrame, plan: Patching, network: forward.Network) -> DataF
 
 
 def predicted(blocks: DataFrame, plan: Patching, network: forward.Network, classes: int) -> DataFrame:
-    """Blended class scores of every block, as its channels: the weighted mean over the patches that cover a voxel."""
+    """Blended class scores of every block, as its channels: the weighted mean over the patches that cover a voxel (NaN where steps above 1 leave it uncovered)."""
     shared = forward.shared(blocks, network)
 
     def run(table: pa.Table) -> pa.Table:
@@ -314,7 +314,8 @@ def predicted(blocks: DataFrame, plan: Patching, network: forward.Network, class
             at = [slice(r[f"o{k}"] - a, r[f"o{k}"] - a + r[f"d{k}"]) for k, (a, _) in enumerate(span)]
             total[(slice(None), *at)] += np.frombuffer(r["data"], "<f8").reshape(classes, *(r[f"d{k}"] for k in range(3)))
         d = [a.total(plan.uniform)[lo:hi] for a, (lo, hi) in zip(axes, span)]
-        total /= (1.0 if plan.uniform else plan.scale) * d[0][:, None, None] * d[1][:, None] * d[2]
+        with np.errstate(invalid="ignore"):
+            total /= (1.0 if plan.uniform else plan.scale) * d[0][:, None, None] * d[1][:, None] * d[2]
         return pa.Table.from_batches([_batch([(*row.values(), classes, total.tobytes())], BLOCK)])
 
     pieces = exchanged(blocks, plan.side, plan.regions).groupBy("volume_id", "h0", "h1", "h2").applyInArrow(run, PIECE)

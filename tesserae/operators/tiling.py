@@ -35,9 +35,10 @@ def pad(voxels: DataFrame, shape: Triple, patch: Triple) -> tuple[DataFrame, Tri
     box = tuple(s + b + a for s, (b, a) in zip(shape, widths))
     moved = voxels.select("volume_id", "c", *[(F.col(a) + w[0]).alias(a) for a, w in zip(AXES, widths)], "v")
     outside = " OR ".join(f"{a} < {w[0]} OR {a} >= {w[0] + s}" for a, w, s in zip(AXES, widths, shape))
-    heads = voxels.select("volume_id", "c").distinct()  # a row a volume and channel
-    zeros = grid(voxels.sparkSession, box).where(outside).crossJoin(F.broadcast(heads)).select("volume_id", "c", *AXES, F.lit(0.0).alias("v"))
-    return moved.unionByName(zeros), box
+    zeros = voxels.select("volume_id", "c").distinct()  # a row a volume and channel, each expanded by itself
+    for a, n in zip(AXES, box):
+        zeros = zeros.withColumn(a, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return moved.unionByName(zeros.where(outside).select("volume_id", "c", *AXES, F.lit(0.0).alias("v"))), box
 
 
 def crop(cells: DataFrame, shape: Triple, patch: Triple) -> DataFrame:
@@ -47,6 +48,12 @@ def crop(cells: DataFrame, shape: Triple, patch: Triple) -> DataFrame:
     return cells.where(inside).withColumns({a: (F.col(a) - w[0]).cast("int") for a, w in zip(AXES, widths)})
 
 
+def needs_padding(extents: DataFrame, patch: Triple) -> DataFrame:
+    """``volume_id``, ``needs_padding``: whether any axis of a volume is shorter than the patch."""
+    short = [F.col(f"n_{a}") < p for a, p in zip(AXES, patch)]
+    return extents.select("volume_id", (short[0] | short[1] | short[2]).alias("needs_padding"))
+
+
 def tile_grid(extents: DataFrame, patch: Triple, step: float) -> DataFrame:
     """Patches of each volume in lexicographic order: ``volume_id, pid, s0, s1, s2``."""
     rows = extents

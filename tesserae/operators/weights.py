@@ -54,6 +54,11 @@ def fuzzy_matched(rows: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFra
     return mapped, unmapped
 
 
+def first_unmapped(unmapped: DataFrame, count: int = 5) -> DataFrame:
+    """The first keys that match none, for a message; a sorted head, which each partition cuts before one task sees it."""
+    return unmapped.select("key").distinct().orderBy("key").limit(count)
+
+
 def pending(sources: DataFrame, existing: DataFrame) -> DataFrame:
     """Checkpoints (``path``) whose converted file does not exist yet."""
     target = F.regexp_replace("path", r"\.pth$", ".safetensors")

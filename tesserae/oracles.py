@@ -65,6 +65,8 @@ SQL["tile_steps"] = f"WITH {STEPS} SELECT axis, image, tile, i, s FROM steps"
 SQL["tile_grid_3d"] = f"WITH {axis('az', '50', 16)} SELECT i AS pid, s AS s0, 0 AS s1, 0 AS s2 FROM az"
 SQL["tile_step_gap"] = f"WITH {STEPS}, g AS (SELECT axis, tile, s - lag(s) OVER (PARTITION BY axis, tile ORDER BY i) AS gap FROM steps) SELECT axis, tile, coalesce(max(gap), 0) AS gap, count(*) AS n FROM g GROUP BY ALL"
 SQL["patch_extract"] = f"{PLANE_NET} SELECT pid, count(*) AS n, min(z) AS z0, max(z) AS z1, min(x) AS x0, CAST(sum(dz) AS BIGINT) AS d0, CAST(sum(dx) AS BIGINT) AS d2, {r('sum(v)', 5)} AS v FROM pv GROUP BY pid"
+SQL["padding_needed"] = """WITH v AS (SELECT l_returnflag AS flag, l_linenumber, CAST(max(l_quantity) AS INT) AS z, CAST(max(round_even(l_discount * 100, 0) + 1) AS INT) AS x FROM lineitem WHERE l_quantity <= 8 * l_linenumber GROUP BY ALL)
+SELECT flag, bool_or(z < 32 OR x < 11) AS some, bool_and(z < 32 OR x < 11) AS all, count(*) FILTER (z < 32 OR x < 11) AS n FROM v GROUP BY flag"""
 SQL["gaussian_map"] = f"""WITH {CUBE}, {PADDED.format("cube")}, {axis("az", "50", 16)}
 SELECT z - s AS d0, y AS d1, x AS d2, {r("10 * exp(-((z - s - 8) ** 2 / 8::DOUBLE + (y - 4) ** 2 / 2::DOUBLE + (x - 8) ** 2 / 8::DOUBLE))", 9)} AS w, count(*) AS n FROM pad JOIN az ON z >= s AND z < s + 16 GROUP BY ALL"""
 SQL["gaussian_underflow_floor"] = f"""WITH g AS (SELECT i, exp(-((i - 25) ** 2) / (2 * (50 / 400::DOUBLE) ** 2)) AS w FROM range(50) t(i)), least_one AS (SELECT min(w) AS m FROM g WHERE w <> 0)
@@ -197,6 +199,8 @@ _FUZZY = "replace(replace(replace(key, '.all_modules.0.', '.conv.'), '.all_modul
 SQL["weight_key_fuzzy"] = f"SELECT p_partkey, key, {_FUZZY} AS fuzzy, regexp_replace(key, '(^|\\.)stages\\.([0-9]+)\\.0(\\.|$)', '\\1stages.\\2\\3') AS dropped FROM {_KEYS}"
 SQL["weight_unmapped"] = f"""WITH k AS (SELECT p_partkey, key, {_FUZZY} AS fuzzy, p_size FROM {_KEYS}), known AS (SELECT DISTINCT fuzzy AS name FROM k WHERE p_size <= 20)
 SELECT p_partkey, CASE WHEN key IN (FROM known) THEN key WHEN fuzzy IN (FROM known) THEN fuzzy ELSE key END AS key, key IN (FROM known) OR fuzzy IN (FROM known) AS mapped FROM k"""
+SQL["weight_unmapped_head"] = f"""WITH k AS (SELECT key, {_FUZZY} AS fuzzy, p_size FROM {_KEYS}), known AS (SELECT DISTINCT fuzzy AS name FROM k WHERE p_size <= 20)
+SELECT DISTINCT key FROM k WHERE key NOT IN (FROM known) AND fuzzy NOT IN (FROM known) ORDER BY key LIMIT 5"""
 SQL["pending_conversions"] = """WITH p AS (SELECT *, 'm/fold_' || p_partkey || '/checkpoint_' || CASE WHEN p_size % 2 = 0 THEN 'final' ELSE 'best' END AS base FROM part)
 SELECT base || '.pth' AS path, base || '.safetensors' AS target FROM p WHERE p_size % 5 <> 0 AND p_size % 3 <> 0"""
 SQL["first_sorted_match"] = "SELECT min(p_brand || '/' || p_name) AS path FROM part WHERE regexp_matches(p_brand, '^Brand#[1-3]')"

@@ -204,6 +204,16 @@ def patch_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("pid").agg(F.count("*").alias("n"), F.min("z").alias("z0"), F.max("z").alias("z1"), F.min("x").alias("x0"), F.sum("d0").alias("d0"), F.sum("d2").alias("d2"), r(F.sum("v"), 5).alias("v"))
 
 
+@query
+def padding_needed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Volumes by return flag and line number: whether each needs padding, and whether any or all of a flag's do."""
+    rows = volumes.table(spark, sf_dir, "lineitem").where("l_quantity <= 8 * l_linenumber")
+    name = F.concat_ws("/", "l_returnflag", F.col("l_linenumber").cast("string"))
+    extents = rows.groupBy(name.alias("volume_id")).agg(F.max("l_quantity").cast("int").alias("n_z"), F.lit(8).alias("n_y"), F.max(F.rint(F.col("l_discount") * 100) + 1).cast("int").alias("n_x"))
+    found = tiling.needs_padding(extents, (32, 8, 11)).withColumn("flag", F.substring("volume_id", 1, 1))
+    return found.groupBy("flag").agg(F.bool_or("needs_padding").alias("some"), F.bool_and("needs_padding").alias("all"), F.count_if("needs_padding").alias("n"))
+
+
 @query
 def gaussian_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The weight of every place of a patch, and how many voxels of the cube's patches lie there."""
@@ -566,6 +576,14 @@ def weight_unmapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapped.select("p_partkey", "key", F.lit(True).alias("mapped")).unionByName(unmapped.select("p_partkey", "key", F.lit(False).alias("mapped")))
 
 
+@query
+def weight_unmapped_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five keys a message about unmatched tensors would name."""
+    keys = _keys(spark, sf_dir)
+    known = keys.join(volumes.table(spark, sf_dir, "part").where("p_size <= 20").select("p_partkey"), "p_partkey").select(X.fuzzy_key(F.col("key")).alias("key"))
+    return weights.first_unmapped(weights.fuzzy_matched(keys, known)[1])
+
+
 @query
 def pending_conversions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Checkpoints of parts without a converted file; some parts have both."""

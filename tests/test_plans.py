@@ -80,3 +80,19 @@ def test_command_line(spark, tmp_path, capsys):
         said.append(capsys.readouterr().out.splitlines()[-1])
     assert said == ["1 files written", "0 files written", "2 files written", "0 files written", "2 files written"]
     assert {(r["key"], tuple(r["data"])) for r in tensors.read_safetensors(spark, f"{tmp_path}/out.safetensors").collect()} == {("a.weight", (1.0, 2.0, 3.0, 4.0)), ("b", (5.0,))}
+
+
+def test_models_are_converted_when_a_task_is_loaded(spark, tmp_path):
+    import json
+
+    from tesserae import ModelBundle
+
+    folder = tmp_path / "Dataset003_x" / "T__plans__3d"
+    folder.mkdir(parents=True)
+    (folder / "plans.json").write_text(json.dumps({"configurations": {}}))
+    (folder / "dataset.json").write_text(json.dumps({"labels": {"0": "a"}, "channel_names": {"0": "CT"}}))
+    spark.createDataFrame([("a", [2], [1.0, 2.0])], "key string, shape array<int>, data array<float>").write.parquet(f"{folder}/fold_0/checkpoint_final.parquet")
+    with pytest.raises(FileNotFoundError):
+        ModelBundle.from_task(spark, 3, root=str(tmp_path), auto_convert=False)
+    assert [tuple(r["data"]) for r in ModelBundle.from_task(spark, 3, root=str(tmp_path)).weights.collect()] == [(1.0, 2.0)]
+    assert ModelBundle.from_task(spark, 3, root=str(tmp_path), auto_convert=False).weights.count() == 1
