@@ -80,7 +80,11 @@ def encoded(hashes: Column) -> Column:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", width: int = WIDTH, fraction: int = FRACTION) -> DataFrame:
-    """``docs`` with ``sketch`` and its text form ``fingerprint``; a row-wise projection, so every row, null or repeated, keeps its place."""
+    """``docs`` with ``sketch`` and its text form ``fingerprint``; a row-wise projection, so every row, null or repeated, keeps its place.
+
+    Null text has the sketch of an empty one; columns of these two names, whatever their case, are replaced, all others stay; an
+    empty table gives an empty result.
+    """
     kept = docs.withColumn("sketch", sketch(F.col(text), width, fraction))
     return kept.withColumn("fingerprint", encoded(F.col("sketch")))
 
@@ -107,8 +111,8 @@ def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text"
 
     The edit replaces the last quarter of the code points (rounded down) by as many
     leading ones of the next document, or all it has.  Null text is empty; rows that
-    share an id follow each other in table order; a lone document is its own next;
-    an empty table gives an empty result.
+    share an id follow each other in table order, those without one come first; a lone document is its own next;
+    other columns are left out, whatever their names; an empty table gives an empty result.
     """
     docs = with_row(docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text")))
     cuts = docs.select(F.col(ROW).alias("_to"), F.expr("length(_text) div 4").alias("_cut"))

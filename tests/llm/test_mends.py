@@ -10,7 +10,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from tesserae.llm import chat, common, decontamination, mixing, ngram_join, oracles, tokens
+from tesserae.llm import chat, common, decontamination, fingerprints, mixing, ngram_join, oracles, tokens
 from tesserae.llm.queries import op5_source_mixing
 
 DOC = "doc_id long, text string, source string"
@@ -156,3 +156,17 @@ def test_the_frequent_list_is_cut_by_levels(table_of, monkeypatch):
     few = ngram_join.frequent_shingles(profiles, 4)
     assert 0 < len(few) <= 10 < len(every) and set(few.tolist()) < set(every.tolist())
     assert sorted(map(str, ngram_join.near_components(df).collect())) == whole
+
+
+def test_fingerprints_beside_clashing_columns(table_of):
+    rows = [(1, "a b c d e f g", "x", "y", 3), (2, None, "x", "y", 3), (None, "a b c d e f g", "x", "y", 3), (1, "", "x", "y", 3)]
+    df = table_of(rows, "doc_id long, text string, Sketch string, fingerprint string, n_chars int")
+    got = fingerprints.fingerprints(df).collect()
+    assert set(got[0].asDict()) == {"doc_id", "text", "sketch", "fingerprint", "n_chars"} and {r["n_chars"] for r in got} == {3}
+    by_text = {r["text"]: r["fingerprint"] for r in got}
+    assert by_text[None] == by_text[""] != by_text["a b c d e f g"] and "y" not in by_text.values()
+    edited = fingerprints.edited_fingerprints(df)
+    assert "Sketch" not in edited.columns and edited.columns[:4] == ["doc_id", "n_chars", "edited_sha256", "fingerprint"]
+    found = edited.collect()
+    assert sorted((r["doc_id"] or 0, r["n_chars"]) for r in found) == [(0, 13), (1, 0), (1, 13), (2, 0)]
+    assert {r["fingerprint"] for r in found if r["n_chars"]} == {by_text["a b c d e f g"]}
