@@ -460,6 +460,48 @@ def conv_up(blocks: DataFrame, w: np.ndarray, side: Triple, bias: np.ndarray | N
     return mapped(blocks, side, lambda x, _: forward.conv_up(x, *shared.value), factor=w.shape[1:4])
 
 
+def avg_pool(blocks: DataFrame, side: Triple, stride: Triple) -> DataFrame:
+    """Means of non-overlapping boxes, incomplete ones at the end left out; blocks of ``side // stride``, which must divide."""
+    if any(a % b for a, b in zip(side, stride)):
+        raise ValueError(f"blocks of {side} are not cut by {stride}")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in _rows(batch):
+                whole = [n // s for n, s in zip(_size(row), stride)]
+                m = [min(n, (row[b] + 1) * (a // s)) - row[b] * (a // s) for n, b, a, s in zip(whole, AT, side, stride)]
+                if min(m) > 0:
+                    body = _array(row, side)[(slice(None), *(slice(0, n * s) for n, s in zip(m, stride)))]
+                    body = body.reshape(len(body), m[0], stride[0], m[1], stride[1], m[2], stride[2]).mean(axis=(2, 4, 6))
+                    yield _batch([(row["volume_id"], *whole, *(row[b] for b in AT), len(body), body.tobytes())], BLOCK)
+
+    return blocks.mapInArrow(run, BLOCK)
+
+
+def add(first: DataFrame, second: DataFrame, side: Triple, slope: float | None = 0.01) -> DataFrame:
+    """The sum of blocks of one grid, joined by their place, then the leaky activation (None: none)."""
+
+    def total(x: np.ndarray, extra: dict) -> np.ndarray:
+        out = x + np.frombuffer(extra["_d"], "<f8").reshape(x.shape)
+        return out if slope is None else forward.leaky(out, slope)
+
+    return mapped(first.join(second.select(*KEY, F.col("data").alias("_d")), KEY), side, total, ("_d",))
+
+
+def residual(blocks: DataFrame, first: np.ndarray, second: np.ndarray, side: Triple, stride: Triple = (1, 1, 1), project: np.ndarray | None = None) -> DataFrame:
+    """Two convolutions and a skip, activated after the sum; the skip is pooled where strided and projected where widths differ.
+
+    Blocks of the output are ``side // stride``.
+    """
+    low = tuple(a // b for a, b in zip(side, stride))
+    out = norm_act(conv3d(blocks, first, side, stride, sides=low), low)
+    out = norm_act(conv3d(out, second, low), low, slope=None)
+    skip = blocks if tuple(stride) == (1, 1, 1) else avg_pool(blocks, side, stride)
+    if project is not None:
+        skip = norm_act(conv3d(skip, project, low), low, slope=None)
+    return add(out, skip, low)
+
+
 def concat(first: DataFrame, second: DataFrame) -> DataFrame:
     """The channels of ``first``, then those of ``second``: blocks of one grid joined by their place."""
     other = second.select(*KEY, F.col("channels").alias("_c"), F.col("data").alias("_d"))

@@ -212,6 +212,7 @@ SELECT p_partkey, memory, CAST(greatest(least(trunc(memory * 0.85::DOUBLE / (3 *
 SQL["predict_arrow"] = SQL["blend_gaussian"]
 SQL["block_blend_uniform"], SQL["block_blend_3d"], SQL["block_segment"] = SQL["blend_uniform"], SQL["blend_3d_padded"], SQL["segment_top2"]
 SQL["block_conv3d"], SQL["block_conv3d_strided"], SQL["block_tiny_unet"] = SQL["conv3d_same"], SQL["conv3d_strided"], SQL["tiny_unet"]
+SQL["block_tiny_resenc_unet"], SQL["block_residual"], SQL["block_avg_pool"] = SQL["tiny_resenc_unet"], SQL["residual_block"], SQL["avg_pool"]
 SQL["block_patch_extract"] = f"{PLANE_NET} SELECT pid, count(*) AS n, min(z) AS z0, max(z) AS z1, min(x) AS x0, {r('sum(v)', 5)} AS v FROM pv GROUP BY pid"
 SQL["block_large_volume"] = f"""WITH raw AS (SELECT CAST(l_orderkey % 128 AS INT) AS z, CAST(l_partkey % 128 AS INT) AS y, CAST(l_suppkey % 128 AS INT) AS x, sum(l_extendedprice) / 79193::DOUBLE AS v FROM lineitem GROUP BY ALL),
 img AS (SELECT p.i AS z, q.i AS y, t.i AS x, coalesce(v, 0) AS v FROM range(128) p(i), range(128) q(i), range(128) t(i) LEFT JOIN raw ON raw.z = p.i AND raw.y = q.i AND raw.x = t.i),

@@ -725,14 +725,21 @@ def block_conv3d_strided(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cells_of_blocks(blocks.conv3d(packed, kernel_array(2, 1, (3, 3, 3)), CUBE_SIDE, (2, 2, 2), BIAS[:2]), CUBE_SIDE)
 
 
-@query
-def block_tiny_unet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The small network of ``tiny_unet`` layer by layer on blocks; a block of the lower stage is half as long."""
-    side, half, k = (16, 4, 6), (8, 2, 3), (3, 3, 3)
+UNET_SIDE = (16, 4, 6)  # a block of the lower stage is half as long
+
+
+def _block_unet(spark: SparkSession, sf_dir: str, residual: bool) -> DataFrame:
+    """The small networks of :func:`_unet`, layer by layer on blocks."""
+    side, half, k = UNET_SIDE, tuple(n // 2 for n in UNET_SIDE), (3, 3, 3)
     padded = box(spark, sf_dir)
     x = blocks.pack(padded, volumes.extents(padded), side)
-    skip = stored(blocks.norm_act(blocks.conv3d(x, kernel_array(2, 1, k), side), side), "skip")
-    low = blocks.norm_act(blocks.conv3d(skip, kernel_array(3, 2, k, 3), side, (2, 2, 2), sides=half), half)
+    if residual:
+        x = stored(blocks.norm_act(blocks.conv3d(x, kernel_array(2, 1, k), side), side), "stem")
+        skip = stored(blocks.residual(x, kernel_array(2, 2, k, 1), kernel_array(2, 2, k, 2), side), "skip")
+        low = blocks.residual(skip, kernel_array(3, 2, k, 3), kernel_array(3, 3, k, 4), side, (2, 2, 2), kernel_array(3, 2, (1, 1, 1), 5))
+    else:
+        skip = stored(blocks.norm_act(blocks.conv3d(x, kernel_array(2, 1, k), side), side), "skip")
+        low = blocks.norm_act(blocks.conv3d(skip, kernel_array(3, 2, k, 3), side, (2, 2, 2), sides=half), half)
     up = blocks.conv_up(low, kernel_array(2, 3, (2, 2, 2), 6), half)
     out = blocks.norm_act(blocks.conv3d(blocks.concat(up, skip), kernel_array(2, 4, k, 7), side), side)
     w = np.array([[((3 * o + 2 * i) % 7 - 3) / 10 for i in range(2)] for o in range(3)])
@@ -740,6 +747,31 @@ def block_tiny_unet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("z", "y", "x", F.posexplode("ls").alias("k", "l")).select("k", "z", "y", "x", r("l", 5).alias("l"))
 
 
+@query
+def block_tiny_unet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _block_unet(spark, sf_dir, False)
+
+
+@query
+def block_tiny_resenc_unet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _block_unet(spark, sf_dir, True)
+
+
+@query
+def block_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    padded, side = box(spark, sf_dir), UNET_SIDE
+    x = blocks.pack(padded, volumes.extents(padded), side)
+    found = blocks.residual(x, kernel_array(2, 1, (3, 3, 3)), kernel_array(2, 2, (3, 3, 3), 3), side, (2, 2, 2), kernel_array(2, 1, (1, 1, 1), 4))
+    return _cells_of_blocks(found, tuple(n // 2 for n in side))
+
+
+@query
+def block_avg_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole, side = cube(spark, sf_dir), UNET_SIDE
+    found = blocks.avg_pool(blocks.pack(whole, volumes.extents(whole), side), side, (2, 2, 2))
+    return _cells_of_blocks(found, tuple(n // 2 for n in side))
+
+
 @query
 def safetensors_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One file a label, written and read again."""
