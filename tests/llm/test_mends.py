@@ -10,7 +10,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from tesserae.llm import chat, common, decontamination, fingerprints, mixing, ngram_join, oracles, tokens
+from tesserae.llm import chat, common, decontamination, fingerprints, mixing, oracles, tokens
 from tesserae.llm.queries import op5_source_mixing
 
 DOC = "doc_id long, text string, source string"
@@ -132,32 +132,6 @@ def test_a_text_that_looks_like_a_null_is_none(table_of):
     assert chat.rendered(table_of(rows, "conv_id long, turn long, role string, text string")).count() == 4
 
 
-def test_hot_units_are_dealt_over_salts(spark, table_of):
-    """One unit is paired with a third of all others: the salted join is the plain one, and no key has most of the rows."""
-    pairs = table_of([(0, v) for v in range(1, 400)] + [(v, v) for v in range(400)] + [(v, 399) for v in range(50, 90)], "u long, v long")
-    sides = table_of([(k, f"m{k}") for k in range(400)], "unit long, members string", "b")
-    u, v = sides.toDF("u", "left"), sides.toDF("v", "right")
-    dealt, left, right = ngram_join._salted(pairs, u, v)
-    got = dealt.join(left, ["u", "su"]).join(right, ["v", "sv"]).select("u", "v", "left", "right")
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, pairs.join(u, "u").join(v, "v").select("u", "v", "left", "right").collect()))
-    per_key = dealt.groupBy("u", "su").count().agg(F.max("count")).first()[0]
-    assert per_key < 150 and left.count() < 400 + 5 * 4 + 4
-
-
-def test_the_frequent_list_is_cut_by_levels(table_of, monkeypatch):
-    """With room for few, the most frequent shingles are listed, whole levels of them; components stay as they are."""
-    rows = [(i, " ".join([*(f"w{i}x{k}" for k in range(30)), *(f"common{k}" for k in range(12)), *((f"rarer{k}" for k in range(9)) if i % 2 else ())])) for i in range(90)]
-    df = table_of([*rows, (90, rows[3][1] + " more"), (91, rows[4][1])], "doc_id long, text string")
-    whole = sorted(map(str, ngram_join.near_components(df).collect()))
-    keyed = ngram_join.with_row(df.select(F.col("text").alias("_text")))
-    profiles = common.stored(ngram_join.in_arrow(keyed.select("_row", "_text"), ngram_join._profiles, ngram_join.PROFILE), "profiles")
-    every = ngram_join.frequent_shingles(profiles, 4)
-    monkeypatch.setattr(ngram_join, "MOST_FREQUENT", 10)
-    few = ngram_join.frequent_shingles(profiles, 4)
-    assert 0 < len(few) <= 10 < len(every) and set(few.tolist()) < set(every.tolist())
-    assert sorted(map(str, ngram_join.near_components(df).collect())) == whole
-
-
 def test_fingerprints_beside_clashing_columns(table_of):
     rows = [(1, "a b c d e f g", "x", "y", 3), (2, None, "x", "y", 3), (None, "a b c d e f g", "x", "y", 3), (1, "", "x", "y", 3)]
     df = table_of(rows, "doc_id long, text string, Sketch string, fingerprint string, n_chars int")
