@@ -79,10 +79,11 @@ def _array(row: dict, side: Triple) -> np.ndarray:
 
 
 def pack(voxels: DataFrame, sizes: DataFrame, side: Triple, channels: int = 1) -> DataFrame:
-    """Blocks of a voxel table; ``sizes`` has a row a volume (``n_z, n_y, n_x``).  Places without a voxel are 0."""
+    """Blocks of a voxel table; ``sizes`` has a row a volume (``n_z, n_y, n_x``).  Places without a voxel are 0; so are whole blocks, which are made all the same."""
 
     def box(table: pa.Table) -> pa.Table:
         row = {n: table.column(n)[0].as_py() for n in KEY}
+        table = table.filter(table.column("c").is_valid())
         span = _span(row, side)
         out = np.zeros((channels, *(b - a for a, b in span)))
         place = [table.column(a).to_numpy() - s for a, (s, _) in zip(AXES, span)]
@@ -90,22 +91,30 @@ def pack(voxels: DataFrame, sizes: DataFrame, side: Triple, channels: int = 1) -
         return pa.Table.from_batches([_batch([(*row.values(), channels, out.tobytes())], BLOCK)])
 
     rows = voxels.join(sizes, "volume_id").withColumns({b: F.expr(f"{a} div {s}").cast("int") for a, b, s in zip(AXES, AT, side)})
-    return rows.groupBy(*KEY).applyInArrow(box, BLOCK)
+    rows = rows.select(*KEY, "c", *AXES, F.col("v").cast("double").alias("v"))
+    marks = sizes  # a row a block, so that none is missing
+    for a, b, s in zip(AXES, AT, side):
+        marks = marks.withColumn(b, F.explode(F.sequence(F.lit(0), F.expr(f"(n_{a} - 1) div {s}").cast("int"))))
+    marks = marks.select(*KEY, *[F.lit(None).cast(rows.schema[n].dataType).alias(n) for n in ("c", *AXES, "v")])
+    return rows.unionByName(marks).groupBy(*KEY).applyInArrow(box, BLOCK)
 
 
 def pack_arrays(rows: DataFrame, count: int, width: int, z: str, data: str, side: Triple, volume_id: str = "image") -> DataFrame:
-    """Blocks of a plane (``y`` is 0) of ``count`` rows whose arrays run along ``x``, ``width`` wide; no row is exploded."""
+    """Blocks of a plane (``y`` is 0) of ``count`` rows whose arrays run along ``x``, ``width`` wide; no row is exploded, absent ones are 0."""
 
     def stack(table: pa.Table) -> pa.Table:
         b = table.column("b0")[0].as_py()
         whole = np.zeros((min(count, (b + 1) * side[0]) - b * side[0], width))
+        table = table.filter(table.column("z").is_valid())
         body = table.column("data").combine_chunks().flatten().to_numpy(zero_copy_only=False)
         whole[table.column("z").to_numpy() - b * side[0]] = body.reshape(-1, width)
         cuts = [whole[:, x : x + side[2]] for x in range(0, width, side[2])]
         return pa.Table.from_batches([_batch([(volume_id, count, 1, width, b, 0, k, 1, c.tobytes()) for k, c in enumerate(cuts)], BLOCK)])
 
     cells = rows.select(F.col(z).cast("int").alias("z"), F.col(data).cast("array<double>").alias("data"))
-    return cells.withColumn("b0", F.expr(f"z div {side[0]}").cast("int")).groupBy("b0").applyInArrow(stack, BLOCK)
+    cells = cells.withColumn("b0", F.expr(f"z div {side[0]}").cast("int"))
+    marks = rows.sparkSession.range(-(-count // side[0])).select(F.lit(None).cast("int").alias("z"), F.lit(None).cast("array<double>").alias("data"), F.col("id").cast("int").alias("b0"))
+    return cells.unionByName(marks).groupBy("b0").applyInArrow(stack, BLOCK)
 
 
 def unpack(blocks: DataFrame, side: Triple) -> DataFrame:

@@ -89,6 +89,22 @@ def test_prediction_on_blocks(voxels, held, batch, network, uniform):
         assert np.allclose(r["ls"], want[r["volume_id"]][:, r["z"], r["y"], r["x"]], atol=1e-9)
 
 
+def test_absent_voxels_and_whole_blocks_are_zeros(spark):
+    """A volume with voxels in one corner only, and a plane without most of its rows."""
+    rows = [("v", 0, z, y, x, float(z + 2 * y - x)) for z in range(3) for y in range(2) for x in range(3) if (z + x) % 2]
+    sizes = spark.createDataFrame([("v", 13, 9, 10)], "volume_id string, n_z int, n_y int, n_x int")
+    array = np.zeros((13, 9, 10))
+    for _, _, z, y, x, v in rows:
+        array[z, y, x] = v
+    voxels = spark.createDataFrame(rows, "volume_id string, c int, z int, y int, x int, v double")
+    got = blocks.unpack(blocks.predicted(blocks.pack(voxels, sizes, SIDE), blocks.Patching(PATCH, 0.5, SIDE), Three(), 3), SIDE).collect()
+    want = blended(array, Three())[0]
+    assert len(got) == array.size and all(np.allclose(r["ls"], want[:, r["z"], r["y"], r["x"]], atol=1e-9) for r in got)
+    plane = spark.createDataFrame([(1, [1.0, 2.0, 3.0]), (11, [4.0, 5.0, 6.0])], "i int, a array<float>")
+    held = {(r["z"], r["x"]): r["ls"] for r in blocks.unpack(blocks.pack_arrays(plane, 14, 3, "i", "a", (4, 1, 2)), (4, 1, 2)).collect()}
+    assert len(held) == 42 and {k: v for k, v in held.items() if v != [0.0]} == {(z, x): [3.0 * (z == 11) + x + 1] for z in (1, 11) for x in range(3)}
+
+
 def test_batches_are_cut_to_size(voxels):
     """A home of many patches: all calls but the last have the whole batch."""
     plan, sizes = blocks.Patching(PATCH, 0.5, (16, 16, 16), 3), []
