@@ -40,11 +40,20 @@ def blend_arrays(scores: DataFrame, classes: int, patch: Triple, uniform: bool =
     """
     weighted = scores.withColumn("_w", weight(patch, uniform))
     sums = [F.sum(F.col("_w") * F.get("ls", F.lit(k))).alias(f"_n{k}") for k in range(classes)]
+    d = F.col("_d")
     if shape is None:
-        rows, d = weighted.groupBy(*PLACE).agg(F.sum("_w").alias("_d"), *sums), F.col("_d")
-    else:
-        rows, d = weighted.groupBy(*PLACE).agg(*sums), covering_weight(shape, patch, step, uniform)
-        rows, d = rows.withColumn("_d", d), F.col("_d")  # once a voxel, not once a class
+        rows = weighted.groupBy(*PLACE).agg(F.sum("_w").alias("_d"), *sums)
+    elif any(isinstance(n, Column) for n in shape):
+        rows = weighted.groupBy(*PLACE).agg(*sums).withColumn("_d", covering_weight(shape, patch, step, uniform))
+    else:  # three short tables, a row a place of an axis
+        rows = weighted.groupBy(*PLACE).agg(*sums)
+        for k, (a, n, p) in enumerate(zip(AXES, shape, patch)):
+            sizes, sides = [1] * 3, [1] * 3  # the other axes have one place
+            sizes[k], sides[k] = n, p
+            total_ = covering_weight(sizes, tuple(sides), step, uniform, 1.0)
+            place = scores.sparkSession.range(n).select(*[F.col("id").cast("int").alias(b) if b == a else F.lit(0).alias(b) for b in AXES])
+            rows = rows.join(F.broadcast(place.select(a, total_.alias(f"_t{k}"))), a)
+        d = F.lit(1.0 if uniform else 10.0) * F.col("_t0") * F.col("_t1") * F.col("_t2")
     return rows.select(*PLACE, F.array(*[F.try_divide(f"_n{k}", d) for k in range(classes)]).alias("ls"))
 
 
