@@ -87,9 +87,14 @@ def patch_network(patched: DataFrame) -> DataFrame:
     return normed.withColumn("ls", F.array(*[a * w + b for _, w, b in HEADS]))
 
 
-def plane_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+def plane_scores(spark: SparkSession, sf_dir: str, shape: tuple[int, int, int] | None = None) -> DataFrame:
     image = plane(spark, sf_dir)
-    return patch_network(tiling.patches(image, volumes.shape_of(image), PATCH, 0.5))
+    return patch_network(tiling.patches(image, shape or volumes.shape_of(image), PATCH, 0.5))
+
+
+def _blended_plane(spark: SparkSession, sf_dir: str, uniform: bool) -> DataFrame:
+    shape = volumes.shape_of(plane(spark, sf_dir))
+    return long(B.blend_arrays(plane_scores(spark, sf_dir, shape), 3, PATCH, uniform, shape))
 
 
 def cube_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,12 +239,12 @@ def gaussian_underflow_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def blend_gaussian(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return long(B.blend_arrays(plane_scores(spark, sf_dir), 3, PATCH, shape=volumes.shape_of(plane(spark, sf_dir))))
+    return _blended_plane(spark, sf_dir, False)
 
 
 @query
 def blend_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return long(B.blend_arrays(plane_scores(spark, sf_dir), 3, PATCH, uniform=True, shape=volumes.shape_of(plane(spark, sf_dir))))
+    return _blended_plane(spark, sf_dir, True)
 
 
 def _blended_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
