@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass, field
+from functools import reduce
 from math import prod
+from operator import add, mul
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Triple = tuple[int, int, int]
+KINDS = ("conv", "bias", "norm", "up", "head")
+ROWS = 1 << 16  # models a partition, where they are grouped
 
 
 def as_list(value, n: int = 3) -> list:
@@ -137,33 +141,69 @@ def defaulted(rows: DataFrame) -> DataFrame:
     )
 
 
-def layer_rows(models: DataFrame, in_channels: int = 1) -> DataFrame:
-    """``model, key, kind, shape`` of every parameter of many plain networks at once.
+def dealt(models: DataFrame) -> DataFrame:
+    """``models`` dealt by ``model`` over as many partitions as their number asks for, whatever the layout of their files.
+
+    What is grouped by model after a narrow step is then grouped where it lies, some ``ROWS`` models a task.
+    """
+    return models.repartition(max(1, -(-models.count() // ROWS)), "model")
+
+
+def _stages(models: DataFrame, in_channels: int) -> DataFrame:
+    """A row a stage ``_s``: its width, that of its input, and those below and beside its decoder (the last stage has none)."""
+    widths = models.withColumn("_w", stage_features_column(F.col("n"), F.col("base"), F.col("most")))
+    s, n, at = F.col("_s"), F.col("n"), lambda i: F.get("_w", i)
+    staged = widths.withColumn("_s", F.explode(F.sequence(F.lit(0), n - 1)))
+    wide = F.when(s == 0, F.lit(in_channels)).otherwise(at(s - 1))
+    return staged.select("model", "classes", "_s", (s < n - 1).alias("_decodes"), at(s).alias("_o"), wide.alias("_i"), at(n - 1 - s).alias("_low"), at(n - 2 - s).alias("_skip"))
+
+
+def _parts() -> tuple[list[tuple], list[tuple]]:
+    """``key, kind, shape`` of what a stage has in the encoder and in the decoder, as columns over the rows of :func:`_stages`."""
+    s, o, i, low, skip = (F.col(c) for c in ("_s", "_o", "_i", "_low", "_skip"))
+    three = [F.lit(3)] * 3
+    named = lambda a, b: F.concat(F.lit(a), s.cast("string"), F.lit(b))
+
+    def block(key: Column, o: Column, i: Column) -> list[tuple]:
+        ends = (("conv.weight", "conv", (o, i, *three)), ("conv.bias", "bias", (o,)), ("norm.weight", "norm", (o,)), ("norm.bias", "norm", (o,)))
+        return [(F.concat(key, F.lit(f".{end}")), kind, shape) for end, kind, shape in ends]
+
+    encoder = [x for c in range(2) for x in block(named("encoder.stages.", f".convs.{c}"), o, o if c else i)]
+    decoder = [(named("decoder.transpconvs.", ".weight"), "up", (low, skip, *[F.lit(2)] * 3)), (named("decoder.transpconvs.", ".bias"), "bias", (skip,))]
+    decoder += [x for c in range(2) for x in block(named("decoder.stages.", f".convs.{c}"), skip, skip if c else 2 * skip)]
+    decoder += [(named("decoder.seg_layers.", ".weight"), "head", (F.col("classes"), skip, *[F.lit(1)] * 3)), (named("decoder.seg_layers.", ".bias"), "bias", (F.col("classes"),))]
+    return encoder, decoder
+
+
+def layer_rows(models: DataFrame, in_channels: int = 1, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """``model, key, kind, shape`` of every parameter of many plain networks at once, or of those of some kinds.
 
     ``models`` has ``model, n`` (stages), ``base, most, classes``: kernels of 3 a side, strides of 2 between stages, two
     convolutions a stage.  A narrow expansion of each row; the names and shapes are those of :class:`Architecture`.
     """
-    rows = models.withColumn("_w", stage_features_column(F.col("n"), F.col("base"), F.col("most")))
-    three, at = [F.lit(3)] * 3, lambda i: F.get("_w", i)
-    part = lambda key, kind, *shape: F.struct(key.alias("key"), F.lit(kind).alias("kind"), F.array(*shape).alias("shape"))
-    named = lambda a, i, b: F.concat(F.lit(a), i.cast("string"), F.lit(b))
+    stages, halves = _stages(models, in_channels), []
+    for df, parts in zip((stages, stages.where("_decodes")), _parts()):
+        found = [F.struct(key.alias("key"), F.lit(kind).alias("kind"), F.array(*shape).alias("shape")) for key, kind, shape in parts if kind in kinds]
+        if found:
+            halves.append(df.select("model", F.explode(F.array(*found)).alias("p")).select("model", "p.key", "p.kind", "p.shape"))
+    return reduce(DataFrame.unionByName, halves)
 
-    def block(key: Column, o: Column, i: Column) -> list[Column]:
-        ends = (("conv.weight", "conv", (o, i, *three)), ("conv.bias", "bias", (o,)), ("norm.weight", "norm", (o,)), ("norm.bias", "norm", (o,)))
-        return [part(F.concat(key, F.lit(f".{end}")), kind, *shape) for end, kind, shape in ends]
 
-    s, out = F.col("_s"), []
-    encoder = rows.withColumn("_s", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    wide = F.when(s == 0, F.lit(in_channels)).otherwise(at(s - 1))
-    out.append((encoder, [x for c in range(2) for x in block(named("encoder.stages.", s, f".convs.{c}"), at(s), at(s) if c else wide)]))
-    decoder = rows.where("n > 1").withColumn("_s", F.explode(F.sequence(F.lit(0), F.greatest(F.col("n") - 2, F.lit(0)))))
-    low, skip = at(F.col("n") - 1 - s), at(F.col("n") - 2 - s)
-    parts = [part(named("decoder.transpconvs.", s, ".weight"), "up", low, skip, *[F.lit(2)] * 3), part(named("decoder.transpconvs.", s, ".bias"), "bias", skip)]
-    parts += [x for c in range(2) for x in block(named("decoder.stages.", s, f".convs.{c}"), skip, skip if c else 2 * skip)]
-    parts += [part(named("decoder.seg_layers.", s, ".weight"), "head", F.col("classes"), skip, *[F.lit(1)] * 3), part(named("decoder.seg_layers.", s, ".bias"), "bias", F.col("classes"))]
-    out.append((decoder, parts))
-    listed = [df.select("model", F.explode(F.array(*parts)).alias("p")).select("model", "p.key", "p.kind", "p.shape") for df, parts in out]
-    return listed[0].unionByName(listed[1])
+def layer_sums(models: DataFrame, in_channels: int = 1) -> DataFrame:
+    """``model, kind, tensors, parameters`` of every stage: the rows of :func:`layer_rows` counted, and their sizes summed, without naming them.
+
+    A narrow expansion in one pass, so that what :func:`dealt` has put together stays so.
+    """
+    product = lambda shape: reduce(mul, shape, F.lit(1).cast("long"))
+    encoder, decoder = ([(kind, product(shape)) for _, kind, shape in parts] for parts in _parts())
+    decodes, found = F.col("_decodes"), []
+    for kind in KINDS:
+        both = [x for k, x in encoder if k == kind], [x for k, x in decoder if k == kind]
+        tensors = F.lit(len(both[0])).cast("long") + F.when(decodes, F.lit(len(both[1]))).otherwise(F.lit(0))
+        sizes = both[0] + [F.when(decodes, x) for x in both[1]]  # what is null adds nothing, as in a sum over rows
+        total = F.when(F.coalesce(*sizes).isNotNull(), reduce(add, [F.coalesce(x, F.lit(0)) for x in sizes]))
+        found.append(F.struct(F.lit(kind).alias("kind"), tensors.alias("tensors"), total.alias("parameters")))
+    return _stages(models, in_channels).select("model", F.inline(F.array(*found))).where("tensors > 0")
 
 
 def activation_bytes(patch: Column, widths: Column, bytes_each: int = 4) -> Column:

@@ -464,7 +464,7 @@ def nets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def deep_supervision_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The heads of every network, the finest first."""
-    heads = networks.layer_rows(nets(spark, sf_dir)).where("kind = 'head'").select("model", F.regexp_extract("key", r"\.(\d+)\.weight$", 1).cast("int").alias("stage"), F.col("shape")[1].alias("width"))
+    heads = networks.layer_rows(networks.dealt(nets(spark, sf_dir)), kinds=("head",)).select("model", F.regexp_extract("key", r"\.(\d+)\.weight$", 1).cast("int").alias("stage"), F.col("shape")[1].alias("width"))
     order = F.reverse(F.array_sort(F.collect_list(F.struct("stage", "width"))))
     return heads.groupBy("model").agg(order.alias("hs")).select("model", F.posexplode("hs").alias("place", "h")).select("model", "place", "h.stage", "h.width")
 
@@ -506,14 +506,13 @@ def stage_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def network_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many tensors of each kind every network has, and their parameters."""
-    sized = networks.layer_rows(nets(spark, sf_dir)).withColumn("size", F.aggregate("shape", F.lit(1).cast("long"), lambda a, x: a * x))
-    return sized.groupBy("model", "kind").agg(F.count("*").alias("tensors"), F.sum("size").alias("parameters"))
+    sums = networks.layer_sums(networks.dealt(nets(spark, sf_dir)))
+    return sums.groupBy("model", "kind").agg(F.sum("tensors").alias("tensors"), F.sum("parameters").alias("parameters"))
 
 
 @query
 def param_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sized = networks.layer_rows(nets(spark, sf_dir)).withColumn("size", F.aggregate("shape", F.lit(1).cast("long"), lambda a, x: a * x))
-    return sized.groupBy("model").agg(F.sum("size").alias("parameters"))
+    return networks.layer_sums(networks.dealt(nets(spark, sf_dir))).groupBy("model").agg(F.sum("parameters").alias("parameters"))
 
 
 @query

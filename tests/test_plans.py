@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tesserae import queries
 from tesserae.functions import expressions as X
 from tesserae.operators import tiling, weights
 from tesserae.plans import networks
@@ -42,6 +43,33 @@ def test_layers_of_many_networks_are_those_of_each(spark):
         assert {(r["key"], r["kind"], tuple(r["shape"])) for r in found if r["model"] == model} == {(k, kind, tuple(s)) for k, kind, s in arch.layers()}
 
 
+def test_sums_of_layers_are_those_of_their_rows(spark):
+    given = [(n, n, 8 * n, 100, 3 + n) for n in (1, 2, 4, 6)] + [(9, 3, 8, 64, None), (None, 2, 8, 64, 5), (10, None, 8, 64, 5)]
+    nets = spark.createDataFrame(given, "model int, n int, base int, most int, classes int")
+    size = F.aggregate("shape", F.lit(1).cast("long"), lambda a, x: a * x)
+    want = networks.layer_rows(nets).groupBy("model", "kind").agg(F.count("*"), F.sum(size)).collect()
+    found = networks.layer_sums(nets).groupBy("model", "kind").agg(F.sum("tensors"), F.sum("parameters")).collect()
+    assert {tuple(r) for r in found} == {tuple(r) for r in want} and len(found) == len(want) == 3 + 5 * 5
+    heads = networks.layer_rows(nets, kinds=("head",)).collect()
+    assert {str(r) for r in heads} == {str(r) for r in networks.layer_rows(nets).where("kind = 'head'").collect()} and len(heads) == 12
+
+
+@pytest.mark.parametrize("name", ["network_layers", "param_count", "deep_supervision_order"])
+def test_networks_are_grouped_in_tasks_of_a_bounded_number_of_them(spark, tmp_path, monkeypatch, name):
+    """One file of one row group: its task must not hold a group for each of its networks."""
+    monkeypatch.setattr(networks, "ROWS", 500, raising=False)
+    parts = spark.range(4000).select((F.col("id") % 3900).alias("p_partkey"), (F.col("id") % 50 + 1).cast("int").alias("p_size"))  # the first 100 twice, of the same size
+    parts.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    found = queries.queries()[name](spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Aggregate" not in plan[plan.index("Exchange") :]
+    held = found.groupBy(F.spark_partition_id()).agg(F.count_distinct("model").alias("n")).collect()
+    assert sum(r["n"] for r in held) == 3900 and max(r["n"] for r in held) < 1000
+    if name != "deep_supervision_order":  # both networks of a key count
+        rows = {r["model"]: r["parameters"] for r in found.groupBy("model").agg(F.sum("parameters").alias("parameters")).where("model IN (7, 107)").collect()}
+        assert rows[7] == 2 * rows[107]
+
+
 def test_defaults_of_descriptions(spark):
     texts = [(0, "{}"), (1, '{"class_name": "ResidualEncoderUNet", "base": 16, "conv_bias": false}'), (2, '{"nonlin_kwargs": {"inplace": true, "negative_slope": 0.2}, "most": 512}'), (3, '{"nonlin_kwargs": {"inplace": true}}')]
     got = networks.defaulted(spark.createDataFrame(texts, "id int, json string")).drop("json").orderBy("id").collect()
